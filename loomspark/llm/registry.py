@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op10_bpe
 from .mixing import OP7_SQL, op7_mixing
 from .quality import OP9_SQL, op9_quality
 from .sharding import op6_sharding
@@ -14,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
     "op9_quality": op9_quality,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
