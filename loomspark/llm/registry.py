@@ -7,18 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op10_bpe
+from .license_scan import op3_licenses
 from .mixing import OP7_SQL, op7_mixing
 from .quality import OP9_SQL, op9_quality
 from .sharding import op6_sharding
+from .topk import OP5_SQL, op5_topk
+from .warc import OP8_SQL, op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_licenses": op3_licenses,
+    "op5_topk": op5_topk,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
+    "op8_warc": op8_warc,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_topk": OP5_SQL,
     "op7_mixing": OP7_SQL,
+    "op8_warc": OP8_SQL,
     "op9_quality": OP9_SQL,
 }
