@@ -12,9 +12,11 @@ from .mixing import OP7_SQL, op7_mixing
 from .quality import OP9_SQL, op9_quality
 from .sharding import op6_sharding
 from .topk import OP5_SQL, op5_topk
+from .toxicity import op1_toxicity
 from .warc import OP8_SQL, op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_licenses": op3_licenses,
     "op5_topk": op5_topk,
     "op6_sharding": op6_sharding,
