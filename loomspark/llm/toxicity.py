@@ -225,15 +225,17 @@ def _word_counts(sample: DataFrame) -> DataFrame:
     return sample.select("text", "toxic").mapInArrow(run, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
 
 
-def _chosen(counts: DataFrame, toxic: int, clean: int, least_g2: float, most: int) -> dict[str, float]:
-    """Terms far more frequent in toxic documents than chance allows, with log-odds weights."""
+def _chosen(counts: DataFrame, toxic: int, clean: int, least_g2: float, most: int, pure: float) -> dict[str, float]:
+    """Terms far more frequent in toxic documents than chance allows, with log-odds weights.
+
+    pure: clean documents with the term for each toxic one at most. Stems, which several words
+    bear out, may be less pure than single words, which copies of one document can feign.
+    """
     n = float(toxic + clean)
     part = lambda k, total: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) * n / ((F.col("t") + F.col("c")) * F.lit(float(total))))).otherwise(0.0)
     odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
     rows = counts.withColumn("g2", 2 * (part("t", toxic) + part("c", clean))).withColumn("odds", odds)
-    # Of what holds the term, most must be toxic: a stem that clean words share is none.
-    pure = F.col("c") * toxic * 20 <= F.col("t") * clean
-    rows = rows.where((F.col("g2") >= least_g2) & (F.col("odds") > 2.5) & (F.col("t") >= 4) & pure & (F.length("term") >= 3))
+    rows = rows.where((F.col("g2") >= least_g2) & (F.col("odds") > 2.5) & (F.col("t") >= 4) & (F.col("c") <= pure * F.col("t")) & (F.length("term") >= 3))
     return {r.term: min(8.0, r.odds) for r in rows.orderBy(F.desc("g2"), "term").limit(most).collect()}
 
 
@@ -251,14 +253,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, most_term
         return Model(seeds, {}, (-3.0, 0.8, 0.8))
     counts = materialize(_word_counts(sample))
     least = 2 * float(np.log(max(2, counts.count()))) + 6
-    words = _chosen(counts.withColumnRenamed("word", "term"), toxic, clean, least, most_terms)
-    # Stems are counted over the words that are not insults by themselves.
-    rest = counts.where(~F.col("word").isin(list(words))) if words else counts
+    # Stems stand for several words; a word of its own is no evidence for what begins it.
     cut = F.explode(F.transform(F.sequence(F.lit(4), F.lit(7)), lambda n: F.when(F.length("word") > n, F.substring("word", F.lit(1), n))))
-    stems = rest.where(F.length("word") > 4).select(cut.alias("term"), "t", "c").where("term IS NOT NULL").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    stems = _chosen(stems, toxic, clean, least, most_terms)
+    begins = counts.where((F.length("word") > 4) & ~F.col("word").isin(INSULTS)).select(cut.alias("term"), "t", "c").where("term IS NOT NULL")
+    begins = begins.groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum((F.col("t") > F.col("c")).cast("int")).alias("n")).where("n >= 5")
+    stems = _chosen(begins, toxic, clean, least, most_terms, pure=0.6)
     # A longer stem says nothing that a stem which begins it doesn't.
     stems = {s: w for s, w in stems.items() if not any(s[:n] in stems for n in range(4, len(s)))}
+    words = _chosen(counts.withColumnRenamed("word", "term"), toxic, clean, least, most_terms, pure=0.05)
+    words = {w: x for w, x in words.items() if not any(w[:n] in stems for n in range(4, len(w)))}
     model = Model({**seeds, **words}, stems, (0.0, 0.0, 0.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,6 +273,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, most_term
     rows.sort()  # sums in a fixed order
     table = np.array([tuple(r) for r in rows], float)
     model.weights = logistic(table[:, 1:], table[:, 0])
+    if min(model.weights[1:]) < 0:  # more evidence never lowers a score
+        model.weights = (*logistic(table[:, 1:2], table[:, 0]), 0.0)
     return model
 
 
