@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import load, slices, utf8_buffer
+from .common import load, ragged, slices, utf8_buffer
 
 L, N, O, A2, A3, W, P, X = range(8)
 _BEGIN, _LETTERS, _NUMBERS, _OTHERS, _SPACE, _WHITE, _ONE_MORE, _TWO_MORE = range(8)
@@ -258,14 +258,6 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def ragged(table: np.ndarray, table_off: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of the table's ``items`` put together, and the n+1 offsets of the items there."""
-    size = (table_off[1:] - table_off[:-1])[items]
-    off = np.zeros(len(items) + 1, np.int64)
-    np.cumsum(size, out=off[1:])
-    return table[np.repeat(table_off[:-1][items] - off[:-1], size) + np.arange(off[-1])], off
-
-
 def _packed(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     off = np.zeros(len(items) + 1, np.int64)
     np.cumsum([len(x) for x in items], out=off[1:])
@@ -303,13 +295,17 @@ class Codec:
         np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) >> 2, out=upto[1:])
         return ids, upto[np.searchsorted(starts, off)]
 
+    @staticmethod
+    def _take(data: np.ndarray, off: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return ragged(data, off[:-1][items], np.diff(off)[items])
+
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the ids and the n+1 byte offsets of the ids."""
-        return ragged(*self.tokens, ids)
+        return self._take(*self.tokens, ids)
 
     def decimals(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids in decimal digits, each with a space behind it, and their n+1 offsets."""
-        return ragged(*self.digits, ids)
+        return self._take(*self.digits, ids)
 
 
 @lru_cache(2)

@@ -169,3 +169,38 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000):
         j = max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+
+
+def ragged(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slices of ``data`` put together, and the n+1 offsets of the slices there."""
+    off = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=off[1:])
+    return data[np.repeat(starts - off[:-1], sizes) + np.arange(off[-1])], off
+
+
+def to_ipc(batch: pa.RecordBatch) -> bytes:
+    """A batch as a compressed Arrow stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def from_ipc(raw: bytes) -> pa.RecordBatch:
+    with pa.ipc.open_stream(raw) as reader:
+        return reader.read_next_batch()
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as compressed bytes: differences, byte plane by byte plane."""
+    import zstandard
+
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    return zstandard.compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)

@@ -11,12 +11,14 @@ from .license_scan import op3_licenses
 from .mixing import OP7_SQL, op7_mixing
 from .quality import OP9_SQL, op9_quality
 from .sharding import op6_sharding
+from .substring_dedup import OP2_SQL, op2_substring_dedup
 from .topk import OP5_SQL, op5_topk
 from .toxicity import op1_toxicity
 from .warc import OP8_SQL, op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_licenses": op3_licenses,
     "op5_topk": op5_topk,
     "op6_sharding": op6_sharding,
@@ -27,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": OP2_SQL,
     "op5_topk": OP5_SQL,
     "op7_mixing": OP7_SQL,
     "op8_warc": OP8_SQL,
