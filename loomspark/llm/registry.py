@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op10_bpe
 from .license_scan import op3_licenses
+from .minhash import OP4_SQL, op4_minhash
 from .mixing import OP7_SQL, op7_mixing
 from .quality import OP9_SQL, op9_quality
 from .sharding import op6_sharding
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_licenses": op3_licenses,
+    "op4_minhash": op4_minhash,
     "op5_topk": op5_topk,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
@@ -30,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": OP2_SQL,
+    "op4_minhash": OP4_SQL,
     "op5_topk": OP5_SQL,
     "op7_mixing": OP7_SQL,
     "op8_warc": OP8_SQL,
