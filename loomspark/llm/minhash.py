@@ -201,6 +201,8 @@ def near_duplicates(
         placed = placed.select("key", "doc", "n", "c")
         open_keys = placed.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo < _hi").select("key")
         placed = materialize(placed.join(open_keys, "key"))
+        if placed.limit(1).count() == 0:
+            break
         # Pivots: the least member of each slot that a hash deals out.
         slot = F.pmod(F.xxhash64("doc", F.lit(pivots)), F.lit(pivots))
         chosen = materialize(placed.groupBy("key", slot.alias("_slot")).agg(F.min(F.struct("doc", "n", "c")).alias("p")).select("key", "p"))
@@ -216,8 +218,6 @@ def near_duplicates(
             links = fresh if root is None else root.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(fresh)
             root = materialize(components(links))
         members = materialize(members)
-        if members.limit(1).count() == 0:
-            break
         pivots = min(pivots * 4, 256)
 
     out = same if root is None else same.unionByName(root.select(F.col("root").alias("a"), F.col("node").alias("b")))
