@@ -321,8 +321,8 @@ def _default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def encoded(df: DataFrame, ranks_path: str | None = None, text_col: str = "text") -> DataFrame:
-    """``df`` with ids array<int>, offsets array<bigint> (each id's first byte in the text) and n_tokens.
+def encoded(df: DataFrame, ranks_path: str | None = None, text_col: str = "text", with_offsets: bool = True) -> DataFrame:
+    """``df`` with ids array<int>, n_tokens and, if asked for, offsets array<bigint> (each id's first byte in the text).
 
     ranks_path: a file that every worker can open (an installed package's, or one shipped along).
     """
@@ -330,7 +330,8 @@ def encoded(df: DataFrame, ranks_path: str | None = None, text_col: str = "text"
 
     path = ranks_path or _default_ranks()
     df = df.drop(*[c for c in ("ids", "offsets", "n_tokens") if c != text_col])
-    schema = T.StructType([*df.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("offsets", T.ArrayType(T.LongType())), T.StructField("n_tokens", T.LongType())])
+    offsets = [T.StructField("offsets", T.ArrayType(T.LongType()))] * with_offsets
+    schema = T.StructType([*df.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), *offsets, T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
@@ -338,11 +339,12 @@ def encoded(df: DataFrame, ranks_path: str | None = None, text_col: str = "text"
             for part in slices(batch, text_col):
                 data, off = utf8_buffer(part.column(part.schema.get_field_index(text_col)))
                 ids, upto = coder.encode(data, off)
-                at = coder.decode(ids)[1]
-                places = at[:-1] - np.repeat(off[:-1], np.diff(upto))
                 lists = pa.array(upto, pa.int32())
-                columns = [*part.columns, pa.ListArray.from_arrays(lists, pa.array(ids)), pa.ListArray.from_arrays(lists, pa.array(places)), pa.array(np.diff(upto))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "ids", "offsets", "n_tokens"])
+                columns = [*part.columns, pa.ListArray.from_arrays(lists, pa.array(ids))]
+                if with_offsets:
+                    places = coder.decode(ids)[1][:-1] - np.repeat(off[:-1], np.diff(upto))
+                    columns.append(pa.ListArray.from_arrays(lists, pa.array(places)))
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(upto))], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -357,8 +359,16 @@ def decoded(df: DataFrame, ranks_path: str | None = None, ids_col: str = "ids")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
-            out = [coder.decode(np.array(x or [], np.int32))[0].tobytes() for x in lists]
+            lists = batch.column(batch.schema.get_field_index(ids_col))
+            size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat, upto = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)])
+            out = []
+            for i in range(0, len(size), 64):  # some texts at once, so that their bytes stay few
+                j = min(i + 64, len(size))
+                raw, at = coder.decode(flat[upto[i] : upto[j]].astype(np.int64))
+                cut = at[upto[i : j + 1] - upto[i]].tolist()
+                raw = raw.tobytes()
+                out += [raw[a:b] for a, b in zip(cut, cut[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return df.drop("decoded").mapInArrow(run, schema)
