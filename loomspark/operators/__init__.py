@@ -1,0 +1 @@
+"""Relational operators over corpora and logs."""

@@ -1,0 +1 @@
+"""Whole jobs: governing, preparing, packing."""

@@ -1,0 +1 @@
+"""Structured Streaming forms of log and corpus operators."""
