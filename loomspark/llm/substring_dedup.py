@@ -235,7 +235,10 @@ def repeated(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
         many = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(k)).astype(bool) for x, k in zip(table.column("about"), keys)]
         everything = np.sort(np.concatenate(keys))
         twice = np.unique(np.concatenate([everything[1:][everything[1:] == everything[:-1]], *[k[m] for k, m in zip(keys, many)]]))
-        return returned(table, [np.isin(k, twice) for k in keys])
+        if not len(twice):
+            return returned(table, [np.zeros(len(k), bool) for k in keys])
+        at = [np.minimum(np.searchsorted(twice, k), len(twice) - 1) for k in keys]
+        return returned(table, [twice[i] == k for i, k in zip(at, keys)])
 
     def lesser_ids(table: pa.Table) -> pa.Table:
         import zstandard
