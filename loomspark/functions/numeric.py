@@ -17,8 +17,14 @@ def softmax(logits: Column | str, temperature: float = 1.0) -> Column:
     if temperature <= 0:
         raise ValueError("temperature must be above 0")
     scaled = F.transform(_col(logits), lambda x: x / F.lit(float(temperature)))
-    powers = F.transform(F.array(scaled), lambda s: F.transform(s, lambda x: F.exp(x - F.array_max(s))))
-    return F.element_at(F.transform(powers, lambda e: F.transform(e, lambda x: x / _sum(e))), 1)
+    # Arrays of one element bind what is computed once.
+    shifted = F.transform(F.array(F.struct(scaled.alias("s"), F.array_max(scaled).alias("m"))), lambda b: F.transform(b.s, lambda x: F.exp(x - b.m)))
+    return F.element_at(_normalised(shifted), 1)
+
+
+def _normalised(arrays: Column) -> Column:
+    """Each array of an array divided by its sum."""
+    return F.transform(F.transform(arrays, lambda a: F.struct(a.alias("a"), _sum(a).alias("n"))), lambda b: F.transform(b.a, lambda x: x / b.n))
 
 
 def _sum(a: Column) -> Column:
@@ -29,10 +35,11 @@ def top_k_filter(probs: Column | str, k: int) -> Column:
     """Probabilities below the k-th largest become 0, the rest sum to 1; ties at the k-th stay."""
     if k < 1:
         raise ValueError("k must be 1 or more")
-    p = _col(probs)
-    cut = F.element_at(F.sort_array(p, asc=False), F.lit(k))
-    kept = F.transform(F.array(F.transform(p, lambda x: F.when(x >= cut, x).otherwise(0.0))), lambda a: F.when(_sum(a) > 0, F.transform(a, lambda x: x / _sum(a))).otherwise(p))
-    return F.when(F.size(p) <= k, p).otherwise(F.element_at(kept, 1))
+    bound = F.transform(F.array(_col(probs)), lambda p: F.struct(p.alias("p"), F.element_at(F.sort_array(p, asc=False), F.least(F.lit(k), F.size(p))).alias("cut")))
+    kept = F.transform(bound, lambda b: F.transform(b.p, lambda x: F.when(x >= b["cut"], x).otherwise(0.0)))
+    sums = F.transform(kept, _sum)
+    out = F.when((F.size(_col(probs)) <= k) | (F.element_at(sums, 1) <= 0), _col(probs))
+    return out.otherwise(F.element_at(_normalised(kept), 1))
 
 
 def sample_next(logits: Column | str, draw: Column | str, temperature: float = 1.0, top_k: int | None = None) -> Column:

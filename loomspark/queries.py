@@ -117,7 +117,7 @@ def group_split_quota(spark, sf):
     return splits.group_split(_clean(spark, sf), F.col("source"), {"a": 400, "b": 100, "c": 200}).select("ord", "partition", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {_CLEAN}, r AS (SELECT ord, {_SHUFFLED.format(seed=7)} AS rank FROM c) SELECT ord, rank::BIGINT AS rank, CASE WHEN rank <= 285 THEN 'train' ELSE 'validation' END AS partition FROM r WHERE rank <= 300")
+@query(f"WITH {_CLEAN}, r AS (SELECT ord, {_SHUFFLED.format(seed=7)} AS rank, least(300, count(*) OVER ()) AS n FROM c) SELECT ord, rank::BIGINT AS rank, CASE WHEN rank <= floor(n::DOUBLE * 0.95::DOUBLE) THEN 'train' ELSE 'validation' END AS partition FROM r WHERE rank <= 300")
 def shuffle_split_budget(spark, sf):
     return splits.shuffle_split(_clean(spark, sf), (0.95, 0.05, 0.0), 7, 300).select("ord", F.col("rank").cast("long").alias("rank"), "partition")
 
