@@ -47,8 +47,8 @@ NOTICES = {
 TAGS = ("spdx license identifier", "license expression")
 #: How sure one match of a kind makes us; several combine as independent evidence.
 SURE = {"base": 0.9, "notice": 0.7, "tag": 0.95}
-#: Identifiers that mean the same as a base label (fixed values).
-ALIASES = {"apache-2.0": "apache-2", "cc-by-nc-1.0": "cc-by-nc", "cc-by-nc-2.0": "cc-by-nc", "cc-by-nc-2.5": "cc-by-nc", "cc-by-nc-3.0": "cc-by-nc", "cc-by-nc-4.0": "cc-by-nc"}
+#: Identifiers that mean the same as a label above (fixed values).
+ALIASES = {"apache-2.0": "apache-2", "cc-by-nc-1.0": "cc-by-nc", "cc-by-nc-2.0": "cc-by-nc", "cc-by-nc-2.5": "cc-by-nc", "cc-by-nc-3.0": "cc-by-nc", "cc-by-nc-4.0": "cc-by-nc", "bsd-2-clause": "bsd-2", "bsd-3-clause": "bsd-3"}
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
