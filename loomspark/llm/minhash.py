@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, load, materialize, mix, slices, utf8_buffer, word_hashes, word_spans
+from .common import gram_hashes, join_small, load, materialize, mix, slices, utf8_buffer, word_hashes, word_spans
 
 _U = np.uint64
 #: A-Z to a-z, other bytes as they are.
@@ -153,24 +153,23 @@ def _verified(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) -> D
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): each node of edges (a, b) with the least node it reaches, itself left out if alone."""
-    edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = materialize(edges)
-    before = None
+    """(node, root): each node of edges (a, b) but the roots, with the least node it reaches."""
+    edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Large-star: larger neighbours move to a node's least neighbour.
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        large = both.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b").where("a <> b")
         # Small-star: a node and its smaller neighbours move to the least of them.
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         met = large.join(low, "b")
         small = met.select(F.col("m").alias("a"), F.col("a").alias("b")).union(met.select(F.col("m").alias("a"), "b"))
         edges = materialize(small.where("a <> b").distinct())
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before or not now[0]:
-            return edges.groupBy("b").agg(F.min("a").alias("root")).withColumnRenamed("b", "node")
-        before = now
+        # Done when all are stars: a node is a root, or it has one root.
+        ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+        odd = ends.groupBy("x").agg(F.max("up").alias("up"), F.sum("down").alias("down")).where("down > 1 OR down = 1 AND up = 1")
+        if not odd.limit(1).count():
+            return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
 def near_duplicates(
@@ -186,52 +185,63 @@ def near_duplicates(
     sets = ["set_a", "set_b", "n_shingles"]
     # One class per set; its bands are the same for all members.
     classes = materialize(known.groupBy(*sets).agg(F.min("_id").alias("rep"), F.count("*").alias("_n"), F.first("bands").alias("bands")))
-    # Rows of one id with different sets, and members of a class, are linked from the start.
     many = classes.where("_n > 1").select(*sets, "rep")
-    same = materialize(known.select("_id", *sets).join(many, sets).select(F.col("rep").alias("a"), F.col("_id").alias("b")).where("a <> b"))
 
     rows_of = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("doc"), F.col("n_shingles").alias("n"))
     crowded = rows_of.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
     members = materialize(rows_of.join(crowded, "key"))
     bodies = materialize(signed.join(members.select(F.col("doc").alias("_id"), F.col("n").alias("n_shingles")).distinct(), ["_id", "n_shingles"], "left_semi").select("_id", "n_shingles", "body").dropDuplicates(["_id"]).drop("n_shingles"))
 
-    links, tested, root, pivots = None, None, None, 1
+    tested, root, pivots = None, None, 1
     while True:
-        placed = members.withColumn("c", F.col("doc")) if root is None else members.join(root.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("c", F.coalesce("root", "doc")).drop("root")
-        placed = placed.select("key", "doc", "n", "c")
-        open_keys = placed.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo < _hi").select("key")
-        placed = materialize(placed.join(open_keys, "key"))
-        if placed.limit(1).count() == 0:
+        placed = members.withColumn("c", F.col("doc")) if root is None else join_small(members, root.withColumnRenamed("node", "doc"), "doc").withColumn("c", F.coalesce("root", "doc")).drop("root")
+        # A bucket's pivots: the least member of each slot that a hash deals out, of those outside the
+        # component of a member drawn by hash, so that strays among many copies have their turn soon.
+        drawn = F.min_by("c", F.xxhash64("doc", F.lit(pivots)))
+        open_keys = placed.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), drawn.alias("_main")).where("_lo < _hi").select("key", "_main")
+        if root is None:
+            chosen = placed.groupBy("key").agg(F.array(F.min(F.struct("doc", "n", "c"))).alias("p"))
+        else:
+            slot = F.pmod(F.xxhash64("doc", F.lit(pivots)), F.lit(pivots))
+            strays = placed.join(open_keys, "key").where(F.col("c") != F.col("_main"))
+            # At most ``pivots`` of a bucket's members come together here.
+            chosen = strays.groupBy("key", slot.alias("_slot")).agg(F.min(F.struct("doc", "n", "c")).alias("p")).groupBy("key").agg(F.collect_list("p").alias("p"))
+        met = materialize(placed.join(chosen, "key"))
+        if not met.limit(1).count():
             break
-        # Pivots: the least member of each slot that a hash deals out.
-        slot = F.pmod(F.xxhash64("doc", F.lit(pivots)), F.lit(pivots))
-        chosen = materialize(placed.groupBy("key", slot.alias("_slot")).agg(F.min(F.struct("doc", "n", "c")).alias("p")).select("key", "p"))
-        met = placed.join(chosen, "key").where((F.col("c") != F.col("p.c")) & (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")))
-        pairs = met.select(F.least("p.doc", "doc").alias("a"), F.greatest("p.doc", "doc").alias("b")).distinct()
+        pairs = met.where(~F.array_contains(F.transform("p", lambda x: x.doc), F.col("doc")) | (F.size("p") > 1)).withColumn("p", F.explode("p"))
+        pairs = pairs.where((F.col("c") != F.col("p.c")) & (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")))
+        pairs = pairs.select(F.least("p.doc", "doc").alias("a"), F.greatest("p.doc", "doc").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
         fresh = materialize(_verified(pairs, bodies, size, percent))
-        members = placed.select("key", "doc", "n").join(chosen.select("key", F.col("p.doc").alias("doc")), ["key", "doc"], "left_anti")
+        members = met.where(~F.array_contains(F.transform("p", lambda x: x.doc), F.col("doc"))).select("key", "doc", "n")
         if fresh.limit(1).count():
             links = fresh if root is None else root.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(fresh)
-            root = materialize(components(links))
-        members = materialize(members)
-        pivots = min(pivots * 4, 256)
+            root = components(links)
+        pivots = min(pivots * 8, 256)
 
-    out = same if root is None else same.unionByName(root.select(F.col("root").alias("a"), F.col("node").alias("b")))
-    final = materialize(components(out))
-    result = df.join(_per_row(signed, final), F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left")
     columns = [F.col(f"`{c}`") for c in df.columns]
+    result = df.join(_per_id(signed, known, many, root, sets), F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left")
     return result.select(*columns, F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.col("component_id"), F.coalesce(F.col("component_id") == F.col("_id"), F.lit(True)).alias("kept"))
 
 
-def _per_row(signed: DataFrame, final: DataFrame) -> DataFrame:
+def _per_id(signed: DataFrame, known: DataFrame, many: DataFrame, root: DataFrame | None, sets: list[str]) -> DataFrame:
     """(_id, n_shingles, component_id), one row per id (rows of one id: the largest set counts)."""
+    repeats = signed.groupBy("_id").agg(F.count("*").alias("k")).where("k > 1").limit(1).count()
+    if not repeats:  # an id has one set, so its class's component is its own
+        out = signed.select("_id", *sets).join(many, sets, "left").withColumn("rep", F.coalesce("rep", "_id"))
+        out = out.withColumn("root", F.col("rep")) if root is None else join_small(out, root.withColumnRenamed("node", "rep"), "rep")
+        return out.select("_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
+    # Sets of one id link their components: members of a class and ids of several sets are edges too.
+    links = known.select("_id", *sets).join(many, sets).select(F.col("rep").alias("a"), F.col("_id").alias("b"))
+    if root is not None:
+        links = links.unionByName(root.select(F.col("root").alias("a"), F.col("node").alias("b")))
+    final = components(links)
     per_id = signed.groupBy("_id").agg(F.max("n_shingles").alias("n_shingles"))
-    out = per_id.join(final, F.col("_id") == F.col("node"), "left")
-    return out.select("_id", "n_shingles", F.coalesce("root", "_id").alias("component_id"))
+    return per_id.join(final, F.col("_id") == F.col("node"), "left").select("_id", "n_shingles", F.coalesce("root", "_id").alias("component_id"))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
