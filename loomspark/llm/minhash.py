@@ -19,12 +19,13 @@ result column are replaced.
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import gram_hashes, join_small, load, materialize, mix, slices, utf8_buffer, word_hashes, word_spans
@@ -89,8 +90,39 @@ def band_keys(values: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
+def sketches(values: np.ndarray) -> np.ndarray:
+    """Four bits of each value, sixteen to a 64-bit word."""
+    n, width = values.shape[0], -(-values.shape[1] // 16)
+    bits = np.zeros((n, width * 16), _U)
+    bits[:, : values.shape[1]] = mix(values) & _U(15)
+    return (bits.reshape(n, width, 16) << (np.arange(16, dtype=_U) * _U(4))).sum(2, dtype=_U)
+
+
+def most_differences(values: int, percent: int, risk: float = 1e-7) -> int:
+    """How many of ``values`` sketched values may differ: a pair of at least ``percent`` % similarity
+    exceeds this with a probability of at most ``risk``."""
+    p = 1 - (percent / 100 + (1 - percent / 100) / 16)
+    tail, k = 1.0, -1
+    while tail > risk and k < values:
+        k += 1
+        tail = sum(math.comb(values, j) * p**j * (1 - p) ** (values - j) for j in range(k + 1, values + 1))
+    return k
+
+
+def _differences(a: Column, b: Column) -> Column:
+    """Sketched values in which two sketches differ."""
+
+    def word(x: Column, y: Column) -> Column:
+        z = x.bitwiseXOR(y)
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
+        return F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return F.aggregate(F.zip_with(a, b, word), F.lit(0), lambda n, x: n + x)
+
+
 def signatures(docs: DataFrame, size: int, permutations: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """(_id, n_shingles, set_a, set_b, bands, body): body is the compressed text."""
+    """(_id, n_shingles, set_a, set_b, bands, sketch, body): body is the compressed text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -103,17 +135,17 @@ def signatures(docs: DataFrame, size: int, permutations: int, rows: int, id_col:
                 n = np.array([len(s) for s in sets], np.int64)
                 full = [s for s in sets if len(s)]
                 ab = np.array([(int(mix(s).sum(dtype=_U)), int(mix(s ^ _U(0x5DEECE66D)).sum(dtype=_U))) for s in full], _U).reshape(-1, 2)
-                keys = band_keys(min_max(full, permutations), rows) if full else np.zeros((0, 2 * permutations // rows), _U)
+                values = min_max(full, permutations)
+                keys, brief = band_keys(values, rows), sketches(values)
                 where = np.cumsum(n > 0) - 1
                 some = lambda x: pa.array([int(x[w].astype(np.int64)) if k else None for w, k in zip(where, n)], pa.int64())
-                upto = np.concatenate([[0], np.cumsum((n > 0) * keys.shape[1])]).astype(np.int32)
-                bands = pa.ListArray.from_arrays(pa.array(upto), pa.array(keys.astype(np.int64).ravel()))
+                lists = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((n > 0) * x.shape[1])]), pa.int32()), pa.array(x.astype(np.int64).ravel()))
                 raw, cut = data.tobytes(), off.tolist()
                 body = pa.array([press.compress(raw[a:b]) for a, b in zip(cut, cut[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), some(ab[:, 0]), some(ab[:, 1]), bands, body], names=["_id", "n_shingles", "set_a", "set_b", "bands", "body"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), some(ab[:, 0]), some(ab[:, 1]), lists(keys), lists(brief), body], names=["_id", "n_shingles", "set_a", "set_b", "bands", "sketch", "body"])
 
     rows_in = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return rows_in.mapInArrow(run, "_id long, n_shingles long, set_a long, set_b long, bands array<long>, body binary")
+    return rows_in.mapInArrow(run, "_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>, body binary")
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) -> DataFrame:
@@ -184,50 +216,99 @@ def near_duplicates(
     known = signed.where("_id IS NOT NULL AND n_shingles > 0")
     sets = ["set_a", "set_b", "n_shingles"]
     # One class per set; its bands are the same for all members.
-    classes = materialize(known.groupBy(*sets).agg(F.min("_id").alias("rep"), F.count("*").alias("_n"), F.first("bands").alias("bands")))
+    classes = materialize(known.groupBy(*sets).agg(F.min("_id").alias("rep"), F.count("*").alias("_n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     many = classes.where("_n > 1").select(*sets, "rep")
 
-    rows_of = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("doc"), F.col("n_shingles").alias("n"))
+    rows_of = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("doc"), F.col("n_shingles").alias("n"), "sketch", F.lit(0).alias("at"))
     crowded = rows_of.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
     members = materialize(rows_of.join(crowded, "key"))
     bodies = materialize(signed.join(members.select(F.col("doc").alias("_id"), F.col("n").alias("n_shingles")).distinct(), ["_id", "n_shingles"], "left_semi").select("_id", "n_shingles", "body").dropDuplicates(["_id"]).drop("n_shingles"))
 
-    tested, root, pivots = None, None, 1
+    tested, root, pivots, apart = None, None, 1, most_differences(2 * permutations, percent)
+    hubs = True  # the first round: each bucket's least member is its pivot
     while True:
         placed = members.withColumn("c", F.col("doc")) if root is None else join_small(members, root.withColumnRenamed("node", "doc"), "doc").withColumn("c", F.coalesce("root", "doc")).drop("root")
-        # A bucket's pivots: the least member of each slot that a hash deals out, of those outside the
-        # component of a member drawn by hash, so that strays among many copies have their turn soon.
-        drawn = F.min_by("c", F.xxhash64("doc", F.lit(pivots)))
-        open_keys = placed.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), drawn.alias("_main")).where("_lo < _hi").select("key", "_main")
-        if root is None:
-            chosen = placed.groupBy("key").agg(F.array(F.min(F.struct("doc", "n", "c"))).alias("p"))
+        if hubs:
+            chosen = placed.groupBy("key").agg(F.array(F.min(F.struct("doc", "n", "c", "sketch", "at"))).alias("p"))
         else:
+            # Buckets of one component are done. So are members whose place allows smaller partners only
+            # than are left.
+            drawn = F.min_by("c", F.xxhash64("doc", F.lit(pivots)))
+            open_keys = placed.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), drawn.alias("_main"), F.min("n").alias("_least")).where("_lo < _hi").drop("_lo", "_hi")
+            placed = placed.join(open_keys, "key").where((100 + percent) * (F.col("n") - F.col("at")) >= percent * (F.col("n") + F.col("_least")))
+            # Pivots: the smallest set of each slot that a hash deals out, of those outside the component
+            # of a member drawn by hash, so that strays among many copies have their turn soon. At most
+            # ``pivots`` of a bucket's members come together here.
             slot = F.pmod(F.xxhash64("doc", F.lit(pivots)), F.lit(pivots))
-            strays = placed.join(open_keys, "key").where(F.col("c") != F.col("_main"))
-            # At most ``pivots`` of a bucket's members come together here.
-            chosen = strays.groupBy("key", slot.alias("_slot")).agg(F.min(F.struct("doc", "n", "c")).alias("p")).groupBy("key").agg(F.collect_list("p").alias("p"))
+            strays = placed.where(F.col("c") != F.col("_main"))
+            placed = placed.drop("_main", "_least")
+            chosen = strays.groupBy("key", slot.alias("_slot")).agg(F.min(F.struct("n", "doc", "c", "sketch", "at")).alias("p")).groupBy("key").agg(F.collect_list("p").alias("p"))
         met = materialize(placed.join(chosen, "key"))
         if not met.limit(1).count():
             break
-        pairs = met.where(~F.array_contains(F.transform("p", lambda x: x.doc), F.col("doc")) | (F.size("p") > 1)).withColumn("p", F.explode("p"))
-        pairs = pairs.where((F.col("c") != F.col("p.c")) & (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")))
-        pairs = pairs.select(F.least("p.doc", "doc").alias("a"), F.greatest("p.doc", "doc").alias("b")).distinct()
+        # Sizes, places and sketches leave out, before any row is made, pairs that can't be similar enough:
+        # what precedes the first shared shingle of the prefixes is not shared.
+        near = lambda x: (
+            (F.col("c") != x.c)
+            & (100 * F.least("n", x.n) >= percent * F.greatest("n", x.n))
+            & ((100 + percent) * F.least(F.col("n") - F.col("at"), x.n - x.at) >= percent * (F.col("n") + x.n))
+            & (_differences(F.col("sketch"), x.sketch) <= apart)
+        )
+        ends = F.explode(F.transform(F.filter("p", near), lambda x: F.struct(F.least("doc", x.doc).alias("a"), F.greatest("doc", x.doc).alias("b"))))
+        pairs = met.select(ends.alias("e")).select("e.a", "e.b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
         fresh = materialize(_verified(pairs, bodies, size, percent))
-        members = met.where(~F.array_contains(F.transform("p", lambda x: x.doc), F.col("doc"))).select("key", "doc", "n")
+        members = met.where(~F.array_contains(F.transform("p", lambda x: x.doc), F.col("doc"))).select("key", "doc", "n", "sketch", "at")
         if fresh.limit(1).count():
             links = fresh if root is None else root.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(fresh)
             root = components(links)
-        pivots = min(pivots * 8, 256)
+        if hubs:
+            hubs = False
+            # Most copies are linked now. Documents of buckets that hold several components still may be
+            # merely similar in great number; the rare shingles of their sets tell such apart.
+            mixed = met.select("key", "doc") if root is None else join_small(met.select("key", "doc"), root.withColumnRenamed("node", "doc"), "doc").select("key", F.coalesce("root", "doc").alias("doc"))
+            mixed = mixed.groupBy("key").agg(F.min("doc").alias("_lo"), F.max("doc").alias("_hi")).where("_lo < _hi").select("key")
+            doubtful = materialize(met.join(mixed, "key").groupBy("doc").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+            members = materialize(_prefixes(doubtful, bodies, size, percent).join(doubtful, "doc").select("key", "doc", "n", "sketch", "at"))
+        else:
+            pivots = min(pivots * 16, 64)
 
     columns = [F.col(f"`{c}`") for c in df.columns]
     result = df.join(_per_id(signed, known, many, root, sets), F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left")
     return result.select(*columns, F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.col("component_id"), F.coalesce(F.col("component_id") == F.col("_id"), F.lit(True)).alias("kept"))
 
 
+def _prefixes(docs: DataFrame, bodies: DataFrame, size: int, percent: int) -> DataFrame:
+    """(key, doc, at): of each document, the shingles of its prefix that another document's set holds, and their places.
+
+    Shingles are ordered by their number of these documents, rare ones first. Two sets of at least
+    ``percent`` % similarity share a shingle among the first n - ceil(percent * n / 100) + 1 of each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpress = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                texts = [unpress.decompress(x.as_py()) for x in part.column(1)]
+                sets = shingle_sets(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]), size)
+                upto = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(upto, pa.array(np.concatenate(sets).astype(np.int64)))], names=["doc", "s"])
+
+    sets = docs.select(F.col("doc").alias("_id")).join(bodies, "_id").select("_id", "body").mapInArrow(run, "doc long, s array<long>")
+    rows = sets.select("doc", F.explode("s").alias("key"))
+    df = rows.groupBy("key").agg(F.count("*").alias("df"))
+    each = rows.join(df, "key").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("s"))  # one text's shingles
+    n = F.size("s")
+    prefix = F.slice("s", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
+    return each.select("doc", F.posexplode(prefix).alias("at", "x")).where("x.df > 1").select("x.key", "doc", "at")
+
+
 def _per_id(signed: DataFrame, known: DataFrame, many: DataFrame, root: DataFrame | None, sets: list[str]) -> DataFrame:
     """(_id, n_shingles, component_id), one row per id (rows of one id: the largest set counts)."""
     repeats = signed.groupBy("_id").agg(F.count("*").alias("k")).where("k > 1").limit(1).count()
