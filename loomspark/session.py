@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +24,18 @@ def session(app: str = "loomspark", master: str | None = None, **conf: str) -> S
     for key, value in {**settings, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, unless the environment lets them import it already."""
+    root = Path(__file__).resolve().parents[1]
+    known = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    sc = spark.sparkContext
+    if root in known or Path.cwd().resolve() == root or getattr(sc, "_loomspark_shipped", False):
+        return
+    target = Path(tempfile.mkdtemp()) / "loomspark.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted((root / "loomspark").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(target))
+    sc._loomspark_shipped = True
