@@ -2,12 +2,20 @@
 
 Each permutation of the shingles leaves both its minimum and its maximum, so that K hash evaluations
 give 2K values; bands of these values are buckets. Documents with the same shingle set are one class
-from the start, represented by their least id. Within a bucket no pair list is made: a few pivots meet
-the bucket's members of other components, each candidate pair is confirmed on both full shingle sets,
-confirmed links merge components, and a bucket is done once its members are one component or every
-member has been a pivot. So copies collapse in one round, and no link between different texts is lost
-but those that share no bucket (less than one in a million at a similarity of 0.85 with 40 permutations
-in 20 bands of 4 values; 3 in a million at 0.8 with 48 in 24).
+from the start, represented by their least id. Within a bucket no pair list is made:
+
+1. The least member of each bucket meets all others; candidate pairs are confirmed on both full shingle
+   sets; confirmed links make components. So copies collapse in one round, however many there are.
+2. Documents of buckets that still hold several components may be merely similar in great number.
+   They meet again under the rare shingles of their sets: two sets of the wanted similarity share one
+   among the rarest few of each, early enough in both (prefix and place bounds, which lose nothing).
+   Rounds of pivots, small sets first, meet the members of other components, until each of these
+   buckets is one component, or nobody is left whose bounds allow a partner.
+
+Before a pair is made, sizes, places and sketches (4 bits of each value) leave out what can't be similar
+enough. A link is lost only if the pair shares no band or its sketches mislead: less than two in a
+million at a similarity of 0.85 with 40 permutations in 20 bands of 4 values; 3 in a million at 0.8
+with 48 in 24.
 
 Components grow by alternating large-star and small-star steps on written tables.
 
