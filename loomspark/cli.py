@@ -12,8 +12,9 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="loomspark", description=__doc__)
     sub = parser.add_subparsers(dest="command", required=True)
     g = sub.add_parser("govern", help="scan, clean, split and write datasets")
-    for name in ("--specs", "--raw-root", "--out-root", "--manifest-dir"):
+    for name in ("--raw-root", "--out-root", "--manifest-dir"):
         g.add_argument(name, required=True)
+    g.add_argument("--specs", help="a JSON file of specs in place of the built-in ones")
     g.add_argument("--datasets", nargs="*")
     o = sub.add_parser("overlap", help="share of a corpus's texts that another holds")
     for name in ("--main", "--mini", "--report"):
@@ -29,10 +30,11 @@ def main(argv: list[str] | None = None) -> int:
     args = parser.parse_args(argv)
     spark = session()
     if args.command == "govern":
+        from .plans.datasets import DATASETS
         from .plans.govern import govern_all
         from .plans.specs import load_specs
 
-        specs = load_specs(args.specs)
+        specs = load_specs(args.specs) if args.specs else DATASETS
         if unknown := set(args.datasets or []) - set(specs):
             parser.error(f"unknown datasets: {sorted(unknown)}")
         out = govern_all(spark, [specs[n] for n in args.datasets or specs], args.raw_root, args.out_root, args.manifest_dir)

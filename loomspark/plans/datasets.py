@@ -1,0 +1,60 @@
+"""Specs of public datasets that jobs commonly govern."""
+
+from __future__ import annotations
+
+from .specs import DatasetSpec
+
+#: Files, splits, budgets, seeds and licences (fixed values).
+DATASETS: dict[str, DatasetSpec] = {
+    s.name: s
+    for s in (
+        DatasetSpec(
+            "tinystories", "cdla-sharing-1.0", "modelscope snapshot 2026-07-29", "AI-ModelScope/TinyStories", "parquet", "tinystories", "official",
+            official_files={"train": ("tinystories/data/train-*.parquet",), "validation": ("tinystories/data/validation-*.parquet",)},
+        ),
+        DatasetSpec(
+            "wikitext", "CC BY-NC 4.0", "wikitext-103-v1 (modelscope snapshot 2026-07-29)", "modelscope/wikitext", "text", "wikitext", "official",
+            official_files={"train": ("wikitext/wikitext-103/wiki.train.tokens",), "validation": ("wikitext/wikitext-103/wiki.valid.tokens",), "test": ("wikitext/wikitext-103/wiki.test.tokens",)},
+            token_cap=80_000_000,
+        ),
+        DatasetSpec(
+            "minimind-pretrain", "CC-BY-NC-4.0", "gongjy/minimind_dataset ModelScope snapshot 2026-08-10", "gongjy/minimind_dataset", "jsonl", "minimind", "shuffle",
+            pattern="minimind_dataset/pretrain_t2t.jsonl", fracs=(0.98, 0.02, 0.0), schema="text string",
+        ),
+        DatasetSpec(
+            "tigerbot-law", "Apache-2.0", "modelscope snapshot 2026-07-29", "AI-ModelScope/tigerbot-law-plugin", "jsonl", "tigerbot", "shuffle",
+            pattern="tigerbot-law-plugin/tigerbot-laws-plugin.jsonl", token_cap=8_000_000, fracs=(0.95, 0.05, 0.0), schema="content string, title string",
+        ),
+        DatasetSpec(
+            "alpaca-gpt4-zh", "CC BY NC 4.0", "modelscope snapshot 2026-07-29", "AI-ModelScope/alpaca-gpt4-data-zh", "csv", "alpaca", "shuffle",
+            pattern="alpaca-gpt4-data-zh/train.csv", budget=18_000,
+        ),
+        DatasetSpec(
+            "alpaca-cleaned", "cc-by-4.0", "AI-ModelScope/alpaca-cleaned snapshot 2026-08-06", "AI-ModelScope/alpaca-cleaned", "json_array", "alpaca", "shuffle",
+            pattern="alpaca-cleaned/alpaca_data_cleaned.json", budget=15_000, schema="instruction string, input string, output string",
+        ),
+        DatasetSpec(
+            "gsm8k", "MIT", "modelscope snapshot 2026-07-29", "AI-ModelScope/gsm8k", "parquet", "gsm8k", "official",
+            official_files={"train": ("gsm8k/main/train-*.parquet",), "test": ("gsm8k/main/test-*.parquet",)}, budget=1_750,
+        ),
+        DatasetSpec(
+            "ultrafeedback-binarized", "Apache-2.0", "llamafactory/ultrafeedback_binarized 2026-07-29", "llamafactory/ultrafeedback_binarized", "json_array", "ultrafeedback", "group_by",
+            pattern="ultrafeedback_binarized/train.json", group_key="instruction", schema="instruction string, chosen string, rejected string",
+            partitions={"rm_train": 4_000, "rm_val": 1_000, "dpo_train": 7_000, "dpo_val": 1_000, "eval": 1_000},
+        ),
+        DatasetSpec(
+            "chartqa", "Apache-2.0", "swift/ChartQA 2026-08-05", "swift/ChartQA", "parquet", "chartqa", "official",
+            official_files={"train": ("chartqa-swift/data/train-*.parquet",), "validation": ("chartqa-swift/data/val-*.parquet",), "test": ("chartqa-swift/data/test-*.parquet",)},
+            projection=("query", "label", "human_or_machine"), budget=5_000,
+        ),
+        DatasetSpec(
+            "hellaswag", "Apache-2.0", "HF Rowan/hellaswag 2026-07-29", "Rowan/hellaswag", "jsonl", "hellaswag", "official",
+            official_files={"train": ("hellaswag/hellaswag_train.jsonl",), "validation": ("hellaswag/hellaswag_val.jsonl",), "test": ("hellaswag/hellaswag_test.jsonl",)},
+            schema="activity_label string, ctx string, endings array<string>, label int",
+        ),
+        DatasetSpec(
+            "ceval-exam", "cc-by-nc-sa-4.0", "ceval-exam snapshot 2026-07-29", "AI-ModelScope/ceval-exam", "csv", "ceval", "official",
+            official_files={"dev": ("ceval-exam/dev/*.csv",), "val": ("ceval-exam/val/*.csv",), "test": ("ceval-exam/test/*.csv",)},
+        ),
+    )
+}

@@ -57,3 +57,10 @@ def dataset_index(manifests: list[dict]) -> dict:
     """Name to licence, revision and counts."""
     keep = ("license", "revision", "raw_records", "dedup_removed", "partitions")
     return {m["dataset"]: {k: m[k] for k in keep} for m in manifests}
+
+
+def resume_guard(saved: dict, current: dict, keys: tuple[str, ...] = ("config", "stream")) -> None:
+    """A run resumes only with the configuration and streams that it was saved with."""
+    for key in keys:
+        if saved.get(key) != current.get(key):
+            raise ValueError(f"cannot resume: {key} differs from the saved one")

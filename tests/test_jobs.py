@@ -122,3 +122,13 @@ def test_sinks(spark, tmp_path):
     assert readers.metrics_log(spark, str(tmp_path / "l"), "a int").count() == 2
     sinks.write_json(spark, {"a": "é"}, str(tmp_path / "m.json"))
     assert readers.manifest(spark, str(tmp_path / "m.json")) == {"a": "é"}
+
+
+def test_resume_guard_and_built_in_specs():
+    sinks.resume_guard({"config": 1, "stream": 2}, {"config": 1, "stream": 2})
+    with pytest.raises(ValueError):
+        sinks.resume_guard({"config": 1}, {"config": 2})
+    from loomspark.operators.transforms import TRANSFORMS
+    from loomspark.plans.datasets import DATASETS
+
+    assert len(DATASETS) == 11 and all(s.transform in TRANSFORMS and s.input_files() for s in DATASETS.values())
