@@ -267,7 +267,7 @@ def _packed(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class Codec:
     """Encoder and decoder of one rank file (lines of base64 bytes and rank)."""
 
-    def __init__(self, rank_file: bytes, cache: int = 500_000):
+    def __init__(self, rank_file: bytes, cache: int = 300_000):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines()) if a}
         self.merger, self.cache, self.most = PairMerger(self.ranks), {}, cache
         items = [b""] * (max(self.ranks.values()) + 1)
@@ -321,30 +321,39 @@ def _default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def encoded(df: DataFrame, ranks_path: str | None = None, text_col: str = "text", with_offsets: bool = True) -> DataFrame:
+def encoded(df: DataFrame, ranks_path: str | None = None, text_col: str = "text", with_offsets: bool = True, keep_text: bool = True, round_trip: bool = False) -> DataFrame:
     """``df`` with ids array<int>, n_tokens and, if asked for, offsets array<bigint> (each id's first byte in the text).
 
     ranks_path: a file that every worker can open (an installed package's, or one shipped along).
+    round_trip: add a column of this name, whether the ids decode to the text's bytes.
     """
     from pyspark.sql import types as T
 
     path = ranks_path or _default_ranks()
-    df = df.drop(*[c for c in ("ids", "offsets", "n_tokens") if c != text_col])
+    df = df.drop(*[c for c in ("ids", "offsets", "n_tokens", *["round_trip"] * round_trip) if c != text_col])
+    kept = [f for f in df.schema.fields if keep_text or f.name != text_col]
     offsets = [T.StructField("offsets", T.ArrayType(T.LongType()))] * with_offsets
-    schema = T.StructType([*df.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), *offsets, T.StructField("n_tokens", T.LongType())])
+    checked = [T.StructField("round_trip", T.BooleanType())] * round_trip
+    schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType())), *offsets, T.StructField("n_tokens", T.LongType()), *checked])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, 2_000_000):
                 data, off = utf8_buffer(part.column(part.schema.get_field_index(text_col)))
                 ids, upto = coder.encode(data, off)
                 lists = pa.array(upto, pa.int32())
-                columns = [*part.columns, pa.ListArray.from_arrays(lists, pa.array(ids))]
+                columns = [*(part.column(part.schema.get_field_index(f.name)) for f in kept), pa.ListArray.from_arrays(lists, pa.array(ids))]
                 if with_offsets:
                     places = coder.decode(ids)[1][:-1] - np.repeat(off[:-1], np.diff(upto))
                     columns.append(pa.ListArray.from_arrays(lists, pa.array(places)))
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(upto))], names=schema.names)
+                columns.append(pa.array(np.diff(upto)))
+                if round_trip:
+                    raw, at = coder.decode(ids)
+                    cut, own, back = at[upto].tolist(), data.tobytes(), raw.tobytes()
+                    ends = off.tolist()
+                    columns.append(pa.array([back[a:b] == own[c:d] for a, b, c, d in zip(cut, cut[1:], ends, ends[1:])]))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return df.mapInArrow(run, schema)
 
