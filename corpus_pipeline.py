@@ -44,10 +44,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether they decode to it."""
-    ids = bpe.encoded(docs, with_offsets=False)
-    back = bpe.decoded(ids)
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return back.select("doc_id", "lang", "source", "n_tokens", "ids", same.alias("round_trip"))
+    ids = bpe.encoded(docs, with_offsets=False, keep_text=False, round_trip=True)
+    return ids.select("doc_id", "lang", "source", "n_tokens", "ids", "round_trip")
 
 
 STAGES = [
