@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import load, ragged, slices, utf8_buffer
+from .common import frugal, load, ragged, slices, utf8_buffer
 
 L, N, O, A2, A3, W, P, X = range(8)
 _BEGIN, _LETTERS, _NUMBERS, _OTHERS, _SPACE, _WHITE, _ONE_MORE, _TWO_MORE = range(8)
@@ -355,7 +355,7 @@ def encoded(df: DataFrame, ranks_path: str | None = None, text_col: str = "text"
                     columns.append(pa.array([back[a:b] == own[c:d] for a, b, c, d in zip(cut, cut[1:], ends, ends[1:])]))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(frugal(run), schema)
 
 
 def decoded(df: DataFrame, ranks_path: str | None = None, ids_col: str = "ids") -> DataFrame:
@@ -380,7 +380,7 @@ def decoded(df: DataFrame, ranks_path: str | None = None, ids_col: str = "ids")
                 out += [raw[a:b] for a, b in zip(cut, cut[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
-    return df.drop("decoded").mapInArrow(run, schema)
+    return df.drop("decoded").mapInArrow(frugal(run), schema)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -400,4 +400,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(upto)), *map(pa.array, sums)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(frugal(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

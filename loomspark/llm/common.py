@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from functools import lru_cache
 
@@ -59,6 +60,20 @@ def join_small(df: DataFrame, table: DataFrame, on: str, max_rows: int = 100_000
     return df.join(table, on, "left")
 
 
+def frugal(run):
+    """``run`` over Arrow batches that hands freed memory back to the system when its task ends, so that
+    workers which wait for the next stage stay small."""
+
+    def call(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim is not None:
+            trim(0)
+
+    return call
+
+
 def utf8_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all strings and their n+1 offsets (from 0); a null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -108,7 +123,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64, at least n of each."""
     if len(_powers[0]) < n:
-        n = max(n, 1 << 20)
+        n = max(n, 1 << 19)
         inverse = pow(_BASE, -1, 1 << 64)
         for k, b in enumerate((_BASE, inverse)):
             p = np.full(n, np.uint64(b), np.uint64)
@@ -128,7 +143,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 #: Bytes that are hashed at once, so that the 64-bit columns beside them stay small.
-CHUNK = 2_000_000
+CHUNK = 500_000
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

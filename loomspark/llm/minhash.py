@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, join_small, load, materialize, mix, slices, utf8_buffer, word_hashes, word_spans
+from .common import frugal, gram_hashes, join_small, load, materialize, mix, slices, utf8_buffer, word_hashes, word_spans
 
 _U = np.uint64
 #: A-Z to a-z, other bytes as they are.
@@ -153,7 +153,7 @@ def signatures(docs: DataFrame, size: int, permutations: int, rows: int, id_col:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), some(ab[:, 0]), some(ab[:, 1]), lists(keys), lists(brief), body], names=["_id", "n_shingles", "set_a", "set_b", "bands", "sketch", "body"])
 
     rows_in = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return rows_in.mapInArrow(run, "_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>, body binary")
+    return rows_in.mapInArrow(frugal(run), "_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>, body binary")
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) -> DataFrame:
@@ -189,7 +189,7 @@ def _verified(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) -> D
                     kept.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in kept], pa.int64()), pa.array([b[i] for i in kept], pa.int64())], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(frugal(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -308,7 +308,7 @@ def _prefixes(docs: DataFrame, bodies: DataFrame, size: int, percent: int) -> Da
                 upto = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(upto, pa.array(np.concatenate(sets).astype(np.int64)))], names=["doc", "s"])
 
-    sets = docs.select(F.col("doc").alias("_id")).join(bodies, "_id").select("_id", "body").mapInArrow(run, "doc long, s array<long>")
+    sets = docs.select(F.col("doc").alias("_id")).join(bodies, "_id").select("_id", "body").mapInArrow(frugal(run), "doc long, s array<long>")
     rows = sets.select("doc", F.explode("s").alias("key"))
     df = rows.groupBy("key").agg(F.count("*").alias("df"))
     each = rows.join(df, "key").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("s"))  # one text's shingles

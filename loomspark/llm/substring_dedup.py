@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import from_ipc, gram_hashes, load, materialize, mix, pack_sorted, ragged, slices, to_ipc, unpack_sorted, utf8_buffer, word_hashes, word_spans
+from .common import frugal, from_ipc, gram_hashes, load, materialize, mix, pack_sorted, ragged, slices, to_ipc, unpack_sorted, utf8_buffer, word_hashes, word_spans
 
 _U = np.uint64
 _BASE = 0xBF58476D1CE4E5B9
@@ -259,7 +259,7 @@ def repeated(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
         found = parcel.groupBy("bucket").applyInArrow(reduce, returned_type)
         return materialize(found.groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits")).alias("marks")))
 
-    shared = by_batch(packed.mapInArrow(anchor_names, parcel_type), shared_names)
+    shared = by_batch(packed.mapInArrow(frugal(anchor_names), parcel_type), shared_names)
     marked = packed.select("batch", "rows").join(shared.withColumnRenamed("marks", "shared"), "batch", "left")
 
     def candidates(b: Batch, marks: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -279,7 +279,7 @@ def repeated(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
                 keys, least, _ = b.least(names, at)
                 yield from parcels(batch.column(0)[i].as_py(), keys, np.zeros(0, np.uint8), least, bits, with_ids=True)
 
-    lesser = by_batch(marked.select("batch", "rows", "shared").mapInArrow(window_names, parcel_type), lesser_ids)
+    lesser = by_batch(marked.select("batch", "rows", "shared").mapInArrow(frugal(window_names), parcel_type), lesser_ids)
     final = marked.join(lesser.withColumnRenamed("marks", "lesser"), "batch", "left").select("rows", "shared", "lesser")
     kept_fields = [f for f in source.fields if keep_text or f.name != text_col]
     names_out = [f.name for f in kept_fields]
@@ -320,7 +320,7 @@ def repeated(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
         columns = [*(b.rows.column(b.rows.schema.get_field_index(n)) for n in names_out), pa.array(b.n_words.astype(np.int64)), pa.array(removed.astype(np.int64)), lists, pa.array(texts, pa.string())]
         return pa.RecordBatch.from_arrays(columns, names=[*names_out, "n_words", "n_removed", "removed", "kept_text"])
 
-    return final.mapInArrow(finish, schema)
+    return final.mapInArrow(frugal(finish), schema)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

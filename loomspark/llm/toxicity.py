@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import load, materialize, slices
+from .common import frugal, load, materialize, slices
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 INSULTS = "idiot idiots moron morons loser losers scum trash pathetic worthless stupid disgusting clown dumb fool jerk bastard idiota imbécil estúpido estúpida asqueroso basura dummkopf arschloch abschaum wertlos imbécile abruti connard crétin salaud".split()
@@ -222,7 +222,7 @@ def _word_counts(sample: DataFrame) -> DataFrame:
                     yield out()
         yield out()
 
-    return sample.select("text", "toxic").mapInArrow(run, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    return sample.select("text", "toxic").mapInArrow(frugal(run), "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
 
 
 def _chosen(counts: DataFrame, toxic: int, clean: int, least_g2: float, most: int, pure: float) -> dict[str, float]:
@@ -269,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, most_term
             both = [model.grammar.features(x) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x[0] for x in both], pa.float64()), pa.array([x[1] for x in both], pa.float64())], names=["y", "a", "b"])
 
-    rows = sample.select("text", "toxic").mapInArrow(run, "y int, a double, b double").collect()
+    rows = sample.select("text", "toxic").mapInArrow(frugal(run), "y int, a double, b double").collect()
     rows.sort()  # sums in a fixed order
     table = np.array([tuple(r) for r in rows], float)
     model.weights = logistic(table[:, 1:], table[:, 0])
@@ -291,7 +291,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 kinds = (pa.float64(), pa.float64(), pa.int32())
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds))], names=[*part.schema.names, *own])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def accepted(docs: DataFrame, model: Model, most: float = 0.5, text_col: str = "text") -> DataFrame:
