@@ -32,6 +32,15 @@ def block_offsets(df_spark, stream_length: int, block: int, n: int, seed: int) -
     return df_spark.createDataFrame(rows, "block_id long, offset long")
 
 
+def spread_offsets(df_spark, stream_length: int, block: int, every: int, seed: int) -> DataFrame:
+    """(block_id, offset): an offset for each ``every`` tokens of the stream, uniform in [0, length - block - 1]
+    with repetition, by SHA-256 of seed and block_id; made in parallel, so their number may grow with the stream."""
+    if stream_length <= block:
+        raise ValueError("the stream must be longer than a block")
+    drawn = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}|"), F.col("id").cast("string")), 256), 1, 15), 16, 10).cast("long")
+    return df_spark.range((stream_length - 1) // every + 1).select(F.col("id").alias("block_id"), (drawn % F.lit(stream_length - block)).alias("offset"))
+
+
 def blocks(docs: DataFrame, offsets: DataFrame, block: int, ids_col: str = "ids", mask_col: str | None = None, cell: int = 4096) -> DataFrame:
     """(block_id, input, label): slices of the stream at the offsets, labels one token further.
 

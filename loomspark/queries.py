@@ -269,12 +269,28 @@ f AS (SELECT (stream_end - len(ids)) + k - 1 AS position, ids[k] AS token FROM (
 SELECT block_id, array_to_string(list(token ORDER BY position) FILTER (WHERE position < "offset" + 64), ' ') AS input, array_to_string(list(token ORDER BY position) FILTER (WHERE position > "offset"), ' ') AS label
 FROM o JOIN f ON position BETWEEN "offset" AND "offset" + 64 GROUP BY 1""")
 def blocks(spark, sf):
+    """A hundred fixed offsets, which a stream of over 98,768 tokens outgrows; ``stream_blocks`` samples all of it."""
     offsets = spark.range(100).select(F.col("id").alias("block_id"), (F.col("id") * 997).alias("offset"))
     out = packing.blocks(_stream(spark, sf), offsets, 64)
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
     return out.select("block_id", text("input").alias("input"), text("label").alias("label"))
 
 
+@query(f"""WITH {_STREAM}, n AS (SELECT max(stream_end) AS n FROM s),
+o AS (SELECT range AS block_id, ('0x' || substr(sha256('42|' || range::VARCHAR), 1, 15))::BIGINT % (n - 64) AS "offset" FROM n, range((SELECT (n - 1) // 997 + 1 FROM n))),
+w AS (SELECT block_id, "offset", "offset" + unnest(range(65)) AS position FROM o),
+f AS (SELECT (stream_end - len(ids)) + k - 1 AS position, ids[k] AS token FROM (SELECT *, unnest(range(1, len(ids) + 1)) AS k FROM s))
+SELECT block_id, any_value("offset")::BIGINT AS "offset", array_to_string(list(token ORDER BY position) FILTER (WHERE position < "offset" + 64), ' ') AS input, array_to_string(list(token ORDER BY position) FILTER (WHERE position > "offset"), ' ') AS label
+FROM w JOIN f USING (position) GROUP BY 1""")
+def stream_blocks(spark, sf):
+    """Blocks at seeded offsets over the whole stream, one for each 997 tokens."""
+    stream = _stream(spark, sf)
+    length = stream.agg(F.sum(F.size("ids"))).first()[0] or 0
+    out = packing.blocks(stream, packing.spread_offsets(spark, length, 64, 997, 42), 64)
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+    return out.select("block_id", "offset", text("input").alias("input"), text("label").alias("label"))
+
+
 @query(f"""WITH {_MSGS}, p AS (SELECT ord, messages[1].content AS u, messages[2].content AS a FROM m WHERE len(messages) >= 2)
 SELECT ord, 'user: ' || u || chr(10) || 'assistant: ' || a AS rendered, (length(u) + length(a) + 3)::INT AS tokens, (length(a) + 2)::INT AS assistant_tokens FROM p""")
 def assistant_mask(spark, sf):

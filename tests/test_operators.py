@@ -2,6 +2,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from loomspark import queries
 from loomspark.operators import chat, dedup, metrics, packing, splits, tokenizer, transforms
 from loomspark.operators.order import running
 from loomspark.operators.overlap import overlap
@@ -114,6 +115,21 @@ def test_blocks_span_documents(spark):
     assert [t for _, t in sorted(rows(packing.flat_stream(stream)))] == [0, 5, 7, 9, 1, 0, 6, 8, 2, 1]
 
 
+def test_stream_blocks_reach_the_whole_stream(spark):
+    n = 400_000
+    offsets = [r.offset for r in packing.spread_offsets(spark, n, 64, 997, 42).collect()]
+    assert len(offsets) == 402 and 0 <= min(offsets) and max(offsets) <= n - 65
+    assert all(any(k * n // 10 <= x < (k + 1) * n // 10 for x in offsets) for k in range(10))
+    assert rows(packing.spread_offsets(spark, 65, 64, 997, 1), "offset") == [(0,)]
+    with pytest.raises(ValueError):
+        packing.spread_offsets(spark, 64, 64, 997, 1)
+    sf = "/root/testdata/sf0.01"  # longer than the hundred offsets of blocks reach
+    end = queries.QUERIES["doc_offsets"](spark, sf).agg(F.max("stream_end")).first()[0]
+    out = queries.QUERIES["stream_blocks"](spark, sf).cache()
+    assert end > 99 * 997 + 65 and out.count() == -(-end // 997) and out.agg(F.max("offset")).first()[0] > end - end // 20
+    assert out.where((F.size(F.split("input", " ")) != 64) | (F.size(F.split("label", " ")) != 64)).count() == 0
+
+
 def test_chat(spark):
     kind = "ord long, messages array<struct<role:string,content:string>>"
     df = spark.createDataFrame([(0, [("user", "q"), ("assistant", "a")]), (1, []), (2, [("user", "q")]), (3, [("user", ""), ("user", "x"), ("assistant", "y")]), (4, None)], kind)
