@@ -25,6 +25,16 @@ def to_messages(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn
     return out.select(id_col, F.transform("_t", lambda t: F.struct(t.role.alias("role"), t.content.alias("content"))).alias("messages"))
 
 
+def answered_turns(df: DataFrame, messages: str = "messages") -> DataFrame:
+    """One row a user turn that an assistant turn follows, both with content: ``messages`` holds the two, place
+    is the user turn's place from 0. System turns and turns without an answer stay out."""
+    m = F.col(messages)
+    full = lambda x, role: (x.role == role) & (x.content != "")
+    pair = lambda x, i: F.struct(i.alias("place"), F.array(x, F.get(m, i + 1)).alias("pair"))
+    found = F.filter(F.transform(m, pair), lambda p: full(p.pair[0], "user") & full(p.pair[1], "assistant"))
+    return df.withColumn("_p", F.explode(found)).withColumns({messages: F.col("_p.pair"), "place": F.col("_p.place")}).drop("_p")
+
+
 def render_pair(messages: Column | str) -> Column:
     """The small template: one user turn, one assistant turn; anything else is an error."""
     m = F.col(messages) if isinstance(messages, str) else messages

@@ -294,11 +294,25 @@ def stream_blocks(spark, sf):
 @query(f"""WITH {_MSGS}, p AS (SELECT ord, messages[1].content AS u, messages[2].content AS a FROM m WHERE len(messages) >= 2)
 SELECT ord, 'user: ' || u || chr(10) || 'assistant: ' || a AS rendered, (length(u) + length(a) + 3)::INT AS tokens, (length(a) + 2)::INT AS assistant_tokens FROM p""")
 def assistant_mask(spark, sf):
-    """The small template over first pairs, one id a character."""
-    m = _conversations(spark, sf).where(F.size("messages") >= 2).withColumn("messages", F.slice("messages", 1, 2))
+    """The small template over the first two turns whatever their roles, one id a character; ``assistant_pairs``
+    goes by role and takes all pairs."""
+    return _masked(_conversations(spark, sf).where(F.size("messages") >= 2).withColumn("messages", F.slice("messages", 1, 2)), "ord")
+
+
+def _masked(pairs: DataFrame, *columns: str) -> DataFrame:
     ids = lambda k: F.transform(F.split(F.col("messages")[k].content, ""), lambda c: F.ascii(c))
     tokens, mask = chat.pair_ids(ids(0), ids(1), 0, 1)
-    return m.select("ord", chat.render_pair("messages").alias("rendered"), F.size(tokens).alias("tokens"), F.aggregate(mask, F.lit(0), lambda n, x: n + x).alias("assistant_tokens"))
+    return pairs.select(*columns, chat.render_pair("messages").alias("rendered"), F.size(tokens).alias("tokens"), F.aggregate(mask, F.lit(0), lambda n, x: n + x).alias("assistant_tokens"))
+
+
+@query("""WITH t AS (SELECT conv_id AS ord, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, role, text AS u,
+lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS a FROM conversations)
+SELECT ord, place::INT AS place, 'user: ' || u || chr(10) || 'assistant: ' || a AS rendered, (length(u) + length(a) + 3)::INT AS tokens, (length(a) + 2)::INT AS assistant_tokens
+FROM t WHERE role = 'user' AND next_role = 'assistant' AND u <> '' AND a <> ''""")
+def assistant_pairs(spark, sf):
+    """The small template over every user turn (place counts turns from 0) with the assistant turn that follows it."""
+    pairs = chat.answered_turns(_conversations(spark, sf))
+    return _masked(pairs, "ord", "place")
 
 
 _GRAMS = f"""w AS (SELECT doc_id, list_filter(string_split_regex(text, '[{tx.SPACE}]+'), lambda x: x <> '') AS w FROM documents),

@@ -115,6 +115,18 @@ def test_blocks_span_documents(spark):
     assert [t for _, t in sorted(rows(packing.flat_stream(stream)))] == [0, 5, 7, 9, 1, 0, 6, 8, 2, 1]
 
 
+def test_answered_turns_go_by_role(spark):
+    turns = [(0, "system", "s"), (1, "user", "u1"), (2, "assistant", "a1"), (3, "user", "u2"), (4, "assistant", "a2"), (5, "user", "u3")]
+    odd = [(0, "user", "x"), (1, "user", "y"), (2, "assistant", "z"), (3, "assistant", "w"), (4, "user", ""), (5, "assistant", "v"), (6, "user", "q"), (7, "assistant", None)]
+    df = spark.createDataFrame([(c, *t) for c, some in ((1, turns), (2, odd), (3, turns[:1])) for t in some], "conv_id long, turn int, role string, text string")
+    got = chat.answered_turns(chat.to_messages(df)).orderBy("conv_id", "place").collect()
+    assert [(r.conv_id, r.place, [m.content for m in r.messages]) for r in got] == [(1, 1, ["u1", "a1"]), (1, 3, ["u2", "a2"]), (2, 1, ["y", "z"])]
+    sf = "/root/testdata/sf0.001"
+    every = spark.read.parquet(f"{sf}/conversations.parquet")
+    out = queries.QUERIES["assistant_pairs"](spark, sf)
+    assert out.count() == every.where("role = 'assistant'").count() and out.agg(F.sum(F.col("assistant_tokens") - 2)).first() == every.where("role = 'assistant'").agg(F.sum(F.length("text"))).first()
+
+
 def test_stream_blocks_reach_the_whole_stream(spark):
     n = 400_000
     offsets = [r.offset for r in packing.spread_offsets(spark, n, 64, 997, 42).collect()]
