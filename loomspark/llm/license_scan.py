@@ -2,9 +2,11 @@
 
 A text is lower-cased (A-Z), cut into words and joined by single spaces; one automaton finds base
 phrases, licence notices and identifier tags there, so that spaces and punctuation between words don't
-matter. Where a tag occurs, the rest of its line in the text is an expression of identifiers, and, or,
-with and parentheses; a shunting-yard parser checks and evaluates it. A valid expression's identifiers
-become labels; an invalid one gives none. The score is 1 minus the product of what each kind of
+matter. Where a tag occurs, an expression of identifiers, and, or, with and parentheses follows it on its
+line; a shunting-yard parser checks and evaluates it. If the rest of the line isn't one expression, the
+longest one counts that the line begins with and whose words look like identifiers (``looks_like``), so
+that prose behind it stays out. A valid expression's identifiers become labels, placed at their tag; two
+operators in a row, an operator at the line's end or an open parenthesis before any whole expression give none. The score is 1 minus the product of what each kind of
 evidence leaves open.
 
 Nulls and empty texts have no words, matches or labels and score 0. Texts of any length are scanned
@@ -133,39 +135,102 @@ def _licences(postfix: list[str]) -> set[str]:
     return stack[0]
 
 
-def _expressions(raw: bytes) -> list[tuple[str, set[str]]]:
-    """Valid expressions behind the tags of a lower-case text, with their licences."""
-    text = raw.decode("utf-8", "replace")
+#: Identifiers without both a hyphen and a digit that stand for licences also where prose may follow.
+PLAIN = frozenset("mit isc zlib unlicense wtfpl ncsa curl openssl postgresql beerware libpng x11 0bsd gplv2 gplv3 lgplv2 lgplv3 agplv3".split())
+_TOKEN = re.compile(rb"[()\r\n]|[^\s()]+")
+#: Comment ends and sentence ends don't belong to the expression.
+_ENDS = re.compile(r"(?:\*/|-->|[,;.\"'`*#])+$")
+#: Spaces beyond ASCII, as bytes.
+_WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+
+
+def looks_like(name: str) -> bool:
+    """Whether a word in lower case is a licence's or an exception's identifier rather than prose."""
+    return name in PLAIN or name.startswith(("licenseref-", "documentref-")) or name.endswith("-exception") or "-" in name and re.search("[a-z]", name) is not None and re.search("[0-9]", name) is not None
+
+
+def _leading(raw: bytes, at: int, strict: bool) -> list[str] | None:
+    """Postfix form of the longest expression at a place of a lower-case text; strict: of the line's whole rest."""
+    tokens: list[str] = []
+    depth = whole = 0  # open parentheses; tokens of the longest whole expression so far
+    operand, ended = True, False
+    for m in _TOKEN.finditer(raw, at):
+        token = m[0].decode("utf-8", "replace")
+        if token in "\r\n":
+            break
+        name = _ENDS.sub("", token)
+        if strict and not name:  # ends only
+            ended = True
+            continue
+        if ended:
+            return None
+        if token == "(" and operand:
+            depth += 1
+        elif token == ")" and not operand and depth:
+            depth -= 1
+        elif name in _PRECEDENCE and name == token:
+            if operand:
+                return None
+            operand = True
+        elif token not in "()" and operand and re.fullmatch(r"[a-z0-9.+:-]+", name) and (strict or looks_like(name)):
+            operand, ended = False, name != token
+        elif strict:
+            return None
+        else:
+            return parse_expression(" ".join(tokens[:whole]))
+        tokens.append(name if token not in "()" else token)
+        if not operand and not depth:
+            whole = len(tokens)
+        if ended and not strict:
+            return parse_expression(" ".join(tokens[:whole]))
+    if operand or strict and depth:
+        return None
+    return parse_expression(" ".join(tokens[:whole]))
+
+
+def _expressions(raw: bytes, ends: list[int]) -> list[tuple[str, set[str]] | None]:
+    """Of each tag of a lower-case text, given where it ends: the valid expression behind it with its licences."""
+    raw = _WIDE.sub(lambda m: b" " * len(m[0]), raw)
     out = []
-    for m in re.finditer(r"(?:spdx[\W_]{1,3}license[\W_]{1,3}identifier|license[\W_]{1,3}expression)[ \t]*[:=]?[ \t]*([^\r\n]*)", text):
-        # Comment ends and sentence ends don't belong to the expression.
-        line = re.sub(r"(?:\*/|-->|[\s,;.\"'`*#])+$", "", m[1])
-        postfix = parse_expression(line)
-        if postfix:
-            out.append((" ".join(postfix), _licences(postfix)))
+    for end in ends:
+        at = re.compile(rb"[ \t]*[:=]?[ \t]*").match(raw, end).end()
+        postfix = _leading(raw, at, True) or _leading(raw, at, False)
+        out.append((" ".join(postfix), _licences(postfix)) if postfix else None)
+    return out
+
+
+def _word_ends(plain: bytes, numbers: list[int]) -> list[int]:
+    """Where the words of the given numbers (ascending) end in a translated text."""
+    out, words = [], enumerate(re.finditer(rb"[^ ]+", plain))
+    for n in numbers:
+        out.append(next(m.end() for k, m in words if k == n))
     return out
 
 
 def scan_text(raw: bytes) -> tuple[int, list[tuple[str, str, int]], list[str], float]:
     """Number of words, matches (kind, label, first word), postfix expressions and score of one text."""
-    words = raw.translate(_TABLE).split()
+    plain = raw.translate(_TABLE)
+    words = plain.split()
     joined = b" %b " % b" ".join(words)
     matches, expressions, kinds = [], [], set()
     at = upto = 0
-    tags: list[int] = []
+    tags: list[tuple[int, int]] = []  # first and last word
     for end, (kind, label, size) in sorted(_automaton().iter(joined.decode("latin-1")), key=lambda x: x[0] - x[1][2]):
         start = end - size + 1
         at += joined.count(b" ", upto, start)
         upto = start
         if kind == "tag":
-            tags.append(at)
+            tags.append((at, at + joined.count(b" ", start + 1, end)))
         else:
             matches.append((kind, label, at))
             kinds.add(kind)
     if tags:
-        for text, licences in _expressions(raw.translate(_LOWER)):
-            expressions.append(text)
-            matches += [("tag", x, tags[0]) for x in sorted(licences)]
+        tags.sort(key=lambda x: x[1])
+        for (first, _), found in zip(tags, _expressions(raw.translate(_LOWER), _word_ends(plain, [x for _, x in tags]))):
+            if found is None:
+                continue
+            expressions.append(found[0])
+            matches += [("tag", x, first) for x in sorted(found[1])]
             kinds.add("tag")
     rest = 1.0
     for kind in sorted(kinds):

@@ -192,6 +192,19 @@ def test_license_expressions():
         assert parse(bad) is None
 
 
+def test_license_tags_amid_prose():
+    tags = lambda t: [(m[1], m[2]) for m in license_scan.scan_text(t.encode())[1] if m[0] == "tag"]
+    assert tags("SPDX-License-Identifier: MIT, see the LICENSE file") == [("mit", 0)]
+    assert tags("license expression: Apache-2.0 OR MIT and then prose") == [("apache-2", 0), ("mit", 0)]
+    assert tags("/*! SPDX-License-Identifier: MIT */(function() {})") == [("mit", 0)]
+    assert tags("(SPDX-License-Identifier: MIT)") == [("mit", 0)]
+    assert tags("a SPDX -- License ---- Identifier: ISC\nb License expression: (MIT OR Zlib) AND gpl-2.0 with x-exception is ours") == [("isc", 1), ("gpl-2.0", 6), ("mit", 6), ("zlib", 6)]
+    assert tags("é SPDX-License-Identifier: MIT\u00a0\r\nOR gpl-2.0 spdx-license-identifier: own spdx-license-identifier: Unknown") == [("mit", 1), ("unknown", 13)]
+    assert tags("spdx license identifier: MIT or (see below") == [("mit", 0)]
+    for bad in ("license expression is described below", "spdx-license-identifier: MIT OR", "spdx-license-identifier: (MIT", "spdx-license-identifier:\nMIT", "spdx-license-identifier"):
+        assert tags(bad) == []
+
+
 def brute_top(rows, k):
     v = {}
     out = []
