@@ -226,11 +226,15 @@ def near_duplicates(
     # One class per set; its bands are the same for all members.
     classes = materialize(known.groupBy(*sets).agg(F.min("_id").alias("rep"), F.count("*").alias("_n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     many = classes.where("_n > 1").select(*sets, "rep")
+    # A class goes by its least id, or by a number where an id of several texts is the least one of several classes.
+    shared = classes.groupBy("rep").agg(F.count("*").alias("k")).where("k > 1").limit(1).count()
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id())) if shared else classes.withColumn("node", F.col("rep"))
 
-    rows_of = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("doc"), F.col("n_shingles").alias("n"), "sketch", F.lit(0).alias("at"))
+    rows_of = classes.select(F.explode("bands").alias("key"), F.col("node").alias("doc"), F.col("n_shingles").alias("n"), "sketch", F.lit(0).alias("at"))
     crowded = rows_of.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
     members = materialize(rows_of.join(crowded, "key"))
-    bodies = materialize(signed.join(members.select(F.col("doc").alias("_id"), F.col("n").alias("n_shingles")).distinct(), ["_id", "n_shingles"], "left_semi").select("_id", "n_shingles", "body").dropDuplicates(["_id"]).drop("n_shingles"))
+    met_sets = classes.select(*sets, F.col("rep").alias("_id"), "node").join(members.select(F.col("doc").alias("node")).distinct(), "node")
+    bodies = materialize(signed.join(met_sets, [*sets, "_id"]).select(*sets, "_id", "node", "body").dropDuplicates([*sets, "_id"]).select(F.col("node").alias("_id"), "body"))
 
     tested, root, pivots, apart = None, None, 1, most_differences(2 * permutations, percent)
     hubs = True  # the first round: each bucket's least member is its pivot
@@ -284,6 +288,10 @@ def near_duplicates(
         else:
             pivots = min(pivots * 16, 64)
 
+    if shared and root is not None:  # from classes to their ids, which link up through the ids of several texts
+        rep_of = classes.select("node", "rep")
+        ids = root.join(rep_of, "node").select("root", F.col("rep").alias("b"))
+        root = ids.join(rep_of.withColumnRenamed("node", "root").withColumnRenamed("rep", "a"), "root").select(F.col("a").alias("root"), F.col("b").alias("node"))
     columns = [F.col(f"`{c}`") for c in df.columns]
     result = df.join(_per_id(signed, known, many, root, sets), F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left")
     return result.select(*columns, F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.col("component_id"), F.coalesce(F.col("component_id") == F.col("_id"), F.lit(True)).alias("kept"))

@@ -131,6 +131,17 @@ def test_min_hash(spark, docs):
     assert minhash.near_duplicates(empty(docs)).count() == 0
 
 
+def test_min_hash_of_an_id_with_two_texts(spark):
+    rnd = random.Random(5)
+    a, b, c = ([f"w{rnd.randint(0, 5000)}" for _ in range(80)] for _ in range(3))
+    near = lambda t: " ".join([*t[:-1], "other"])
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (9, near(a)), (12, near(b)), (3, " ".join(c)), (20, near(c)), (20, " ".join(c[:40]))]
+    for some in (rows, rows[::-1]):
+        df = spark.createDataFrame(some, "doc_id long, text string").coalesce(1)
+        got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(df).collect()}
+        assert got == {(7, 7), (9, 7), (12, 7), (3, 3), (20, 3)}
+
+
 def test_min_and_max_estimate_similarity():
     a, b = np.arange(0, 900, dtype=np.uint64), np.arange(100, 1000, dtype=np.uint64)
     from loomspark.llm.common import mix
