@@ -4,7 +4,8 @@ Candidates lie in vertical layout: a block of vectors holds each group of dimens
 A task takes one candidate block and one query block, adds the inner products group by group, and
 after each group bounds what the remaining dimensions can add (Cauchy-Schwarz on the remaining
 masses). A candidate whose bound stays below a query's k-th best lower bound is out; candidates that
-no query needs any more are compacted away. All arithmetic is on integers, so scores are exact.
+no query needs any more are compacted away. All arithmetic is on integers, so scores are exact;
+what 64 bits don't hold is an error.
 
 Query blocks meet candidate blocks as rows (query block, candidate group): a stated query set against
 all rows, in blocks. Each meeting gives k rows a query at most; a window keeps the k best of them.
@@ -29,13 +30,15 @@ _PACKED = "dim int, ids binary, body binary, is_query boolean"
 
 
 def quantised(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
-    """(vec_id, v array<bigint>): floor(scale * x) of each usable vector."""
+    """(vec_id, v array<bigint>): floor(scale * x) of each usable vector; an error where that exceeds 64 bits."""
     usable = (
         F.col(vector_col).isNotNull()
         & (F.size(vector_col) > 0)
-        & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(2.0**40)))
+        & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     )
-    whole = F.transform(vector_col, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
+    scaled = lambda x: F.lit(float(scale)) * x.cast("double")
+    wide = F.raise_error(F.lit("a scaled component exceeds 64 bits")).cast("long")
+    whole = F.transform(vector_col, lambda x: F.when(F.abs(scaled(x)) < F.lit(2.0**63), F.floor(scaled(x))).otherwise(wide))
     return df.where(usable & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"))
 
 
@@ -74,11 +77,13 @@ def best_of_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, b
     """(query row, candidate id, score) of up to k best candidates of each query.
 
     queries: dimensions x queries, block: dimensions x candidates, both integers. Sums run in
-    doubles where these hold them exactly, else in 64-bit integers.
+    doubles where these hold them exactly, else in 64-bit integers, else in Python's; only doubles are
+    pruned. A score of over 64 bits is an error.
     """
     dims = len(block)
-    exact = float(np.abs(block).max(initial=0)) * float(np.abs(queries).max(initial=0)) * dims < 2**52
-    kind = np.float64 if exact else np.int64
+    largest = float(np.abs(block).max(initial=0)) * float(np.abs(queries).max(initial=0)) * dims
+    exact = largest < 2**52
+    kind = np.float64 if exact else np.int64 if largest < 2**62 else object
     order = np.argsort(-np.abs(queries).sum(1), kind="stable")  # heavy dimensions first
     q, c = queries[order].astype(kind), block[order].astype(kind)
     tail = lambda m: np.sqrt(np.cumsum((m.astype(np.float64) ** 2)[::-1], 0)[::-1])  # noqa: E731  mass from a dimension on
@@ -87,7 +92,7 @@ def best_of_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, b
     alive = np.arange(c.shape[1])
     for at in range(0, dims, step):
         score += q[at : at + step].T @ c[at : at + step][:, alive]
-        if at + step >= dims or len(alive) <= k + 1:
+        if not exact or at + step >= dims or len(alive) <= k + 1:
             continue
         most = q_mass[at + step][:, None] * c_mass[at + step][alive] * (1 + 1e-9) + 1e-6
         low = score - most
@@ -99,6 +104,10 @@ def best_of_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, b
     for i in range(len(query_ids)):
         own = ids[alive] != query_ids[i]
         s, j = score[i][own], ids[alive][own]
+        if kind is object:
+            if len(s) and max(abs(s.max()), abs(s.min())) >= 2**63:
+                raise OverflowError("a score exceeds 64 bits")
+            s = s.astype(np.int64)
         if len(s) > k:  # all ties of the k-th stay for the order by id
             some = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
             s, j = s[some], j[some]

@@ -240,6 +240,21 @@ def test_top_k(spark):
     assert [tuple(r) for r in topk.top_k(few, few.where("vec_id = 0")).orderBy("rank").collect()] == [(0, 1, 1, 131072), (0, 2, 2, 131072)]
 
 
+def test_top_k_of_large_components(spark):
+    def best(rows):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        return [tuple(r) for r in topk.top_k(df, df.where("vec_id = 0")).orderBy("rank").collect()]
+
+    big = 2.0**41
+    assert best([(0, [1.0, 0.0]), (1, [big, 1.0]), (2, [-big, 1.0])]) == [(0, 1, 1, 2**57), (0, 2, 2, -(2**57))]
+    assert best([(0, [big, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 3.0])]) == [(0, 1, 1, 2**57), (0, 2, 2, 3 * 2**16)]
+    # Over 64 bits on the way only: its own row, and terms that cancel.
+    assert best([(0, [big, big]), (1, [big, 2.0 - big])]) == [(0, 1, 1, 2**58)]
+    for rows in ([(0, [1.0]), (1, [2.0**56])], [(0, [big]), (1, [big])]):
+        with pytest.raises(Exception, match="exceeds 64 bits"):
+            best(rows)
+
+
 def test_pruning_keeps_the_best():
     rng = np.random.default_rng(0)
     block = rng.integers(-40, 40, (32, 3000))
