@@ -172,12 +172,12 @@ def _broadcast(vocab: Vocabulary):
 
 
 def round_trip(df: DataFrame, vocab: Vocabulary, text_col: str = "text", shown: int = 20) -> DataFrame:
-    """One row: checked, ok, failures (the first 80 characters of up to ``shown`` texts and decodings)."""
+    """One row: checked, ok, failures (the first 80 characters of up to ``shown`` texts and decodings), failed (their number)."""
     encode, decode = encoder(vocab), decoder(vocab)
     both = df.select(F.coalesce(text_col, F.lit("")).alias("t")).withColumn("d", decode(encode("t")))
     bad = F.col("t") != F.col("d")
     pair = F.array(F.substring("t", 1, 80), F.substring("d", 1, 80))
-    return both.agg(F.count("*").alias("checked"), F.coalesce(F.bool_and(~bad), F.lit(True)).alias("ok"), F.slice(F.sort_array(F.collect_set(F.when(bad, pair))), 1, shown).alias("failures"))
+    return both.agg(F.count("*").alias("checked"), F.coalesce(F.bool_and(~bad), F.lit(True)).alias("ok"), F.slice(F.sort_array(F.collect_set(F.when(bad, pair))), 1, shown).alias("failures"), F.count(F.when(bad, True)).alias("failed"))
 
 
 def tokens_per_char(df: DataFrame, tokens: Column, text_col: str, category: str) -> DataFrame:

@@ -184,6 +184,19 @@ def test_tokenizer_matches_the_library(spark):
     assert (out.checked, out.ok, out.failures) == (16, True, [])
 
 
+def test_round_trip_counts_every_failure(spark, monkeypatch):
+    vocab = tokenizer.train([("ab", 2)], 300)
+    wrong = vocab.encode("q")[0]
+    vocab.tokens[wrong] = b"x"
+    texts = ["q" * 100 + str(i) for i in range(30)] + [f"q{i}" for i in range(25)] + ["fine"] * 5
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    out = tokenizer.round_trip(df, vocab).first()
+    assert (out.checked, out.ok, out.failed, len(out.failures)) == (60, False, 55, 20)
+    monkeypatch.setattr(queries, "_docs", lambda *a: df)
+    monkeypatch.setattr(tokenizer, "train_on", lambda *a: vocab)
+    assert rows(queries.QUERIES["bpe_round_trip"](spark, "")) == [(60, False, 55)]
+
+
 def test_metrics(spark):
     log = spark.createDataFrame([("r", 0, 1, 5.0, 10.0, 1.0, None, None), ("r", 1, 2, 4.0, 20.0, 1.0, 4.5, 2.0), ("r", 2, 3, 3.0, 30.0, 1.0, 4.5, 1.0), ("r", 3, 3, 2.0, 40.0, 1.0, None, None)], "run string, ord int, global_step long, train_loss double, tokens_s double, step_time_s double, val_loss double, peak_mem_gb double")
     s = metrics.run_summary(log, "run", "ord").first()
