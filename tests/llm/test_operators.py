@@ -401,6 +401,12 @@ def test_toxicity_grammar():
     assert len(g.clauses("idiot. idiot! trash; fine")) == 3
 
 
+def test_toxicity_of_lone_words_is_stated():
+    g = toxicity.Grammar({"grumbo": 2.0}, {})
+    assert g.clauses("a grumbo passed") == [2.0] and g.clauses("to kill time") == [pytest.approx(0.3 * toxicity.SEED_WEIGHT)]
+    assert "never score" not in toxicity.__doc__ and "a lone insult" in toxicity.__doc__
+
+
 def test_toxicity_learns(spark):
     rnd = random.Random(7)
     vocab = [f"w{i}" for i in range(400)]
