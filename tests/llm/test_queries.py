@@ -1,11 +1,18 @@
 """Queries with SQL agree with DuckDB; the pipeline's stages against what they promise."""
 
+import base64
+import hashlib
+import re
+import zlib
+
 import duckdb
 import pytest
+import tiktoken
+from public_tokenizers import PATTERN, path
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomspark.llm import registry, substring_dedup
+from loomspark.llm import license_scan, registry, substring_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +47,42 @@ def test_pipeline(spark):
             assert docs.where(F.length("text") != F.col("n_chars")).count() == 0
         n = docs.count()
     assert docs.where("NOT round_trip").count() == 0 and n > 0
+
+
+def documents(spark):
+    return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def test_bpe_query_rows(spark):
+    with open(path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    ids = {i: enc.encode_ordinary(t) for i, t in documents(spark).items()}
+    want = {(i, len(x), sha(" ".join(map(str, x)).encode()), sha(enc.decode_bytes(x))) for i, x in ids.items()}
+    rows = registry.QUERIES["op10_bpe"](spark, SF).collect()
+    assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+
+
+def test_license_query_rows(spark):
+    want = set()
+    for i, t in documents(spark).items():
+        n, found, _, score = license_scan.scan_text(t.encode())
+        w = re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if c < "\x7f" else c for c in t))
+        base = sorted((k, x) for p, x in license_scan.BASE.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
+        at = [k for k, _ in base]
+        want.add((i, len(w), len(base), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in base})), ",".join(sorted({m[1] for m in found})), score))
+    rows = registry.QUERIES["op3_licenses"](spark, SF).collect()
+    assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+
+
+def test_sharding_query_rows(spark):
+    texts = documents(spark)
+    rows = registry.QUERIES["op6_sharding"](spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    by = {}
+    for r in rows:
+        raw = texts[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law) == (len(raw) + 8, zlib.crc32(raw), "key") and 0 <= r.shard < 24 and r.grown_shard in (r.shard, 24)
+        by.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
