@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: White space as ``str.strip`` and ``str.split`` have it (fixed values, regex class body).
 SPACE = r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: The same characters as text.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def _col(c: Column | str) -> Column:
@@ -14,8 +16,8 @@ def _col(c: Column | str) -> Column:
 
 
 def pystrip(c: Column | str) -> Column:
-    """``str.strip()``: Unicode white space off both ends."""
-    return F.regexp_replace(_col(c), f"^[{SPACE}]+|[{SPACE}]+$", "")
+    """``str.strip()``: Unicode white space off both ends, which alone are read."""
+    return F.btrim(_col(c), F.lit(SPACES))
 
 
 def coerced(c: Column | str, numeric: bool = False) -> Column:
@@ -64,7 +66,8 @@ def ngram_ratio(c: Column | str, n: int = 4) -> Column:
 
 def _ratio(words: Column, n: int) -> Column:
     total = F.size(words) - (n - 1)
-    grams = F.transform(F.sequence(F.lit(1), total), lambda i: F.slice(words, i, n))
+    # Words hold no blanks, so joined ones are as good as arrays, and strings are told apart by hashing.
+    grams = F.transform(F.sequence(F.lit(1), total), lambda i: F.array_join(F.slice(words, i, n), " "))
     return F.when(total < 1, 0.0).otherwise(F.size(F.array_distinct(grams)) / total)
 
 

@@ -11,17 +11,13 @@ from ..functions.text import dedupe_key, group_key, pystrip
 def first_wins(df: DataFrame, keys: list[Column | str], order: list[str]) -> DataFrame:
     """Of the rows with equal keys the first in ``order`` (whose columns must tell rows apart).
 
-    The survivors' orders come from one partial aggregation over hashes of the keys, so copies
-    collapse before the shuffle and a key with very many rows is no burden to one task; the rows
-    themselves join back on their order.
+    One aggregation over hashes of the keys holds the survivor's whole row, so the input is read once,
+    copies collapse before the shuffle and a key with very many rows is no burden to one task.
     """
     digest = F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256)
-    ord_ = F.struct(*order)
-    firsts = df.groupBy(digest.alias("_key")).agg(F.min(ord_).alias("_ord"))
-    on = [F.col(f"_ord.{c}").alias(f"_o{i}") for i, c in enumerate(order)]
-    firsts = firsts.select(*on)
-    match = [df[c].eqNullSafe(firsts[f"_o{i}"]) for i, c in enumerate(order)]
-    return df.join(firsts, match, "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    firsts = df.groupBy(digest.alias("_key")).agg(F.min_by(row, F.struct(*order)).alias("_row"))
+    return firsts.select(*[F.col(f"_row.`{c}`") for c in df.columns])
 
 
 def dedupe_records(df: DataFrame, payload: list[str], order: list[str]) -> DataFrame:

@@ -10,19 +10,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running(df: DataFrame, order: list[Column | str], bucket: Column, value: Column | None, name: str) -> DataFrame:
+def running(df: DataFrame, order: list[Column | str], bucket: Column, value: Column | None, name: str, by: list[str] | None = None, total: str | None = None) -> DataFrame:
     """``df`` with ``name``: the sum of ``value`` (null: 1 a row) over all rows up to and with this one.
 
-    bucket: must not fall along ``order``; rows with equal buckets meet in one task.
+    bucket: must not fall along ``order``; rows with equal buckets meet in one task. by: columns whose
+    groups each have a sum of their own. total: a column for the sum over all rows of the group.
     """
     value = F.lit(1) if value is None else value
+    keys = list(by or [])
     rows = df.withColumn("_bucket", bucket).withColumn("_value", value.cast("long"))
-    sums = rows.groupBy("_bucket").agg(F.sum("_value").alias("_sum"))
-    before = Window.orderBy(F.col("_bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn(name, F.sum("_value").over(within)).join(base, F.col("_bucket").eqNullSafe(F.col("_b")))
-    return out.withColumn(name, F.col(name) + F.col("_base")).drop("_bucket", "_value", "_b", "_base")
+    sums = rows.groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_sum"))
+    groups = Window.partitionBy(*keys)
+    before = groups.orderBy(F.col("_bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    base = sums.select(*named, F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"), F.sum("_sum").over(groups).alias("_total"))
+    within = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    met = F.col("_bucket").eqNullSafe(F.col("_b"))
+    for i, k in enumerate(keys):
+        met = met & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    out = rows.withColumn(name, F.sum("_value").over(within)).join(base, met)
+    out = out.withColumn(name, F.col(name) + F.col("_base"))
+    out = out.withColumn(total, F.col("_total")) if total else out
+    return out.drop("_bucket", "_value", "_b", "_base", "_total", *[f"_k{i}" for i in range(len(keys))])
 
 
 def shuffle_hash(seed: int, ord_col: str) -> Column:
@@ -30,13 +39,13 @@ def shuffle_hash(seed: int, ord_col: str) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}|"), F.col(ord_col).cast("string")), 256)
 
 
-def shuffled_rank(df: DataFrame, seed: int, ord_col: str = "ord", name: str = "rank") -> DataFrame:
-    """``df`` with its rank (from 1) in a seeded random order that reruns and other engines repeat."""
+def shuffled_rank(df: DataFrame, seed: int, ord_col: str = "ord", name: str = "rank", by: list[str] | None = None, total: str | None = None) -> DataFrame:
+    """``df`` with its rank (from 1) in a seeded random order that reruns and other engines repeat; by: within groups."""
     keyed = df.withColumn("_hash", shuffle_hash(seed, ord_col))
-    return running(keyed, ["_hash", ord_col], F.substring("_hash", 1, 3), None, name).drop("_hash")
+    return running(keyed, ["_hash", ord_col], F.substring("_hash", 1, 3), None, name, by, total).drop("_hash")
 
 
-def permutation_rank(df: DataFrame, seed: int, ord_col: str = "ord", name: str = "rank", most: int = 20_000_000) -> DataFrame:
+def permutation_rank(df: DataFrame, seed: int, ord_col: str = "ord", name: str = "rank", total: str | None = None, most: int = 20_000_000) -> DataFrame:
     """The rank that CPython's ``Random(seed).shuffle`` gives the rows in order; ``most`` bounds the driver's list."""
     import random
 
@@ -47,13 +56,21 @@ def permutation_rank(df: DataFrame, seed: int, ord_col: str = "ord", name: str =
     order = list(range(n))
     random.Random(seed).shuffle(order)
     ranks = df.sparkSession.createDataFrame([(i + 1, r + 1) for r, i in enumerate(order)], f"_dense long, {name} long")
-    return dense.join(ranks, "_dense").drop("_dense")
+    out = dense.join(ranks, "_dense").drop("_dense")
+    return out.withColumn(total, F.lit(n).cast("long")) if total else out
 
 
 def ordered_bucket(df: DataFrame, ord_col: str, rows: int = 100_000) -> Column:
-    """A bucket of about ``rows`` rows that rises with a numeric order column of even spread."""
-    low, high, n = df.agg(F.min(ord_col), F.max(ord_col), F.count("*")).first()
-    if not n or low is None:
-        return F.lit(0)
-    width = max(1, -(-(int(high) - int(low) + 1) * rows // n))
-    return F.floor((F.col(ord_col) - F.lit(int(low))) / F.lit(width)).cast("long")
+    """A bucket that rises with a numeric order column and holds about ``rows`` rows.
+
+    Orders may be dense, spread, or dense within far-apart files: of widths from ``rows`` upwards the
+    least is taken whose buckets are not many more than the rows need. Distinct whole numbers that are
+    dense somewhere never give more than that width of rows to one bucket.
+    """
+    at = F.col(ord_col).cast("long")
+    widths = [rows * 32**j for j in range(13) if rows * 32**j < 1 << 62]
+    counts = [F.approx_count_distinct(F.floor(at / F.lit(w)), 0.02).alias(f"w{j}") for j, w in enumerate(widths)]
+    found = df.agg(F.count("*").alias("n"), *counts).first()
+    most = 64 + 4 * -(-found.n // rows)
+    width = next((w for j, w in enumerate(widths) if found[f"w{j}"] <= most), widths[-1])
+    return F.floor(at / F.lit(width)).cast("long")

@@ -20,12 +20,12 @@ def shuffle_split(df: DataFrame, fracs: tuple[float, float, float], seed: int =
 
     With a third fraction of 0 validation takes all that train leaves, else test takes the rest.
     """
-    ranked = _RANK[order](df, seed, ord_col)
-    n = ranked.count() if budget is None else min(budget, ranked.count())
-    train = int(n * fracs[0])
-    val = n if fracs[2] == 0 else train + int(n * fracs[1])
-    part = F.when(F.col("rank") <= train, "train").when(F.col("rank") <= val, "validation").otherwise("test")
-    return ranked.where(F.col("rank") <= n).withColumn("partition", part)
+    ranked = _RANK[order](df, seed, ord_col, total="_n")
+    n = F.col("_n") if budget is None else F.least(F.col("_n"), F.lit(budget))
+    share = lambda k: F.floor(n * F.lit(float(fracs[k]))).cast("long")
+    val = n if fracs[2] == 0 else share(0) + share(1)
+    part = F.when(F.col("rank") <= share(0), "train").when(F.col("rank") <= val, "validation").otherwise("test")
+    return ranked.where(F.col("rank") <= n).withColumn("partition", part).drop("_n")
 
 
 def official_split(df: DataFrame, seed: int = 42, budget: int | None = None, split_col: str = "split", ord_col: str = "ord", order: str = "portable") -> DataFrame:
@@ -51,11 +51,9 @@ def group_split(df: DataFrame, key: Column, quotas: dict[str, int], seed: int =
         part = F.when(hit, name) if part is None else part.when(hit, name)
     keyed = df.withColumn("_key", coerced(key)).where("_key <> ''").withColumn("_bucket", sha256_bucket("_key"))
     keyed = keyed.withColumn("partition", part).drop("_key", "_bucket")
-    out = None
-    for name, quota in quotas.items():  # one shuffle order per partition
-        some = shuffled_rank(keyed.where(F.col("partition") == name), seed, ord_col).where(F.col("rank") <= quota)
-        out = some if out is None else out.unionByName(some)
-    return out
+    ranked = shuffled_rank(keyed, seed, ord_col, by=["partition"])
+    allowed = F.create_map(*[F.lit(x) for pair in quotas.items() for x in pair])
+    return ranked.where(F.col("rank") <= allowed[F.col("partition")])
 
 
 def token_cap(df: DataFrame, tokens: Column, cap: int, order_col: str = "ord") -> DataFrame:
@@ -69,9 +67,8 @@ def split_by_groups(df: DataFrame, key: Column, val_frac: float, seed: int) -> D
     the first int(n * (1 - val_frac)) train."""
     keyed = df.withColumn("_group", key)
     groups = keyed.select("_group").distinct()
-    ranked = shuffled_rank(groups, seed, "_group")
-    n = groups.count()
-    cut = int(n * (1 - val_frac))
+    ranked = shuffled_rank(groups, seed, "_group", total="_n")
+    cut = F.floor(F.col("_n") * F.lit(1 - val_frac))
     part = ranked.select(F.col("_group").alias("_g"), F.when(F.col("rank") <= cut, "train").otherwise("validation").alias("partition"))
     return keyed.join(part, F.col("_group") == F.col("_g")).drop("_g", "_group")
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: \s and classes as Unicode has them.
 _JAVA = f"(?U)({PATTERN})"
 SPECIALS = ("<|bos|>", "<|eos|>", "<|pad|>", "<|unk|>")
+#: Bytes in the order of their ids: the printable ones of Latin-1 first (fixed values).
+ALPHABET = (*range(33, 127), *range(161, 173), *range(174, 256), *range(0, 33), *range(127, 161), 173)
 
 
 def pretokens(text: Column | str) -> Column:
@@ -47,18 +49,40 @@ class Vocabulary:
     def merge(self, piece: bytes) -> list[int]:
         known = self._cache.get(piece)
         if known is None:
-            parts = [piece[i : i + 1] for i in range(len(piece))]
-            while len(parts) > 1:
-                best = min(range(len(parts) - 1), key=lambda i: self.rank.get((parts[i], parts[i + 1]), 1 << 60))
-                if (parts[best], parts[best + 1]) not in self.rank:
-                    break
-                parts[best : best + 2] = [parts[best] + parts[best + 1]]
+            parts = self._parts(piece)
             known = [self.ids[p] for p in parts]
             if len(self._cache) > 200_000:
                 self._cache.clear()
             self._cache[piece] = known
         return known
 
+    def _parts(self, piece: bytes) -> list[bytes]:
+        """The piece merged: the pair of least rank first, the leftmost of equals, by a heap over a linked list."""
+        n = len(piece)
+        part: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        heap: list[tuple[int, int, bytes, bytes]] = []
+
+        def offer(i: int) -> None:
+            if i >= 0 and after[i] < n:
+                rank = self.rank.get((part[i], part[after[i]]))
+                if rank is not None:
+                    heapq.heappush(heap, (rank, i, part[i], part[after[i]]))
+
+        for i in range(n - 1):
+            offer(i)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if part[i] != a or j >= n or part[j] != b:
+                continue
+            part[i], part[j], after[i] = a + b, None, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            offer(before[i])
+            offer(i)
+        return [p for p in part if p is not None]
+
     def encode(self, text: str) -> list[int]:
         import regex
 
@@ -71,68 +95,94 @@ class Vocabulary:
 def train(counts: list[tuple[str, int]], vocab_size: int, min_frequency: int = 2, specials: tuple[str, ...] = SPECIALS) -> Vocabulary:
     """Merges from pre-token counts: the most frequent pair first, ties to the smaller pair of ids.
 
-    Pair counts and the words that hold a pair are kept up to date, so a merge touches those words only.
+    All words lie in one array of symbols, linked to their neighbours; a pair's places are indexed when it
+    arises and looked over once it is merged, so a merge touches those places only, all at once.
     """
     first = len(specials)
-    ids = {bytes([b]): first + k for k, b in enumerate(range(256))}
-    words = [[bytes([b]) for b in w.encode()] for w, _ in counts]
-    freq = [n for _, n in counts]
-    pair_count: dict[tuple[bytes, bytes], int] = defaultdict(int)
-    where: dict[tuple[bytes, bytes], set[int]] = defaultdict(set)
-    for k, w in enumerate(words):
-        for pair in zip(w, w[1:]):
-            pair_count[pair] += freq[k]
-            where[pair].add(k)
-    key = lambda p: (-pair_count[p], ids[p[0]], ids[p[1]])
-    heap = [(*key(p), p) for p in pair_count]
+    tokens = [bytes([b]) for b in ALPHABET]
+    ids = {t: first + k for k, t in enumerate(tokens)}
+    raw = [w.encode() for w, _ in counts]
+    code = np.empty(256, np.int64)
+    code[list(ALPHABET)] = np.arange(256)
+    sym = code[np.frombuffer(b"".join(raw), np.uint8)]
+    size = np.array([len(w) for w in raw], np.int64)
+    n = len(sym)
+    weight = np.repeat(np.array([k for _, k in counts], np.int64), size)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    ends = np.cumsum(size)
+    after[ends[size > 0] - 1], before[(ends - size)[size > 0]] = -1, -1
+    count: dict[tuple[int, int], int] = {}
+    places: dict[tuple[int, int], list[np.ndarray]] = {}
+
+    def grouped(at: np.ndarray):
+        """The pairs that begin at the places: (pair, places, summed weight)."""
+        at = at[(at >= 0) & (after[at] >= 0)]
+        pair = sym[at] << 32 | sym[after[at]]
+        order = np.argsort(pair, kind="stable")
+        at, pair = at[order], pair[order]
+        cuts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(at) else np.zeros(0, np.int64)
+        sums = np.add.reduceat(weight[at], cuts) if len(cuts) else cuts
+        for lo, hi, k in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)], sums.tolist()):
+            yield (int(pair[lo] >> 32), int(pair[lo] & 0xFFFFFFFF)), at[lo:hi], k
+
+    for p, at, k in grouped(np.arange(n)):
+        count[p], places[p] = k, [at]
+    heap = [(-k, *p) for p, k in count.items()]
     heapq.heapify(heap)
-    merges = []
+    merges: list[tuple[bytes, bytes]] = []
     while heap and first + len(ids) < vocab_size:
-        n, _, _, pair = heapq.heappop(heap)
-        if -n != pair_count.get(pair, 0):
-            if pair_count.get(pair, 0) > 0:
-                heapq.heappush(heap, (*key(pair), pair))
+        k, a, b = heapq.heappop(heap)
+        known = count.get((a, b), 0)
+        if -k != known:
+            if known > 0:
+                heapq.heappush(heap, (-known, a, b))
             continue
-        if -n < max(1, min_frequency):
+        if known < max(1, min_frequency):
             break
-        new = pair[0] + pair[1]
-        merges.append(pair)
-        ids.setdefault(new, first + len(ids))
-        changed = set()
-        for k in where.pop(pair):
-            old, w, i = words[k], [], 0
-            while i < len(old):
-                if i + 1 < len(old) and (old[i], old[i + 1]) == pair:
-                    w.append(new)
-                    i += 2
-                else:
-                    w.append(old[i])
-                    i += 1
-            for p in zip(old, old[1:]):
-                pair_count[p] -= freq[k]
-                changed.add(p)
-            for p in zip(w, w[1:]):
-                pair_count[p] += freq[k]
-                where[p].add(k)
-                changed.add(p)
-            words[k] = w
-        pair_count[pair] = 0
-        for p in changed:
-            if pair_count[p] > 0:
-                heapq.heappush(heap, (*key(p), p))
+        merged = tokens[a] + tokens[b]
+        merges.append((tokens[a], tokens[b]))
+        new = ids.setdefault(merged, first + len(ids)) - first
+        if new == len(tokens):
+            tokens.append(merged)
+        at = np.unique(np.concatenate(places.pop((a, b))))
+        at = at[(sym[at] == a) & (after[at] >= 0)]
+        at = at[sym[after[at]] == b]
+        if a == b and len(at):  # of a run the first, third, ... place
+            chained = np.concatenate([[False], after[at[:-1]] == at[1:]])
+            head = np.maximum.accumulate(np.where(chained, 0, np.arange(len(at))))
+            at = at[(np.arange(len(at)) - head) % 2 == 0]
+        gone = after[at]
+        changed = {}
+        for p, _, k in grouped(np.unique(np.concatenate([before[at], at, gone]))):
+            changed[p] = -k
+        follows = after[gone]
+        sym[at], sym[gone] = new, -1
+        after[at], after[gone] = follows, -1
+        before[follows[follows >= 0]] = at[follows >= 0]
+        for p, where, k in grouped(np.unique(np.concatenate([before[at], at]))):
+            changed[p] = changed.get(p, 0) + k
+            if new in p:
+                places.setdefault(p, []).append(where)
+        for p, k in changed.items():
+            count[p] = count.get(p, 0) + k
+            if count[p] > 0 and k > 0:
+                heapq.heappush(heap, (-count[p], *p))
+            elif count[p] <= 0:
+                count.pop(p), places.pop(p, None)
     return Vocabulary(ids, merges, specials)
 
 
-def train_on(df: DataFrame, vocab_size: int, min_frequency: int = 2, text_col: str = "text", most_words: int = 5_000_000) -> Vocabulary:
-    """Training on a corpus: counts in Spark, merges on the driver.
+def train_on(df: DataFrame, vocab_size: int, min_frequency: int = 2, text_col: str = "text", most_words: int = 5_000_000, min_count: int = 1) -> Vocabulary:
+    """Training on a corpus: counts in Spark, merges on the driver in arrays over the distinct words.
 
-    Rare words beyond ``most_words`` distinct ones can't be held there; more is an error, to be met by
-    a higher ``min_count`` of the caller's own counts.
+    min_count: words of fewer occurrences are left out in Spark. More than ``most_words`` distinct words
+    are an error, to be met by a higher ``min_count``.
     """
-    rows = pretoken_counts(df, text_col).orderBy(F.desc("n"), "pretoken").limit(most_words + 1).collect()
-    if len(rows) > most_words:
-        raise ValueError(f"more than {most_words} distinct words; count and filter them before train()")
-    return train([(r.pretoken, r.n) for r in rows], vocab_size, min_frequency)
+    rows = pretoken_counts(df, text_col)
+    rows = (rows if min_count <= 1 else rows.where(F.col("n") >= min_count)).orderBy(F.desc("n"), "pretoken").limit(most_words + 1).toArrow()
+    if rows.num_rows > most_words:
+        raise ValueError(f"more than {most_words} distinct words; raise min_count")
+    return train(list(zip(rows.column("pretoken").to_pylist(), rows.column("n").to_pylist())), vocab_size, min_frequency)
 
 
 def check_specials(vocab: Vocabulary) -> None:

@@ -15,6 +15,7 @@ from .functions import numeric
 from .functions import text as tx
 from .operators import chat, dedup, metrics, packing, splits, tokenizer, transforms
 from .operators.overlap import overlap
+from .storage import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -46,6 +47,11 @@ def _clean(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.dedupe_records(rows, ["text"], ["ord"])
 
 
+def _stored(spark: SparkSession, sf: str) -> DataFrame:
+    """``_clean`` written once, for plans that read it more than once."""
+    return materialize(_clean(spark, sf))
+
+
 def _runs(spark: SparkSession, sf: str) -> DataFrame:
     e = spark.read.parquet(f"{sf}/events.parquet")
     return e.select(F.col("user_id").alias("run"), F.col("event_id").alias("ord"), (F.col("event_id") % 50).alias("global_step"), F.col("value").alias("train_loss"), (F.col("value") + 1).alias("tokens_s"), (F.col("value") / 10).alias("step_time_s"), F.when(F.col("event_id") % 5 == 0, F.col("value") + 0.5).alias("val_loss"), F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("peak_mem_gb"))
@@ -68,7 +74,7 @@ _MSGS = "m AS (SELECT conv_id AS ord, list({'role': role, 'content': text} ORDER
        "SELECT partition, count(*)::BIGINT AS records, sum(length(text))::BIGINT AS chars, min(ord) AS first_ord FROM q GROUP BY 1")
 def govern_documents(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: strip, length filter, first-wins dedupe, seeded split, statistics by partition."""
-    parts = splits.shuffle_split(_clean(spark, sf), (0.8, 0.1, 0.1), 42)
+    parts = splits.shuffle_split(_stored(spark, sf), (0.8, 0.1, 0.1), 42)
     return parts.groupBy("partition").agg(F.count("*").alias("records"), F.sum(F.length("text")).alias("chars"), F.min("ord").alias("first_ord"))
 
 
@@ -114,12 +120,12 @@ q AS (SELECT *, CASE WHEN bucket < 571 THEN 'a' WHEN bucket < 714 THEN 'b' ELSE
 r AS (SELECT *, row_number() OVER (PARTITION BY partition ORDER BY sha256('42|' || ord::VARCHAR), ord)::BIGINT AS rank FROM q)
 SELECT ord, partition, rank FROM r WHERE rank <= CASE partition WHEN 'a' THEN 400 WHEN 'b' THEN 100 ELSE 200 END""")
 def group_split_quota(spark, sf):
-    return splits.group_split(_clean(spark, sf), F.col("source"), {"a": 400, "b": 100, "c": 200}).select("ord", "partition", F.col("rank").cast("long").alias("rank"))
+    return splits.group_split(_stored(spark, sf), F.col("source"), {"a": 400, "b": 100, "c": 200}).select("ord", "partition", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {_CLEAN}, r AS (SELECT ord, {_SHUFFLED.format(seed=7)} AS rank, least(300, count(*) OVER ()) AS n FROM c) SELECT ord, rank::BIGINT AS rank, CASE WHEN rank <= floor(n::DOUBLE * 0.95::DOUBLE) THEN 'train' ELSE 'validation' END AS partition FROM r WHERE rank <= 300")
 def shuffle_split_budget(spark, sf):
-    return splits.shuffle_split(_clean(spark, sf), (0.95, 0.05, 0.0), 7, 300).select("ord", F.col("rank").cast("long").alias("rank"), "partition")
+    return splits.shuffle_split(_stored(spark, sf), (0.95, 0.05, 0.0), 7, 300).select("ord", F.col("rank").cast("long").alias("rank"), "partition")
 
 
 @query(f"""WITH d AS (SELECT doc_id AS ord, CASE WHEN doc_id % 10 = 0 THEN 'validation' ELSE 'train' END AS split FROM documents),
@@ -140,12 +146,12 @@ def token_cap(spark, sf):
 @query(f"""WITH {_CLEAN}, g AS (SELECT source, row_number() OVER (ORDER BY sha256('11|' || source), source) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM c))
 SELECT c.ord, CASE WHEN k <= floor(n::DOUBLE * 0.75::DOUBLE) THEN 'train' ELSE 'validation' END AS partition FROM c JOIN g USING (source)""")
 def document_split(spark, sf):
-    return splits.split_by_groups(_clean(spark, sf), F.col("source"), 0.25, 11).select("ord", "partition")
+    return splits.split_by_groups(_stored(spark, sf), F.col("source"), 0.25, 11).select("ord", "partition")
 
 
 @query("SELECT text AS key FROM documents WHERE false")
 def leak_check(spark, sf):
-    return splits.leaks(splits.split_by_groups(_clean(spark, sf), F.col("source"), 0.25, 11), F.col("source"))
+    return splits.leaks(splits.split_by_groups(_stored(spark, sf), F.col("source"), 0.25, 11), F.col("source"))
 
 
 @query(f"WITH p AS (SELECT doc_id, {_STRIP} AS t FROM documents), m AS (SELECT DISTINCT t FROM p WHERE doc_id % 2 = 0 AND t <> ''), s AS (SELECT count(*)::BIGINT AS total, count(m.t)::BIGINT AS overlap FROM p LEFT JOIN m USING (t) WHERE doc_id % 2 = 1 AND p.t <> '') "

@@ -41,12 +41,13 @@ def json_array(spark: SparkSession, paths: str | list[str], schema: Schema, orde
 
 
 def csv(spark: SparkSession, paths: str | list[str], columns: list[str] | None = None, ordered: bool = True) -> DataFrame:
-    """Header row, quoted fields with line breaks, all strings."""
+    """Header row, quoted fields with line breaks, all strings; an empty field is an empty string."""
     reader = spark.read.options(header=True, multiLine=True, quote='"', escape='"', mode="FAILFAST", nullValue="\x00", emptyValue="")
     if columns:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
     df = reader.csv(paths)
-    return with_order(df) if ordered else df
+    names, df = df.columns, with_order(df) if ordered else df
+    return df.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in names})
 
 
 def text_lines(spark: SparkSession, paths: str | list[str], ordered: bool = True) -> DataFrame:
