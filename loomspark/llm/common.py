@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import drop_table, materialize, shared_dir  # noqa: F401
+
 #: Spaces and the controls U+0009 to U+000D end a word.
 WORD = r"[^\x20\x09-\x0D]+"
 _DELIM = np.zeros(256, dtype=bool)
@@ -22,34 +23,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (a single-machine test) is one under /tmp used.
-    """
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back, cutting its lineage.
-
-    The table survives the loss of any executor; its schema is the written one.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/loom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete a table that ``materialize`` made and that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/loom-" in path:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def join_small(df: DataFrame, table: DataFrame, on: str, max_rows: int = 100_000) -> DataFrame:
     """Left join, broadcasting ``table`` only when it is counted to have at most ``max_rows``.
 
