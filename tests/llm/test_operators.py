@@ -216,13 +216,12 @@ def test_license_tags_amid_prose():
         assert tags(bad) == []
 
 
-def brute_top(rows, k):
-    v = {}
+def brute_top(rows, k, asked=lambda i: i % 50 == 0):
     out = []
     usable = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in e]) for i, e in rows if i is not None and e and all(x is not None and np.isfinite(x) for x in e)]
-    for i, a in usable:
-        if i % 50 == 0:
-            best = sorted((-sum(x * y for x, y in zip(a, b)), j) for j, b in usable if j != i and len(b) == len(a))[:k]
+    for n, (i, a) in enumerate(usable):
+        if asked(i):
+            best = sorted((-sum(x * y for x, y in zip(a, b)), j) for m, (j, b) in enumerate(usable) if m != n and len(b) == len(a))[:k]
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
     return sorted(out)
 
@@ -232,18 +231,28 @@ def test_top_k(spark):
     rows = [(i, [rnd.uniform(-1, 1) for _ in range(24)]) for i in range(230)]
     rows += [(300 + i, list(rows[7][1])) for i in range(8)] + [(50, None), (400, []), (401, [1.0, None]), (402, [float("nan")] * 24), (403, [float("inf")] * 24), (None, [0.1] * 24), (450, [0.5, 0.25])]
     rows = [r for r in rows if r[0] != 50 or r[1] is None]
+    rows += [rows[100], rows[100], (100, [rnd.uniform(-1, 1) for _ in range(24)]), rows[3]]  # repeated queries, an id of two vectors
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash")).repartition(3)
-    got = sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id % 50 = 0"), block_rows=64, query_rows=2).collect())
-    assert got == brute_top(rows, 5)
-    assert topk.top_k(df.where("false"), df.where("false")).count() == 0
+    for sizes in ({"block_rows": 64, "query_rows": 2}, {}):
+        got = sorted(tuple(r) for r in topk.top_k(df, "vec_id % 50 = 0", **sizes).collect())
+        assert got == brute_top(rows, 5)
+    assert topk.top_k(df.where("false"), "vec_id % 50 = 0").count() == 0
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [2.0])], "vec_id long, embedding array<float>")
-    assert [tuple(r) for r in topk.top_k(few, few.where("vec_id = 0")).orderBy("rank").collect()] == [(0, 1, 1, 131072), (0, 2, 2, 131072)]
+    assert [tuple(r) for r in topk.top_k(few, "vec_id = 0").orderBy("rank").collect()] == [(0, 1, 1, 131072), (0, 2, 2, 131072)]
+    # Queries of their own meet all rows.
+    assert [tuple(r) for r in topk.top_k(few, few.where("vec_id = 1"), k=2).orderBy("rank").collect()] == [(1, 1, 1, 262144), (1, 2, 2, 262144)]
+
+
+def test_top_k_of_a_query_given_twice(spark):
+    df = spark.createDataFrame([(50, [1.0]), (50, [1.0]), (1, [3.0]), (2, [2.0])], "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in topk.top_k(df, "vec_id = 50", k=3).collect())
+    assert got == sorted(2 * [(50, 1, 1, 3 << 16), (50, 2, 2, 2 << 16), (50, 3, 50, 1 << 16)])
 
 
 def test_top_k_of_large_components(spark):
     def best(rows):
         df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-        return [tuple(r) for r in topk.top_k(df, df.where("vec_id = 0")).orderBy("rank").collect()]
+        return [tuple(r) for r in topk.top_k(df, "vec_id = 0").orderBy("rank").collect()]
 
     big = 2.0**41
     assert best([(0, [1.0, 0.0]), (1, [big, 1.0]), (2, [-big, 1.0])]) == [(0, 1, 1, 2**57), (0, 2, 2, -(2**57))]
@@ -255,16 +264,23 @@ def test_top_k_of_large_components(spark):
             best(rows)
 
 
-def test_pruning_keeps_the_best():
+def test_bounds_prune_and_keep_the_best():
     rng = np.random.default_rng(0)
-    block = rng.integers(-40, 40, (32, 3000))
-    block[:, :5] *= 12  # heavy ones, so that bounds bite
-    q = rng.integers(-40, 40, (32, 9))
-    row, found, score = topk.best_of_block(np.arange(9) + 10**6, q, np.arange(3000), block, 5, step=8)
-    full = q.T @ block
-    for i in range(9):
-        want = sorted((-s, j) for j, s in enumerate(full[i]))[:5]
-        assert [(-s, j) for s, j in zip(score[row == i], found[row == i])] == want
+    unit = lambda x: np.floor(256 * x / np.linalg.norm(x, axis=0)).astype(np.int64)
+    centres = rng.normal(size=(64, 40))
+    near = lambda n: centres[:, rng.integers(0, 40, n)] + 0.4 * rng.normal(size=(64, n))
+    for block, q, most in ((unit(near(8192)), unit(near(256)), (0.9, 0.4)), (unit(rng.normal(size=(64, 8192))), unit(rng.normal(size=(64, 256))), (1.0, 0.9)), (rng.integers(-40, 40, (64, 3000)) * np.where(np.arange(3000) < 9, 12, 1), rng.integers(-40, 40, (64, 9)), (1.0, 0.9))):
+        n, m = q.shape[1], block.shape[1]
+        full = q.T @ block
+        want = [sorted((-s, j) for j, s in enumerate(full[i]))[:5] for i in range(n)]
+        floor = np.array([-w[4][0] for w in want], np.float64)  # as a block met before would leave it
+        shares = []  # of all products, those that are made: at first, and behind floors
+        for known in (None, floor):
+            work = topk.Work()
+            row, found, score = topk.best_of_block(np.arange(n) - n, q, np.arange(m), np.arange(m), block, 5, known, work=work)
+            assert [sorted(zip((-score[row == i]).tolist(), found[row == i].tolist())) for i in range(n)] == want
+            shares.append(work.done / work.all)
+        assert shares[0] <= most[0] and shares[1] <= most[1], shares
 
 
 def test_sharding(docs, tmp_path):
