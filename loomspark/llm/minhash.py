@@ -1,23 +1,28 @@
 """MinHash near-duplicates by min-max hashing.
 
 Each permutation of the shingles leaves both its minimum and its maximum, so that K hash evaluations
-give 2K values; bands of these values are buckets. Documents with the same shingle set are one class
-from the start, represented by their least id. Within a bucket no pair list is made:
+give 2K values; bands of these values are buckets. Documents of the same words in the same order (a
+128-bit BLAKE2 digest of them) are one class from the start, represented by their least id. Within a
+bucket no pair list is made:
 
-1. The least member of each bucket meets all others; candidate pairs are confirmed on both full shingle
-   sets; confirmed links make components. So copies collapse in one round, however many there are.
+1. The least member of each bucket meets all others; candidate pairs are confirmed on both full sets of
+   shingles, as words, not as hashes; confirmed links make components. So copies collapse in one round,
+   however many there are.
 2. Documents of buckets that still hold several components may be merely similar in great number.
    They meet again under the rare shingles of their sets: two sets of the wanted similarity share one
    among the rarest few of each, early enough in both (prefix and place bounds, which lose nothing).
    Rounds of pivots, small sets first, meet the members of other components, until each of these
-   buckets is one component, or nobody is left whose bounds allow a partner.
+   buckets is one component, or nobody is left whose bounds allow a partner. Each round has four times
+   the pivots of the one before, 64 of a bucket to a row, so a bucket of N unlike documents takes about
+   log4(N) rounds and no row grows with it.
 
 Before a pair is made, sizes, places and sketches (4 bits of each value) leave out what can't be similar
 enough. A link is lost only if the pair shares no band or its sketches mislead: less than two in a
 million at a similarity of 0.85 with 40 permutations in 20 bands of 4 values; 3 in a million at 0.8
 with 48 in 24.
 
-Components grow by alternating large-star and small-star steps on written tables.
+Shingle counts are those of distinct hashes of 64 bits; a hash that two shingles shared would lower a count
+by one and could not make a link. Components grow by alternating large-star and small-star steps on written tables.
 
 Nulls and texts without words have no shingles and link with nothing. A row without an id links with
 nothing and keeps a null component. Rows of one id are one document: their texts' links add up. Texts of
@@ -27,6 +32,7 @@ result column are replaced.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -36,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, gram_hashes, join_small, load, materialize, mix, slices, utf8_buffer, word_hashes, word_spans
+from .common import drop_table, frugal, gram_hashes, join_small, load, materialize, mix, slices, utf8_buffer, word_hashes, word_spans
 
 _U = np.uint64
 #: A-Z to a-z, other bytes as they are.
@@ -64,6 +70,12 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, size: int) -> list[np.ndarra
     return out
 
 
+def exact_shingles(raw: bytes, size: int) -> frozenset[tuple[bytes, ...]]:
+    """A text's shingles as tuples of its lower-cased words."""
+    words = raw.lower().split()
+    return frozenset(zip(*(words[k:] for k in range(size)))) if len(words) >= size else frozenset([tuple(words)] if words else [])
+
+
 def min_max(sets: list[np.ndarray], permutations: int, seed: int = 5) -> np.ndarray:
     """Minimum and maximum of each permutation for each (not empty) set: sets x 2K values."""
     rng = np.random.default_rng(seed)
@@ -130,7 +142,7 @@ def _differences(a: Column, b: Column) -> Column:
 
 
 def signatures(docs: DataFrame, size: int, permutations: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """(_id, n_shingles, set_a, set_b, bands, sketch, body): body is the compressed text."""
+    """(_id, n_shingles, words, bands, sketch, body): words is a digest of the lower-cased words, body the compressed text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -142,22 +154,21 @@ def signatures(docs: DataFrame, size: int, permutations: int, rows: int, id_col:
                 sets = shingle_sets(data, off, size)
                 n = np.array([len(s) for s in sets], np.int64)
                 full = [s for s in sets if len(s)]
-                ab = np.array([(int(mix(s).sum(dtype=_U)), int(mix(s ^ _U(0x5DEECE66D)).sum(dtype=_U))) for s in full], _U).reshape(-1, 2)
                 values = min_max(full, permutations)
                 keys, brief = band_keys(values, rows), sketches(values)
-                where = np.cumsum(n > 0) - 1
-                some = lambda x: pa.array([int(x[w].astype(np.int64)) if k else None for w, k in zip(where, n)], pa.int64())
                 lists = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((n > 0) * x.shape[1])]), pa.int32()), pa.array(x.astype(np.int64).ravel()))
                 raw, cut = data.tobytes(), off.tolist()
-                body = pa.array([press.compress(raw[a:b]) for a, b in zip(cut, cut[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), some(ab[:, 0]), some(ab[:, 1]), lists(keys), lists(brief), body], names=["_id", "n_shingles", "set_a", "set_b", "bands", "sketch", "body"])
+                texts = [raw[a:b] for a, b in zip(cut, cut[1:])]
+                words = pa.array([hashlib.blake2b(b" ".join(t.lower().split()), digest_size=16).digest() if k else None for t, k in zip(texts, n)], pa.binary())
+                body = pa.array([press.compress(t) for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), words, lists(keys), lists(brief), body], names=["_id", "n_shingles", "words", "bands", "sketch", "body"])
 
     rows_in = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return rows_in.mapInArrow(frugal(run), "_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>, body binary")
+    return rows_in.mapInArrow(frugal(run), "_id long, n_shingles long, words binary, bands array<long>, sketch array<long>, body binary")
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose full sets' similarity is at least ``percent`` %."""
+    """Of pairs (a, b), those whose full sets' similarity is at least ``percent`` %; sets are compared word by word."""
     one = bodies.select(F.col("_id").alias("b"), F.col("body").alias("body_b"))
     hub = bodies.select(F.col("_id").alias("a"), F.col("body").alias("body_a"))
     both = pairs.join(one, "b").join(hub, "a").select("a", "b", "body_a", "body_b")
@@ -166,17 +177,18 @@ def _verified(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) -> D
         import zstandard
 
         unpress = zstandard.ZstdDecompressor()
-        recent: OrderedDict[int, np.ndarray] = OrderedDict()
+        recent: OrderedDict[int, frozenset] = OrderedDict()
+        held = 0  # shingles of all recent sets
 
-        def shingles(key: int, body) -> np.ndarray:
+        def shingles(key: int, body) -> frozenset:
+            nonlocal held
             if key in recent:
                 recent.move_to_end(key)
                 return recent[key]
-            data = np.frombuffer(unpress.decompress(body.as_py()), np.uint8)
-            out = shingle_sets(data, np.array([0, len(data)]), size)[0]
-            recent[key] = out
-            if len(recent) > 64:
-                recent.popitem(last=False)
+            out = recent[key] = exact_shingles(unpress.decompress(body.as_py()), size)
+            held += len(out)
+            while len(recent) > 64 or held > 300_000 and len(recent) > 1:
+                held -= len(recent.popitem(last=False)[1])
             return out
 
         for batch in batches:
@@ -184,7 +196,7 @@ def _verified(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) -> D
             kept = []
             for i in range(batch.num_rows):
                 x, y = shingles(a[i], batch.column(2)[i]), shingles(b[i], batch.column(3)[i])
-                both = len(x) + len(y) - len(np.union1d(x, y)) if len(x) and len(y) else 0
+                both = len(x & y)
                 if 100 * both >= percent * (len(x) + len(y) - both) and both:
                     kept.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in kept], pa.int64()), pa.array([b[i] for i in kept], pa.int64())], names=["a", "b"])
@@ -204,12 +216,15 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         met = large.join(low, "b")
         small = met.select(F.col("m").alias("a"), F.col("a").alias("b")).union(met.select(F.col("m").alias("a"), "b"))
-        edges = materialize(small.where("a <> b").distinct())
+        before, edges = edges, materialize(small.where("a <> b").distinct())
+        drop_table(before)
         # Done when all are stars: a node is a root, or it has one root.
         ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
         odd = ends.groupBy("x").agg(F.max("up").alias("up"), F.sum("down").alias("down")).where("down > 1 OR down = 1 AND up = 1")
         if not odd.limit(1).count():
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+            out = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+            out._loom_path = edges._loom_path  # so that it can be dropped in its turn
+            return out
 
 
 def near_duplicates(
@@ -222,8 +237,8 @@ def near_duplicates(
     df = df.drop(*[c for c in own if c not in (id_col, text_col)])
     signed = materialize(signatures(df, size, permutations, rows, id_col, text_col))
     known = signed.where("_id IS NOT NULL AND n_shingles > 0")
-    sets = ["set_a", "set_b", "n_shingles"]
-    # One class per set; its bands are the same for all members.
+    sets = ["words", "n_shingles"]
+    # One class per sequence of words; its bands are the same for all members.
     classes = materialize(known.groupBy(*sets).agg(F.min("_id").alias("rep"), F.count("*").alias("_n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     many = classes.where("_n > 1").select(*sets, "rep")
     # A class goes by its least id, or by a number where an id of several texts is the least one of several classes.
@@ -238,6 +253,7 @@ def near_duplicates(
 
     tested, root, pivots, apart = None, None, 1, most_differences(2 * permutations, percent)
     hubs = True  # the first round: each bucket's least member is its pivot
+    met = None
     while True:
         placed = members.withColumn("c", F.col("doc")) if root is None else join_small(members, root.withColumnRenamed("node", "doc"), "doc").withColumn("c", F.coalesce("root", "doc")).drop("root")
         if hubs:
@@ -250,12 +266,14 @@ def near_duplicates(
             placed = placed.join(open_keys, "key").where((100 + percent) * (F.col("n") - F.col("at")) >= percent * (F.col("n") + F.col("_least")))
             # Pivots: the smallest set of each slot that a hash deals out, of those outside the component
             # of a member drawn by hash, so that strays among many copies have their turn soon. At most
-            # ``pivots`` of a bucket's members come together here.
+            # 64 of a bucket's members come together in a row.
             slot = F.pmod(F.xxhash64("doc", F.lit(pivots)), F.lit(pivots))
             strays = placed.where(F.col("c") != F.col("_main"))
             placed = placed.drop("_main", "_least")
-            chosen = strays.groupBy("key", slot.alias("_slot")).agg(F.min(F.struct("n", "doc", "c", "sketch", "at")).alias("p")).groupBy("key").agg(F.collect_list("p").alias("p"))
-        met = materialize(placed.join(chosen, "key"))
+            chosen = strays.groupBy("key", slot.alias("_slot")).agg(F.min(F.struct("n", "doc", "c", "sketch", "at")).alias("p"))
+            chosen = chosen.groupBy("key", F.floor(F.col("_slot") / 64).alias("_part")).agg(F.collect_list("p").alias("p")).drop("_part")
+        previous, met = met, materialize(placed.join(chosen, "key"))
+        drop_table(previous, members)
         if not met.limit(1).count():
             break
         # Sizes, places and sketches leave out, before any row is made, pairs that can't be similar enough:
@@ -273,10 +291,15 @@ def near_duplicates(
         pairs = materialize(pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
         fresh = materialize(_verified(pairs, bodies, size, percent))
-        members = met.where(~F.array_contains(F.transform("p", lambda x: x.doc), F.col("doc"))).select("key", "doc", "n", "sketch", "at")
+        # Pivots have met their buckets. A member meets the parts of a bucket's pivots in several rows; it stays
+        # if it is no pivot in any.
+        members = met.groupBy("key", "doc").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("at").alias("at"), F.max(F.array_contains(F.transform("p", lambda x: x.doc), F.col("doc"))).alias("_was")) if pivots > 64 else met.withColumn("_was", F.array_contains(F.transform("p", lambda x: x.doc), F.col("doc")))
+        members = members.where("NOT _was").select("key", "doc", "n", "sketch", "at")
         if fresh.limit(1).count():
             links = fresh if root is None else root.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(fresh)
-            root = components(links)
+            before, root = root, components(links)
+            drop_table(before)
+        drop_table(fresh)
         if hubs:
             hubs = False
             # Most copies are linked now. Documents of buckets that hold several components still may be
@@ -286,8 +309,8 @@ def near_duplicates(
             doubtful = materialize(met.join(mixed, "key").groupBy("doc").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
             members = materialize(_prefixes(doubtful, bodies, size, percent).join(doubtful, "doc").select("key", "doc", "n", "sketch", "at"))
         else:
-            pivots = min(pivots * 16, 64)
-
+            pivots = min(pivots * 16, 64) if pivots < 64 else pivots * 4
+    drop_table(met, bodies)
     if shared and root is not None:  # from classes to their ids, which link up through the ids of several texts
         rep_of = classes.select("node", "rep")
         ids = root.join(rep_of, "node").select("root", F.col("rep").alias("b"))
