@@ -7,18 +7,22 @@ run. Each symbol knows the words that decide it, its context; a symbol whose con
 occurs in every copy of that window. The least name of these anchors, taken with its context's words,
 represents the window.
 
+A global dictionary of names, which rounds over all data would fill, is not needed for that: a name is a
+hash of what it stands for, so all batches give one thing one name without an exchange. What unlike
+things share by accident is a candidate too many, as the last step compares the words themselves.
+
 1. Each batch of documents names its windows' anchors; names are dealt to key ranges, where those of
    two documents or more are found: the shared symbols. One bit per name returns to the batch.
-2. Only windows with a shared anchor (or with none) are named whole, 13 words each, and dealt to key
-   ranges with their least document. One bit per name returns: whether a lesser document has it.
+2. Only windows with a shared anchor (or with none) go on, as words: each batch tells its own apart by
+   their bytes and deals each distinct one, with its least document, by its anchor. There the bytes are
+   compared among all batches, and one bit per window returns: whether a lesser document has it.
 3. Each batch marks the words of such windows and puts out what is left.
 
-Names are 64-bit hashes; a window counts as repeated only if its anchor's and its own name are.
-
 Batches are kept as compressed Arrow streams in the shared folder; what travels is about 8 bytes for
-each anchor and each candidate window, deduplicated within the batch, so a passage in very many
-documents weighs no more than once per batch. Key ranges grow in number with the input and hold a
-bounded share each.
+each anchor, and the words of each candidate window (compressed next to its neighbours, with which it
+shares all but one), both deduplicated within the batch, so a passage in very many documents weighs no
+more than once per batch. Key ranges grow in number with the input and hold a bounded share each; keys
+are mixed anew after minima are taken, so that they fill the ranges evenly.
 
 Nulls: a null text has no words; a null id counts as larger than all others, and nulls don't repeat each
 other. Texts shorter than a window lose nothing. Texts of any length are processed whole. Rows of one
@@ -125,7 +129,7 @@ class Batch:
         self.at = np.flatnonzero(self.doc[:n] == self.doc[window - 1 :]) if n > 0 else np.zeros(0, np.int64)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each window of ``at``: whether it has an anchor, and the least anchor's name."""
+        """For each window of ``at``: whether it has an anchor, and the least anchor's name, mixed anew."""
         name, _, _, low, high = recompress(self.words, self.doc)
         use = (low >= 0) & (high <= len(self.words)) & (high - low <= self.window)
         name, low, high = name[use], low[use], high[use]
@@ -137,7 +141,33 @@ class Batch:
         for j in range(int(width.max(initial=0))):
             some = np.flatnonzero(width > j)
             best[some] = np.minimum(best[some], key[first[some] + j])
-        return width > 0, best
+        return width > 0, mix(best)
+
+    def window_texts(self, at: np.ndarray) -> pa.Array:
+        """The windows at the places as bytes, one space between words."""
+        used = np.zeros(len(self.words) + 1, np.int64)
+        np.add.at(used, at, 1)
+        np.add.at(used, at + self.window, -1)
+        word = np.flatnonzero(np.cumsum(used)[:-1])
+        where = np.zeros(len(self.words), np.int64)
+        where[word] = np.arange(len(word))
+        size = self.end[word] - self.start[word] + 1
+        off = np.concatenate([[0], np.cumsum(size)])
+        joined = np.empty(off[-1], np.uint8)
+        padded = np.append(self.data, np.uint8(32))
+        for i in range(0, len(word), 1 << 15):
+            some = slice(i, i + (1 << 15))
+            joined[off[i] : off[min(len(word), i + (1 << 15))]] = ragged(padded, self.start[word[some]], size[some])[0]
+        joined[off[1:] - 1] = 32
+        first, last = off[where[at]], off[where[at + self.window - 1] + 1] - 1
+        ends = np.concatenate([[0], np.cumsum(last - first)])
+        out = np.empty(ends[-1], np.uint8)
+        i = 0
+        while i < len(at):  # pieces of bounded size, as places take eight bytes for each byte
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + (1 << 20), "right")) - 1)
+            out[ends[i] : ends[j]] = ragged(joined, first[i:j], last[i:j] - first[i:j])[0]
+            i = j
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(out)])
 
     def least(self, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct keys in order, the least id and the largest id that has each."""
@@ -149,6 +179,47 @@ class Batch:
         return k[head], np.minimum.reduceat(d, head), np.maximum.reduceat(d, head)
 
 
+class Windows:
+    """The distinct ones of a batch's windows, told apart by their words' bytes, in the order of their key ranges."""
+
+    def __init__(self, batch: Batch, at: np.ndarray, keys: np.ndarray, bits: int):
+        self.texts, self.bounds = pa.array([], pa.large_binary()), np.zeros((1 << bits) + 1, np.int64)
+        self.code, self.least = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if not len(at):
+            return
+        codes = batch.window_texts(at).dictionary_encode()
+        code = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        n = len(codes.dictionary)
+        first = np.full(n, len(at))
+        np.minimum.at(first, code, np.arange(len(at)))
+        least = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(least, code, batch.ids[batch.doc[at]])
+        bucket = keys[first] >> _U(64 - bits)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.texts, self.least, self.code = codes.dictionary.take(pa.array(order)), least[order], place[code]
+        self.bounds = np.searchsorted(bucket[order], np.arange((1 << bits) + 1, dtype=_U))
+
+
+def _pack_texts(texts: pa.Array) -> bytes:
+    """Strings of bytes as one compressed block: their lengths, then their bytes."""
+    import zstandard
+
+    off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    body = np.frombuffer(texts.buffers()[2], np.uint8)[off[0] : off[-1]]
+    return zstandard.compress(np.int64(len(texts)).tobytes() + np.diff(off).tobytes() + body.tobytes(), 1)
+
+
+def _unpack_texts(raw: bytes) -> pa.Array:
+    import zstandard
+
+    data = zstandard.decompress(raw)
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    off = np.concatenate([[0], np.cumsum(np.frombuffer(data, np.int64, n, 8))]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(off.tobytes()), pa.py_buffer(data[8 + 8 * n :])])
+
+
 def _pack(df: DataFrame, text_col: str, batch_bytes: int) -> DataFrame:
     """Rows (batch, rows, n_bytes): documents as compressed Arrow streams of about ``batch_bytes`` of text."""
 
@@ -197,7 +268,8 @@ def _marks(value) -> list[tuple[int, bytes]]:
 def repeated(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, batch_bytes: int = 4 << 20, range_bytes: int = 32 << 20) -> DataFrame:
     """``df`` with n_words, n_removed, removed (spans [first, last] of words), kept_text.
 
-    range_bytes: text per key range; what one task of a range holds is about a quarter of that.
+    range_bytes: text per key range of names, of which one task holds about a quarter; ranges of windows
+    are half as wide, and a task holds at most ``window`` times that, if all text repeats.
     """
     if window < 2:
         raise ValueError("window must be 2 words or more")
@@ -207,6 +279,7 @@ def repeated(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
     packed = materialize(_pack(df, text_col, batch_bytes))
     total = packed.agg(F.sum("n_bytes")).first()[0] or 0
     bits = max(3, (max(1, total // range_bytes) - 1).bit_length())
+    bits_of_windows = bits + 1
 
     def anchor_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,16 +287,13 @@ def repeated(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
                 b = Batch(from_ipc(batch.column(1)[i].as_py()), id_col, text_col, window)
                 has, best = b.anchors()
                 keys, least, most = b.least(best[has], b.at[has])
-                yield from parcels(batch.column(0)[i].as_py(), keys, np.packbits(least != most), least, bits, with_ids=False)
-
-    def parcels(name: str, keys: np.ndarray, several: np.ndarray, least: np.ndarray, bits: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-        import zstandard
+                bounds, several = _dealt(keys, bits), least != most
+                rows = [(k, pack_sorted(keys[x:y]), np.packbits(several[x:y]).tobytes()) for k, (x, y) in enumerate(zip(bounds, bounds[1:])) if y > x]
+                yield from parcels(batch.column(0)[i].as_py(), rows)
 
-        bounds = _dealt(keys, bits)
-        many = np.unpackbits(several, count=len(keys))
-        rows = [(k, pack_sorted(keys[a:b]), zstandard.compress(least[a:b].tobytes(), 1) if with_ids else np.packbits(many[a:b]).tobytes()) for k, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
+    def parcels(name: str, rows: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         if rows:
-            columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([name] * len(rows)), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())]
+            columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([name] * len(rows)), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))]
             yield pa.RecordBatch.from_arrays(columns, names=["bucket", "batch", "keys", "about"])
 
     def returned(table: pa.Table, bits_of: list[np.ndarray]) -> pa.Table:
@@ -243,14 +313,13 @@ def repeated(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
     def lesser_ids(table: pa.Table) -> pa.Table:
         import zstandard
 
-        keys = [unpack_sorted(x.as_py()) for x in table.column("keys")]
-        least = [np.frombuffer(zstandard.decompress(x.as_py()), np.int64) for x in table.column("about")]
-        k, d = np.concatenate(keys), np.concatenate(least)
-        order = np.argsort(k, kind="stable")
-        k, d = k[order], d[order]
-        head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        names, minimum = k[head], np.minimum.reduceat(d, head)
-        return returned(table, [minimum[np.searchsorted(names, x)] < y for x, y in zip(keys, least)])
+        texts = pa.chunked_array([_unpack_texts(x.as_py()) for x in table.column("keys")], pa.large_binary())
+        sizes = [len(c) for c in texts.chunks]
+        code = texts.combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        d = np.concatenate([np.frombuffer(zstandard.decompress(x.as_py()), np.int64) for x in table.column("about")])
+        least = np.full(int(code.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, code, d)
+        return returned(table, np.split(least[code] < d, np.cumsum(sizes)[:-1]))
 
     returned_type = "bucket int, batch string, bits binary"
     parcel_type = "bucket int, batch string, keys binary, about binary"
@@ -262,24 +331,30 @@ def repeated(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
     shared = by_batch(packed.mapInArrow(frugal(anchor_names), parcel_type), shared_names)
     marked = packed.select("batch", "rows").join(shared.withColumnRenamed("marks", "shared"), "batch", "left")
 
-    def candidates(b: Batch, marks: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Places and names of the windows whose anchor is shared, or that have none."""
+    def candidates(b: Batch, marks: list[tuple[int, bytes]]) -> tuple[np.ndarray, Windows]:
+        """Places of the windows whose anchor is shared, or that have none, and the distinct ones of these."""
         has, best = b.anchors()
         keys = np.unique(best[has])
         wanted = ~has
         wanted[has] = _flags(marks, _dealt(keys, bits))[np.searchsorted(keys, best[has])]
         at = b.at[wanted]
-        return at, gram_hashes(b.words, window)[at] if len(at) else np.zeros(0, _U)
+        key = best[wanted]
+        alone = np.flatnonzero(~has[wanted])
+        if len(alone):
+            key[alone] = gram_hashes(b.words, window)[at[alone]]
+        return at, Windows(b, at, key, bits_of_windows)
+
+    def window_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
-    def window_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 b = Batch(from_ipc(batch.column(1)[i].as_py()), id_col, text_col, window)
-                at, names = candidates(b, _marks(batch.column(2)[i]))
-                keys, least, _ = b.least(names, at)
-                yield from parcels(batch.column(0)[i].as_py(), keys, np.zeros(0, np.uint8), least, bits, with_ids=True)
+                _, w = candidates(b, _marks(batch.column(2)[i]))
+                rows = [(k, _pack_texts(w.texts.slice(x, y - x)), zstandard.compress(w.least[x:y].tobytes(), 1)) for k, (x, y) in enumerate(zip(w.bounds, w.bounds[1:])) if y > x]
+                yield from parcels(batch.column(0)[i].as_py(), rows)
 
-    lesser = by_batch(marked.select("batch", "rows", "shared").mapInArrow(frugal(window_names), parcel_type), lesser_ids)
+    lesser = by_batch(marked.select("batch", "rows", "shared").mapInArrow(frugal(window_texts), parcel_type), lesser_ids)
     final = marked.join(lesser.withColumnRenamed("marks", "lesser"), "batch", "left").select("rows", "shared", "lesser")
     kept_fields = [f for f in source.fields if keep_text or f.name != text_col]
     names_out = [f.name for f in kept_fields]
@@ -290,10 +365,8 @@ def repeated(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
         for batch in batches:
             for i in range(batch.num_rows):
                 b = Batch(from_ipc(batch.column(0)[i].as_py()), id_col, text_col, window)
-                at, names = candidates(b, _marks(batch.column(1)[i]))
-                keys, least, _ = b.least(names, at)
-                place = np.searchsorted(keys, names)
-                again = _flags(_marks(batch.column(2)[i]), _dealt(keys, bits))[place] | (b.ids[b.doc[at]] > least[place]) if len(at) else np.zeros(0, bool)
+                at, w = candidates(b, _marks(batch.column(1)[i]))
+                again = _flags(_marks(batch.column(2)[i]), w.bounds)[w.code] | (b.ids[b.doc[at]] > w.least[w.code]) if len(at) else np.zeros(0, bool)
                 cover = np.zeros(len(b.words) + 1, np.int64)
                 np.add.at(cover, at[again], 1)
                 np.add.at(cover, at[again] + window, -1)

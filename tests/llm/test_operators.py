@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +92,40 @@ def test_substring_dedup_random(spark):
             assert got[i] == len(gone)
 
 
+def thue_morse(n, first="a"):
+    """Words whose polynomial hashes modulo 2**64 are equal, whatever the base, from 1,024 letters on."""
+    other = {"a": "b", "b": "a"}
+    t = first
+    while len(t) < n:
+        t += "".join(other[c] for c in t)
+    return t[:n]
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_feign_equal_hashes(spark, n, monkeypatch):
+    a, b = thue_morse(n), thue_morse(n, "b")
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    from loomspark.llm.common import word_hashes
+
+    x, y = word_hashes(data, np.array([0, n]), np.array([n, 2 * n])).tolist()
+    assert x != y
+    rows = [(1, " ".join([a] * 3 + [f"w{i}" for i in range(10)])), (2, " ".join([b] * 3 + [f"w{i}" for i in range(10)])), (3, " ".join([a] * 9 + [b] * 9))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substring_dedup.repeated(df, window=12).collect()}
+    assert got == {1: 0, 2: 0, 3: 0}
+    assert all(r.component_id == r.doc_id for r in minhash.near_duplicates(df, size=3, percent=85, permutations=40).collect())
+
+
+def test_equal_hashes_remove_and_link_nothing():
+    """What is compared in the end are words: with all hashes equal, only equal windows are told to be so."""
+    rows = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["a b c d", "e f g  h", "x b c d"]})
+    b = substring_dedup.Batch(rows, "doc_id", "text", 3)
+    b.words[:] = 7
+    w = substring_dedup.Windows(b, b.at, np.zeros(len(b.at), np.uint64), 3)
+    assert [x.as_py() for x in w.texts] == [b"a b c", b"b c d", b"e f g", b"f g h", b"x b c"] and w.code.tolist() == [0, 1, 2, 3, 4, 1]
+    assert w.least.tolist() == [1, 1, 2, 2, 3] and substring_dedup._unpack_texts(substring_dedup._pack_texts(w.texts)).equals(w.texts)
+
+
 def shingles(t, n):
     w = words("".join(c.lower() if c < "\x7f" else c for c in t or ""))
     return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
@@ -171,8 +206,6 @@ def test_bpe(docs):
     rnd = random.Random(3)
     letters = list("'strlvemd  \n\t1aÉ!漢😀\x1c²") + ["\xa0", "　", "́"]
     texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 30))) for _ in range(3000)]
-    import pyarrow as pa
-
     from loomspark.llm.common import utf8_buffer
 
     ids, upto = coder.encode(*utf8_buffer(pa.array(texts)))
