@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 
@@ -24,14 +27,16 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._loom_dir
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back, cutting its lineage.
+def materialize(df: DataFrame, *by: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back, cutting its lineage; by: one folder for
+    each value of these columns.
 
     The table survives the loss of any executor; its schema is the written one.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+    _made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._loom_path = path
     return out
@@ -42,5 +47,24 @@ def drop_table(*tables: DataFrame | None) -> None:
     for df in tables:
         path = getattr(df, "_loom_path", None)
         if path:
-            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _made:
+        _made.remove(path)
+
+
+def tables_made() -> list[str]:
+    """Paths of the tables that ``materialize`` made in this process and nobody dropped."""
+    return list(_made)
+
+
+def drop_tables_since(spark: SparkSession, before: list[str], keep: DataFrame | None = None) -> None:
+    """Delete the tables made since ``before`` (of ``tables_made``), except that of ``keep``: what a finished
+    step read on its way."""
+    for path in tables_made():
+        if path not in before and path != getattr(keep, "_loom_path", None):
+            _delete(spark, path)
