@@ -1,11 +1,16 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
-Four small transducers read a clause's word classes (insult, threat, target, negation, reported
-speech) and weigh what they pass: insults and threats count more near a target, less in the scope of a
-negation and less in reported speech. They are composed once into one machine. A clause's score is the
-weight that machine lets through. Every clause that holds an insult or a threat is matched: a lone insult
-without a target scores its full weight, a lone threat 0.3 of it, so that a clean text which only mentions
-such a word has a matched clause too. A document's
+Five small transducers read a clause's word classes (insult, threat, target, negation, reported speech)
+and are composed once into one machine, whose output is the clause's score. What scores are patterns:
+
+- insult: an insult within a phrase, that is, with another word of its clause before or behind it; a clause
+  that is one insult and nothing else is no match and scores 0;
+- threat: a threat with a target at most four words before or behind it; without one it scores 0;
+- target: what falls near a target weighs half more, what has none 0.8;
+- negation: what falls in the three words behind one weighs a quarter;
+- reported speech: what falls behind a verb of speech weighs half.
+
+So a word list alone scores nothing: every score is the output of a matched pattern. A document's
 features are its best clause and the sum over its clauses; a logistic model turns them into a score.
 
 Insult words and stems come from a seed list and from labelled documents: words, and beginnings of
@@ -16,7 +21,8 @@ only from training rows (crc32 of the id modulo 5 is not 0), from a sample of at
 of them, which is the bound of what is fitted; labels, languages, sources and ids are no inputs.
 
 Nulls and empty texts have no clause and get the model's score for that. Texts of any length are
-scanned whole. Repeated rows score alike; several labels of one document count one by one. Without
+scanned whole. Repeated rows score alike; of a document each distinct label counts once, and of several texts under one
+id the least is learned from. Without
 labels the seed grammar scores with fixed weights. An empty table gives no rows. All input columns are
 kept; those named like a result column are replaced.
 """
@@ -37,6 +43,8 @@ from pyspark.sql import types as T
 from .common import frugal, load, materialize, slices
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+#: Words between a threat and its target.
+REACH = 4
 INSULTS = "idiot idiots moron morons loser losers scum trash pathetic worthless stupid disgusting clown dumb fool jerk bastard idiota imbécil estúpido estúpida asqueroso basura dummkopf arschloch abschaum wertlos imbécile abruti connard crétin salaud".split()
 THREATS = "kill hurt destroy beat stab shoot punch burn matar golpear umbringen töten verletzen tuer frapper".split()
 TARGETS = "you your you're he she they them him her it's that this is are was eres usted ustedes tú du ihr sie dich euch ist tu vous toi il elle est".split()
@@ -48,12 +56,30 @@ _PLAIN = str.maketrans({"’": "'", "“": " ", "”": " ", "«": " ", "»": " "
 _BYTES = bytes(b if b >= 128 or 97 <= b <= 122 or b == 39 else 46 if b in b".!?;\n" else 32 for b in range(256))
 
 
-# --- transducers: (start, step), step(state, class) -> (state, factor of what the class weighs)
+# --- transducers: each starts in state 0
+# Matchers: step(state, class) -> (state, what comes out). Weighers: step(state, class) -> (state, factor).
+def _insult(state: int, kind: int) -> tuple[int, float]:
+    """Passes an insult's weight. States: 0 nothing yet, 1 other words, 2 one insult alone, 3 an insult in a phrase."""
+    if kind == INSULT:
+        return (2 if state == 0 else 3), 1.0
+    return (1 if state <= 1 else 3), 0.0
+
+
+def _threat(state: int, kind: int) -> tuple[int, float]:
+    """Puts out a threat once it has its target: on the threat if the target came first, else on the target.
+    States: 0, 1 to REACH words since a target, and negative ones since a threat that still lacks one."""
+    if kind == TARGET:
+        return REACH, (1.0 if state < 0 else 0.0)
+    if kind == THREAT:
+        return (state - 1, 1.0) if state > 0 else (-REACH, 0.0)
+    return (state - 1 if state > 0 else state + 1 if state < 0 else 0), 0.0
+
+
 def _target(state: int, kind: int) -> tuple[int, float]:
-    """Near a target (4 words) an insult counts half more; a threat counts little without one."""
+    """Near a target (REACH words) a word weighs half more; far from any, 0.8."""
     if kind == TARGET:
-        return 4, 1.0
-    return max(0, state - 1), (1.5 if state else 0.3 if kind == THREAT else 1.0)
+        return REACH, 1.5
+    return max(0, state - 1), 1.5 if state else 0.8
 
 
 def _negation(state: int, kind: int) -> tuple[int, float]:
@@ -68,39 +94,37 @@ def _report(state: int, kind: int) -> tuple[int, float]:
     return (1, 1.0) if kind == REPORT else (state, 0.5 if state else 1.0)
 
 
-def _passes(state: int, kind: int) -> tuple[int, float]:
-    """Only insults and threats weigh; a second one in a row counts half."""
-    return (1, 0.5 if state else 1.0) if kind in (INSULT, THREAT) else (0, 0.0)
-
-
-def compose(*steps) -> dict[tuple[int, int], tuple[int, float]]:
-    """The product of transducers that start in state 0, over the states that can be reached."""
-    number, queue, table = {(0,) * len(steps): 0}, [(0,) * len(steps)], {}
+def compose(insult, threat, *weighers) -> tuple[dict[tuple[int, int], tuple[int, float, float]], frozenset[int]]:
+    """The product of two matchers and of weighers of what they put out, over the states that can be reached:
+    (state, class) -> (state, factor of an insult's weight, factor of a threat's), and the final states in
+    which an insult lies in a phrase."""
+    number, queue, table = {(0,) * (2 + len(weighers)): 0}, [(0,) * (2 + len(weighers))], {}
     fresh = count(1)
     while queue:
         states = queue.pop()
         for kind in range(6):
-            out = [step(s, kind) for step, s in zip(steps, states)]
-            to, factor = tuple(s for s, _ in out), float(np.prod([f for _, f in out]))
+            out = [step(s, kind) for step, s in zip((insult, threat, *weighers), states)]
+            to, factor = tuple(s for s, _ in out), float(np.prod([f for _, f in out[2:]]))
             if to not in number:
                 number[to] = next(fresh)
                 queue.append(to)
-            table[number[states], kind] = number[to], factor
-    return table
+            table[number[states], kind] = number[to], out[0][1] * factor, out[1][1] * factor
+    return table, frozenset(n for s, n in number.items() if s[0] == 3)
 
 
 @lru_cache(1)
-def machine() -> dict[tuple[int, int], tuple[int, float]]:
-    return compose(_target, _negation, _report, _passes)
+def machine():
+    return compose(_insult, _threat, _target, _negation, _report)
 
 
 def clause_score(kinds: list[tuple[int, float]]) -> float:
-    """What the machine lets through of a clause's (class, weight) pairs."""
-    table, state, total = machine(), 0, 0.0
+    """What the machine puts out for a clause's (class, weight) pairs."""
+    (table, final), state, insults, threats = machine(), 0, 0.0, 0.0
     for kind, weight in kinds:
-        state, factor = table[state, kind]
-        total += factor * weight
-    return total
+        state, insult, threat = table[state, kind]
+        insults += insult * weight
+        threats += threat * SEED_WEIGHT
+    return (insults if state in final else 0.0) + threats
 
 
 def normal(text: str) -> bytes:
@@ -142,7 +166,7 @@ class Grammar:
         return OTHER, 0.0
 
     def clauses(self, text: str | None) -> list[float]:
-        """Scores of the clauses of a text that hold an insult or a threat."""
+        """Scores of the clauses of a text in which a pattern matches."""
         if not text:
             return []
         raw = b" " + normal(text).replace(b".", b" . ") + b" "
@@ -249,7 +273,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, most_term
     seeds = dict.fromkeys(INSULTS, SEED_WEIGHT)
     train = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic"))
     train = train.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
-    sample = materialize(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(train), "_id").select("text", "toxic"))
+    met = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(train), "_id")
+    sample = materialize(met.groupBy("_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"))  # no more rows than labels
     totals = sample.groupBy("toxic").count().collect()
     by = {r.toxic: r["count"] for r in totals}
     toxic, clean = by.get(1, 0), by.get(0, 0)

@@ -231,7 +231,12 @@ def test_license_words_and_base(docs, spark):
 def test_license_expressions():
     parse, evaluate = license_scan.parse_expression, license_scan.evaluate
     assert parse("mit or apache-2.0 and bsd-3-clause") == ["mit", "apache-2.0", "bsd-3-clause", "and", "or"]
-    assert evaluate(parse("(mit or gpl-2.0-only with x) and zlib")) == [frozenset({"mit", "zlib"}), frozenset({"gpl-2.0-only", "zlib"})]
+    assert evaluate(parse("(gpl-2.0-only with x or mit) and zlib")) == ({"mit", "gpl-2.0-only", "zlib"}, ["mit", "zlib"], True)
+    assert evaluate(parse("gpl-3.0-only or gpl-2.0-only and mit"))[1:] == (["gpl-3.0-only"], False)
+    assert evaluate(parse("mit and (gpl-3.0-only or isc and zlib)"))[1:] == (["mit", "isc", "zlib"], True)
+    assert evaluate(parse("gpl-3.0-only with classpath-exception"), frozenset({"gpl-3.0-only"})) == ({"gpl-3.0-only"}, ["gpl-3.0-only"], True)
+    many = evaluate(parse(" and ".join(f"(a{i}-1 or mit)" for i in range(60))))  # 2**60 choices
+    assert many[1:] == (["mit"], True) and len(many[0]) == 61
     for bad in ("", "mit or", "(mit", "mit)", "mit mit", "or mit", "mit (gpl)", "()", "mit; gpl"):
         assert parse(bad) is None
 
@@ -336,6 +341,23 @@ def test_sharding(docs, tmp_path):
     assert docs.sparkSession.read.parquet(str(tmp_path / "s")).count() == len(rows)
 
 
+def test_sharding_of_rows_without_ids(spark, tmp_path):
+    """A third of all rows without an id, a third copies of one row: no task holds more than a few buckets."""
+    rows = [(None, f"text {i} " + "x" * 80) for i in range(3000)] + [(7, "same " + "y" * 80)] * 3000 + [(i, "z" * 80) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sharding.shard(df, shards=4, bucket_bytes=20_000).withColumn("part", F.spark_partition_id())
+    largest = got.groupBy("part").count().agg(F.max("count")).first()[0]
+    out = got.collect()
+    by = {}
+    for r in out:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert len(out) == 9000 and all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert len({r.shard for r in out if r.doc_id is None}) == 1 and len({r.shard for r in out if r.doc_id == 7}) == 1
+    assert largest < 3000
+    sharding.write_shards(df, str(tmp_path / "s"), shards=4, bucket_bytes=20_000)
+    assert len(list((tmp_path / "s").glob("shard=*/*.parquet"))) > 4  # more than one task to a shard
+
+
 def brute_targets(sizes, weights=(5, 2, 1), most=3.0):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[k % 3] for k, s in enumerate(names)}
@@ -439,21 +461,49 @@ def test_host_rates_shrink(spark):
     assert rate["good"] < 0.05 and rate["bad"] > 0.95 and rate["good"] < rate["tiny"] < rate["bad"]
 
 
+def test_suspect_hosts_lose_weakly_failing_documents(spark):
+    """The same text, with repeated lines enough for the weak rule only, stays on a good host and goes on a bad one."""
+    rnd = random.Random(9)
+    line = lambda: " ".join(f"w{rnd.randint(0, 9999)}" for _ in range(9))
+    clean = lambda: "\n".join(line() for _ in range(6))
+    lines = [f"x{i} y{i} z{i}" for i in range(6)]
+    weak = "\n".join([clean(), *lines, *lines[::-1]])  # a third of its lines repeat, though in no long run of words
+    rows = [(i, clean(), "good") for i in range(300)] + [(1000 + i, clean() if i % 2 else "too short", "bad") for i in range(100)] + [(2000 + i, clean(), f"h{i % 20}") for i in range(1000)]
+    rows += [(1, weak, "good"), (2, weak, "bad")]
+    got = {r.doc_id: r for r in quality.assess(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("doc_id IN (1, 2, 1001)").collect()}
+    assert got[1].weak_failed and got[2].weak_failed and not got[2].base_failed and not got[2].strong_failed
+    assert (got[1].kept, got[2].kept, got[1001].kept) == (True, False, True)
+    assert (got[1].host_suspect, got[2].host_suspect) == (False, True)
+
+
 def test_toxicity_grammar():
     g = toxicity.Grammar({"idiot": 3.0, "trash": 3.0}, {"lowei": 4.0})
     best = lambda t: max(g.clauses(t), default=0.0)
-    assert best("you are an idiot") > best("an idiot") > best("he is not an idiot") > 0
-    assert best("he said an idiot came") < best("an idiot came")
-    assert best("I will kill you. fine") < best("you they kill") and best("to kill time") < best("an idiot")
-    assert best("nothing here. idiotic") == 0 and best("LoweiTum und") == 4.0 and best("lowei") == 0
+    # target, negation and report each change what an insult's match weighs
+    assert best("you are an idiot") == pytest.approx(4.5) and best("an idiot came") == pytest.approx(2.4)
+    assert best("an never idiot came") == pytest.approx(0.6) and best("mary said an idiot came") == pytest.approx(1.2)
+    assert best("you said not idiot") == pytest.approx(3 * 1.5 * 0.25 * 0.5)
+    # a threat is matched with its target only, on either side
+    assert best("I will kill you. fine") == best("you they kill") == pytest.approx(4.5)
+    assert best("to kill time") == 0 and best("kill one two three four you") == 0 and best("not kill you") == pytest.approx(4.5 * 0.25)
+    # no pattern, no score: words alone, endings of stems, unlisted words
+    assert best("idiot") == best("idiot.") == best("fine. Idiot! fine") == best("kill") == 0
+    assert best("trash idiot") > 0 and best("idiot, mister") > 0
+    assert best("nothing here. idiotic") == 0 and best("LoweiTum und") == pytest.approx(3.2) and best("a lowei") == 0
     assert g.clauses(None) == [] and g.clauses("") == []
-    assert len(g.clauses("idiot. idiot! trash; fine")) == 3
+    assert len(g.clauses("an idiot. an idiot! some trash; fine")) == 3
 
 
-def test_toxicity_of_lone_words_is_stated():
-    g = toxicity.Grammar({"grumbo": 2.0}, {})
-    assert g.clauses("a grumbo passed") == [2.0] and g.clauses("to kill time") == [pytest.approx(0.3 * toxicity.SEED_WEIGHT)]
-    assert "never score" not in toxicity.__doc__ and "a lone insult" in toxicity.__doc__
+@pytest.mark.parametrize("gone", ["_insult", "_threat", "_target", "_negation", "_report"])
+def test_each_transducer_matters(gone, monkeypatch):
+    texts = ["you are an idiot", "an idiot", "never an idiot", "he said an idiot", "I will kill you", "idiot"]
+    g = toxicity.Grammar({"idiot": 3.0}, {})
+    full = [g.clauses(t) for t in texts]
+    monkeypatch.setattr(toxicity, gone, lambda state, kind: (0, 0.0 if gone in ("_insult", "_threat") else 1.0))
+    toxicity.machine.cache_clear()
+    assert [g.clauses(t) for t in texts] != full
+    monkeypatch.undo()
+    toxicity.machine.cache_clear()
 
 
 def test_toxicity_learns(spark):
@@ -475,7 +525,7 @@ def test_toxicity_learns(spark):
     assert len(out) > 80 and sum((r.toxicity >= 0.5) == bool(r.toxic) for r in out) / len(out) > 0.97
     assert any(s.startswith("grum") for s in model.stems)
     assert {zlib.crc32(str(r.doc_id).encode()) % 5 for r in out} == {0}
-    assert toxicity.accepted(docs, model).count() == 500
+    assert abs(toxicity.accepted(docs, model).count() - 500) <= 3
     plain = toxicity.fit(docs, labels.where("false"))
     assert 0 <= plain.score(None)[0] < 0.5 <= plain.score("you idiot moron you are scum")[0]
     assert toxicity.scored(docs.where("false"), model).count() == 0

@@ -12,7 +12,7 @@ from public_tokenizers import PATTERN, path
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomspark.llm import license_scan, registry, substring_dedup
+from loomspark.llm import license_scan, registry, substring_dedup, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,11 +67,11 @@ def test_bpe_query_rows(spark):
 def test_license_query_rows(spark):
     want = set()
     for i, t in documents(spark).items():
-        n, found, _, score = license_scan.scan_text(t.encode())
+        n, found, expressions, score = license_scan.scan_text(t.encode())
         w = re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if c < "\x7f" else c for c in t))
         base = sorted((k, x) for p, x in license_scan.BASE.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
         at = [k for k, _ in base]
-        want.add((i, len(w), len(base), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in base})), ",".join(sorted({m[1] for m in found})), score))
+        want.add((i, len(w), len(base), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in base})), ",".join(sorted({m[1] for m in found})), score, ",".join(sorted({x for e in expressions for x in e[1]})), all(e[2] for e in expressions) if expressions else None))
     rows = registry.QUERIES["op3_licenses"](spark, SF).collect()
     assert len(rows) == len(want) and {tuple(r) for r in rows} == want
 
@@ -86,3 +86,25 @@ def test_sharding_query_rows(spark):
         assert (r.size, r.text_crc32, r.law) == (len(raw) + 8, zlib.crc32(raw), "key") and 0 <= r.shard < 24 and r.grown_shard in (r.shard, 24)
         by.setdefault(r.shard, []).append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
+
+
+def test_toxicity_query_rows(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    want = {}
+    for i, t in documents(spark).items():
+        score = model.score(t)[0]
+        want[i] = (zlib.crc32(str(i).encode()) % 5 == 0, round(score, 12), int(score >= 0.5))
+    rows = registry.QUERIES["op1_toxicity"](spark, SF).collect()
+    assert len(rows) == len(want) and {r.doc_id: (r.held_out, round(r.score, 12), r.predicted) for r in rows} == want
+    # Labels of held-out rows change nothing.
+    flipped = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    again = toxicity.fit(docs, flipped)
+    assert (again.words, again.stems, again.weights) == (model.words, model.stems, model.weights)
+
+
+def test_license_query_evaluates(spark, tmp_path):
+    rows = [(1, "SPDX-License-Identifier: MIT OR GPL-3.0-only"), (2, "SPDX-License-Identifier: MIT AND GPL-3.0-only"), (3, "none"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.labels, r.chosen, r.permitted) for r in registry.QUERIES["op3_licenses"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("gpl-3.0-only,mit", "mit", True), 2: ("gpl-3.0-only,mit", "gpl-3.0-only,mit", False), 3: ("", "", None), 4: ("", "", None)}
