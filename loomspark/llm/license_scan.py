@@ -5,8 +5,9 @@ phrases, licence notices and identifier tags there, so that spaces and punctuati
 matter. Where a tag occurs, an expression of identifiers, and, or, with and parentheses follows it on its
 line; a shunting-yard parser checks and evaluates it. If the rest of the line isn't one expression, the
 longest one counts that the line begins with and whose words look like identifiers (``looks_like``), so
-that prose behind it stays out. A valid expression's identifiers become labels, placed at their tag; two
-operators in a row, an operator at the line's end or an open parenthesis before any whole expression give none. The score is 1 minus the product of what each kind of
+that prose behind it stays out. A valid expression is evaluated from its postfix form: its licences become
+labels, placed at their tag; of alternatives the one is chosen that ``allowed`` permits with the fewest
+licences, and the expression is permitted if all it then asks for is allowed. Two operators in a row, an operator at the line's end or an open parenthesis before any whole expression give none. The score is 1 minus the product of what each kind of
 evidence leaves open.
 
 Nulls and empty texts have no words, matches or labels and score 0. Texts of any length are scanned
@@ -47,6 +48,9 @@ NOTICES = {
 }
 #: Tags whose line holds an expression, as words.
 TAGS = ("spdx license identifier", "license expression")
+#: Licences that ask for little more than their notice: what an expression may come down to, unless the
+#: caller allows others.
+ALLOWED = frozenset("mit apache-2 bsd bsd-2 bsd-3 isc zlib unlicense 0bsd cc0 cc-by public-domain".split())
 #: How sure one match of a kind makes us; several combine as independent evidence.
 SURE = {"base": 0.9, "notice": 0.7, "tag": 0.95}
 #: Identifiers that mean the same as a label above (fixed values).
@@ -106,32 +110,27 @@ def parse_expression(text: str) -> list[str] | None:
     return out + waiting[::-1]
 
 
-def evaluate(postfix: list[str]) -> list[frozenset[str]]:
-    """The expression's choices: each a set of licences that hold together."""
-    stack: list[list[frozenset[str]]] = []
-    for token in postfix:
-        if token in _PRECEDENCE:
-            b, a = stack.pop(), stack.pop()
-            if token == "or":
-                stack.append(list(dict.fromkeys(a + b)))
-            elif token == "and":
-                stack.append(list(dict.fromkeys(x | y for x in a for y in b)))
-            else:  # an exception changes a licence, it isn't one
-                stack.append(a)
-        else:
-            stack.append([frozenset([ALIASES.get(token, token)])])
-    return stack[0]
+def evaluate(postfix: list[str], allowed: frozenset[str] = ALLOWED) -> tuple[set[str], list[str], bool]:
+    """An expression's licences, those chosen among its alternatives, and whether they are all allowed.
 
-
-def _licences(postfix: list[str]) -> set[str]:
-    """Identifiers of an expression, exceptions left out, however many choices it has."""
-    stack: list[set[str]] = []
+    Each operator combines what its operands came to, so time is linear however many choices there are:
+    ``or`` takes the permitted operand, of two the one of fewer licences, of equals the first; ``and`` asks for
+    both; behind ``with`` stands an exception, which is no licence.
+    """
+    stack: list[tuple[set[str], list[str], bool]] = []
     for token in postfix:
-        if token in _PRECEDENCE:
-            b, a = stack.pop(), stack.pop()
-            stack.append(a if token == "with" else a | b)
+        if token not in _PRECEDENCE:
+            name = ALIASES.get(token, token)
+            stack.append(({name}, [name], name in allowed))
+            continue
+        b, a = stack.pop(), stack.pop()
+        if token == "with":
+            stack.append(a)
+        elif token == "and":
+            stack.append((a[0] | b[0], list(dict.fromkeys(a[1] + b[1])), a[2] and b[2]))
         else:
-            stack.append({ALIASES.get(token, token)})
+            best = min(a, b, key=lambda x: (not x[2], len(x[1])))
+            stack.append((a[0] | b[0], best[1], best[2]))
     return stack[0]
 
 
@@ -188,14 +187,14 @@ def _leading(raw: bytes, at: int, strict: bool) -> list[str] | None:
     return parse_expression(" ".join(tokens[:whole]))
 
 
-def _expressions(raw: bytes, ends: list[int]) -> list[tuple[str, set[str]] | None]:
-    """Of each tag of a lower-case text, given where it ends: the valid expression behind it with its licences."""
+def _expressions(raw: bytes, ends: list[int]) -> list[list[str] | None]:
+    """Of each tag of a lower-case text, given where it ends: the postfix form of the valid expression behind it."""
     raw = _WIDE.sub(lambda m: b" " * len(m[0]), raw)
     out = []
     for end in ends:
         at = re.compile(rb"[ \t]*[:=]?[ \t]*").match(raw, end).end()
         postfix = _leading(raw, at, True) or _leading(raw, at, False)
-        out.append((" ".join(postfix), _licences(postfix)) if postfix else None)
+        out.append(postfix or None)
     return out
 
 
@@ -207,8 +206,9 @@ def _word_ends(plain: bytes, numbers: list[int]) -> list[int]:
     return out
 
 
-def scan_text(raw: bytes) -> tuple[int, list[tuple[str, str, int]], list[str], float]:
-    """Number of words, matches (kind, label, first word), postfix expressions and score of one text."""
+def scan_text(raw: bytes, allowed: frozenset[str] = ALLOWED) -> tuple[int, list[tuple[str, str, int]], list[tuple[str, list[str], bool]], float]:
+    """Number of words, matches (kind, label, first word), expressions (postfix form, chosen licences, permitted)
+    and score of one text."""
     plain = raw.translate(_TABLE)
     words = plain.split()
     joined = b" %b " % b" ".join(words)
@@ -229,8 +229,9 @@ def scan_text(raw: bytes) -> tuple[int, list[tuple[str, str, int]], list[str], f
         for (first, _), found in zip(tags, _expressions(raw.translate(_LOWER), _word_ends(plain, [x for _, x in tags]))):
             if found is None:
                 continue
-            expressions.append(found[0])
-            matches += [("tag", x, first) for x in sorted(found[1])]
+            licences, chosen, permitted = evaluate(found, allowed)
+            expressions.append((" ".join(found), sorted(chosen), permitted))
+            matches += [("tag", x, first) for x in sorted(licences)]
             kinds.add("tag")
     rest = 1.0
     for kind in sorted(kinds):
@@ -241,14 +242,15 @@ def scan_text(raw: bytes) -> tuple[int, list[tuple[str, str, int]], list[str], f
 _RESULT = T.StructType([
     T.StructField("n_words", T.LongType()),
     T.StructField("matches", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("label", T.StringType()), T.StructField("word", T.LongType())]))),
-    T.StructField("expressions", T.ArrayType(T.StringType())),
+    T.StructField("expressions", T.ArrayType(T.StructType([T.StructField("postfix", T.StringType()), T.StructField("chosen", T.ArrayType(T.StringType())), T.StructField("permitted", T.BooleanType())]))),
     T.StructField("license_score", T.DoubleType()),
 ])
-_ARROW = pa.schema([("n_words", pa.int64()), ("matches", pa.list_(pa.struct([("kind", pa.string()), ("label", pa.string()), ("word", pa.int64())]))), ("expressions", pa.list_(pa.string())), ("license_score", pa.float64())])
+_ARROW = pa.schema([("n_words", pa.int64()), ("matches", pa.list_(pa.struct([("kind", pa.string()), ("label", pa.string()), ("word", pa.int64())]))), ("expressions", pa.list_(pa.struct([("postfix", pa.string()), ("chosen", pa.list_(pa.string())), ("permitted", pa.bool_())]))), ("license_score", pa.float64())])
 
 
-def scan(df: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """``df`` with n_words, matches (kind base, notice or tag; label; first word), expressions, license_score."""
+def scan(df: DataFrame, text_col: str = "text", keep_text: bool = True, allowed: frozenset[str] = ALLOWED) -> DataFrame:
+    """``df`` with n_words, matches (kind base, notice or tag; label; first word), expressions (postfix, chosen,
+    permitted), license_score."""
     df = df.drop(*[c for c in _RESULT.names if c != text_col])
     kept = [f for f in df.schema.fields if keep_text or f.name != text_col]
     names = [f.name for f in kept]
@@ -257,8 +259,9 @@ def scan(df: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataF
         for batch in batches:
             for part in slices(batch, text_col):
                 texts = part.column(part.schema.get_field_index(text_col)).cast(pa.large_binary()).to_pylist()
-                found = [scan_text(x or b"") for x in texts]
-                columns = [pa.array([x[k] if k != 1 else [dict(zip(("kind", "label", "word"), m)) for m in x[1]] for x in found], f.type) for k, f in enumerate(_ARROW)]
+                found = [scan_text(x or b"", allowed) for x in texts]
+                named = {1: ("kind", "label", "word"), 2: ("postfix", "chosen", "permitted")}
+                columns = [pa.array([[dict(zip(named[k], m)) for m in x[k]] if k in named else x[k] for x in found], f.type) for k, f in enumerate(_ARROW)]
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), *columns], names=[*names, *_ARROW.names])
 
     return df.mapInArrow(run, T.StructType([*kept, *_RESULT.fields]))
@@ -278,4 +281,7 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined(base).alias("base_labels"),
         joined(F.col("matches")).alias("labels"),
         F.col("license_score").alias("score"),
+        # Of all expressions: what they ask for once choices are made, and whether that is allowed.
+        joined(F.flatten(F.transform("expressions", lambda e: F.transform(e.chosen, lambda x: F.struct(x.alias("label")))))).alias("chosen"),
+        F.when(F.size("expressions") > 0, F.forall("expressions", lambda e: e.permitted)).alias("permitted"),
     )
