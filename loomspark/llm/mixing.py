@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, join_small, load
+from .common import WORD, join_small, load, materialize
 
 WEIGHTS = (5, 2, 1)
 _OWN = ("size", "source_size", "target", "rate", "copies", "taken")
@@ -43,19 +43,32 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return w.select("source", "source_size", "target", rate.alias("rate"))
 
 
-def plan(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, max_repeat: float = 3.0, seed: int = 29, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``df`` with size, source_size, target, rate, copies and taken = size * copies."""
-    df = df.drop(*[c for c in _OWN if c not in (id_col, text_col, source_col)])
-    rows = df.withColumn("size", F.coalesce(F.expr(f"regexp_count(`{text_col}`, '{WORD.replace(chr(92), chr(92) * 2)}')"), F.lit(0)).cast("long"))
+def sized(df: DataFrame, seed: int = 29, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``df`` with size (words) and draw (0 to 1, by a seeded MD5 of id and text)."""
+    df = df.drop(*[c for c in (*_OWN, "draw") if c not in (id_col, text_col, source_col)])
+    size = F.coalesce(F.expr(f"regexp_count(`{text_col}`, '{WORD.replace(chr(92), chr(92) * 2)}')"), F.lit(0)).cast("long")
+    drawn = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))).cast("binary"))
+    return df.withColumns({"size": size, "draw": F.conv(F.substring(drawn, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))})
+
+
+def planned(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, max_repeat: float = 3.0, source_col: str = "source") -> DataFrame:
+    """Rows of ``sized`` with source_size, target, rate, copies and taken = size * copies.
+
+    The sources' targets are written once, a row a source; ``rows`` is read once for them, and once more here
+    (where its sizes are not counted again unless they are asked for).
+    """
     sizes = rows.groupBy(F.col(source_col).alias("source")).agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, weights, share, max_repeat)
+    targets = materialize(source_targets(sizes, weights, share, max_repeat))
     # Null-safe: the key is the source behind a flag, so that a null source is a value like others.
     key = lambda c: F.concat(F.when(F.col(c).isNull(), "n").otherwise("v"), F.coalesce(F.col(c).cast("string"), F.lit("")))
     out = join_small(rows.withColumn("_source_key", key(source_col)), targets.withColumn("_source_key", key("source")).drop("source"), "_source_key")
-    drawn = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))).cast("binary"))
-    draw = F.conv(F.substring(drawn, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-    copies = (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
-    return out.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop("_source_key")
+    copies = (F.floor("rate") + F.when(F.col("draw") < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
+    return out.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop("_source_key", "draw")
+
+
+def plan(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, max_repeat: float = 3.0, seed: int = 29, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``df`` with size, source_size, target, rate, copies and taken."""
+    return planned(sized(df, seed, id_col, text_col, source_col), weights, share, max_repeat, source_col)
 
 
 def mix(df: DataFrame, **options) -> DataFrame:
@@ -67,7 +80,8 @@ def mix(df: DataFrame, **options) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents, one row for each with the words it gives."""
-    return plan(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    rows = sized(load(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text")
+    return planned(materialize(rows)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP7_SQL = r"""
