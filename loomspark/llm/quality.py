@@ -3,9 +3,9 @@
 Each whole text is measured by built-in functions: words, characters in words, symbols, repeated
 lines, words in repeated 8-word windows, words equal to the one before. Rules turn the measures into
 failures. Failures are aggregated by host (``source``); an empirical beta prior, fitted by moments to
-all hosts' rates, shrinks each host's rate; the verdict joins back to the documents. A document is
-kept unless the base rule fails, a strong rule fails, or a weak rule fails on a suspect host. A clean
-document is kept on any host.
+all hosts' rates, shrinks each host's rate; the verdict joins back to the documents. A host is suspect
+whose shrunk rate is twice the hosts' mean or more, or one half. A document is kept unless the base rule
+fails, a strong rule fails, or a weak rule fails on a suspect host. A clean document is kept on any host.
 
 Nulls: a null text has no words, so the base rule fails; null hosts form one host. Empty and very
 long texts are measured alike. Repeated rows are measured each by itself. An empty table gives no
@@ -29,10 +29,14 @@ def _let(name: str, value: str, body: str) -> str:
 
 
 def _measures_sql(text: str, window: int) -> str:
-    # Of the hashes of all windows, with places: those equal to a neighbour in sorted order.
-    places = "array_sort(transform(filter(s, (e, j) -> (j > 0 AND get(s, j - 1).h = e.h) OR (j < size(s) - 1 AND get(s, j + 1).h = e.h)), e -> e.i))"
+    # Of the hashes of all windows, with places: those equal to a neighbour in sorted order. Then, of these, those
+    # whose words are equal too.
+    beside = lambda a, *of: " OR ".join(f"({edge} AND {' AND '.join(f'get({a}, j {step}).{x} = e.{x}' for x in of)})" for edge, step in (("j > 0", "- 1"), (f"j < size({a}) - 1", "+ 1")))
+    hashed = _let("s", "array_sort(transform(h, (x, i) -> named_struct('h', x, 'i', i)))", f"filter(s, (e, j) -> {beside('s', 'h')})")
+    worded = f"array_sort(transform({hashed}, e -> named_struct('h', e.h, 'g', array_join(slice(w, e.i + 1, {window}), ' '), 'i', e.i)))"
+    places = f"array_sort(transform(filter(r, (e, j) -> {beside('r', 'h', 'g')}), e -> e.i))"
     covered = f"aggregate({places}, named_struct('last', {-window}, 'n', 0L), (a, i) -> named_struct('last', i, 'n', a.n + least({window}, i - a.last)), a -> a.n)"
-    repeats = _let("s", "array_sort(transform(h, (x, i) -> named_struct('h', x, 'i', i)))", covered)
+    repeats = _let("r", worded, covered)
     hashes = f"transform(sequence(1, size(w) - {window - 1}), i -> xxhash64(slice(w, i, {window})))"
     repeat = f"CASE WHEN size(w) <= {window} THEN 0L ELSE {_let('h', hashes, f'CASE WHEN size(array_distinct(h)) = size(h) THEN 0L ELSE {repeats} END')} END"
     same = "cast(size(filter(w, (x, i) -> i > 0 AND get(w, i - 1) = x)) as long)"
@@ -61,11 +65,12 @@ def ruled(df: DataFrame, min_words: int = 20, repeat_percent: int = 30, symbol_s
     return df.withColumns({"base_failed": base, "strong_failed": over(1.0), "weak_failed": over(0.5)})
 
 
-def host_verdicts(rules: DataFrame, host_col: str = "source", suspect_rate: float = 0.5) -> DataFrame:
+def host_verdicts(rules: DataFrame, host_col: str = "source", suspect_rate: float = 0.5, suspect_ratio: float = 2.0) -> DataFrame:
     """(host, host_docs, host_rate, host_suspect): rates shrunk to an empirical beta prior.
 
     The prior's mean is the hosts' mean rate; its strength comes from the rates' variance beyond
-    that of sampling (method of moments). A host is suspect from ``suspect_rate`` on.
+    that of sampling (method of moments). A host is suspect from ``suspect_rate`` on, or from ``suspect_ratio``
+    times the mean, whichever is less.
     """
     failed = F.col("base_failed") | F.col("strong_failed")
     hosts = rules.groupBy(F.col(host_col).alias("host")).agg(F.count("*").alias("host_docs"), F.sum(failed.cast("long")).alias("_failed"))
@@ -76,7 +81,8 @@ def host_verdicts(rules: DataFrame, host_col: str = "source", suspect_rate: floa
     rate = F.expr(f"(_failed + _mean * {strength}) / (host_docs + {strength})")
     # One row of moments beside each host.
     out = hosts.join(F.broadcast(moments)).withColumn("host_rate", rate)
-    return out.select("host", "host_docs", "host_rate", (F.col("host_rate") >= suspect_rate).alias("host_suspect"))
+    limit = F.least(F.lit(suspect_rate), F.lit(suspect_ratio) * F.col("_mean"))
+    return out.select("host", "host_docs", "host_rate", (F.col("host_rate") >= limit).alias("host_suspect"))
 
 
 def assess(df: DataFrame, text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
@@ -114,7 +120,7 @@ v AS (SELECT *, n_symbols > 0.08::DOUBLE * word_chars OR n_same > 0.3::DOUBLE *
 h AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (WHERE base_failed OR strong)::DOUBLE AS x FROM v GROUP BY source),
 p AS (SELECT avg(x / n) AS mean, var_pop(x / n) AS var, avg(1 / n) AS inv FROM h),
 q AS (SELECT mean, greatest(1, least(1e6, mean * (1 - mean) / greatest(var - mean * (1 - mean) * inv, 1e-9) - 1)) AS strength FROM p),
-j AS (SELECT source, (x + mean * strength) / (n + strength) >= 0.5 AS suspect FROM h, q)
+j AS (SELECT source, (x + mean * strength) / (n + strength) >= least(0.5, 2 * mean) AS suspect FROM h, q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT strong AND NOT (weak AND suspect) AS kept
 FROM v JOIN j ON v.source IS NOT DISTINCT FROM j.source
 """
