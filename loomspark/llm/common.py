@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import drop_table, materialize, shared_dir  # noqa: F401
+from ..storage import drop_table, drop_tables_since, materialize, shared_dir, tables_made  # noqa: F401
 
 #: Spaces and the controls U+0009 to U+000D end a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,7 +23,7 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def join_small(df: DataFrame, table: DataFrame, on: str, max_rows: int = 100_000) -> DataFrame:
+def join_small(df: DataFrame, table: DataFrame, on: str | list[str], max_rows: int = 100_000) -> DataFrame:
     """Left join, broadcasting ``table`` only when it is counted to have at most ``max_rows``.
 
     Beyond that bound a shuffled join is planned, whose skewed partitions AQE splits.
