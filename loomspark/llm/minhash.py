@@ -187,7 +187,7 @@ def _verified(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) -> D
                 return recent[key]
             out = recent[key] = exact_shingles(unpress.decompress(body.as_py()), size)
             held += len(out)
-            while len(recent) > 64 or held > 300_000 and len(recent) > 1:
+            while len(recent) > 64 or held > 100_000 and len(recent) > 1:
                 held -= len(recent.popitem(last=False)[1])
             return out
 
