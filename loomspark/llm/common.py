@@ -33,16 +33,21 @@ def join_small(df: DataFrame, table: DataFrame, on: str | list[str], max_rows: i
     return df.join(table, on, "left")
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def frugal(run):
     """``run`` over Arrow batches that hands freed memory back to the system when its task ends, so that
     workers which wait for the next stage stay small."""
 
     def call(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-        if trim is not None:
-            trim(0)
+        give_back()
 
     return call
 

@@ -19,8 +19,8 @@ things share by accident is a candidate too many, as the last step compares the
 3. Each batch marks the words of such windows and puts out what is left.
 
 Batches are kept as compressed Arrow streams in the shared folder; what travels is about 8 bytes for
-each anchor, and the words of each candidate window (compressed next to its neighbours, with which it
-shares all but one), both deduplicated within the batch, so a passage in very many documents weighs no
+each anchor, and the words of the candidate windows (once for all windows of a range that overlap), both
+deduplicated within the batch, so a passage in very many documents weighs no
 more than once per batch. Key ranges grow in number with the input and hold a bounded share each; keys
 are mixed anew after minima are taken, so that they fill the ranges evenly.
 
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import frugal, from_ipc, gram_hashes, load, materialize, mix, pack_sorted, ragged, slices, to_ipc, unpack_sorted, utf8_buffer, word_hashes, word_spans
+from .common import frugal, from_ipc, give_back, gram_hashes, load, materialize, mix, pack_sorted, ragged, slices, to_ipc, unpack_sorted, utf8_buffer, word_hashes, word_spans
 
 _U = np.uint64
 _BASE = 0xBF58476D1CE4E5B9
@@ -143,31 +143,17 @@ class Batch:
             best[some] = np.minimum(best[some], key[first[some] + j])
         return width > 0, mix(best)
 
-    def window_texts(self, at: np.ndarray) -> pa.Array:
-        """The windows at the places as bytes, one space between words."""
-        used = np.zeros(len(self.words) + 1, np.int64)
-        np.add.at(used, at, 1)
-        np.add.at(used, at + self.window, -1)
-        word = np.flatnonzero(np.cumsum(used)[:-1])
-        where = np.zeros(len(self.words), np.int64)
-        where[word] = np.arange(len(word))
+    def joined(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of some words, each with a space behind it, and where each begins."""
         size = self.end[word] - self.start[word] + 1
         off = np.concatenate([[0], np.cumsum(size)])
-        joined = np.empty(off[-1], np.uint8)
+        out = np.empty(off[-1], np.uint8)
         padded = np.append(self.data, np.uint8(32))
-        for i in range(0, len(word), 1 << 15):
+        for i in range(0, len(word), 1 << 15):  # in pieces, as places take eight bytes for each byte
             some = slice(i, i + (1 << 15))
-            joined[off[i] : off[min(len(word), i + (1 << 15))]] = ragged(padded, self.start[word[some]], size[some])[0]
-        joined[off[1:] - 1] = 32
-        first, last = off[where[at]], off[where[at + self.window - 1] + 1] - 1
-        ends = np.concatenate([[0], np.cumsum(last - first)])
-        out = np.empty(ends[-1], np.uint8)
-        i = 0
-        while i < len(at):  # pieces of bounded size, as places take eight bytes for each byte
-            j = max(i + 1, int(np.searchsorted(ends, ends[i] + (1 << 20), "right")) - 1)
-            out[ends[i] : ends[j]] = ragged(joined, first[i:j], last[i:j] - first[i:j])[0]
-            i = j
-        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(out)])
+            out[off[i] : off[min(len(word), i + (1 << 15))]] = ragged(padded, self.start[word[some]], size[some])[0]
+        out[off[1:] - 1] = 32
+        return out, off
 
     def least(self, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct keys in order, the least id and the largest id that has each."""
@@ -179,45 +165,76 @@ class Batch:
         return k[head], np.minimum.reduceat(d, head), np.maximum.reduceat(d, head)
 
 
+def _numbered(values: pa.Array) -> np.ndarray:
+    """A number for each value, the same for equal values only."""
+    return values.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def exact_names(words: np.ndarray, off: np.ndarray, window: int) -> np.ndarray:
+    """For each word at which ``window`` words begin, a number that is the same for equal words only.
+
+    words: bytes, off: where each word begins. Words are numbered by their bytes, then pairs of numbers
+    side by side, and so on: after k rounds a number stands for 2**k words; two that overlap make the window.
+    """
+    name = _numbered(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(words)]))
+    span = 1
+    while span < window and len(name):
+        step = min(span, window - span)
+        if len(name) <= step:
+            return np.zeros(0, np.int64)
+        name = _numbered(pa.array(name[:-step] * (int(name.max()) + 1) + name[step:]))
+        span += step
+    return name
+
+
 class Windows:
-    """The distinct ones of a batch's windows, told apart by their words' bytes, in the order of their key ranges."""
+    """The distinct ones of a batch's windows, told apart by their words, in the order of their key ranges."""
 
     def __init__(self, batch: Batch, at: np.ndarray, keys: np.ndarray, bits: int):
-        self.texts, self.bounds = pa.array([], pa.large_binary()), np.zeros((1 << bits) + 1, np.int64)
+        self.window, self.bounds = batch.window, np.zeros((1 << bits) + 1, np.int64)
         self.code, self.least = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not len(at):
             return
-        codes = batch.window_texts(at).dictionary_encode()
-        code = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        n = len(codes.dictionary)
-        first = np.full(n, len(at))
-        np.minimum.at(first, code, np.arange(len(at)))
-        least = np.full(n, np.iinfo(np.int64).max)
+        used = np.zeros(len(batch.words) + 1, np.int64)
+        np.add.at(used, at, 1)
+        np.add.at(used, at + self.window, -1)
+        word = np.flatnonzero(np.cumsum(used)[:-1])
+        where = np.zeros(len(batch.words), np.int64)
+        where[word] = np.arange(len(word))
+        self.bytes, self.off = batch.joined(word)
+        start = where[at]
+        _, first, code = np.unique(exact_names(self.bytes, self.off, self.window)[start], return_index=True, return_inverse=True)
+        least = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(least, code, batch.ids[batch.doc[at]])
         bucket = keys[first] >> _U(64 - bits)
-        order = np.argsort(bucket, kind="stable")
-        place = np.empty(n, np.int64)
-        place[order] = np.arange(n)
-        self.texts, self.least, self.code = codes.dictionary.take(pa.array(order)), least[order], place[code]
+        order = np.lexsort((first, bucket))
+        place = np.empty(len(first), np.int64)
+        place[order] = np.arange(len(first))
+        self.start, self.least, self.code = start[first[order]], least[order], place[code]
         self.bounds = np.searchsorted(bucket[order], np.arange((1 << bits) + 1, dtype=_U))
 
+    def pack(self, a: int, b: int) -> bytes:
+        """Windows a to b as one compressed block: words that several windows share stand there once."""
+        import zstandard
 
-def _pack_texts(texts: pa.Array) -> bytes:
-    """Strings of bytes as one compressed block: their lengths, then their bytes."""
-    import zstandard
-
-    off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    body = np.frombuffer(texts.buffers()[2], np.uint8)[off[0] : off[-1]]
-    return zstandard.compress(np.int64(len(texts)).tobytes() + np.diff(off).tobytes() + body.tobytes(), 1)
+        start = self.start[a:b]
+        step = np.minimum(np.diff(start, prepend=start[:1]), self.window)
+        head = np.flatnonzero(np.concatenate([[True], step[1:] == self.window]))  # windows that share no word with the one before
+        low, high = start[head], start[np.append(head[1:], len(start)) - 1] + self.window
+        sizes, _ = ragged(np.diff(self.off), low, high - low)
+        body, _ = ragged(self.bytes, self.off[low], self.off[high] - self.off[low])
+        parts = np.array([len(start), len(sizes)], np.int64), step.astype(np.uint32), sizes.astype(np.uint32), body
+        return zstandard.compress(b"".join(x.tobytes() for x in parts), 1)
 
 
-def _unpack_texts(raw: bytes) -> pa.Array:
+def unpack_windows(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of the words, their sizes, and the word at which each window begins."""
     import zstandard
 
     data = zstandard.decompress(raw)
-    n = int(np.frombuffer(data, np.int64, 1)[0])
-    off = np.concatenate([[0], np.cumsum(np.frombuffer(data, np.int64, n, 8))]).astype(np.int64)
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(off.tobytes()), pa.py_buffer(data[8 + 8 * n :])])
+    n, m = np.frombuffer(data, np.int64, 2).tolist()
+    step, sizes = np.frombuffer(data, np.uint32, n, 16), np.frombuffer(data, np.uint32, m, 16 + 4 * n)
+    return np.frombuffer(data, np.uint8, offset=16 + 4 * (n + m)), sizes, np.cumsum(step, dtype=np.int64)
 
 
 def _pack(df: DataFrame, text_col: str, batch_bytes: int) -> DataFrame:
@@ -269,7 +286,7 @@ def repeated(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
     """``df`` with n_words, n_removed, removed (spans [first, last] of words), kept_text.
 
     range_bytes: text per key range of names, of which one task holds about a quarter; ranges of windows
-    are half as wide, and a task holds at most ``window`` times that, if all text repeats.
+    are a quarter as wide, and a task holds a few times that, if all text repeats.
     """
     if window < 2:
         raise ValueError("window must be 2 words or more")
@@ -279,7 +296,7 @@ def repeated(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
     packed = materialize(_pack(df, text_col, batch_bytes))
     total = packed.agg(F.sum("n_bytes")).first()[0] or 0
     bits = max(3, (max(1, total // range_bytes) - 1).bit_length())
-    bits_of_windows = bits + 1
+    bits_of_windows = bits + 2
 
     def anchor_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,9 +330,14 @@ def repeated(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
     def lesser_ids(table: pa.Table) -> pa.Table:
         import zstandard
 
-        texts = pa.chunked_array([_unpack_texts(x.as_py()) for x in table.column("keys")], pa.large_binary())
-        sizes = [len(c) for c in texts.chunks]
-        code = texts.combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        parts = [unpack_windows(x.as_py()) for x in table.column("keys")]
+        sizes = [len(start) for _, _, start in parts]
+        first = np.cumsum([0] + [len(x) for _, x, _ in parts[:-1]])
+        place = np.concatenate([start + k for k, (_, _, start) in zip(first, parts)])
+        off = np.concatenate([[0], np.cumsum(np.concatenate([x for _, x, _ in parts]), dtype=np.int64)])
+        words = np.concatenate([x for x, _, _ in parts])
+        del parts
+        code = exact_names(words, off, window)[place]
         d = np.concatenate([np.frombuffer(zstandard.decompress(x.as_py()), np.int64) for x in table.column("about")])
         least = np.full(int(code.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, code, d)
@@ -325,7 +347,12 @@ def repeated(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
     parcel_type = "bucket int, batch string, keys binary, about binary"
 
     def by_batch(parcel: DataFrame, reduce) -> DataFrame:
-        found = parcel.groupBy("bucket").applyInArrow(reduce, returned_type)
+        def call(table: pa.Table) -> pa.Table:
+            out = reduce(table)
+            give_back()
+            return out
+
+        found = parcel.groupBy("bucket").applyInArrow(call, returned_type)
         return materialize(found.groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits")).alias("marks")))
 
     shared = by_batch(packed.mapInArrow(frugal(anchor_names), parcel_type), shared_names)
@@ -351,7 +378,7 @@ def repeated(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
             for i in range(batch.num_rows):
                 b = Batch(from_ipc(batch.column(1)[i].as_py()), id_col, text_col, window)
                 _, w = candidates(b, _marks(batch.column(2)[i]))
-                rows = [(k, _pack_texts(w.texts.slice(x, y - x)), zstandard.compress(w.least[x:y].tobytes(), 1)) for k, (x, y) in enumerate(zip(w.bounds, w.bounds[1:])) if y > x]
+                rows = [(k, w.pack(x, y), zstandard.compress(w.least[x:y].tobytes(), 1)) for k, (x, y) in enumerate(zip(w.bounds, w.bounds[1:])) if y > x]
                 yield from parcels(batch.column(0)[i].as_py(), rows)
 
     lesser = by_batch(marked.select("batch", "rows", "shared").mapInArrow(frugal(window_texts), parcel_type), lesser_ids)

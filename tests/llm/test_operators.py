@@ -122,8 +122,21 @@ def test_equal_hashes_remove_and_link_nothing():
     b = substring_dedup.Batch(rows, "doc_id", "text", 3)
     b.words[:] = 7
     w = substring_dedup.Windows(b, b.at, np.zeros(len(b.at), np.uint64), 3)
-    assert [x.as_py() for x in w.texts] == [b"a b c", b"b c d", b"e f g", b"f g h", b"x b c"] and w.code.tolist() == [0, 1, 2, 3, 4, 1]
-    assert w.least.tolist() == [1, 1, 2, 2, 3] and substring_dedup._unpack_texts(substring_dedup._pack_texts(w.texts)).equals(w.texts)
+    assert w.code.tolist() == [0, 1, 2, 3, 4, 1] and w.least.tolist() == [1, 1, 2, 2, 3]
+    words, sizes, start = substring_dedup.unpack_windows(w.pack(0, 5))
+    assert words.tobytes() == b"a b c d e f g h x b c " and sizes.tolist() == [2] * 11 and start.tolist() == [0, 1, 4, 5, 8]
+
+
+def test_exact_names():
+    rnd = random.Random(6)
+    for window in (2, 3, 5, 8, 13, 50):
+        w = [rnd.choice(["a", "b", "ab", "a" * 9]) if rnd.random() < 0.3 else "c" for _ in range(400)]
+        data = np.frombuffer("".join(x + " " for x in w).encode(), np.uint8)
+        off = np.cumsum([0] + [len(x) + 1 for x in w])
+        names = substring_dedup.exact_names(data, off, window).tolist()
+        grams = [tuple(w[k : k + window]) for k in range(len(w) - window + 1)]
+        assert len(names) == len(grams) and len(set(zip(names, grams))) == len(set(names)) == len(set(grams))
+    assert len(substring_dedup.exact_names(data[: off[3]], off[:4], 5)) == 0
 
 
 def shingles(t, n):
