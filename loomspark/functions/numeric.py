@@ -93,6 +93,24 @@ def predicted_loss(c: Column | str, alpha: Column | str, n_params: Column | str)
     return _col(c) * F.pow(_col(n_params), -_col(alpha))
 
 
+def decoder_params(vocab: Column | str, hidden: Column | str, layers: Column | str, intermediate: Column | str, positions: Column | str, tied: Column) -> Column:
+    """Parameters of a decoder with biases: embeddings, per layer attention, a two-matrix MLP and two norms, a final norm."""
+    v, h, n, i, p = (_col(c).cast("long") for c in (vocab, hidden, layers, intermediate, positions))
+    return F.when(tied, v * h).otherwise(2 * v * h) + p * h + n * (4 * h * h + 2 * h * i + 9 * h + i) + 2 * h
+
+
+def embedding_share(vocab: Column | str, hidden: Column | str, params: Column | str, tied: Column) -> Column:
+    """Share of the vocabulary's matrices (one if tied, else two) in all parameters."""
+    one = _col(vocab).cast("long") * _col(hidden)
+    return F.when(tied, one).otherwise(2 * one) / _col(params)
+
+
+def guarded_params(params: Column | str, low: int, high: int) -> Column:
+    """The count itself; an error if it lies outside [low, high]."""
+    n = _col(params)
+    return F.when(n.between(low, high), n).otherwise(F.raise_error(F.concat(F.lit("parameters outside the budget: "), n.cast("string"))).cast("long"))
+
+
 def embedding_head_params(vocab: Column | str, hidden: Column | str, tied: bool = False) -> Column:
     return _col(vocab) * _col(hidden) * F.lit(1 if tied else 2)
 

@@ -68,6 +68,12 @@ def blocks(docs: DataFrame, offsets: DataFrame, block: int, ids_col: str = "ids"
     return out.select("block_id", "offset", F.slice("_t", 1, block).alias("input"), label.alias("label"))
 
 
+def stream_stats(docs: DataFrame, ids_col: str = "ids", mask_col: str = "mask") -> DataFrame:
+    """One row: docs, tokens and, with a mask, assistant_tokens."""
+    masked = [F.coalesce(F.sum(F.aggregate(mask_col, F.lit(0).cast("long"), lambda n, m: n + m)), F.lit(0)).alias("assistant_tokens")] if mask_col in docs.columns else []
+    return docs.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size(ids_col)), F.lit(0)).alias("tokens"), *masked)
+
+
 def flat_stream(docs: DataFrame, ids_col: str = "ids") -> DataFrame:
     """(position, token): the stream one token a row."""
     return docs.select("stream_start", F.posexplode(ids_col).alias("_i", "token")).select((F.col("stream_start") + F.col("_i")).alias("position"), "token")

@@ -149,7 +149,8 @@ def document_split(spark, sf):
     return splits.split_by_groups(_stored(spark, sf), F.col("source"), 0.25, 11).select("ord", "partition")
 
 
-@query("SELECT text AS key FROM documents WHERE false")
+@query(f"""WITH {_CLEAN}, g AS (SELECT source, row_number() OVER (ORDER BY sha256('11|' || source), source) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM c)),
+q AS (SELECT c.source, CASE WHEN k <= floor(n::DOUBLE * 0.75::DOUBLE) THEN 'train' ELSE 'validation' END AS p FROM c JOIN g USING (source)) SELECT source AS key FROM q GROUP BY 1 HAVING count(DISTINCT p) > 1""")
 def leak_check(spark, sf):
     return splits.leaks(splits.split_by_groups(_stored(spark, sf), F.col("source"), 0.25, 11), F.col("source"))
 
@@ -416,7 +417,8 @@ def softmax_topk(spark, sf):
 DIMS = (("q_proj", 1024, 2048), ("k_proj", 1024, 1024), ("v_proj", 1024, 1024), ("o_proj", 2048, 1024))
 
 
-@query("SELECT r::INT AS rank, (r * 286720)::BIGINT AS params, 250000.0::DOUBLE AS target, round_even(r * 286720 / 250000.0::DOUBLE, 2) AS ratio, r = 1 AS chosen FROM (SELECT unnest([1, 2, 4, 8, 16, 32, 64]) AS r)")
+@query("WITH d AS (SELECT 28 * sum(i + o) AS one FROM (VALUES " + ", ".join(f"({i}, {o})" for _, i, o in DIMS) + ") AS v(i, o)), c AS (SELECT r, r * one AS params, 5000000 * 0.05::DOUBLE AS target FROM d, (SELECT unnest([1, 2, 4, 8, 16, 32, 64]) AS r)) "
+       "SELECT r::INT AS rank, params::BIGINT AS params, target, round_even(params / target, 2) AS ratio, row_number() OVER (ORDER BY abs(params / target - 1), r) = 1 AS chosen FROM c")
 def lora_rank(spark, sf):
     return metrics.recommend_rank(spark.createDataFrame(DIMS, "module string, d_in int, d_out int"), 28, 5_000_000)
 
@@ -426,3 +428,6 @@ def quality_by_label(spark, sf):
     """An extension: labels joined to the corpus."""
     d, labels = _docs(spark, sf, "n_chars"), spark.read.parquet(f"{sf}/labels.parquet")
     return d.join(labels, "doc_id").groupBy("quality").agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"))
+
+
+from . import queries_more  # noqa: E402, F401  registers its own

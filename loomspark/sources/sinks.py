@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.packing import stream_stats
+
 
 def write_records(df: DataFrame, path: str, order: str | None = "ord") -> None:
     """Records as Parquet, in order within files."""
@@ -48,8 +50,7 @@ def write_stream(docs: DataFrame, path: str, ids_col: str = "ids", item: str = "
 
 def stream_meta(docs: DataFrame, source: dict, **more) -> dict:
     """What a stream was made of: counts of the documents (ids and, if there, mask) and the source's provenance."""
-    mask = [F.coalesce(F.sum(F.aggregate("mask", F.lit(0).cast("long"), lambda n, m: n + m)), F.lit(0)).alias("assistant_tokens")] if "mask" in docs.columns else []
-    row = docs.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("tokens"), *mask).first().asDict()
+    row = stream_stats(docs).first().asDict()
     return {k: source.get(k) for k in ("license", "revision", "upstream")} | row | more
 
 
