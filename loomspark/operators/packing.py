@@ -23,15 +23,33 @@ def stream_offsets(df: DataFrame, ids_col: str = "ids", ord_col: str = "ord") ->
 
 def block_offsets(df_spark, stream_length: int, block: int, n: int, seed: int) -> DataFrame:
     """(block_id, offset): n seeded offsets in [0, length - block - 1], with repetition, the same in each run."""
-    import random
-
-    if stream_length <= block:
-        raise ValueError("the stream must be longer than a block")
-    rng = random.Random(seed)
-    rows = [(i, rng.randint(0, stream_length - block - 1)) for i in range(n)]
+    rows = list(enumerate(BlockSampler(stream_length, block, seed).offsets(n)))
     return df_spark.createDataFrame(rows, "block_id long, offset long")
 
 
+class BlockSampler:
+    """Seeded block offsets in [0, length - block - 1], with repetition, whose state can be saved and restored."""
+
+    def __init__(self, stream_length: int, block: int, seed: int):
+        import random
+
+        if stream_length <= block:
+            raise ValueError("the stream must be longer than a block")
+        self.last, self.rng = stream_length - block - 1, random.Random(seed)
+
+    def offsets(self, n: int) -> list[int]:
+        return [self.rng.randint(0, self.last) for _ in range(n)]
+
+    def state(self) -> list:
+        """Plain lists, fit for JSON."""
+        kind, numbers, gauss = self.rng.getstate()
+        return [kind, list(numbers), gauss]
+
+    def restore(self, state: list) -> None:
+        kind, numbers, gauss = state
+        self.rng.setstate((kind, tuple(numbers), gauss))
+
+
 def spread_offsets(df_spark, stream_length: int, block: int, every: int, seed: int) -> DataFrame:
     """(block_id, offset): an offset for each ``every`` tokens of the stream, uniform in [0, length - block - 1]
     with repetition, by SHA-256 of seed and block_id; made in parallel, so their number may grow with the stream."""

@@ -191,6 +191,21 @@ def check_specials(vocab: Vocabulary) -> None:
         raise ValueError("special tokens must have the ids 0 to 3")
 
 
+def batch_counter(tokenizer):
+    """A function of an array of texts to its tokens: every text is encoded by itself, without special tokens.
+
+    tokenizer: anything with encode(text) -> ids, a ``Vocabulary`` too. Governing takes it as its counter.
+    """
+    shared = _broadcast(tokenizer)
+
+    @F.pandas_udf("long")
+    def counted(texts: pd.Series) -> pd.Series:
+        t = shared.value
+        return texts.map(lambda some: sum(len(t.encode(x)) for x in some) if some is not None else 0)
+
+    return lambda texts: counted(texts)
+
+
 def encoder(vocab: Vocabulary):
     """Pandas UDF: text to ids, no special tokens."""
     shared = _broadcast(vocab)

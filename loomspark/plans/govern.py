@@ -63,8 +63,8 @@ def govern(spark: SparkSession, spec: DatasetSpec, raw_root: str, out_root: str,
         if not row.records:
             partitions[row.partition] = {"records": 0, "tokens": None, "chars": 0}
             continue
-        write_records(parts.where(F.col("partition") == row.partition).select(*fields.names), f"{out_root}/{spec.name}/{row.partition}.parquet", None)
-        partitions[row.partition] = {"records": row.records, "tokens": row.tokens, "chars": row.chars, "format": "parquet"}
+        kind = write_records(parts.where(F.col("partition") == row.partition).select(*fields.names), f"{out_root}/{spec.name}/{row.partition}.parquet", None)
+        partitions[row.partition] = {"records": row.records, "tokens": row.tokens, "chars": row.chars, "format": kind}
     out = {
         "dataset": spec.name,
         **{k: getattr(spec, k) for k in ("license", "revision", "upstream", "seed", "split_strategy")},
@@ -75,6 +75,8 @@ def govern(spark: SparkSession, spec: DatasetSpec, raw_root: str, out_root: str,
         "records_after_clean": clean_count,
         "budget": spec.budget,
         "token_cap": spec.token_cap,
+        # A cap counts tokens, so without a counter it has no effect.
+        "token_cap_applied": spec.token_cap is not None and counter is not None and spec.split_strategy != "group_by",
         "partitions": partitions,
         "notes": list(spec.notes),
     }

@@ -10,8 +10,10 @@ from ..operators import chat, packing
 from ..operators.dedup import dedupe_grouped
 from ..operators.splits import prompt_set, split_by_groups, split_by_prompt
 from ..operators.tokenizer import Vocabulary, encoder
-from ..sources.readers import corpus_texts, governed_records
-from ..sources.sinks import stream_meta
+from ..sources.readers import corpus_texts, governed_records, parquet
+from ..sources.sinks import stream_meta, write_json
+from .artifacts import corpus_manifest, prepared_manifest, stream_folder, write_streams
+from .specs import PrepareConfig
 
 
 def document_stream(docs: DataFrame, vocab: Vocabulary, bos: int = 0, eos: int = 1) -> DataFrame:
@@ -60,3 +62,34 @@ def prepare_conversations(df: DataFrame, vocab: Vocabulary, val_frac: float, see
         stream = conversation_stream(parted.where(F.col("partition") == part), vocab)
         out[part] = (stream, stream_meta(stream, source, split=part, seed=seed, split_strategy="prompt"))
     return out, prompt_set(parted.where("partition = 'validation'"), prompts)
+
+
+def prepare_domain_job(spark: SparkSession, root: str, manifest_dir: str, out_corpus: str, source: str, splits: list[str], key: str, val_frac: float, seed: int, vocab: Vocabulary, tokenizer: str, general: tuple[str, ...] = ()) -> dict:
+    """Write a domain corpus's streams, the held-out streams of general corpora and the manifest; returns the manifest."""
+    found = corpus_manifest(spark, manifest_dir, source)
+    parts = prepare_domain(spark, root, source, splits, key, val_frac, seed, vocab, found)
+    partitions = write_streams(spark, parts, stream_folder(root, out_corpus, tokenizer))
+    for corpus, part in prepare_general(spark, root, list(general), vocab, {c: corpus_manifest(spark, manifest_dir, c) for c in general}).items():
+        write_streams(spark, {"validation": part}, stream_folder(root, corpus, tokenizer))
+    out = prepared_manifest(out_corpus, found, f"{manifest_dir}/{source}.json", splits, tokenizer, vocab.size, partitions, group_key=key, split_strategy="group_by_document", val_frac=val_frac, seed=seed)
+    write_json(spark, out, f"{manifest_dir}/{out_corpus}.json")
+    return out
+
+
+def prepare_conversations_job(spark: SparkSession, root: str, manifest_dir: str, out_corpus: str, source: str, splits: list[str], val_frac: float, seed: int, vocab: Vocabulary, tokenizer: str, prompts: int = 50, prompt_seed: int = 2026) -> dict:
+    """Write a chat corpus's streams with masks, the fixed prompts of its validation side and the manifest; returns it."""
+    PrepareConfig(out_corpus, tuple(splits), val_frac, seed)
+    found = corpus_manifest(spark, manifest_dir, source)
+    rows = None
+    for k, split in enumerate(splits):
+        some = parquet(spark, f"{root}/{source}/{split}.parquet").withColumn("ord", F.col("ord") + F.lit(k << 40))
+        rows = some if rows is None else rows.unionByName(some)
+    parts, chosen = prepare_conversations(rows, vocab, val_frac, seed, found, prompts)
+    partitions = write_streams(spark, parts, stream_folder(root, out_corpus, tokenizer))
+    listed = [r.prompt for r in chosen.orderBy("prompt_index").collect()]  # ``prompts`` at most
+    path = f"{root}/{out_corpus}/prompts-{prompts}.json"
+    write_json(spark, [{"index": i, "prompt": p, "source_split": "validation"} for i, p in enumerate(listed)], path)
+    more = {"path": path, "count": len(listed), "seed": prompt_seed, "source_split": "validation", "selection_rule": f"distinct prompts of the validation side in seeded order, the first {prompts}"}
+    out = prepared_manifest(out_corpus, found, f"{manifest_dir}/{source}.json", splits, tokenizer, vocab.size, partitions, split_strategy="group_by_prompt", val_frac=val_frac, seed=seed, chat_template="tiny", prompts=more)
+    write_json(spark, out, f"{manifest_dir}/{out_corpus}.json")
+    return out

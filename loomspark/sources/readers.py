@@ -121,24 +121,67 @@ def governed_records(spark: SparkSession, root: str, corpus: str, splits: list[s
     return out
 
 
-def binary_stream(spark: SparkSession, path: str, item: str = "i4") -> DataFrame:
-    """(position, token) of a flat file of int32 (i4) or int8 (i1) items; a broken size raises."""
+def stream_length(spark: SparkSession, path: str, item: str = "i4") -> int:
+    """Items of a flat file; a size that is no multiple of an item raises."""
     import numpy as np
-    import pyarrow as pa
 
     width = np.dtype(item).itemsize
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(p):
+        raise FileNotFoundError(path)
+    size = store.getFileStatus(p).getLen()
+    if size % width:
+        raise ValueError(f"{path}: {size} bytes are no multiple of {width}")
+    return size // width
+
+
+def _reader(path: str, item: str):
+    """A function (first item, number of items) -> array over a flat file, by ranges of bytes."""
+    import numpy as np
+    from pyarrow import fs
+
+    width = np.dtype(item).itemsize
+    store, name = fs.FileSystem.from_uri(path)
+    file = store.open_input_file(name)
+    return lambda at, n: np.frombuffer(file.read_at(n * width, at * width), item).astype(np.int32)
+
+
+def binary_stream(spark: SparkSession, path: str, item: str = "i4", range_items: int = 1 << 20) -> DataFrame:
+    """(position, token) of a flat file of int32 (i4) or int8 (i1) items, of any size: tasks read ranges of it."""
+    import numpy as np
+    import pyarrow as pa
+
+    length = stream_length(spark, path, item)
+
+    def run(batches):
+        read = None
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                read = read or _reader(path, item)
+                part = read(at, min(range_items, length - at))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), pa.array(part)], names=["position", "token"])
+
+    return spark.range(0, length, range_items).mapInArrow(run, "position long, token int")
+
+
+def stream_blocks(spark: SparkSession, path: str, offsets: DataFrame, block: int, item: str = "i4") -> DataFrame:
+    """(block_id, offset, input, label): slices of a flat file at the offsets, read where they lie."""
+    import pyarrow as pa
+
+    stream_length(spark, path, item)
 
     def run(batches):
+        read = None
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                if len(raw) % width:
-                    raise ValueError(f"the file's size is no multiple of {width}")
-                values = np.frombuffer(raw, item)
-                for i in range(0, len(values), 1 << 20):
-                    part = values[i : i + (1 << 20)].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part))), pa.array(part)], names=["position", "token"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "position long, token int")
+            read = read or _reader(path, item)
+            found = [read(at, block + 1) for at in batch.column(1).to_pylist()]
+            if any(len(x) <= block for x in found):
+                raise ValueError("a block reaches beyond the stream")
+            lists = [pa.array([x[a : a + block] for x in found], pa.list_(pa.int32())) for a in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["block_id", "offset", "input", "label"])
+
+    return offsets.select(F.col("block_id").cast("long"), F.col("offset").cast("long")).mapInArrow(run, "block_id long, offset long, input array<int>, label array<int>")
 
 
 def metrics_log(spark: SparkSession, path: str, schema: Schema) -> DataFrame:

@@ -6,14 +6,29 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.packing import stream_stats
 
 
-def write_records(df: DataFrame, path: str, order: str | None = "ord") -> None:
-    """Records as Parquet, in order within files."""
+def write_records(df: DataFrame, path: str, order: str | None = "ord") -> str:
+    """Records in order within files, as Parquet, or as JSON lines where Parquet has no type for a column; returns
+    the format. JSON lines go to the path with the suffix .jsonl in place of .parquet."""
     out = df.sortWithinPartitions(order) if order and order in df.columns else df
+    if any(_untyped(f.dataType) for f in df.schema.fields):
+        out.write.mode("overwrite").json(path.removesuffix(".parquet") + ".jsonl")
+        return "jsonl"
     out.write.mode("overwrite").parquet(path)
+    return "parquet"
+
+
+def _untyped(kind: T.DataType) -> bool:
+    """Whether Parquet can't store a type: void, structs without fields, and what holds them."""
+    if isinstance(kind, T.StructType):
+        return not kind.fields or any(_untyped(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _untyped(kind.elementType)
+    return isinstance(kind, T.NullType | T.CalendarIntervalType) if not isinstance(kind, T.MapType) else _untyped(kind.valueType)
 
 
 def write_json(spark: SparkSession, value: dict, path: str) -> None:
@@ -32,19 +47,48 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_stream(docs: DataFrame, path: str, ids_col: str = "ids", item: str = "i4", ord_col: str = "ord") -> int:
-    """The documents' ids in order as one flat file on the driver's disk, one partition at a time.
+    """The documents' ids in order as one flat file, in a store that executors reach by pyarrow.
 
-    Returns the number of items. Training code maps such a file into memory; tables of offsets serve
-    everything else.
+    Executors write a part for each range of documents, named by its place in the stream (stream_start); the
+    parts are put together in that order as bytes. Returns the number of items.
     """
     import numpy as np
-
-    n = 0
-    with open(path, "wb") as f:
-        for row in docs.orderBy(ord_col).select(ids_col).toLocalIterator(prefetchPartitions=False):
-            values = np.array(row[0], item)
-            f.write(values.tobytes())
-            n += len(values)
+    import pyarrow as pa
+    from pyarrow import fs
+
+    parts = path + ".parts"
+
+    def run(batches):
+        out, n = None, 0
+        for batch in batches:
+            values = np.asarray(batch.column(1).flatten()).astype(item)
+            if out is None and batch.num_rows:
+                store, root = fs.FileSystem.from_uri(parts)
+                store.create_dir(root)
+                out = store.open_output_stream(f"{root}/{batch.column(0)[0].as_py():020d}")
+            if out is not None:
+                out.write(values.tobytes())
+                n += len(values)
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_pydict({"n": [n]}, pa.schema([("n", pa.int64())]))
+
+    spark = docs.sparkSession
+    ranges = docs.repartitionByRange(ord_col).sortWithinPartitions(ord_col).select("stream_start", ids_col)
+    n = ranges.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder, target = jvm.org.apache.hadoop.fs.Path(parts), jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(conf)
+    out = store.create(target, True)
+    try:
+        if store.exists(folder):
+            for found in sorted((f.getPath() for f in store.listStatus(folder)), key=lambda p: p.getName()):
+                part = store.open(found)
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+                part.close()
+            store.delete(folder, True)
+    finally:
+        out.close()
     return n
 
 
@@ -65,3 +109,4 @@ def resume_guard(saved: dict, current: dict, keys: tuple[str, ...] = ("config",
     for key in keys:
         if saved.get(key) != current.get(key):
             raise ValueError(f"cannot resume: {key} differs from the saved one")
+
