@@ -170,18 +170,37 @@ def _numbered(values: pa.Array) -> np.ndarray:
     return values.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def exact_names(words: np.ndarray, off: np.ndarray, window: int) -> np.ndarray:
-    """For each word at which ``window`` words begin, a number that is the same for equal words only.
+def exact_names(words: np.ndarray, off: np.ndarray, window: int, at: np.ndarray) -> np.ndarray:
+    """For the windows of ``window`` words that begin at the given words, numbers that are equal for equal words only.
 
-    words: bytes, off: where each word begins. Words are numbered by their bytes, then pairs of numbers
-    side by side, and so on: after k rounds a number stands for 2**k words; two that overlap make the window.
+    words: bytes, off: where each word begins. Words are numbered by their bytes. Hashes of pairs, of pairs of
+    pairs and so on bring windows together; each is then compared word by word with the first of its hash. If
+    any differs, all are numbered without hashes.
     """
-    name = _numbered(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(words)]))
-    span = 1
-    while span < window and len(name):
+    code = _numbered(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(words)]))
+    if not len(at):
+        return np.zeros(0, np.int64)
+    h, span = mix(code.astype(_U)), 1
+    while span < window:
+        step = min(span, window - span)
+        h = mix(h[:-step] * _U(0x9FB21C651E98DF25) + h[step:])
+        span += step
+    name = _numbered(pa.array(h[at]))
+    first = np.empty(int(name.max()) + 1, np.int64)
+    first[name[::-1]] = at[::-1]
+    like = first[name]
+    for j in range(window):
+        if not np.array_equal(code[at + j], code[like + j]):
+            return _numbered_in_rounds(code, window)[at]
+    return name
+
+
+def _numbered_in_rounds(code: np.ndarray, window: int) -> np.ndarray:
+    """Numbers of all windows from numbers of words: after k rounds a number stands for 2**k words, two that overlap
+    make the window."""
+    name, span = code, 1
+    while span < window:
         step = min(span, window - span)
-        if len(name) <= step:
-            return np.zeros(0, np.int64)
         name = _numbered(pa.array(name[:-step] * (int(name.max()) + 1) + name[step:]))
         span += step
     return name
@@ -203,7 +222,7 @@ class Windows:
         where[word] = np.arange(len(word))
         self.bytes, self.off = batch.joined(word)
         start = where[at]
-        _, first, code = np.unique(exact_names(self.bytes, self.off, self.window)[start], return_index=True, return_inverse=True)
+        _, first, code = np.unique(exact_names(self.bytes, self.off, self.window, start), return_index=True, return_inverse=True)
         least = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(least, code, batch.ids[batch.doc[at]])
         bucket = keys[first] >> _U(64 - bits)
@@ -337,7 +356,7 @@ def repeated(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
         off = np.concatenate([[0], np.cumsum(np.concatenate([x for _, x, _ in parts]), dtype=np.int64)])
         words = np.concatenate([x for x, _, _ in parts])
         del parts
-        code = exact_names(words, off, window)[place]
+        code = exact_names(words, off, window, place)
         d = np.concatenate([np.frombuffer(zstandard.decompress(x.as_py()), np.int64) for x in table.column("about")])
         least = np.full(int(code.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, code, d)

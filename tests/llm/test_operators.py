@@ -127,16 +127,48 @@ def test_equal_hashes_remove_and_link_nothing():
     assert words.tobytes() == b"a b c d e f g h x b c " and sizes.tolist() == [2] * 11 and start.tolist() == [0, 1, 4, 5, 8]
 
 
-def test_exact_names():
+@pytest.mark.parametrize("hashed", [True, False])
+def test_exact_names(hashed, monkeypatch):
+    """Windows get equal numbers for equal words only, whether hashes tell them apart or are all alike."""
+    if not hashed:
+        monkeypatch.setattr(substring_dedup, "mix", lambda h: np.zeros(len(h), np.uint64))
     rnd = random.Random(6)
     for window in (2, 3, 5, 8, 13, 50):
         w = [rnd.choice(["a", "b", "ab", "a" * 9]) if rnd.random() < 0.3 else "c" for _ in range(400)]
         data = np.frombuffer("".join(x + " " for x in w).encode(), np.uint8)
         off = np.cumsum([0] + [len(x) + 1 for x in w])
-        names = substring_dedup.exact_names(data, off, window).tolist()
-        grams = [tuple(w[k : k + window]) for k in range(len(w) - window + 1)]
-        assert len(names) == len(grams) and len(set(zip(names, grams))) == len(set(names)) == len(set(grams))
-    assert len(substring_dedup.exact_names(data[: off[3]], off[:4], 5)) == 0
+        at = np.array(sorted(rnd.sample(range(401 - window), 300)))
+        names = substring_dedup.exact_names(data, off, window, at).tolist()
+        grams = [tuple(w[k : k + window]) for k in at]
+        assert len(set(zip(names, grams))) == len(set(names)) == len(set(grams))
+    assert len(substring_dedup.exact_names(data[:0], off[:1], 5, at[:0])) == 0
+
+
+def test_rows_without_ids(spark):
+    """Null ids: later than all others and no repeat of each other (substrings), linked with nothing (near-duplicates)."""
+    rnd = random.Random(8)
+    t = " ".join(f"w{rnd.randint(0, 999)}" for _ in range(40))
+    df = spark.createDataFrame([(None, t), (None, t), (5, t), (6, t + " more")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_removed) for r in substring_dedup.repeated(df).collect())
+    assert got == [("5", 0), ("6", 40), ("None", 40), ("None", 40)]
+    alone = substring_dedup.repeated(df.where("doc_id IS NULL")).collect()
+    assert [r.n_removed for r in alone] == [0, 0]
+    got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in minhash.near_duplicates(df).collect())
+    assert got == [("5", "5", True), ("6", "5", False), ("None", "None", True), ("None", "None", True)]
+
+
+def test_toxicity_of_long_texts_and_repeated_rows(spark):
+    model = toxicity.Model({"idiot": 3.0}, {}, (-3.0, 0.8, 0.8))
+    long = "word " * 300_000
+    df = spark.createDataFrame([(1, long + "you idiot"), (2, long), (3, "you idiot"), (3, "you idiot"), (None, "you idiot"), (4, "")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_clauses, r.toxicity) for r in toxicity.scored(df, model).collect())
+    assert [x[:2] for x in got] == [("1", 1), ("2", 0), ("3", 1), ("3", 1), ("4", 0), ("None", 1)] and got[2] == got[3] and got[1][2] == got[4][2]
+
+
+def test_bpe_replaces_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", "clash", "clash"), (None, None, "clash", "clash")], "doc_id long, text string, ids string, n_tokens string")
+    out = bpe.encoded(df)
+    assert [(r.doc_id, r.n_tokens) for r in out.orderBy("doc_id").collect()] == [(None, 0), (1, 2)] and dict(out.dtypes)["ids"].startswith("array")
 
 
 def shingles(t, n):
