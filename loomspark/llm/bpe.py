@@ -9,7 +9,8 @@ offsets that decoding keeps.
 
 Nulls and empty texts have no ids and decode to no bytes. Texts of any length are encoded whole;
 those of a batch are taken in pieces of documents of about ``slices``' bound, a longer text alone.
-Repeated rows are encoded alike. Empty tables give no rows.
+Repeated rows are encoded alike. Empty tables give no rows. All input columns are kept; those named like a
+result column are replaced.
 """
 
 from __future__ import annotations

@@ -23,7 +23,8 @@ _OWN = ("size", "source_size", "target", "rate", "copies", "taken")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, max_repeat: float = 3.0) -> DataFrame:
-    """(source, source_size, target, rate) from one row (source, source_size) per source.
+    """(source, source_size, target, rate) from one row (source, source_size) per source. Windows order all
+    sources in one task, a row of a few dozen bytes each: sources are thought to number millions at most.
 
     Water-filling in closed form: in the order of cap over weight, the capped sources are a prefix,
     which ends where the rest's common level no longer reaches the next cap. ``share`` of all
