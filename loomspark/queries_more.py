@@ -6,6 +6,8 @@ that it keeps and rows that it drops.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from .functions import numeric
 from .functions import text as tx
 from .operators import chat, metrics, packing, probes, splits, tokenizer, transforms
 from .queries import _CLEAN, _MSGS, _conversations, _docs, _stored, query
+from .sources import readers, sinks
+from .storage import shared_dir
 
 
 def _strip(c: str) -> str:
@@ -254,3 +258,42 @@ def impact_report(spark, sf):
     rows = d.groupBy(F.col("lang").alias("name")).agg(F.sum(F.when(F.col("v"), F.octet_length("text"))).alias("tokens"), F.count(F.when(F.col("v"), 1)).alias("docs")).withColumn("vocab_size", (16000 + F.length("name") * 1000).cast("long"))
     chars = d.agg(F.sum(F.when(~F.col("v"), F.length("text"))).alias("train"), F.sum(F.when(F.col("v"), F.length("text"))).alias("validation")).first()
     return probes.impact_report(rows, chars.train, chars.validation, 512, 1024)
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/loom-{uuid.uuid4().hex}"
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ord, doc_id, length(text)::INT AS chars FROM documents")
+def scan_json_lines(spark, sf):
+    """All documents written as JSON lines in order, and scanned back with their places."""
+    path = _folder(spark)
+    _docs(spark, sf, "text").orderBy("doc_id").write.json(path)
+    return readers.jsonl(spark, path, "doc_id long, text string").select("ord", "doc_id", F.length("text").alias("chars"))
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id, text, CASE WHEN doc_id % 5 = 0 THEN '' ELSE lang END AS lang FROM documents")
+def scan_csv(spark, sf):
+    """All documents through a CSV file with line breaks and quotes in fields, some of them empty."""
+    path = _folder(spark)
+    rows = _docs(spark, sf, "text", "lang").withColumn("lang", F.when(F.col("doc_id") % 5 != 0, F.col("lang")))
+    rows.write.options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return readers.csv(spark, path, ["doc_id", "text", "lang"], ordered=False)
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, source FROM documents WHERE doc_id % 2 <> 0")
+def scan_splits(spark, sf):
+    """Two Parquet splits one behind the other, with a projection."""
+    path = _folder(spark)
+    for name, odd in (("train", False), ("validation", True)):
+        _docs(spark, sf, "text", "source").where((F.col("doc_id") % 2 != 0) == F.lit(odd)).write.parquet(f"{path}/{name}.parquet")
+    parts = {"train": ("train.parquet",), "validation": ("validation.parquet",)}
+    return readers.load_raw(spark, path, parts, None, ["doc_id", "source"]).select("doc_id", "source")
+
+
+@query(f"WITH {_PAIRS} SELECT stream_end - len(ids) + k - 1 AS position, ids[k]::INT AS token FROM (SELECT *, unnest(range(1, len(ids) + 1)) AS k FROM s)")
+def scan_flat_stream(spark, sf):
+    """A token stream written as one flat file and read back by ranges of bytes."""
+    path = f"{_folder(spark)}/stream.bin"
+    sinks.write_stream(_pair_stream(spark, sf), path)
+    return readers.binary_stream(spark, path, range_items=1 << 16)
