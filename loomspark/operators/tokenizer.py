@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 #: Splits text before merging (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: \s and classes as Unicode has them.
@@ -242,7 +244,11 @@ def round_trip(df: DataFrame, vocab: Vocabulary, text_col: str = "text", shown:
     both = df.select(F.coalesce(text_col, F.lit("")).alias("t")).withColumn("d", decode(encode("t")))
     bad = F.col("t") != F.col("d")
     pair = F.array(F.substring("t", 1, 80), F.substring("d", 1, 80))
-    return both.agg(F.count("*").alias("checked"), F.coalesce(F.bool_and(~bad), F.lit(True)).alias("ok"), F.slice(F.sort_array(F.collect_set(F.when(bad, pair))), 1, shown).alias("failures"), F.count(F.when(bad, True)).alias("failed"))
+    # Coded once: a flag for each text, and what failed, of which no task gathers more than is shown.
+    seen = materialize(both.select(bad.alias("bad"), F.when(bad, pair).alias("pair")))
+    counted = seen.agg(F.count("*").alias("checked"), F.coalesce(F.bool_and(~F.col("bad")), F.lit(True)).alias("ok"), F.count(F.when(F.col("bad"), True)).alias("failed"))
+    listed = seen.where("bad").select("pair").distinct().orderBy("pair").limit(shown).agg(F.sort_array(F.collect_list("pair")).alias("failures"))
+    return counted.join(F.broadcast(listed)).select("checked", "ok", "failures", "failed")  # one row each
 
 
 def tokens_per_char(df: DataFrame, tokens: Column, text_col: str, category: str) -> DataFrame:
