@@ -69,7 +69,8 @@ def ordered_bucket(df: DataFrame, ord_col: str, rows: int = 100_000) -> Column:
     """
     at = F.col(ord_col).cast("long")
     widths = [rows * 32**j for j in range(13) if rows * 32**j < 1 << 62]
-    counts = [F.approx_count_distinct(F.floor(at / F.lit(w)), 0.02).alias(f"w{j}") for j, w in enumerate(widths)]
+    # One sketch is one value of the aggregation's buffer; approx_count_distinct would put hundreds of columns there.
+    counts = [F.hll_sketch_estimate(F.hll_sketch_agg(F.floor(at / F.lit(w)), 12)).alias(f"w{j}") for j, w in enumerate(widths)]
     found = df.agg(F.count("*").alias("n"), *counts).first()
     most = 64 + 4 * -(-found.n // rows)
     width = next((w for j, w in enumerate(widths) if found[f"w{j}"] <= most), widths[-1])
