@@ -220,3 +220,10 @@ def test_power_law(spark):
     for bad in (pts.limit(1), pts.withColumn("n_params", F.lit(1.0)), pts.withColumn("loss", -F.col("loss"))):
         with pytest.raises(PySparkException):
             metrics.power_law(bad).collect()
+
+
+def test_offsets_of_no_documents(spark):
+    df = spark.createDataFrame([], "ord long, ids array<int>")
+    assert packing.stream_offsets(df).count() == 0
+    nulls = spark.createDataFrame([(None, [1, 2]), (3, [1])], "ord long, ids array<int>")
+    assert sorted(r.stream_end for r in packing.stream_offsets(nulls).collect()) == [2, 3]
