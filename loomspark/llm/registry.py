@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op10_bpe
+from .fim import OP11_SQL, op11_fim
 from .license_scan import op3_licenses
 from .minhash import OP4_SQL, op4_minhash
 from .mixing import OP7_SQL, op7_mixing
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
+    "op11_fim": op11_fim,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -37,4 +39,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_mixing": OP7_SQL,
     "op8_warc": OP8_SQL,
     "op9_quality": OP9_SQL,
+    "op11_fim": OP11_SQL,
 }
