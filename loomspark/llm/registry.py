@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op10_bpe
+from .conv_repair import OP12_SQL, op12_conversations
 from .fim import OP11_SQL, op11_fim
 from .license_scan import op3_licenses
 from .minhash import OP4_SQL, op4_minhash
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
     "op11_fim": op11_fim,
+    "op12_conversations": op12_conversations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -40,4 +42,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_warc": OP8_SQL,
     "op9_quality": OP9_SQL,
     "op11_fim": OP11_SQL,
+    "op12_conversations": OP12_SQL,
 }
