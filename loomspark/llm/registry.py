@@ -15,6 +15,7 @@ from .mixing import OP7_SQL, op7_mixing
 from .quality import OP9_SQL, op9_quality
 from .sharding import op6_sharding
 from .substring_dedup import OP2_SQL, op2_substring_dedup
+from .suffix_dedup import OP13_SQL, op13_suffix_dedup
 from .topk import OP5_SQL, op5_topk
 from .toxicity import op1_toxicity
 from .warc import OP8_SQL, op8_warc
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
     "op11_fim": op11_fim,
     "op12_conversations": op12_conversations,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -43,4 +45,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_quality": OP9_SQL,
     "op11_fim": OP11_SQL,
     "op12_conversations": OP12_SQL,
+    "op13_suffix_dedup": OP13_SQL,
 }
