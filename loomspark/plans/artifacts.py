@@ -147,7 +147,8 @@ def write_streams(spark: SparkSession, parts: dict[str, tuple[DataFrame, dict]],
         if written != meta["tokens"]:
             raise ValueError(f"{name}: {written} items written, {meta['tokens']} counted")
         if "mask" in stream.columns:
-            sinks.write_stream(stream, f"{folder}/{name}.mask.bin", ids_col="mask", item="i1")
+            if (masks := sinks.write_stream(stream, f"{folder}/{name}.mask.bin", ids_col="mask", item="i1")) != written:
+                raise ValueError(f"{name}: a mask of {masks} items for {written}")
         sinks.write_json(spark, meta, f"{folder}/{name}.json")
         out[name] = {"records": meta["docs"], "docs": meta["docs"], "tokens": meta["tokens"], "path": f"{folder}/{name}.bin"}
         if "assistant_tokens" in meta:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import pystrip
 from ..operators.order import running
+from . import flatstream
 
 Schema = T.StructType | str
 
@@ -122,62 +123,49 @@ def governed_records(spark: SparkSession, root: str, corpus: str, splits: list[s
 
 
 def stream_length(spark: SparkSession, path: str, item: str = "i4") -> int:
-    """Items of a flat file; a size that is no multiple of an item raises."""
-    import numpy as np
-
-    width = np.dtype(item).itemsize
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not store.exists(p):
-        raise FileNotFoundError(path)
-    size = store.getFileStatus(p).getLen()
-    if size % width:
-        raise ValueError(f"{path}: {size} bytes are no multiple of {width}")
-    return size // width
-
-
-def _reader(path: str, item: str):
-    """A function (first item, number of items) -> array over a flat file, by ranges of bytes."""
-    import numpy as np
-    from pyarrow import fs
-
-    width = np.dtype(item).itemsize
-    store, name = fs.FileSystem.from_uri(path)
-    file = store.open_input_file(name)
-    return lambda at, n: np.frombuffer(file.read_at(n * width, at * width), item).astype(np.int32)
+    """Items of a flat stream; a size that is no multiple of an item raises."""
+    return sum(n for _, n in flatstream.layout_of(path, item))
 
 
 def binary_stream(spark: SparkSession, path: str, item: str = "i4", range_items: int = 1 << 20) -> DataFrame:
-    """(position, token) of a flat file of int32 (i4) or int8 (i1) items, of any size: tasks read ranges of it."""
-    import numpy as np
-    import pyarrow as pa
-
-    length = stream_length(spark, path, item)
-
-    def run(batches):
-        read = None
-        for batch in batches:
-            for at in batch.column(0).to_pylist():
-                read = read or _reader(path, item)
-                part = read(at, min(range_items, length - at))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), pa.array(part)], names=["position", "token"])
-
-    return spark.range(0, length, range_items).mapInArrow(run, "position long, token int")
+    """(position, token) of a flat stream of int32 (i4) or int8 (i1) items, of any size: tasks read ranges of it."""
+    stream_length(spark, path, item)  # what is wrong with it is said here
+    flatstream.register(spark)
+    return spark.read.format(flatstream.NAME).options(path=path, item=item, range_items=range_items).load()
 
 
 def stream_blocks(spark: SparkSession, path: str, offsets: DataFrame, block: int, item: str = "i4") -> DataFrame:
-    """(block_id, offset, input, label): slices of a flat file at the offsets, read where they lie."""
+    """(block_id, offset, input, label): slices of a flat stream at the offsets, read where they lie; a block may span
+    several files of it."""
+    import numpy as np
     import pyarrow as pa
 
-    stream_length(spark, path, item)
+    files = flatstream.layout_of(path, item)
+    ends = np.cumsum([n for _, n in files])
+    width = np.dtype(item).itemsize
 
     def run(batches):
-        read = None
+        from pyarrow import fs
+
+        opened = {}
+        store, _ = fs.FileSystem.from_uri(path)
+
+        def slice_at(at: int) -> np.ndarray:
+            out, k = [], int(np.searchsorted(ends, at, "right"))
+            need = block + 1
+            while need:
+                if k >= len(files) or at < 0:
+                    raise ValueError("a block reaches beyond the stream")
+                inside = at - (int(ends[k]) - files[k][1])
+                n = min(need, files[k][1] - inside)
+                if k not in opened:
+                    opened[k] = store.open_input_file(files[k][0])
+                out.append(np.frombuffer(opened[k].read_at(n * width, inside * width), item).astype(np.int32))
+                at, need, k = at + n, need - n, k + 1
+            return np.concatenate(out)
+
         for batch in batches:
-            read = read or _reader(path, item)
-            found = [read(at, block + 1) for at in batch.column(1).to_pylist()]
-            if any(len(x) <= block for x in found):
-                raise ValueError("a block reaches beyond the stream")
+            found = [slice_at(at) for at in batch.column(1).to_pylist()]
             lists = [pa.array([x[a : a + block] for x in found], pa.list_(pa.int32())) for a in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["block_id", "offset", "input", "label"])
 

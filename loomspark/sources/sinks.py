@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.packing import stream_stats
+from . import flatstream
 
 
 def write_records(df: DataFrame, path: str, order: str | None = "ord") -> str:
@@ -46,50 +47,14 @@ def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def write_stream(docs: DataFrame, path: str, ids_col: str = "ids", item: str = "i4", ord_col: str = "ord") -> int:
-    """The documents' ids in order as one flat file, in a store that executors reach by pyarrow.
-
-    Executors write a part for each range of documents, named by its place in the stream (stream_start); the
-    parts are put together in that order as bytes. Returns the number of items.
-    """
-    import numpy as np
-    import pyarrow as pa
-    from pyarrow import fs
-
-    parts = path + ".parts"
-
-    def run(batches):
-        out, n = None, 0
-        for batch in batches:
-            values = np.asarray(batch.column(1).flatten()).astype(item)
-            if out is None and batch.num_rows:
-                store, root = fs.FileSystem.from_uri(parts)
-                store.create_dir(root)
-                out = store.open_output_stream(f"{root}/{batch.column(0)[0].as_py():020d}")
-            if out is not None:
-                out.write(values.tobytes())
-                n += len(values)
-        if out is not None:
-            out.close()
-        yield pa.RecordBatch.from_pydict({"n": [n]}, pa.schema([("n", pa.int64())]))
-
+def write_stream(docs: DataFrame, path: str, ids_col: str = "ids", item: str = "i4", ord_col: str = "ord", layout: str = "file") -> int:
+    """The documents' ids in order as one flat stream, committed when all of it is written (see ``flatstream``); returns
+    the number of items that the stream then holds."""
     spark = docs.sparkSession
-    ranges = docs.repartitionByRange(ord_col).sortWithinPartitions(ord_col).select("stream_start", ids_col)
-    n = ranges.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    folder, target = jvm.org.apache.hadoop.fs.Path(parts), jvm.org.apache.hadoop.fs.Path(path)
-    store = target.getFileSystem(conf)
-    out = store.create(target, True)
-    try:
-        if store.exists(folder):
-            for found in sorted((f.getPath() for f in store.listStatus(folder)), key=lambda p: p.getName()):
-                part = store.open(found)
-                jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
-                part.close()
-            store.delete(folder, True)
-    finally:
-        out.close()
-    return n
+    flatstream.register(spark)
+    ranges = docs.repartitionByRange(ord_col).sortWithinPartitions(ord_col).select(F.col("stream_start").cast("long").alias("stream_start"), F.col(ids_col).alias("ids"))
+    ranges.write.format(flatstream.NAME).options(path=path, item=item, layout=layout).mode("overwrite").save()
+    return sum(n for _, n in flatstream.layout_of(path, item))
 
 
 def stream_meta(docs: DataFrame, source: dict, **more) -> dict:
