@@ -1,4 +1,5 @@
-"""Commands: govern, overlap, train-tokenizer, analyze-tokenizers, prepare-domain, prepare-chat, sizing, compare, merge-check, summary."""
+"""Commands: govern, overlap, train-tokenizer, analyze-tokenizers, prepare-pretraining, prepare-domain, prepare-chat, sizing, compare,
+compare-generations, merge-check, summary."""
 
 from __future__ import annotations
 
@@ -6,6 +7,8 @@ import argparse
 import json
 import sys
 
+from pyspark.sql import functions as F
+
 from .session import session
 
 
@@ -32,6 +35,8 @@ def _parser() -> argparse.ArgumentParser:
     a.add_argument("--tokenizers", nargs="+", required=True)
     a.add_argument("--hidden-size", type=int, default=512)
     a.add_argument("--seq-len", type=int, default=512)
+    a.add_argument("--reference-config", help="another model's config.json, for the costs that it has by its own sizes")
+    command("prepare-pretraining", "token streams of a governed corpus as a pretraining configuration names them", "--root", "--manifest-dir", "--tokenizer-root", "--config").add_argument("--max-docs", type=int)
     for name, about in (("prepare-domain", "token streams of a domain corpus"), ("prepare-chat", "token streams and masks of conversations")):
         p = command(name, about, "--root", "--manifest-dir", "--out-corpus", "--source", "--tokenizer")
         p.add_argument("--splits", nargs="+", default=["train"])
@@ -46,6 +51,8 @@ def _parser() -> argparse.ArgumentParser:
     z.add_argument("--model-params", type=int)
     z.add_argument("--domain-tokens", type=int)
     command("compare", "two models' evaluations (eval_name, val_loss, val_ppl)", "--base", "--tuned", "--report")
+    k = command("compare-generations", "one run's generations (prompt_index, generated) against those of others", "--base", "--prompts", "--report")
+    k.add_argument("--runs", nargs="+", required=True, help="NAME=PATH of each other run")
     m = command("merge-check", "generations and losses before and after a merge", "--before", "--after", "--report")
     m.add_argument("--loss-before", type=float, required=True)
     m.add_argument("--loss-after", type=float, required=True)
@@ -92,6 +99,24 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "analyze-tokenizers":
         out = _analysis(spark, args)
         write_json(spark, out, args.report)
+    elif args.command == "prepare-pretraining":
+        from .plans import configs, prepare
+
+        config = configs.read(spark, configs.PRETRAIN, args.config)
+        vocab, _ = artifacts.load_tokenizer(spark, f"{args.tokenizer_root}/{config['data']['tokenizer']}")
+        out = prepare.prepare_pretraining_job(spark, args.root, args.manifest_dir, config, vocab, args.max_docs)
+    elif args.command == "compare-generations":
+        from .operators.metrics import compare_generations, generation_diversity
+
+        texts = lambda path: spark.read.schema("prompt_index int, generated string").json(path)
+        runs = dict(r.split("=", 1) for r in args.runs)
+        prompts = spark.read.schema("index int, prompt string").json(args.prompts, multiLine=True)
+        rows = compare_generations(texts(args.base), {n: texts(p) for n, p in runs.items()})
+        samples = prompts.withColumnRenamed("index", "prompt_index").join(rows, "prompt_index").orderBy("prompt_index", "run")
+        diversity = {n: generation_diversity(texts(p)).first().asDict() for n, p in {"base": args.base, **runs}.items()}
+        counts = rows.groupBy("run").agg(F.count("*").alias("pairs"), F.count(F.when(F.col("equal"), 1)).alias("equal"))
+        out = {"runs": {r.run: {"pairs": r.pairs, "exact_match_count": r.equal} for r in counts.collect()}, "samples": [r.asDict() for r in samples.collect()], "diversity": diversity, "run": artifacts.run_record(sys.argv)}
+        write_json(spark, out, args.report)
     elif args.command in ("prepare-domain", "prepare-chat"):
         from .plans import prepare
 
@@ -130,15 +155,13 @@ def main(argv: list[str] | None = None) -> int:
 
 def _analysis(spark, args) -> dict:
     """Probes, validation counts and round trips, and costs of saved tokenizers."""
-    from pyspark.sql import functions as F
-
     from .operators import probes, tokenizer
     from .plans import artifacts
     from .sources.readers import corpus_texts
 
     loaded = [artifacts.load_tokenizer(spark, d) for d in args.tokenizers]
     report = {"generated_at": artifacts.now(), "environment": artifacts.environment(), "tokenizers": {}}
-    for row in probes.probe_report(spark, [v for v, _ in loaded]).collect():
+    for row in probes.probe_report(probes.probe_texts(spark), {m["name"]: (v.encode, v.decode) for v, m in loaded}).collect():
         entry = report["tokenizers"].setdefault(row.tokenizer, {"probes_tokens_per_char": {}, "probes_roundtrip_failures": 0})
         entry["probes_tokens_per_char"][row.category] = row.tokens_per_char
         if row.category == "overall":
@@ -153,6 +176,10 @@ def _analysis(spark, args) -> dict:
     parts = loaded[0][1]["corpus"].get("partitions") or {}
     chars = [(parts.get(p) or {}).get("chars") for p in ("train", "validation")]
     table = spark.createDataFrame(stats, "name string, vocab_size long, tokens long, docs long")
+    from .plans import configs
+    from .sources.readers import manifest
+
+    report["reference_own_config"] = configs.reference_model(manifest(spark, args.reference_config) if args.reference_config else None)
     report["impact"] = [r.asDict() for r in probes.impact_report(table, *chars, args.hidden_size, args.seq_len).collect()]
     return report
 

@@ -59,14 +59,16 @@ def sample_next(logits: Column | str, draw: Column | str, temperature: float = 1
     return walk.cast("int")
 
 
-def warmup_cosine(step: Column | str, total_steps: int, warmup_steps: int, peak: float, min_ratio: float) -> Column:
-    """Learning rate: linear warm-up to the peak, then a half cosine to the minimum."""
-    if total_steps < 1 or not 0 <= warmup_steps < total_steps or peak <= 0 or not 0 <= min_ratio < 1:
+def warmup_cosine(step: Column | str, total_steps: Column | str | int, warmup_steps: Column | str | int, peak: float, min_ratio: float) -> Column:
+    """Learning rate: linear warm-up to the peak, then a half cosine to the minimum. Steps given as columns aren't checked."""
+    plain = isinstance(total_steps, int) and isinstance(warmup_steps, int)
+    if plain and (total_steps < 1 or not 0 <= warmup_steps < total_steps) or peak <= 0 or not 0 <= min_ratio < 1:
         raise ValueError("need total_steps >= 1, 0 <= warmup_steps < total_steps, peak > 0, 0 <= min_ratio < 1")
-    s, low = _col(step), peak * min_ratio
-    cosine = low + (peak - low) * (0.5 * (1 + F.cos(F.lit(math.pi) * (s - warmup_steps) / F.lit(float(total_steps - warmup_steps)))))
-    rate = F.when(s >= total_steps, F.lit(low)).otherwise(cosine)
-    return F.when(s < warmup_steps, F.lit(peak) * (s + 1) / F.lit(float(warmup_steps))).otherwise(rate) if warmup_steps else rate
+    s, total, warm = (F.lit(x) if isinstance(x, int) else _col(x) for x in (step, total_steps, warmup_steps))
+    low = peak * min_ratio
+    cosine = low + (peak - low) * (0.5 * (1 + F.cos(F.lit(math.pi) * (s - warm) / F.greatest(total - warm, F.lit(1)).cast("double"))))
+    rising = F.lit(peak) * (s + 1) / F.greatest(warm, F.lit(1)).cast("double")
+    return F.when(s < warm, rising).when(s >= total, F.lit(low)).otherwise(cosine)
 
 
 def mfu(flops: Column | str, peak_flops: Column | str, seconds: Column | str) -> Column:

@@ -61,13 +61,15 @@ def tokenizer_dir_name(c: Column | str) -> Column:
 
 def ngram_ratio(c: Column | str, n: int = 4) -> Column:
     """Distinct word n-grams over all, 0 for texts of fewer words."""
-    return F.element_at(F.transform(F.array(pysplit(c)), lambda w: _ratio(w, n)), 1)
+    return F.element_at(F.transform(F.array(pysplit(c)), lambda w: distinct_ratio(w, n)), 1)
 
 
-def _ratio(words: Column, n: int) -> Column:
+def distinct_ratio(words: Column | str, n: int = 4) -> Column:
+    """Distinct n-grams over all of an array of words, 0 for fewer words."""
+    words = _col(words)
     total = F.size(words) - (n - 1)
     # Words hold no blanks, so joined ones are as good as arrays, and strings are told apart by hashing.
-    grams = F.transform(F.sequence(F.lit(1), total), lambda i: F.array_join(F.slice(words, i, n), " "))
+    grams = F.transform(F.sequence(F.lit(0), total - 1), lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)]))
     return F.when(total < 1, 0.0).otherwise(F.size(F.array_distinct(grams)) / total)
 
 

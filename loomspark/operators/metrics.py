@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import perplexity
@@ -73,6 +73,24 @@ def exact_matches(before: DataFrame, after: DataFrame, index: str = "prompt_inde
     return a.join(b, index).agg(F.count("*").alias("pairs"), F.coalesce(F.sum((F.col("_a") == F.col("_b")).cast("long")), F.lit(0)).alias("equal"))
 
 
+def compare_generations(base: DataFrame, runs: dict[str, DataFrame], index: str = "prompt_index", text: str = "generated") -> DataFrame:
+    """(run, prompt_index, before, after, equal): every run's generations beside the base's, by prompt; prompts that one
+    side lacks have a null there and are not equal."""
+    out, b = None, base.select(index, F.col(text).alias("before"))
+    for name, df in runs.items():
+        some = b.join(df.select(index, F.col(text).alias("after")), index, "full").select(F.lit(name).alias("run"), index, "before", "after", F.coalesce(F.col("before") == F.col("after"), F.lit(False)).alias("equal"))
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+def generation_diversity(df: DataFrame, text: str = "generated") -> DataFrame:
+    """``diversity`` of a run's generations."""
+    from ..functions.text import distinct_ratio, pysplit
+
+    split = df.select(pysplit(F.coalesce(text, F.lit(""))).alias("_w"))
+    return diversity(split, distinct_ratio("_w"), F.col("_w"))
+
+
 def merge_consistency(before: DataFrame, after: DataFrame, loss_before: float, loss_after: float, tolerance: float = 1e-2) -> DataFrame:
     """Whether all generations agree and losses differ by less than the tolerance."""
     out = exact_matches(before, after)
@@ -111,12 +129,19 @@ def recommend_rank(dims: DataFrame, layers: int, tokens: int, candidates: tuple[
     """Candidates (rank, params, target, ratio to 2 digits, chosen): chosen is the first whose ratio is nearest to 1."""
     if tokens < 1:
         raise ValueError("tokens must be 1 or more")
-    ranks = dims.sparkSession.createDataFrame([(i, r) for i, r in enumerate(candidates)], "ord int, rank int")
-    one = adapter_params(dims, layers, 1)
-    rows = ranks.join(F.broadcast(one)).withColumn("params", F.col("rank") * F.col("lora_params")).withColumn("target", F.lit(tokens / 20.0))
+    whole = dims.sparkSession.range(1).select(F.lit(tokens).cast("long").alias("tokens"))
+    return recommend_ranks(dims, layers, whole, [], candidates)
+
+
+def recommend_ranks(dims: DataFrame, layers: int, tokens: DataFrame, by: list[str], candidates: tuple[int, ...] = (1, 2, 4, 8, 16, 32, 64)) -> DataFrame:
+    """``recommend_rank`` for each group of modules with its tokens (by, tokens)."""
+    one = dims.groupBy(*by).agg(F.sum((F.col("d_in") + F.col("d_out")).cast("long") * layers).alias("_one"))
+    met = one.join(tokens, by) if by else one.join(F.broadcast(tokens))  # one row each
+    rows = met.select(*by, "_one", (F.col("tokens") / 20.0).alias("target"), F.posexplode(F.array(*map(F.lit, candidates))).alias("_i", "rank"))
+    rows = rows.withColumn("params", F.col("rank") * F.col("_one"))
     rows = rows.withColumn("ratio", F.bround(F.col("params") / F.col("target"), 2))
-    best = rows.agg(F.min(F.struct(F.abs(F.col("ratio") - 1).alias("d"), "ord")).getField("ord").alias("_best"))
-    return rows.join(F.broadcast(best)).select("rank", "params", "target", "ratio", (F.col("ord") == F.col("_best")).alias("chosen"))
+    best = F.min(F.struct(F.abs(F.col("ratio") - 1), "_i")).over(Window.partitionBy(*by))
+    return rows.withColumn("chosen", best.getField("_i") == F.col("_i")).select(*by, "rank", "params", "target", "ratio", "chosen")
 
 
 def training_cost(params: int, tokens: int, epochs: int, peak_flops: float, utilisation: float) -> dict[str, float]:

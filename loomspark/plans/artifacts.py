@@ -39,9 +39,34 @@ def hardware(accelerator: Callable[[], dict] | None = None) -> dict:
     return {"cpu_count": os.cpu_count(), "accelerator": accelerator() if accelerator else {"available": False}}
 
 
+def code_revision(start: str | None = None) -> str | None:
+    """The commit that a checkout around ``start`` (this file) is on, read from its files; None outside of one."""
+    from pathlib import Path
+
+    here = Path(start or __file__).resolve()
+    for folder in (here, *here.parents):
+        git = folder / ".git"
+        if git.is_file():  # a worktree or a submodule points elsewhere
+            git = folder / git.read_text().removeprefix("gitdir:").strip()
+        if not (git / "HEAD").is_file():
+            continue
+        head = (git / "HEAD").read_text().strip()
+        if not head.startswith("ref:"):
+            return head or None
+        ref = head.removeprefix("ref:").strip()
+        common = git / (git / "commondir").read_text().strip() if (git / "commondir").is_file() else git
+        for base in (git, common):
+            if (base / ref).is_file():
+                return (base / ref).read_text().strip() or None
+        packed = common / "packed-refs"
+        lines = packed.read_text().splitlines() if packed.is_file() else []
+        return next((x.split()[0] for x in lines if x.endswith(f" {ref}")), None)
+    return None
+
+
 def run_record(command: list[str], revision: str | None = None, accelerator: Callable[[], dict] | None = None, **more) -> dict:
-    """Provenance of a run."""
-    return {"command": " ".join(command), "revision": revision, "recorded_at": now(), "environment": environment(), "hardware": hardware(accelerator), **more}
+    """Provenance of a run; without a revision that of the code."""
+    return {"command": " ".join(command), "revision": revision or code_revision(), "recorded_at": now(), "environment": environment(), "hardware": hardware(accelerator), **more}
 
 
 # --- manifests

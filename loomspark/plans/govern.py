@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import chars_of, texts_of
 from ..operators.dedup import dedupe_records
 from ..operators.metrics import partition_stats
-from ..operators.splits import group_split, official_split, shuffle_split, token_cap
+from ..operators.splits import token_cap
 from ..operators.transforms import TRANSFORMS
 from ..sources.readers import load_raw
 from ..sources.sinks import dataset_index, write_json, write_records
-from .specs import DatasetSpec
+from ..storage import drop_table, materialize
+from .specs import Dataset
 
 #: Columns that carry a row through; they are no part of the record.
 OWN = ("split", "ord", "partition", "rank")
@@ -26,38 +26,33 @@ def payload(df: DataFrame) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name not in OWN])
 
 
-def assign(df: DataFrame, spec: DatasetSpec, counter: Column | None = None, order: str = "portable") -> DataFrame:
+def assign(df: DataFrame, spec: Dataset, counter: Column | None = None, order: str = "portable") -> DataFrame:
     """Partition and rank of each record under the spec; ``counter`` counts a record's tokens."""
-    if spec.split_strategy == "official":
-        out = official_split(df, spec.seed, spec.budget, order=order)
-    elif spec.split_strategy == "shuffle":
-        out = shuffle_split(df, spec.fracs, spec.seed, spec.budget, order=order)
-    else:
-        out = group_split(df, F.col(spec.group_key), spec.partitions, spec.seed)
-    if spec.token_cap is None or counter is None or spec.split_strategy == "group_by":
+    split, cap = spec.split, spec.limit("tokens")
+    out = split.deal(df, spec.limit("records"), order)
+    if cap is None or counter is None or not split.capped:
         return out
-    train = token_cap(out.where("partition = 'train'"), counter, spec.token_cap, "rank").drop("running_tokens")
+    train = token_cap(out.where("partition = 'train'"), counter, cap, "rank").drop("running_tokens")
     return train.unionByName(out.where("partition <> 'train'"))
 
 
-def declared_partitions(spec: DatasetSpec) -> list[str]:
-    if spec.split_strategy == "group_by":
-        return list(spec.partitions)
-    return list(spec.official_files) if spec.split_strategy == "official" else ["train", "validation", "test"]
+def govern(spark: SparkSession, spec: Dataset, raw_root: str, out_root: str, manifest_dir: str, counter=None, order: str = "portable") -> dict:
+    """Run one dataset; returns its manifest. ``counter``: array of texts to a column of token counts.
 
-
-def govern(spark: SparkSession, spec: DatasetSpec, raw_root: str, out_root: str, manifest_dir: str, counter=None, order: str = "portable") -> dict:
-    """Run one dataset; returns its manifest. ``counter``: array of texts to a column of token counts."""
-    raw = load_raw(spark, raw_root, spec.files, spec.schema, list(spec.projection) if spec.projection else None)
-    records = TRANSFORMS[spec.transform](raw).persist(StorageLevel.MEMORY_AND_DISK)
+    What is clean is written once, and once more by partition; raw rows are counted on the way.
+    """
+    source, split = spec.told["source"], spec.split
+    raw = load_raw(spark, raw_root, spec.files, source["schema"], source["columns"])
+    records = TRANSFORMS[source["transform"]](raw)
     fields = payload(records)
     texts = texts_of(fields)
-    raw_count = records.count()
-    clean = dedupe_records(records, fields.names, ["ord"]).persist(StorageLevel.MEMORY_AND_DISK)
-    clean_count = clean.count()
+    seen = Observation()
+    clean = materialize(dedupe_records(records.observe(seen, F.count(F.lit(1)).alias("n")), fields.names, ["ord"]))
+    raw_count, clean_count = seen.get["n"], clean.count()
     tokens = None if counter is None else counter(texts)
-    parts = assign(clean, spec, tokens, order).persist(StorageLevel.MEMORY_AND_DISK)
-    stats = partition_stats(parts, declared_partitions(spec), tokens, chars_of(texts)).collect()
+    parts = materialize(assign(clean, spec, tokens, order), "partition")
+    drop_table(clean)
+    stats = partition_stats(parts, split.partitions(spec), tokens, chars_of(texts)).collect()
     partitions = {}
     for row in stats:
         if not row.records:
@@ -65,28 +60,30 @@ def govern(spark: SparkSession, spec: DatasetSpec, raw_root: str, out_root: str,
             continue
         kind = write_records(parts.where(F.col("partition") == row.partition).select(*fields.names), f"{out_root}/{spec.name}/{row.partition}.parquet", None)
         partitions[row.partition] = {"records": row.records, "tokens": row.tokens, "chars": row.chars, "format": kind}
+    drop_table(parts)
+    told, cap = spec.told, spec.limit("tokens")
     out = {
         "dataset": spec.name,
-        **{k: getattr(spec, k) for k in ("license", "revision", "upstream", "seed", "split_strategy")},
+        **{k: told["provenance"][k] for k in ("license", "revision", "upstream")},
+        "seed": told["split"]["seed"],
+        "split_strategy": told["split"]["by"],
         "processed_at": datetime.now(timezone.utc).isoformat(timespec="seconds"),
         "input_files": spec.input_files(),
         "raw_records": raw_count,
         "dedup_removed": raw_count - clean_count,
         "records_after_clean": clean_count,
-        "budget": spec.budget,
-        "token_cap": spec.token_cap,
+        "budget": spec.limit("records"),
+        "token_cap": cap,
         # A cap counts tokens, so without a counter it has no effect.
-        "token_cap_applied": spec.token_cap is not None and counter is not None and spec.split_strategy != "group_by",
+        "token_cap_applied": cap is not None and counter is not None and split.capped,
         "partitions": partitions,
-        "notes": list(spec.notes),
+        "notes": told["provenance"]["notes"],
     }
     write_json(spark, out, f"{manifest_dir}/{spec.name}.json")
-    for df in (parts, clean, records):
-        df.unpersist()
     return out
 
 
-def govern_all(spark: SparkSession, specs: list[DatasetSpec], raw_root: str, out_root: str, manifest_dir: str, counter=None) -> dict:
+def govern_all(spark: SparkSession, specs: list[Dataset], raw_root: str, out_root: str, manifest_dir: str, counter=None) -> dict:
     """Run datasets one after the other; returns and writes the index."""
     index = dataset_index([govern(spark, s, raw_root, out_root, manifest_dir, counter) for s in specs])
     write_json(spark, index, f"{manifest_dir}/index.json")

@@ -14,7 +14,7 @@ from ..sources.readers import corpus_texts, governed_records, parquet
 from ..sources.sinks import stream_meta, write_json
 from ..storage import drop_table, materialize
 from .artifacts import corpus_manifest, prepared_manifest, stream_folder, write_streams
-from .specs import PrepareConfig
+from .configs import PREPARATION, checked
 
 
 def document_stream(docs: DataFrame, vocab: Vocabulary, bos: int = 0, eos: int = 1) -> DataFrame:
@@ -93,7 +93,7 @@ def prepare_domain_job(spark: SparkSession, root: str, manifest_dir: str, out_co
 
 def prepare_conversations_job(spark: SparkSession, root: str, manifest_dir: str, out_corpus: str, source: str, splits: list[str], val_frac: float, seed: int, vocab: Vocabulary, tokenizer: str, prompts: int = 50, prompt_seed: int = 2026) -> dict:
     """Write a chat corpus's streams with masks, the fixed prompts of its validation side and the manifest; returns it."""
-    PrepareConfig(out_corpus, tuple(splits), val_frac, seed)
+    checked(PREPARATION, {"corpus": out_corpus, "splits": list(splits), "val_frac": val_frac, "seed": seed})
     found = corpus_manifest(spark, manifest_dir, source)
     rows = None
     for k, split in enumerate(splits):
@@ -109,3 +109,19 @@ def prepare_conversations_job(spark: SparkSession, root: str, manifest_dir: str,
     out = prepared_manifest(out_corpus, found, f"{manifest_dir}/{source}.json", splits, tokenizer, vocab.size, partitions, split_strategy="group_by_prompt", val_frac=val_frac, seed=seed, chat_template="tiny", prompts=more)
     write_json(spark, out, f"{manifest_dir}/{out_corpus}.json")
     return out
+
+
+def prepare_pretraining_job(spark: SparkSession, root: str, manifest_dir: str, config: dict, vocab: Vocabulary, max_docs: int | None = None) -> dict:
+    """Write the token streams of a governed corpus's splits as a checked ``PRETRAIN`` configuration names them; returns
+    what was written by split. The tokenizer's vocabulary must be the model's."""
+    data, size = config["data"], config["model"]["vocab_size"]
+    if vocab.size != size:
+        raise ValueError(f"the tokenizer has {vocab.size} tokens, the model {size}")
+    found = corpus_manifest(spark, manifest_dir, data["corpus"])
+    out = {}
+    for split in data["splits"]:
+        stream = document_stream(corpus_texts(spark, root, data["corpus"], split, max_docs), vocab)
+        meta = stream_meta(stream, found, corpus=data["corpus"], split=split, seed=found.get("seed"), tokenizer=data["tokenizer"], max_docs=max_docs)
+        out |= write_streams(spark, {split: (stream, meta)}, stream_folder(root, data["corpus"], data["tokenizer"]))
+        drop_table(stream)
+    return out

@@ -271,14 +271,17 @@ def doc_offsets(spark, sf):
     return _stream(spark, sf).select("ord", F.size("ids").alias("n"), "stream_start", "stream_end")
 
 
-@query(f"""WITH {_STREAM}, o AS (SELECT range AS block_id, range * 997 AS "offset" FROM range(100)),
+@query(f"""WITH {_STREAM}, n AS (SELECT max(stream_end) AS n FROM s), o AS (SELECT range AS block_id, range * 997 AS "offset" FROM range((SELECT greatest(0, (n - 65) // 997 + 1) FROM n))),
+w AS (SELECT block_id, "offset", "offset" + unnest(range(65)) AS position FROM o),
 f AS (SELECT (stream_end - len(ids)) + k - 1 AS position, ids[k] AS token FROM (SELECT *, unnest(range(1, len(ids) + 1)) AS k FROM s))
 SELECT block_id, array_to_string(list(token ORDER BY position) FILTER (WHERE position < "offset" + 64), ' ') AS input, array_to_string(list(token ORDER BY position) FILTER (WHERE position > "offset"), ' ') AS label
-FROM o JOIN f ON position BETWEEN "offset" AND "offset" + 64 GROUP BY 1""")
+FROM w JOIN f USING (position) GROUP BY 1""")
 def blocks(spark, sf):
-    """A hundred fixed offsets, which a stream of over 98,768 tokens outgrows; ``stream_blocks`` samples all of it."""
-    offsets = spark.range(100).select(F.col("id").alias("block_id"), (F.col("id") * 997).alias("offset"))
-    out = packing.blocks(_stream(spark, sf), offsets, 64)
+    """Blocks at every 997th token of the whole stream."""
+    stream = _stream(spark, sf)
+    n = stream.agg(F.sum(F.size("ids"))).first()[0] or 0
+    offsets = spark.range(max(0, (n - 65) // 997 + 1)).select(F.col("id").alias("block_id"), (F.col("id") * 997).alias("offset"))
+    out = packing.blocks(stream, offsets, 64)
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
     return out.select("block_id", text("input").alias("input"), text("label").alias("label"))
 
@@ -298,12 +301,15 @@ def stream_blocks(spark, sf):
     return out.select("block_id", "offset", text("input").alias("input"), text("label").alias("label"))
 
 
-@query(f"""WITH {_MSGS}, p AS (SELECT ord, messages[1].content AS u, messages[2].content AS a FROM m WHERE len(messages) >= 2)
-SELECT ord, 'user: ' || u || chr(10) || 'assistant: ' || a AS rendered, (length(u) + length(a) + 3)::INT AS tokens, (length(a) + 2)::INT AS assistant_tokens FROM p""")
+@query("""WITH t AS (SELECT conv_id AS ord, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, text AS u, lead(text) OVER w AS a, lead(role) OVER w AS next_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT ord, place::INT AS place, 'user: ' || u || chr(10) || 'assistant: ' || a AS rendered, (length(u) + length(a) + 3)::INT AS tokens, (length(a) + 2)::INT AS assistant_tokens FROM t WHERE next_role IS NOT NULL AND u <> '' AND a <> ''""")
 def assistant_mask(spark, sf):
-    """The small template over the first two turns whatever their roles, one id a character; ``assistant_pairs``
-    goes by role and takes all pairs."""
-    return _masked(_conversations(spark, sf).where(F.size("messages") >= 2).withColumn("messages", F.slice("messages", 1, 2)), "ord")
+    """The small template over every turn and the one that follows it, whatever their roles, one id a character;
+    ``assistant_pairs`` goes by role."""
+    c = _conversations(spark, sf)
+    at = c.select("ord", "messages", F.explode(F.when(F.size("messages") > 1, F.sequence(F.lit(0), F.size("messages") - 2))).alias("place"))
+    two = at.select("ord", "place", F.slice("messages", F.col("place") + 1, 2).alias("messages"))
+    return _masked(two.where("messages[0].content <> '' AND messages[1].content <> ''"), "ord", "place")
 
 
 def _masked(pairs: DataFrame, *columns: str) -> DataFrame:
@@ -333,7 +339,7 @@ def diversity(spark, sf):
 
 @query(f"WITH {_GRAMS} SELECT count(*)::BIGINT AS n_texts, avg(words) AS mean_words, round(avg(ratio), 9) AS mean_distinct_4gram_ratio FROM r")
 def diversity_summary(spark, sf):
-    out = metrics.diversity(_docs(spark, sf, "text"), tx.ngram_ratio("text"), tx.pysplit("text"))
+    out = metrics.generation_diversity(_docs(spark, sf, "text"), "text")
     return out.withColumn("mean_distinct_4gram_ratio", F.round("mean_distinct_4gram_ratio", 9))
 
 
@@ -384,11 +390,14 @@ def compare_summary(spark, sf):
     return out.withColumns({c: F.round(c, 7) for c in ("domain_ppl_delta", "general_ppl_max_degradation", "general_ppl_mean_delta")})
 
 
-@query("WITH t AS (SELECT conv_id, turn, text FROM conversations) SELECT count(*)::BIGINT AS pairs, count(*) FILTER (WHERE a.text = b.text)::BIGINT AS equal FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1")
+@query("""WITH t AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations)
+SELECT count(*)::BIGINT AS pairs, count(*) FILTER (WHERE text = next)::BIGINT AS equal FROM t WHERE next IS NOT NULL""")
 def exact_match(spark, sf):
-    c = spark.read.parquet(f"{sf}/conversations.parquet")
-    side = lambda k: c.where(F.col("turn") == k).select(F.col("conv_id").alias("prompt_index"), F.col("text").alias("generated"))
-    return metrics.exact_matches(side(0), side(1))
+    """Every turn as one generation, and the turn that follows it as the other."""
+    two = F.transform("messages", lambda m, i: F.struct(i.alias("i"), m.content.alias("a"), F.get("messages", i + 1).content.alias("b")))
+    c = _conversations(spark, sf).select("ord", F.explode(two).alias("t")).where("t.b IS NOT NULL")
+    key = F.struct("ord", "t.i").alias("prompt_index")
+    return metrics.exact_matches(c.select(key, F.col("t.a").alias("generated")), c.select(key, F.col("t.b").alias("generated")))
 
 
 @query("WITH p AS (SELECT user_id % 5 AS series, ln(event_id + 1) AS x, ln(value + 1) AS y FROM events WHERE value >= 0) SELECT series, count(*)::BIGINT AS n_points, round(-regr_slope(y, x), 7) AS alpha, round(exp(regr_intercept(y, x)), 7) AS c, round(regr_r2(y, x), 7) AS r2, -regr_slope(y, x) BETWEEN 0.01 AND 1 AS in_literature_range FROM p GROUP BY 1")
@@ -399,9 +408,17 @@ def powerlaw_fit(spark, sf):
     return out.select("series", "n_points", *[F.round(c, 7).alias(c) for c in ("alpha", "c", "r2")], "in_literature_range")
 
 
-@query("SELECT range AS step, round(CASE WHEN range < 100 THEN 3e-4 * (range + 1) / 100 WHEN range >= 1000 THEN 3e-5 ELSE 3e-5 + 2.7e-4 * 0.5 * (1 + cos(pi() * (range - 100) / 900)) END, 12)::DOUBLE AS lr FROM range(1200)")
+@query("""WITH n AS (SELECT user_id AS run, event_id AS ord, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS step, count(*) OVER (PARTITION BY user_id) AS total FROM events), w AS (SELECT *, total // 10 AS warm FROM n)
+SELECT run, ord, step, round(CASE WHEN step < warm THEN 3e-4 * (step + 1) / warm WHEN step >= total THEN 3e-5 ELSE 3e-5 + 2.7e-4 * 0.5 * (1 + cos(pi() * (step - warm) / greatest(1, total - warm))) END, 12)::DOUBLE AS lr FROM w""")
 def lr_schedule(spark, sf):
-    return spark.range(1200).select(F.col("id").alias("step"), F.round(numeric.warmup_cosine("id", 1000, 100, 3e-4, 0.1), 12).alias("lr"))
+    """The rate of every logged step, for runs of their own lengths, a tenth of which warm up."""
+    from pyspark.sql import Window
+
+    e = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").alias("run"), F.col("event_id").alias("ord"))
+    own = Window.partitionBy("run")
+    n = e.withColumns({"step": (F.row_number().over(own.orderBy("ord")) - 1).cast("long"), "total": F.count("*").over(own)})
+    rate = numeric.warmup_cosine("step", "total", F.floor(F.col("total") / 10), 3e-4, 0.1)
+    return n.select("run", "ord", "step", F.round(rate, 12).alias("lr"))
 
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / 0.5) AS z FROM embeddings), e AS (SELECT vec_id, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM v),
@@ -413,14 +430,17 @@ def softmax_topk(spark, sf):
     return p.select("vec_id", F.round(F.array_max("p"), 9).alias("top"), F.size(F.filter("p", lambda x: x > 0)).alias("kept"), numeric.sample_next("v", F.lit(0.5), 0.0).alias("greedy"))
 
 
-#: Projection shapes of a 28-layer decoder of width 1024 (fixed values).
-DIMS = (("q_proj", 1024, 2048), ("k_proj", 1024, 1024), ("v_proj", 1024, 1024), ("o_proj", 2048, 1024))
-
-
-@query("WITH d AS (SELECT 28 * sum(i + o) AS one FROM (VALUES " + ", ".join(f"({i}, {o})" for _, i, o in DIMS) + ") AS v(i, o)), c AS (SELECT r, r * one AS params, 5000000 * 0.05::DOUBLE AS target FROM d, (SELECT unnest([1, 2, 4, 8, 16, 32, 64]) AS r)) "
-       "SELECT r::INT AS rank, params::BIGINT AS params, target, round_even(params / target, 2) AS ratio, row_number() OVER (ORDER BY abs(params / target - 1), r) = 1 AS chosen FROM c")
+@query("""WITH d AS (SELECT p_size % 5 AS grp, 28 * sum(p_size * 16 + (p_partkey % 64 + 1) * 16) AS one FROM part GROUP BY 1), t AS (SELECT p_size % 5 AS grp, sum(l_quantity * 1000) AS tokens FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+c AS (SELECT grp, r, r * one AS params, tokens / 20.0::DOUBLE AS target FROM d JOIN t USING (grp), (SELECT unnest([1, 2, 4, 8, 16, 32, 64]) AS r)), q AS (SELECT *, round_even(params / target, 2) AS ratio FROM c)
+SELECT grp, r::INT AS rank, params::BIGINT AS params, round(target, 3) AS target, ratio, row_number() OVER (PARTITION BY grp ORDER BY abs(ratio - 1), r) = 1 AS chosen FROM q""")
 def lora_rank(spark, sf):
-    return metrics.recommend_rank(spark.createDataFrame(DIMS, "module string, d_in int, d_out int"), 28, 5_000_000)
+    """Adapters on the parts as modules (widths from size and key), five groups of them, sized by what was sold of each."""
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    dims = part.select((F.col("p_size") % 5).alias("grp"), F.col("p_partkey").alias("module"), (F.col("p_size") * 16).alias("d_in"), ((F.col("p_partkey") % 64 + 1) * 16).alias("d_out"))
+    sold = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_partkey").alias("p_partkey"), "l_quantity").join(part, "p_partkey")
+    tokens = sold.groupBy((F.col("p_size") % 5).alias("grp")).agg(F.sum(F.col("l_quantity") * 1000).alias("tokens"))
+    out = metrics.recommend_ranks(dims, 28, tokens, ["grp"])
+    return out.select("grp", "rank", "params", F.round("target", 3).alias("target"), "ratio", "chosen")
 
 
 @query("SELECT quality, count(*)::BIGINT AS docs, sum(n_chars)::BIGINT AS chars FROM documents JOIN labels USING (doc_id) GROUP BY 1")

@@ -198,12 +198,23 @@ def generation_context(spark, sf):
     return c.select("ord", F.array_join(F.transform(chat.generation_context(ids, F.array(F.lit(15)), 0, 1), lambda x: x.cast("string")), " ").alias("context"))
 
 
-@query("""WITH p AS (SELECT a.text AS x, b.text AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 0 WHERE a.conv_id % 3 = 0), l AS (SELECT avg(value) AS v FROM events)
-SELECT count(*)::BIGINT AS pairs, count(*) FILTER (WHERE x = y)::BIGINT AS equal, count(*) = count(*) FILTER (WHERE x = y) AS consistent FROM p""")
+@query("""WITH l AS (SELECT avg(value) FILTER (WHERE event_id % 2 = 0) / 1e4 AS a, avg(value) FILTER (WHERE event_id % 2 = 1) / 1e4 AS b FROM events),
+p AS (SELECT 'as it is' AS merged, text AS x, text AS y FROM conversations WHERE text IS NOT NULL UNION ALL SELECT 'one line', text, replace(text, chr(10), ' ') FROM conversations WHERE text IS NOT NULL)
+SELECT merged, count(*)::BIGINT AS pairs, count(*) FILTER (WHERE x = y)::BIGINT AS equal, count(*) = count(*) FILTER (WHERE x = y) AND abs(any_value(a) - any_value(b)) < 1e-2 AS consistent FROM p, l GROUP BY 1""")
 def merge_consistency(spark, sf):
-    """Generations of a third of all conversations, compared with themselves, under losses 0.004 apart."""
-    c = spark.read.parquet(f"{sf}/conversations.parquet").where("turn = 0 AND conv_id % 3 = 0").select(F.col("conv_id").alias("prompt_index"), F.col("text").alias("generated"))
-    return metrics.merge_consistency(c, c, 1.0, 1.004)
+    """All turns as generations before a merge; after it they come from the gathered conversations as they are, or on one
+    line. Losses are means of the events of even and of odd number."""
+    before = spark.read.parquet(f"{sf}/conversations.parquet").where("text IS NOT NULL")
+    key = F.struct("conv_id", "turn", "role").alias("prompt_index")
+    after = before.groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "text")).alias("m")).select("conv_id", F.explode("m").alias("t")).select("conv_id", "t.*")
+    mean = lambda k: F.avg(F.when(F.col("event_id") % 2 == k, F.col("value"))) / 1e4
+    losses = spark.read.parquet(f"{sf}/events.parquet").agg(mean(0).alias("a"), mean(1).alias("b")).first()
+    out = None
+    for name, text in (("as it is", F.col("text")), ("one line", F.replace("text", F.lit("\n"), F.lit(" ")))):
+        row = metrics.merge_consistency(before.select(key, F.col("text").alias("generated")), after.select(key, text.alias("generated")), losses.a, losses.b)
+        row = row.select(F.lit(name).alias("merged"), "pairs", "equal", "consistent")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query(f"""WITH {_CLEAN}, q AS (SELECT source, CASE WHEN ord % 10 = 0 THEN 'validation' ELSE 'train' END AS p FROM c) SELECT source AS key FROM q GROUP BY 1 HAVING count(DISTINCT p) > 1""")
@@ -233,21 +244,21 @@ def round_trip_failures(spark, sf):
 _PROBES = "p AS (SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(c, t.replace("'", "''")) for c, some in probes.PROBES.items() for t in some) + ") AS v(category, text))"
 
 
-class _Bytes:
-    name, vocab_size = "bytes", 256
+def _as_bytes(text: str) -> list[int]:
+    return list(text.encode())
 
-    def encode(self, text: str) -> list[int]:
-        return list(text.encode())
 
-    def decode(self, ids) -> str:
-        return bytes(ids).decode("utf-8", "replace")
+def _from_bytes(ids: list[int]) -> str:
+    return bytes(ids).decode("utf-8", "replace")
 
 
-@query(f"WITH {_PROBES}, c AS (SELECT 'bytes' AS tokenizer, category, text, octet_length(encode(text)) AS t, false AS lost FROM p UNION ALL SELECT 'no-digits', category, text, length(regexp_replace(text, '[0-9]', '', 'g')), regexp_matches(text, '[0-9]') FROM p) "
+@query(f"WITH {_PROBES}, a AS (SELECT * FROM p UNION ALL SELECT lang, text FROM documents), c AS (SELECT 'bytes' AS tokenizer, category, text, octet_length(encode(text)) AS t, false AS lost FROM a UNION ALL SELECT 'no-digits', category, text, length(regexp_replace(text, '[0-9]', '', 'g')), regexp_matches(text, '[0-9]') FROM a) "
        "SELECT tokenizer, coalesce(category, 'overall') AS category, sum(t)::BIGINT AS n_tokens, sum(length(text))::BIGINT AS n_chars, sum(t) / sum(length(text))::DOUBLE AS tokens_per_char, count(*) FILTER (WHERE lost)::BIGINT AS failed FROM c GROUP BY tokenizer, ROLLUP (category)")
 def probe_report(spark, sf):
-    """Tokenizers over the fixed probe texts."""
-    return probes.probe_report(spark, [_Bytes(), _WithoutDigits()])
+    """Tokenizers over the fixed probe texts and all documents by language."""
+    texts = probes.probe_texts(spark).unionByName(_docs(spark, sf, "text", "lang").select(F.col("lang").alias("category"), "text"))
+    lossy = _WithoutDigits()
+    return probes.probe_report(texts, {"bytes": (_as_bytes, _from_bytes), "no-digits": (lossy.encode, lossy.decode)})
 
 
 @query("""WITH s AS (SELECT lang AS name, sum(CASE WHEN doc_id % 10 = 0 THEN octet_length(encode(text)) END)::BIGINT AS vt, count(CASE WHEN doc_id % 10 = 0 THEN 1 END) AS docs, (16000 + length(lang) * 1000)::BIGINT AS vocab FROM documents GROUP BY 1),

@@ -4,11 +4,43 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_owner: ContextVar[Tables | None] = ContextVar("loomspark-tables", default=None)
 
-_made: list[str] = []
+
+class Tables:
+    """Owns the tables that ``materialize`` makes in its block, in the caller's thread: what it still owns at the
+    block's end, by an error too, is deleted. Blocks may lie within each other; other callers' tables are never touched.
+
+        with Tables(spark) as own:
+            result = own.release(materialize(...))
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Tables:
+        self._token = _owner.set(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        _owner.reset(self._token)
+        for path in list(self.paths):
+            _delete(self.spark, path)
+        self.paths.clear()
+
+    def release(self, df: DataFrame) -> DataFrame:
+        """Leave a table to whoever is around the block, or to nobody."""
+        path = getattr(df, "_loom_path", None)
+        if path in self.paths:
+            self.paths.remove(path)
+            outer = self._token.old_value
+            if isinstance(outer, Tables):
+                outer.paths.append(path)
+        return df
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,10 +68,15 @@ def materialize(df: DataFrame, *by: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
-    _made.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._loom_path = path
-    return out
+    return adopted(spark.read.schema(df.schema).parquet(path), path)
+
+
+def adopted(df: DataFrame, path: str) -> DataFrame:
+    """A table that lies at ``path``, known to its owner and to ``drop_table``."""
+    if owner := _owner.get():
+        owner.paths.append(path)
+    df._loom_path = path
+    return df
 
 
 def drop_table(*tables: DataFrame | None) -> None:
@@ -53,18 +90,6 @@ def drop_table(*tables: DataFrame | None) -> None:
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    if path in _made:
-        _made.remove(path)
-
-
-def tables_made() -> list[str]:
-    """Paths of the tables that ``materialize`` made in this process and nobody dropped."""
-    return list(_made)
-
-
-def drop_tables_since(spark: SparkSession, before: list[str], keep: DataFrame | None = None) -> None:
-    """Delete the tables made since ``before`` (of ``tables_made``), except that of ``keep``: what a finished
-    step read on its way."""
-    for path in tables_made():
-        if path not in before and path != getattr(keep, "_loom_path", None):
-            _delete(spark, path)
+    owner = _owner.get()
+    if owner and path in owner.paths:
+        owner.paths.remove(path)

@@ -43,11 +43,11 @@ def test_tokenizer_artifact(spark, vocab, tmp_path):
     again, found = artifacts.load_tokenizer(spark, str(tmp_path / "t/own"))
     assert (again.ids, again.merges, again.specials) == (vocab.ids, vocab.merges, vocab.specials) and found["special_ids"] == {"bos": 0, "eos": 1, "pad": 2, "unk": 3}
     lib = Tokenizer.from_file(str(tmp_path / "t/own/tokenizer.json"))
-    adapter = probes.adapted(lib, "library")
-    assert adapter.vocab_size == vocab.size
+    assert lib.get_vocab_size() == vocab.size
+    library = (lambda t: lib.encode(t, add_special_tokens=False).ids, lambda ids: lib.decode(ids, skip_special_tokens=False))
     for t in [*TEXTS, "unseen words, ÄÖ\u0000\t!", "x" * 500]:
-        assert vocab.encode(t) == lib.encode(t).ids and adapter.decode(adapter.encode(t)) == t
-    report = {(r.tokenizer, r.category): r for r in probes.probe_report(spark, [again, adapter]).collect()}
+        assert vocab.encode(t) == lib.encode(t).ids and library[1](library[0](t)) == t
+    report = {(r.tokenizer, r.category): r for r in probes.probe_report(probes.probe_texts(spark), {"own": (again.encode, again.decode), "library": library}).collect()}
     assert len(report) == 8 and report["own", "zh"].n_tokens == report["library", "zh"].n_tokens and report["own", "overall"].failed == 0
     with pytest.raises(FileNotFoundError):
         artifacts.load_tokenizer(spark, str(tmp_path / "none"))
@@ -116,30 +116,61 @@ def test_provenance_takes_injected_providers():
     assert record["command"] == "x y" and record["hardware"]["accelerator"] == {"available": True}
 
 
-def test_configs():
-    model = configs.DecoderConfig(100, 16, 2, 4, 32, 64)
-    assert model.params() == 100 * 16 + 64 * 16 + 2 * (4 * 256 + 2 * 16 * 32 + 9 * 16 + 32) + 32 == model.within(1, 10**6)
-    run = configs.RunConfig(64, 2, 3, 10)
-    assert run.tokens() == (384, 3840)
-    configs.PretrainConfig("r", model, run)
-    configs.TuningConfig("r", "m", run, adapter=configs.AdapterConfig(8, 16, 0.0, ("q_proj",)), quantised=True)
+MODEL = {"vocab_size": 100, "hidden_size": 16, "num_hidden_layers": 2, "num_attention_heads": 4, "intermediate_size": 32, "max_position_embeddings": 64}
+TRAIN = {"seq_len": 64, "micro_batch_size": 2, "grad_accum_steps": 3, "max_steps": 10}
+ADAPTER = {"rank": 8, "alpha": 16, "target_modules": ["q_proj"]}
+
+
+def test_configs(spark, tmp_path):
+    model = configs.checked(configs.MODEL, MODEL)
+    assert model["tie_word_embeddings"] and model["dropout"] == 0.0
+    assert configs.parameters_of(model) == 100 * 16 + 64 * 16 + 2 * (4 * 256 + 2 * 16 * 32 + 9 * 16 + 32) + 32
+    assert configs.tokens_of(configs.checked(configs.TRAIN, TRAIN)) == (384, 3840)
+    data = {"corpus": "c", "tokenizer": "t"}
+    (tmp_path / "c.json").write_text(json.dumps({"run_name": "r", "data": data, "model": MODEL, "train": TRAIN}))
+    assert configs.read(spark, configs.PRETRAIN, str(tmp_path / "c.json")) == configs.read_local(configs.PRETRAIN, str(tmp_path / "c.json"))
+    tuning = {"run_name": "r", "model_path": "m", "train": TRAIN}
+    assert configs.checked(configs.TUNING, {**tuning, "adapter": ADAPTER, "quantised": True})["adapter"]["dropout"] == 0.0
+    assert configs.checked(configs.TUNING, tuning)["adapter"] is None
     bad = [
-        lambda: model.within(1, 10),
-        lambda: configs.DecoderConfig(100, 17, 2, 4, 32, 64),
-        lambda: configs.DecoderConfig(100, 16, 2, 4, 32, 64, activation="tanh"),
-        lambda: configs.RunConfig(64, 2, 3, 10, min_lr_ratio=1.0),
-        lambda: configs.RunConfig(64, 2, 3, 10, warmup_steps=10, strict_warmup=True),
-        lambda: configs.RunConfig(64, 0, 3, 10),
-        lambda: configs.PretrainConfig("r", model, configs.RunConfig(65, 2, 3, 10)),
-        lambda: configs.AdapterConfig(8, 16, 0.0, ("x_proj",)),
-        lambda: configs.TokenizerConfig("t", 300, "c", special_tokens=("a", "a", "b", "c")),
-        lambda: configs.TuningConfig("r", "m", run, quantised=True),
-        lambda: configs.TuningConfig("r", "m", run, governed_splits=("train", "test")),
-        lambda: configs.TuningConfig("r", "m", run, kind="tiny"),
+        (configs.MODEL, {**MODEL, "parameters": [1, 10]}, "outside"),
+        (configs.MODEL, {**MODEL, "hidden_size": 17}, "multiple"),
+        (configs.MODEL, {**MODEL, "activation": "tanh"}, "among"),
+        (configs.MODEL, {**MODEL, "vocab_size": True}, "kind"),
+        (configs.TRAIN, {**TRAIN, "min_lr_ratio": 1.0}, "min_lr_ratio must be < 1"),
+        (configs.STRICT_TRAIN, {**TRAIN, "warmup_steps": 10}, "warm-up"),
+        (configs.TRAIN, {**TRAIN, "micro_batch_size": 0}, "micro_batch_size must be >= 1"),
+        (configs.PRETRAIN, {"run_name": "r", "data": data, "model": MODEL, "train": {**TRAIN, "seq_len": 65}}, "positions"),
+        (configs.PRETRAIN, {"run_name": "r", "data": {**data, "splits": ["test"]}, "model": MODEL, "train": TRAIN}, "test"),
+        (configs.TUNING, {**tuning, "adapter": {**ADAPTER, "target_modules": ["x_proj"]}}, "adapter.target_modules"),
+        (configs.TOKENIZER, {"name": "t", "corpus": "c", "vocab_size": 3}, "vocab_size"),
+        (configs.TUNING, {**tuning, "quantised": True}, "adapters"),
+        (configs.TUNING, {**tuning, "splits": ["train", "test"]}, "test"),
+        (configs.TUNING, {**tuning, "kind": "tiny"}, "small"),
     ]
-    for make in bad:
-        with pytest.raises(ValueError):
-            make()
+    for section, given, says in bad:
+        with pytest.raises(configs.ConfigError, match=says):
+            configs.checked(section, given)
+    with pytest.raises(configs.ConfigError) as all_of_them:
+        configs.checked(configs.PRETRAIN, {"run_name": "", "data": {"corpus": "c", "x": 1}, "model": {**MODEL, "dropout": 1}, "train": 3})
+    assert len(all_of_them.value.faults) == 5
+    own = configs.reference_model({"vocab_size": 10, "hidden_size": 4})
+    assert own["embedding_lm_head_params"] == 80 and configs.reference_model({"vocab_size": 10}) is None and configs.reference_model(None) is None
+    assert configs.reference_model({"vocab_size": 10, "hidden_size": 4, "tie_word_embeddings": True})["embedding_lm_head_params"] == 40
+
+
+def test_revision(tmp_path):
+    assert artifacts.code_revision(str(tmp_path)) is None
+    git = tmp_path / "a/.git"
+    (git / "refs/heads").mkdir(parents=True)
+    (git / "HEAD").write_text("ref: refs/heads/main\n")
+    assert artifacts.code_revision(str(tmp_path / "a/b/c.py")) is None
+    (git / "packed-refs").write_text("# pack\n" + "1" * 40 + " refs/heads/main\n")
+    assert artifacts.code_revision(str(tmp_path / "a/b/c.py")) == "1" * 40
+    (git / "refs/heads/main").write_text("2" * 40 + "\n")
+    assert artifacts.code_revision(str(tmp_path / "a")) == "2" * 40
+    (git / "HEAD").write_text("3" * 40 + "\n")
+    assert artifacts.code_revision(str(tmp_path / "a")) == "3" * 40
 
 
 def test_guarded_params(spark):
@@ -170,7 +201,7 @@ def test_buckets_of_many_files_stay_small(spark, shift):
 def test_commands(spark, root, tmp_path, capsys):
     (tmp_path / "raw").mkdir()
     (tmp_path / "raw/d.jsonl").write_text("".join(json.dumps({"text": f"{TEXTS[i % 4]} number {i}"}) + "\n" for i in range(60)))
-    specs = {"d": {"license": "l", "revision": "r", "upstream": "u", "reader": "jsonl", "transform": "wikitext", "split_strategy": "shuffle", "pattern": "d.jsonl", "schema": "text string", "token_cap": 200}}
+    specs = {"d": {"provenance": {"license": "l", "revision": "r", "upstream": "u"}, "source": {"files": "d.jsonl", "schema": "text string", "transform": "wikitext"}, "split": {"by": "shuffle"}, "limits": {"tokens": 200}}}
     (tmp_path / "specs.json").write_text(json.dumps(specs))
     where = ["--raw-root", str(tmp_path / "raw"), "--out-root", str(tmp_path / "out"), "--manifest-dir", str(tmp_path / "m"), "--specs", str(tmp_path / "specs.json")]
 
@@ -189,6 +220,13 @@ def test_commands(spark, root, tmp_path, capsys):
     own = analysed["tokenizers"]["own"]
     assert set(own["probes_tokens_per_char"]) == {"en", "zh", "code", "overall"} and own["corpus_validation_roundtrip"]["ok"] and analysed["impact"][0]["embedding_lm_head_params"] == 300 * 512 * 2
     assert analysed["impact"][0]["train_tokens_estimated"] > 0 and json.loads((tmp_path / "a.json").read_text()) == analysed
+    assert analysed["reference_own_config"] is None
+    (tmp_path / "other.json").write_text(json.dumps({"vocab_size": 50, "hidden_size": 8, "tie_word_embeddings": True}))
+    again = run("analyze-tokenizers", "--root", str(tmp_path / "out"), "--manifest-dir", str(tmp_path / "m"), "--report", str(tmp_path / "a.json"), "--tokenizers", str(tmp_path / "t/own"), "--reference-config", str(tmp_path / "other.json"))
+    assert again["reference_own_config"]["embedding_lm_head_params"] == 400
+    (tmp_path / "pre.json").write_text(json.dumps({"run_name": "r", "data": {"corpus": "d", "tokenizer": "own"}, "model": {**MODEL, "vocab_size": 300}, "train": TRAIN}))
+    pre = run("prepare-pretraining", "--root", str(tmp_path / "out"), "--manifest-dir", str(tmp_path / "m"), "--tokenizer-root", str(tmp_path / "t"), "--config", str(tmp_path / "pre.json"))
+    assert set(pre) == {"train", "validation"} and artifacts.load_stream(spark, artifacts.stream_folder(str(tmp_path / "out"), "d", "own"), "train")["length"] == pre["train"]["tokens"] > 0
     domain = run("prepare-domain", "--root", root, "--manifest-dir", f"{root}/m", "--out-corpus", "law2", "--source", "law", "--tokenizer", str(tmp_path / "t/own"), "--val-frac", "0.3")
     assert domain["total_tokens"] > 0
     chat = run("prepare-chat", "--root", root, "--manifest-dir", f"{root}/m", "--out-corpus", "chat2", "--source", "chat", "--tokenizer", str(tmp_path / "t/own"), "--val-frac", "0.3")
@@ -202,3 +240,9 @@ def test_commands(spark, root, tmp_path, capsys):
     (tmp_path / "g.json").write_text('{"prompt_index": 0, "generated": "x"}\n')
     merged = run("merge-check", "--before", str(tmp_path / "g.json"), "--after", str(tmp_path / "g.json"), "--report", str(tmp_path / "mc.json"), "--loss-before", "1.0", "--loss-after", "1.001")
     assert merged["merge_consistent"] and merged["generation_exact_match"] == 1
+    for name, texts in (("b", ["x", "y z a b c"]), ("one", ["x", "no"]), ("two", ["x", "y z a b c"])):
+        (tmp_path / f"gen-{name}.json").write_text("".join(json.dumps({"prompt_index": i, "generated": t}) + "\n" for i, t in enumerate(texts)))
+    (tmp_path / "prompts.json").write_text(json.dumps([{"index": 0, "prompt": "p"}, {"index": 1, "prompt": "q"}]))
+    gen = run("compare-generations", "--base", str(tmp_path / "gen-b.json"), "--prompts", str(tmp_path / "prompts.json"), "--report", str(tmp_path / "cg.json"), "--runs", f"one={tmp_path}/gen-one.json", f"two={tmp_path}/gen-two.json")
+    assert gen["runs"] == {"one": {"pairs": 2, "exact_match_count": 1}, "two": {"pairs": 2, "exact_match_count": 2}}
+    assert [s["prompt"] for s in gen["samples"]] == ["p", "p", "q", "q"] and gen["diversity"]["one"]["mean_distinct_4gram_ratio"] == 0.0 and gen["diversity"]["two"]["mean_distinct_4gram_ratio"] == 0.5

@@ -82,9 +82,8 @@ def test_mfu_and_counts(spark):
 
 
 def test_adapter_sizing(spark):
-    from loomspark.queries import DIMS
-
-    dims = spark.createDataFrame(DIMS, "module string, d_in int, d_out int")
+    shapes = [("q_proj", 1024, 2048), ("k_proj", 1024, 1024), ("v_proj", 1024, 1024), ("o_proj", 2048, 1024)]
+    dims = spark.createDataFrame(shapes, "module string, d_in int, d_out int")
     assert metrics.adapter_params(dims, 28, 1).first().lora_params == 286_720
     best = metrics.recommend_rank(dims, 28, 5_000_000).where("chosen").first()
     assert (best["rank"], best.target) == (1, 250_000)

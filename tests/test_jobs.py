@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from loomspark.functions.text import record_counter
 from loomspark.operators import tokenizer
-from loomspark.plans import prepare, specs
+from loomspark.plans import configs, prepare, specs
 from loomspark.plans.govern import govern, govern_all
 from loomspark.sources import readers, sinks
 from loomspark.streaming import logs
 
 
-def spec(**more):
-    base = dict(name="d", license="l", revision="r", upstream="u", reader="jsonl", transform="tinystories", split_strategy="shuffle", pattern="d.jsonl", schema="text string")
-    return specs.DatasetSpec(**{**base, **more})
+def spec(name="d", limits=None, split=None, **source):
+    source = {"files": "d.jsonl", "transform": "tinystories", "schema": "text string", **source}
+    return specs.dataset(name, {"provenance": {"license": "l", "revision": "r", "upstream": "u"}, "source": source, "split": split or {"by": "shuffle"}, "limits": limits})
 
 
 def test_readers(spark, tmp_path):
@@ -40,7 +40,7 @@ def test_readers(spark, tmp_path):
 
 def test_govern(spark, tmp_path):
     (tmp_path / "d.jsonl").write_text("".join(json.dumps({"text": f"t{i % 18}"}) + "\n" for i in range(20)) + '{"text": " "}\n')
-    out = govern(spark, spec(budget=15), str(tmp_path), str(tmp_path / "out"), str(tmp_path / "m"), lambda t: record_counter(t))
+    out = govern(spark, spec(limits={"records": 15}), str(tmp_path), str(tmp_path / "out"), str(tmp_path / "m"), lambda t: record_counter(t))
     assert (out["raw_records"], out["dedup_removed"], out["records_after_clean"]) == (20, 2, 18)
     assert {k: v["records"] for k, v in out["partitions"].items()} == {"train": 12, "validation": 1, "test": 2}
     assert json.loads((tmp_path / "m/d.json").read_text())["partitions"] == out["partitions"]
@@ -51,7 +51,7 @@ def test_govern(spark, tmp_path):
 def test_govern_official_with_cap_and_index(spark, tmp_path):
     (tmp_path / "a.tokens").write_text("".join(f"line number {i:02}\n" for i in range(10)))
     (tmp_path / "b.tokens").write_text("line number 03\nanother line\n")
-    s = spec(name="o", transform="wikitext", split_strategy="official", official_files={"train": ("a.tokens",), "validation": ("b.tokens",)}, token_cap=21)
+    s = spec("o", {"tokens": 21}, {"by": "official"}, transform="wikitext", files={"train": ["a.tokens"], "validation": "b.tokens"})
     index = govern_all(spark, [s], str(tmp_path), str(tmp_path / "out"), str(tmp_path / "m"), lambda t: record_counter(t))
     assert index["o"]["partitions"]["train"]["records"] == 3  # 7 tokens a line
     assert index["o"]["partitions"]["validation"]["records"] == 1  # its copy of a train line goes
@@ -59,18 +59,23 @@ def test_govern_official_with_cap_and_index(spark, tmp_path):
 
 
 def test_specs_are_strict(tmp_path):
-    with pytest.raises(ValueError):
-        spec(split_strategy="no")
-    with pytest.raises(ValueError):
-        spec(split_strategy="group_by")
-    with pytest.raises(ValueError):
-        specs.strict(specs.PrepareConfig, {"corpus": "c", "splits": ["train"], "x": 1})
-    with pytest.raises(ValueError):
-        specs.config_from(specs.PrepareConfig, {"corpus": "c"})
-    with pytest.raises(ValueError):
-        specs.PrepareConfig("c", ("train", "test"))
-    (tmp_path / "s.json").write_text(json.dumps({"x": {"license": "l", "revision": "r", "upstream": "u", "reader": "csv", "transform": "ceval", "split_strategy": "shuffle"}}))
-    assert specs.load_specs(str(tmp_path / "s.json"))["x"].fracs == (0.8, 0.1, 0.1)
+    for split in ({"by": "no"}, {"by": "group_by"}, {"by": "shuffle", "fractions": [0.5, 0.4, 0.3]}, {"by": "official"}, {"by": "shuffle", "x": 1}):
+        with pytest.raises(configs.ConfigError):
+            spec(split=split)
+    for files in ([], {}, 3, {"train": 3}):
+        with pytest.raises(configs.ConfigError):
+            spec(files=files)
+    with pytest.raises(configs.ConfigError):
+        configs.checked(configs.PREPARATION, {"corpus": "c", "splits": ["train", "test"]})
+    good = {"provenance": {"license": "l", "revision": "r", "upstream": "u"}, "source": {"files": ["b*.csv", "a.csv"], "transform": "ceval"}, "split": {"by": "shuffle"}}
+    (tmp_path / "s.json").write_text(json.dumps({"x": good, "y": {**good, "split": {"by": "group_by", "key": "k", "quotas": {"a": 1, "b": 2}}}}))
+    found = specs.load_specs(str(tmp_path / "s.json"))
+    assert found["x"].split == specs.Shuffled(42, (0.8, 0.1, 0.1)) and found["x"].input_files() == ["a.csv", "b*.csv"] and found["x"].limit("tokens") is None
+    assert found["y"].split.partitions(found["y"]) == ["a", "b"]
+    (tmp_path / "s.json").write_text(json.dumps({"x": {**good, "more": 1}, "y": {"split": {}}}))
+    with pytest.raises(configs.ConfigError) as faults:
+        specs.load_specs(str(tmp_path / "s.json"))
+    assert len(faults.value.faults) == 4 and "x.more is unknown" in faults.value.faults
 
 
 def test_prepare(spark, tmp_path):
