@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm import bpe, minhash, mixing, substring_dedup, toxicity
-from loomspark.llm.common import drop_table, drop_tables_since, load, materialize, tables_made
+from loomspark.llm.common import Tables, drop_table, load, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Words of a passage that must repeat before a later document loses it.
@@ -72,8 +72,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     its way, and what it read, is deleted then."""
     docs = load(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        made, before = tables_made(), docs
-        docs = materialize(stage(spark, before, sf_dir))
-        drop_tables_since(spark, made, keep=docs)
+        before = docs
+        with Tables(spark) as own:
+            docs = own.release(materialize(stage(spark, before, sf_dir)))
         drop_table(before)
     return STAGES[-1][1](spark, docs, sf_dir)

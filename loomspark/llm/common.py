@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import drop_table, drop_tables_since, materialize, shared_dir, tables_made  # noqa: F401
+from ..storage import Tables, adopted, drop_table, materialize, shared_dir  # noqa: F401
 
 #: Spaces and the controls U+0009 to U+000D end a word.
 WORD = r"[^\x20\x09-\x0D]+"

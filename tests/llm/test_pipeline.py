@@ -121,12 +121,20 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert sorted(map(str, map(tuple, coded))) == sorted(map(str, expected))
 
 
-def test_run_gives_the_last_stage_and_cleans_up(spark, sf_dir):
-    before = set(common.tables_made())
-    out = corpus_pipeline.run(spark, sf_dir)
-    assert len(set(common.tables_made()) - before) == 1  # the last stage's input
-    ids = {r.doc_id for r in out.select("doc_id").collect()}
-    assert not ids & set(range(260, 270)) and not ids & corpus()[1] and out.where("NOT round_trip").count() == 0
+def test_two_runs_at_once_and_what_they_leave(spark, sf_dir):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def run(_):
+        with common.Tables(spark) as own:
+            out = corpus_pipeline.run(spark, sf_dir).collect()
+            assert len(own.paths) == 1  # the last stage's input
+        return out
+
+    with ThreadPoolExecutor(2) as pool:
+        one, two = pool.map(run, range(2))
+    assert sorted(map(str, one)) == sorted(map(str, two))
+    ids = {r.doc_id for r in one}
+    assert not ids & set(range(260, 270)) and not ids & corpus()[1] and all(r.round_trip for r in one)
 
 
 def test_stages_of_an_empty_table(spark, sf_dir):
