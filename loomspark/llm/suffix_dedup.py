@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_table, frugal, from_ipc, give_back, load, materialize, mix, pack_sorted, shared_dir, slices, to_ipc, unpack_sorted, utf8_buffer
+from .common import adopted, drop_table, frugal, from_ipc, give_back, load, materialize, mix, pack_sorted, shared_dir, slices, to_ipc, unpack_sorted, utf8_buffer
 
 _U = np.uint64
 _C = _U(0x9FB21C651E98DF25)
@@ -313,9 +313,7 @@ def _bucketed(df: DataFrame, key: str) -> DataFrame:
     name, n = f"loom_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = f"{shared_dir(spark)}/{name}"
     df.repartition(n, key).write.format("parquet").options(path=path, compression="zstd").bucketBy(n, key).saveAsTable(name)
-    out = spark.table(name)
-    out._loom_path = path
-    return out
+    return adopted(spark.table(name), path)
 
 
 def _pack(df: DataFrame, text_col: str, length: int, spread: int, k: int, batch_bytes: int) -> DataFrame:
@@ -356,7 +354,7 @@ _PARCEL = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("body", pa.
 _PARCEL_TYPE = "bucket int, batch long, body binary"
 
 
-def repeated_strings(df: DataFrame, length: int = 200, spread: int = 96, text_col: str = "text", keep_text: bool = True, batch_bytes: int = 4 << 20, range_bytes: int = 24 << 20, most_samples: int = 200_000) -> DataFrame:
+def repeated_strings(df: DataFrame, length: int = 200, spread: int = 64, text_col: str = "text", keep_text: bool = True, batch_bytes: int = 4 << 20, range_bytes: int = 24 << 20, most_samples: int = 200_000) -> DataFrame:
     """``df`` with n_bytes, n_removed, n_spans, removed (first and last byte of each span) and kept (bytes).
 
     length: of the strings that must not repeat. spread: see above; at most ``length`` less the bytes that are hashed.
@@ -546,33 +544,46 @@ def repeated_strings(df: DataFrame, length: int = 200, spread: int = 96, text_co
                     yield _frame(rows, _PARCEL)
 
     def settled(table: pa.Table) -> pa.Table:
-        """For every string of every stretch, in order, whether it occurs in another stretch of the range."""
+        """For every string of every stretch, in order, whether it occurs in another stretch of the range.
+
+        Stretches with the same text are one, whose strings all repeat. A run is a batch's strings, but each text's with the
+        first batch that has it.
+        """
         texts = [decoded(x)[0] for x in table.column("body").to_pylist()]
-        flat = [t for some in texts for t in some]
+        number: dict[bytes, int] = {}
+        code = [[number.setdefault(t, len(number)) for t in some] for some in texts]
+        flat = list(number)
         size = np.array([len(t) for t in flat], np.int64)
         count = size - length + 1
-        begin = np.cumsum(size) - size
-        owner = np.repeat(np.arange(len(flat)), count)
-        at = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
+        upto = np.concatenate([[0], np.cumsum(count)])
+        at = np.arange(upto[-1]) + np.repeat((np.cumsum(size) - size) - upto[:-1], count)
         joined = b"".join(flat)
+        del flat, number
+        known = np.repeat(np.bincount(np.concatenate([np.array(c, np.int64) for c in code]), minlength=len(count)) > 1, count)
         h = string_hashes(np.frombuffer(joined + bytes(8), np.uint8), at, length)
-        _, code, seen = np.unique(h, return_inverse=True, return_counts=True)
-        often = np.flatnonzero(seen[code] > 1)  # an unlike hash is an unlike string
-        run_of = np.repeat(np.arange(len(texts)), [len(some) for some in texts])[owner[often]]
+        _, name, seen = np.unique(h, return_inverse=True, return_counts=True)
+        compared = np.zeros(len(seen), bool)
+        compared[name[~known]] = True  # an unlike hash is an unlike string, and a string that is known to repeat need not be told
+        often = np.flatnonzero((seen[name] > 1) & compared[name])
+        del h, name, seen
+        home = np.zeros(len(count), np.int64)
+        for r in range(len(code) - 1, -1, -1):
+            home[code[r]] = r
+        run_of = np.repeat(home, count)[often]
+        by_run = np.argsort(run_of, kind="stable")
+        cuts = np.searchsorted(run_of[by_run], np.arange(len(texts) + 1))
         runs, back = [], []
-        for r in range(len(texts)):
-            mine = often[run_of == r].tolist() if len(often) else []
-            strings = [joined[a : a + length] for a in at[mine].tolist()]
-            order = sorted(range(len(mine)), key=strings.__getitem__)
-            runs.append([strings[i] for i in order])
-            back.append([mine[i] for i in order])
-        again = np.zeros(len(at), bool)
+        for x, y in zip(cuts, cuts[1:]):
+            mine = often[by_run[x:y]].tolist()
+            strings = sorted(zip([joined[a : a + length] for a in at[mine].tolist()], mine))
+            runs.append([s for s, _ in strings])
+            back.append([i for _, i in strings])
+        again = known
         if len(often):
             most, _, _ = longest_shared(runs, [[0, *map(common, r, r[1:])][: len(r)] for r in runs])
             for places, m in zip(back, most):
-                again[places] = m >= length
-        upto = np.cumsum([0] + [int(sum(len(t) - length + 1 for t in some)) for some in texts])
-        body = [np.packbits(again[x:y]).tobytes() for x, y in zip(upto, upto[1:])]
+                again[places] |= m >= length
+        body = [np.packbits(np.concatenate([again[upto[c] : upto[c + 1]] for c in some])).tobytes() for some in code]
         give_back()
         return pa.table({"bucket": table.column("bucket"), "batch": table.column("batch"), "body": pa.array(body, pa.binary())})
 
