@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import Tables, materialize
+from .merging import train_in_rounds
 
 #: Splits text before merging (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -174,16 +175,18 @@ def train(counts: list[tuple[str, int]], vocab_size: int, min_frequency: int = 2
     return Vocabulary(ids, merges, specials)
 
 
-def train_on(df: DataFrame, vocab_size: int, min_frequency: int = 2, text_col: str = "text", most_words: int = 5_000_000, min_count: int = 1) -> Vocabulary:
-    """Training on a corpus: counts in Spark, merges on the driver in arrays over the distinct words.
+def train_on(df: DataFrame, vocab_size: int, min_frequency: int = 2, text_col: str = "text", most_words: int = 500_000, min_count: int = 1) -> Vocabulary:
+    """Training on a corpus of any size.
 
-    min_count: words of fewer occurrences are left out in Spark. More than ``most_words`` distinct words
-    are an error, to be met by a higher ``min_count``.
+    Words are counted in Spark. Up to ``most_words`` distinct ones are merged in the driver's arrays; more stay in a table
+    and are merged in rounds (``merging``), with the same result. min_count: words of fewer occurrences are left out.
     """
-    rows = pretoken_counts(df, text_col)
-    rows = (rows if min_count <= 1 else rows.where(F.col("n") >= min_count)).orderBy(F.desc("n"), "pretoken").limit(most_words + 1).toArrow()
-    if rows.num_rows > most_words:
-        raise ValueError(f"more than {most_words} distinct words; raise min_count")
+    with Tables(df.sparkSession):
+        counts = materialize(pretoken_counts(df, text_col).where(F.col("n") >= min_count))
+        if counts.count() > most_words:
+            ids, merges = train_in_rounds(counts, ALPHABET, len(SPECIALS), vocab_size, min_frequency)
+            return Vocabulary(ids, merges)
+        rows = counts.toArrow()
     return train(list(zip(rows.column("pretoken").to_pylist(), rows.column("n").to_pylist())), vocab_size, min_frequency)
 
 
