@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 
 def running(df: DataFrame, order: list[Column | str], bucket: Column, value: Column | None, name: str, by: list[str] | None = None, total: str | None = None) -> DataFrame:
     """``df`` with ``name``: the sum of ``value`` (null: 1 a row) over all rows up to and with this one.
@@ -39,10 +41,35 @@ def shuffle_hash(seed: int, ord_col: str) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}|"), F.col(ord_col).cast("string")), 256)
 
 
-def shuffled_rank(df: DataFrame, seed: int, ord_col: str = "ord", name: str = "rank", by: list[str] | None = None, total: str | None = None) -> DataFrame:
-    """``df`` with its rank (from 1) in a seeded random order that reruns and other engines repeat; by: within groups."""
-    keyed = df.withColumn("_hash", shuffle_hash(seed, ord_col))
-    return running(keyed, ["_hash", ord_col], F.substring("_hash", 1, 3), None, name, by, total).drop("_hash")
+def hash_digits(rows: int, bucket_rows: int = 100_000) -> int:
+    """Hexadecimal digits of a hash that deal so many rows into buckets of at most ``bucket_rows``, about."""
+    digits = 1
+    while rows > bucket_rows * 16**digits:
+        digits += 1
+    return digits
+
+
+def shuffled_rank(df: DataFrame, seed: int, ord_col: str = "ord", name: str = "rank", by: list[str] | None = None, total: str | None = None, bucket_rows: int = 100_000) -> DataFrame:
+    """``df`` with its rank (from 1) in a seeded random order that reruns and other engines repeat; by: within groups.
+
+    ord_col names a row. Keys alone are ranked, in buckets whose number follows from the rows, and the ranks joined
+    back; the same key in several rows gives them ranks that follow one another.
+    """
+    keys = [*(by or []), ord_col]
+    counted = materialize(df.groupBy(*keys).agg(F.count("*").alias("_same")).withColumn("_hash", shuffle_hash(seed, ord_col)))
+    found = counted.agg(F.sum("_same").alias("rows"), F.max("_same").alias("most")).first()
+    digits = hash_digits(found.rows or 0, bucket_rows)
+    ranked = running(counted, ["_hash", ord_col], F.substring("_hash", 1, digits), F.col("_same"), "_upto", by, "_all")
+    ranks = ranked.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)], (F.col("_upto") - F.col("_same")).alias("_before"), "_same", "_all")
+    met = F.lit(True)
+    for i, k in enumerate(keys):
+        met = met & F.col(k).eqNullSafe(F.col(f"_r{i}"))
+    out = df.join(ranks, met)
+    again = Window.partitionBy(*[f"_r{i}" for i in range(len(keys))]).orderBy(F.lit(0))
+    within = F.row_number().over(again) if (found.most or 0) > 1 else F.lit(1)
+    out = out.withColumn(name, F.col("_before") + within)
+    out = out.withColumn(total, F.col("_all")) if total else out
+    return out.drop("_before", "_same", "_all", *[f"_r{i}" for i in range(len(keys))])
 
 
 def permutation_rank(df: DataFrame, seed: int, ord_col: str = "ord", name: str = "rank", total: str | None = None, most: int = 20_000_000) -> DataFrame:

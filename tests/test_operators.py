@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -227,3 +229,25 @@ def test_offsets_of_no_documents(spark):
     assert packing.stream_offsets(df).count() == 0
     nulls = spark.createDataFrame([(None, [1, 2]), (3, [1])], "ord long, ids array<int>")
     assert sorted(r.stream_end for r in packing.stream_offsets(nulls).collect()) == [2, 3]
+
+
+def test_ranks_on_keys_in_buckets_that_follow_the_rows(spark):
+    from loomspark.operators import order
+
+    assert [order.hash_digits(n) for n in (0, 1_600_000, 1_600_001, 100_000_000, 10**12)] == [1, 1, 2, 3, 6]
+    df = spark.range(3000).select(F.col("id").alias("ord"), F.repeat(F.lit("x"), 100).alias("text"), (F.col("id") % 2).alias("g"))
+    want = {r.ord: i + 1 for i, r in enumerate(sorted(df.select("ord").collect(), key=lambda r: (hashlib.sha256(f"5|{r.ord}".encode()).hexdigest(), r.ord)))}
+    out = order.shuffled_rank(df, 5, total="n", bucket_rows=10)
+    assert {r.ord: r["rank"] for r in out.collect()} == want and {r.n for r in out.collect()} == {3000}
+    # No window of the plan sees a text.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert all("text" not in line for line in plan.splitlines() if "Window" in line)
+    keys = order.hash_digits(100_000_000)
+    sizes = spark.range(2_000_000).groupBy(F.substring(order.shuffle_hash(1, "id"), 1, keys - 1)).count().agg(F.max("count")).first()[0]
+    assert sizes < 2 * 2_000_000 / 16 ** (keys - 1)  # hashes fill buckets evenly
+    twice = df.unionByName(df.where("ord < 50"))
+    ranks = sorted(r["rank"] for r in order.shuffled_rank(twice, 5, bucket_rows=10).collect())
+    assert ranks == list(range(1, 3051))
+    parted = order.shuffled_rank(df, 5, by=["g"], total="n").groupBy("g").agg(F.max("rank").alias("m"), F.countDistinct("rank").alias("d"), F.max("n").alias("n")).collect()
+    assert [(r.m, r.d, r.n) for r in parted] == [(1500, 1500, 1500)] * 2
+    assert order.shuffled_rank(df.where("false"), 5).count() == 0
