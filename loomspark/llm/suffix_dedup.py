@@ -354,7 +354,7 @@ _PARCEL = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("body", pa.
 _PARCEL_TYPE = "bucket int, batch long, body binary"
 
 
-def repeated_strings(df: DataFrame, length: int = 200, spread: int = 64, text_col: str = "text", keep_text: bool = True, batch_bytes: int = 4 << 20, range_bytes: int = 24 << 20, most_samples: int = 200_000) -> DataFrame:
+def repeated_strings(df: DataFrame, length: int = 200, spread: int = 112, text_col: str = "text", keep_text: bool = True, batch_bytes: int = 4 << 20, range_bytes: int = 24 << 20, most_samples: int = 200_000) -> DataFrame:
     """``df`` with n_bytes, n_removed, n_spans, removed (first and last byte of each span) and kept (bytes).
 
     length: of the strings that must not repeat. spread: see above; at most ``length`` less the bytes that are hashed.
