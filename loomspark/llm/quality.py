@@ -85,12 +85,14 @@ def host_verdicts(rules: DataFrame, host_col: str = "source", suspect_rate: floa
     return out.select("host", "host_docs", "host_rate", (F.col("host_rate") >= limit).alias("host_suspect"))
 
 
-def assess(df: DataFrame, text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
+def assess(df: DataFrame, text_col: str = "text", host_col: str = "source", keep_text: bool = True, **limits) -> DataFrame:
     """``df`` with measures, failures, the host's shrunk rate and verdict, and kept.
 
-    What the rules need is measured once and kept in the shared folder, beside all other columns.
+    What the rules need is measured once and kept in the shared folder, beside all other columns; without
+    ``keep_text`` the text is left out there and in what is returned.
     """
-    rules = materialize(ruled(measured(df, text_col), **limits).drop(text_col) if text_col not in (host_col,) else ruled(measured(df, text_col), **limits))
+    found = ruled(measured(df, text_col), **limits)
+    rules = materialize(found if keep_text or text_col == host_col else found.drop(text_col))
     key = lambda c: F.concat(F.when(F.col(c).isNull(), "n").otherwise("v"), F.coalesce(F.col(c).cast("string"), F.lit("")))
     hosts = host_verdicts(rules, host_col).withColumn("_host", key("host")).drop("host")
     out = join_small(rules.withColumn("_host", key(host_col)), hosts, "_host").drop("_host")
@@ -99,7 +101,7 @@ def assess(df: DataFrame, text_col: str = "text", host_col: str = "source", **li
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdicts for all documents."""
-    out = assess(load(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    out = assess(load(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep_text=False)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

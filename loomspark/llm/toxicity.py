@@ -1,12 +1,14 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
-Five small transducers read a clause's word classes (insult, threat, target, negation, reported speech)
-and are composed once into one machine, whose output is the clause's score. What scores are patterns:
-
-- insult: an insult within a phrase, that is, with another word of its clause before or behind it; a clause
-  that is one insult and nothing else is no match and scores 0;
-- threat: a threat with a target at most four words before or behind it; without one it scores 0;
-- target: what falls near a target weighs half more, what has none 0.8;
+Five small transducers read a clause's word classes and are composed once into one machine, whose output is the
+clause's score. What scores are patterns:
+
+- insult: an insult that is aimed, that is, with a person at most four words before or behind it, behind such, what or
+  a call ("such a ...", "what a ...", "hey ..."), or heaped on another insult. An insult that is aimed at nobody weighs
+  0.6, and nothing at all where it is its text's only insult and nothing there is aimed;
+- threat: somebody's will, then a threat, then its victim at most two words behind ("I will ... you"), or an object
+  pronoun before it ("te voy a ..."). Pronouns that do the deed, it's, that, is and are no victims;
+- target: what falls near a person weighs half more, what has none 0.8;
 - negation: what falls in the three words behind one weighs a quarter;
 - reported speech: what falls behind a verb of speech weighs half.
 
@@ -42,14 +44,23 @@ from pyspark.sql import types as T
 
 from .common import frugal, load, materialize, slices
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-#: Words between a threat and its target.
+OTHER, INSULT, THREAT, SUBJECT, OBJECT, PERSON, NEGATION, REPORT, LEAD, WILL = range(10)
+#: Words between an insult and a person, and between a will and a threat.
 REACH = 4
+#: Words between a threat and its victim behind it.
+STRIKES = 2
+#: What an insult weighs that is aimed at nobody.
+UNAIMED = 0.6
 INSULTS = "idiot idiots moron morons loser losers scum trash pathetic worthless stupid disgusting clown dumb fool jerk bastard idiota imbécil estúpido estúpida asqueroso basura dummkopf arschloch abschaum wertlos imbécile abruti connard crétin salaud".split()
 THREATS = "kill hurt destroy beat stab shoot punch burn matar golpear umbringen töten verletzen tuer frapper".split()
-TARGETS = "you your you're he she they them him her it's that this is are was eres usted ustedes tú du ihr sie dich euch ist tu vous toi il elle est".split()
+#: Persons who act, who suffer, and who may do either.
+SUBJECTS = "he she they tú tu du sie il elle eres".split()
+OBJECTS = "him her them dich euch ihn te os toi".split()
+PERSONS = "you your you're vous usted ustedes ihr".split()
 NEGATIONS = "not no never nobody isn't aren't wasn't don't doesn't nicht kein keine nie ni nunca jamás pas jamais aucun".split()
 REPORTS = "said says wrote claimed called quoted quote reported according dijo llamó sagte schrieb nannte dit écrit appelé".split()
+LEADS = "such what hey qué quel quelle welch".split()
+WILLS = "i we i'll we'll i'm will gonna going shall would voy vamos werde werden vais allons".split()
 SEED_WEIGHT = 3.0
 _PLAIN = str.maketrans({"’": "'", "“": " ", "”": " ", "«": " ", "»": " ", "„": " ", "…": ".", "—": " ", "–": " ", " ": " ", "¿": " ", "¡": " "})
 #: Bytes of lower-case text: letters and apostrophes stay, clause ends become full stops, the rest spaces.
@@ -59,25 +70,42 @@ _BYTES = bytes(b if b >= 128 or 97 <= b <= 122 or b == 39 else 46 if b in b".!?;
 # --- transducers: each starts in state 0
 # Matchers: step(state, class) -> (state, what comes out). Weighers: step(state, class) -> (state, factor).
 def _insult(state: int, kind: int) -> tuple[int, float]:
-    """Passes an insult's weight. States: 0 nothing yet, 1 other words, 2 one insult alone, 3 an insult in a phrase."""
+    """Passes the last insult's weight, or what an unaimed one lacks once a person follows. States: words in which a person,
+    a lead or an insult still aims the next insult, and words in which a person still aims the last."""
+    aims, lacks = divmod(state, REACH + 1)
+    out = 0.0
     if kind == INSULT:
-        return (2 if state == 0 else 3), 1.0
-    return (1 if state <= 1 else 3), 0.0
+        out = 1.0 if aims else UNAIMED
+        aims, lacks = REACH, 0 if aims else REACH
+    elif kind in (SUBJECT, OBJECT, PERSON):
+        out = 1.0 - UNAIMED if lacks else 0.0
+        aims, lacks = REACH, 0
+    else:
+        aims, lacks = (2 if kind == LEAD else max(0, aims - 1)), max(0, lacks - 1)
+    return aims * (REACH + 1) + lacks, out
 
 
 def _threat(state: int, kind: int) -> tuple[int, float]:
-    """Puts out a threat once it has its target: on the threat if the target came first, else on the target.
-    States: 0, 1 to REACH words since a target, and negative ones since a threat that still lacks one."""
-    if kind == TARGET:
-        return REACH, (1.0 if state < 0 else 0.0)
+    """Puts out a threat once it has its victim. States: words in which a will still holds, in which an object still is
+    a threat's victim, and in which a threat still finds one."""
+    rest, strikes = divmod(state, STRIKES + 1)
+    will, victim = divmod(rest, REACH + 1)
+    out = 0.0
     if kind == THREAT:
-        return (state - 1, 1.0) if state > 0 else (-REACH, 0.0)
-    return (state - 1 if state > 0 else state + 1 if state < 0 else 0), 0.0
+        out = 1.0 if will and victim else 0.0
+        strikes = STRIKES if will and not victim else 0
+    elif kind in (OBJECT, PERSON) and strikes:
+        out, strikes = 1.0, 0
+    else:
+        strikes = max(0, strikes - 1)
+    will = REACH if kind == WILL else max(0, will - 1)
+    victim = REACH if kind == OBJECT else max(0, victim - 1)
+    return (will * (REACH + 1) + victim) * (STRIKES + 1) + strikes, out
 
 
 def _target(state: int, kind: int) -> tuple[int, float]:
-    """Near a target (REACH words) a word weighs half more; far from any, 0.8."""
-    if kind == TARGET:
+    """Near a person (REACH words) a word weighs half more; far from any, 0.8."""
+    if kind in (SUBJECT, OBJECT, PERSON):
         return REACH, 1.5
     return max(0, state - 1), 1.5 if state else 0.8
 
@@ -94,22 +122,23 @@ def _report(state: int, kind: int) -> tuple[int, float]:
     return (1, 1.0) if kind == REPORT else (state, 0.5 if state else 1.0)
 
 
-def compose(insult, threat, *weighers) -> tuple[dict[tuple[int, int], tuple[int, float, float]], frozenset[int]]:
+def compose(insult, threat, *weighers) -> dict[tuple[int, int], tuple[int, float, float, bool]]:
     """The product of two matchers and of weighers of what they put out, over the states that can be reached:
-    (state, class) -> (state, factor of an insult's weight, factor of a threat's), and the final states in
-    which an insult lies in a phrase."""
-    number, queue, table = {(0,) * (2 + len(weighers)): 0}, [(0,) * (2 + len(weighers))], {}
+    (state, class) -> (state, factor of the last insult's weight, factor of a threat's, whether something is aimed)."""
+    start = (0,) * (2 + len(weighers))
+    number, queue, table = {start: 0}, [start], {}
     fresh = count(1)
     while queue:
         states = queue.pop()
-        for kind in range(6):
+        for kind in range(10):
             out = [step(s, kind) for step, s in zip((insult, threat, *weighers), states)]
             to, factor = tuple(s for s, _ in out), float(np.prod([f for _, f in out[2:]]))
             if to not in number:
                 number[to] = next(fresh)
                 queue.append(to)
-            table[number[states], kind] = number[to], out[0][1] * factor, out[1][1] * factor
-    return table, frozenset(n for s, n in number.items() if s[0] == 3)
+            aimed = out[1][1] > 0 or out[0][1] > 0 and (kind != INSULT or out[0][1] == 1.0)
+            table[number[states], kind] = number[to], out[0][1] * factor, out[1][1] * factor, aimed
+    return table
 
 
 @lru_cache(1)
@@ -117,14 +146,16 @@ def machine():
     return compose(_insult, _threat, _target, _negation, _report)
 
 
-def clause_score(kinds: list[tuple[int, float]]) -> float:
-    """What the machine puts out for a clause's (class, weight) pairs."""
-    (table, final), state, insults, threats = machine(), 0, 0.0, 0.0
+def clause_score(kinds: list[tuple[int, float]]) -> tuple[float, bool, int]:
+    """What the machine puts out for a clause's (class, weight) pairs, whether any of it is aimed, and the insults."""
+    table, state, score, aimed, insults, held = machine(), 0, 0.0, False, 0, 0.0
     for kind, weight in kinds:
-        state, insult, threat = table[state, kind]
-        insults += insult * weight
-        threats += threat * SEED_WEIGHT
-    return (insults if state in final else 0.0) + threats
+        if kind == INSULT:
+            insults, held = insults + 1, weight
+        state, insult, threat, hits = table[state, kind]
+        score += insult * held + threat * SEED_WEIGHT
+        aimed = aimed or hits
+    return score, aimed, insults
 
 
 def normal(text: str) -> bytes:
@@ -142,7 +173,7 @@ class Grammar:
         import ahocorasick
 
         self.kinds = {}
-        for kind, some in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS)):
+        for kind, some in ((WILL, WILLS), (LEAD, LEADS), (REPORT, REPORTS), (NEGATION, NEGATIONS), (SUBJECT, SUBJECTS), (OBJECT, OBJECTS), (PERSON, PERSONS), (THREAT, THREATS)):
             self.kinds.update({w.encode(): (kind, SEED_WEIGHT if kind == THREAT else 0.0) for w in some})
         self.kinds.update({w.encode(): (INSULT, x) for w, x in words.items()})
         self.stems = {s.encode(): x for s, x in stems.items()}
@@ -170,17 +201,18 @@ class Grammar:
         if not text:
             return []
         raw = b" " + normal(text).replace(b".", b" . ") + b" "
-        out, upto = [], 0
+        out, upto, aims, insults = [], 0, False, 0
         for end, (whole, _) in self.found.iter(raw.decode("latin-1")):
             if end < upto or whole and raw[end + 1] != 32:
                 continue
             a, b = raw.rfind(b" . ", 0, end) + 1, raw.find(b" . ", end)
             b = len(raw) if b < 0 else b
             upto = b
-            score = clause_score([self.kind(w) for w in raw[a:b].split() if w != b"."])
+            score, aimed, n = clause_score([self.kind(w) for w in raw[a:b].split() if w != b"."])
+            aims, insults = aims or aimed, insults + n
             if score > 0:
                 out.append(score)
-        return out
+        return out if aims or insults > 1 else []
 
     def features(self, text: str | None) -> tuple[float, float]:
         scores = self.clauses(text)
@@ -264,12 +296,15 @@ def _chosen(counts: DataFrame, toxic: int, clean: int, least_g2: float, most: in
     odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
     rows = counts.withColumn("g2", 2 * (part("t", toxic) + part("c", clean))).withColumn("odds", odds)
     rows = rows.where((F.col("g2") >= least_g2) & (F.col("odds") > 2.5) & (F.col("t") >= 4) & (F.col("c") <= pure * F.col("t")) & (F.length("term") >= 3))
-    return {r.term: min(8.0, r.odds) for r in rows.orderBy(F.desc("g2"), "term").limit(most).collect()}
+    found = rows.orderBy(F.desc("g2"), "term").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} terms tell the labels apart; raise most_terms")
+    return {r.term: min(8.0, r.odds) for r in found}
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, most_terms: int = 2_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from at most ``sample_rows`` labelled training rows, with at most ``most_terms`` learned
-    words and as many stems."""
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, most_terms: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """A model from at most ``sample_rows`` labelled training rows. More than ``most_terms`` learned words, or
+    stems, are an error."""
     seeds = dict.fromkeys(INSULTS, SEED_WEIGHT)
     train = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic"))
     train = train.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)

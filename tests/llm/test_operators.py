@@ -522,26 +522,31 @@ def test_suspect_hosts_lose_weakly_failing_documents(spark):
 
 
 def test_toxicity_grammar():
-    g = toxicity.Grammar({"idiot": 3.0, "trash": 3.0}, {"lowei": 4.0})
+    g = toxicity.Grammar({"idiot": 3.0, "trash": 3.0, "clown": 3.0}, {"lowei": 4.0})
     best = lambda t: max(g.clauses(t), default=0.0)
-    # target, negation and report each change what an insult's match weighs
-    assert best("you are an idiot") == pytest.approx(4.5) and best("an idiot came") == pytest.approx(2.4)
-    assert best("an never idiot came") == pytest.approx(0.6) and best("mary said an idiot came") == pytest.approx(1.2)
+    # an insult needs an aim: a person on either side, a lead, another insult
+    assert best("you are an idiot") == pytest.approx(4.5) and best("what an idiot") == best("hey idiot") == pytest.approx(2.4)
+    assert best("that idiot there follows him") == pytest.approx(3 * (0.6 * 0.8 + 0.4 * 1.5)) and best("trash idiot") == pytest.approx(3 * 0.8 * 1.6)
+    for harmless in ("take out the trash", "the idiot by dostoevsky", "a clown at the circus", "they stab the meat", "it's trash", "that is trash", "idiot", "fine. Idiot! fine", "kill", "one two three idiot four five six seven you"):
+        assert best(harmless) == 0, harmless
+    # aimed at nobody, insults count where a text has several
+    assert g.clauses("an idiot. an idiot! some trash; fine") == pytest.approx([3 * 0.6 * 0.8] * 3) and g.clauses("an idiot. you there. fine") == []
+    assert len(g.clauses("you idiot. more trash here")) == 2
+    # negation and report change what a match weighs
+    assert best("you never an idiot") == pytest.approx(4.5 * 0.25) and best("mary said you an idiot") == pytest.approx(2.25)
     assert best("you said not idiot") == pytest.approx(3 * 1.5 * 0.25 * 0.5)
-    # a threat is matched with its target only, on either side
-    assert best("I will kill you. fine") == best("you they kill") == pytest.approx(4.5)
-    assert best("to kill time") == 0 and best("kill one two three four you") == 0 and best("not kill you") == pytest.approx(4.5 * 0.25)
-    # no pattern, no score: words alone, endings of stems, unlisted words
-    assert best("idiot") == best("idiot.") == best("fine. Idiot! fine") == best("kill") == 0
-    assert best("trash idiot") > 0 and best("idiot, mister") > 0
-    assert best("nothing here. idiotic") == 0 and best("LoweiTum und") == pytest.approx(3.2) and best("a lowei") == 0
+    # a threat needs a will and a victim
+    assert best("I will kill you. fine") == best("te voy a matar") == best("we are going to one beat all them") == pytest.approx(4.5)
+    assert best("you they kill") == best("kill you") == best("I will kill time") == best("I will kill one two you") == best("he will it") == 0
+    assert best("i will not kill you") == pytest.approx(4.5 * 0.25)
+    # endings of stems
+    assert best("nothing here. you idiotic") == 0 and best("du LoweiTum und") == pytest.approx(6.0) and best("you lowei") == 0
     assert g.clauses(None) == [] and g.clauses("") == []
-    assert len(g.clauses("an idiot. an idiot! some trash; fine")) == 3
 
 
 @pytest.mark.parametrize("gone", ["_insult", "_threat", "_target", "_negation", "_report"])
 def test_each_transducer_matters(gone, monkeypatch):
-    texts = ["you are an idiot", "an idiot", "never an idiot", "he said an idiot", "I will kill you", "idiot"]
+    texts = ["you are an idiot", "an idiot. an idiot", "you never an idiot", "he said you an idiot", "I will kill you", "idiot"]
     g = toxicity.Grammar({"idiot": 3.0}, {})
     full = [g.clauses(t) for t in texts]
     monkeypatch.setattr(toxicity, gone, lambda state, kind: (0, 0.0 if gone in ("_insult", "_threat") else 1.0))
@@ -559,7 +564,8 @@ def test_toxicity_learns(spark):
         t = [rnd.choice(vocab) for _ in range(30)]
         toxic = i % 6 == 0
         if toxic:
-            t.insert(rnd.randint(0, 30), f"grumb{rnd.choice('abcdefgh')}x" if i % 4 else "moron")
+            for _ in range(2):  # one insult that is aimed at nobody is no match
+                t.insert(rnd.randint(0, 30), f"grumb{rnd.choice('abcdefgh')}x" if i % 4 else "moron")
         rows.append((i, " ".join(t) if i != 599 else None, "clash"))
         labels.append((i, int(toxic)))
     labels += [(3, None), (None, 1), (9999, 1)]
