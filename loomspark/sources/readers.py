@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import pystrip
 from ..operators.order import running
-from . import flatstream
+from . import flatstream, pieces
 
 Schema = T.StructType | str
 
@@ -29,26 +29,27 @@ def jsonl(spark: SparkSession, paths: str | list[str], schema: Schema, ordered:
 
 
 def json_array(spark: SparkSession, paths: str | list[str], schema: Schema, ordered: bool = True) -> DataFrame:
-    """A file is one array of objects; items that are no objects are dropped, another root raises."""
-    text = spark.read.text(paths, wholetext=True)
+    """A file is one array of objects, of any size (see ``pieces``); items that are no objects are dropped, another root raises."""
+    rows, files = pieces.json_objects(spark, paths)
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    root = F.when(F.substring(pystrip("value"), 1, 1) != "[", F.raise_error(F.lit("the top level must be an array")).cast("string")).otherwise(F.col("value"))
-    items = F.from_json(root, T.ArrayType(T.StringType()), {"mode": "FAILFAST"})
-    rows = text.select(F.col("_metadata.file_path").alias("_p"), F.posexplode(items).alias("_i", "_v")).where(F.substring(F.trim("_v"), 1, 1) == "{")
-    out = rows.withColumn("_r", F.from_json("_v", kind, {"mode": "FAILFAST"})).select("_p", "_i", "_r.*")
-    if not ordered:
-        return out.drop("_p", "_i")
-    return running(out, ["_i"], F.col("_p"), None, "ord").withColumn("ord", F.col("ord") - 1).drop("_p", "_i")
+    rows = pieces.numbered(rows, files) if ordered else rows
+    out = rows.withColumn("_v", F.from_json("text", kind, {"mode": "FAILFAST"}))
+    return out.select("_v.*", *(["ord"] if ordered else []))
 
 
 def csv(spark: SparkSession, paths: str | list[str], columns: list[str] | None = None, ordered: bool = True) -> DataFrame:
-    """Header row, quoted fields with line breaks, all strings; an empty field is an empty string."""
-    reader = spark.read.options(header=True, multiLine=True, quote='"', escape='"', mode="FAILFAST", nullValue="\x00", emptyValue="")
-    if columns:
-        reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
-    df = reader.csv(paths)
-    names, df = df.columns, with_order(df) if ordered else df
-    return df.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in names})
+    """Header row, quoted fields with line breaks, files of any size (see ``pieces``); all columns are strings, by the names of each
+    file's own header, and empty where a row or a file lacks them. columns: all names that any header has, unless given."""
+    rows, files = pieces.csv_rows(spark, paths)
+    known = pieces.headers(spark, paths, rows)
+    if columns is None:
+        found = known.select("path", F.posexplode("names").alias("i", "name")).groupBy("name").agg(F.min(F.struct("path", "i")).alias("at"))
+        columns = [r.name for r in found.orderBy("at").collect()]
+    rows = pieces.numbered(rows, files, header=True) if ordered else rows
+    met = rows.where("r > 0").join(known.withColumnRenamed("path", "_p"), F.col("path") == F.col("_p"))
+    at = {c: F.array_position("names", c).cast("int") for c in columns}
+    named = [F.coalesce(F.when(i > 0, F.get("fields", i - 1)), F.lit("")).alias(c) for c, i in at.items()]
+    return met.select(*named, *(["ord"] if ordered else []))
 
 
 def text_lines(spark: SparkSession, paths: str | list[str], ordered: bool = True) -> DataFrame:
@@ -65,21 +66,6 @@ def parquet(spark: SparkSession, paths: str | list[str], columns: list[str] | No
     return df.select(*columns, *(["ord"] if ordered else [])) if columns else df
 
 
-def by_suffix(spark: SparkSession, path: str, schema: Schema | None, columns: list[str] | None = None) -> DataFrame:
-    """The scan that a path's suffix asks for; the declared reader plays no part."""
-    names = [f.name for f in (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fields] if schema else None
-    if path.endswith(".jsonl"):
-        return jsonl(spark, path, schema)
-    if path.endswith(".json"):
-        return json_array(spark, path, schema)
-    if path.endswith(".csv"):
-        df = csv(spark, path)
-        return df.select(*[c for c in (names or df.columns) if c in df.columns and c != "ord"], "ord")
-    if path.endswith(".parquet"):
-        return parquet(spark, path, columns)
-    return text_lines(spark, path)
-
-
 def matching(spark: SparkSession, pattern: str) -> list[str]:
     """Sorted paths that match a pattern, in any store; none is an error."""
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
@@ -90,17 +76,73 @@ def matching(spark: SparkSession, pattern: str) -> list[str]:
     return out
 
 
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """A file itself, or the files below a folder in order, as scans name them; hidden ones are left out."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    store = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.getFileStatus(p).isFile():
+        return [p.toString()]
+    found = [s.getPath() for s in store.listStatus(p)]
+    return [f for q in sorted(found, key=lambda x: x.getName()) if q.getName()[0] not in "_." for f in _files(spark, q.toString())]
+
+
+def _place(column: str = "path"):
+    """A scan's file path as the file system writes it: decoded, and without an empty authority."""
+    return F.regexp_replace(F.expr(f"url_decode(replace({column}, '+', '%2B'))"), "^([a-z0-9]+):/+", "$1:/")
+
+
+def _rows_of(spark: SparkSession, suffix: str, paths: list[str], schema: Schema | None, columns: list[str] | None) -> DataFrame:
+    """All rows of files of one suffix with _path and _at, which rises within a file: one scan, however many files."""
+    meta = [F.col("_metadata.file_path").alias("_path"), F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("_at")]
+    names = [f.name for f in (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fields] if schema else None
+    if suffix == "json":
+        rows, _ = pieces.json_objects(spark, paths)
+        kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        return rows.select(F.from_json("text", kind, {"mode": "FAILFAST"}).alias("_v"), F.col("path").alias("_path"), F.struct(F.lit(0).cast("long").alias("b"), F.col("r").alias("i")).alias("_at")).select("_v.*", "_path", "_at")
+    if suffix == "csv":
+        rows, _ = pieces.csv_rows(spark, paths)
+        known = pieces.headers(spark, paths, rows)
+        if names is None:
+            names = sorted({n for r in known.select(F.explode("names").alias("n")).distinct().collect() for n in [r.n]})
+        met = rows.where("r > 0").join(known.withColumnRenamed("path", "_p"), F.col("path") == F.col("_p"))
+        at = {c: F.array_position("names", c).cast("int") for c in names}
+        named = [F.coalesce(F.when(i > 0, F.get("fields", i - 1)), F.lit("")).alias(c) for c, i in at.items()]
+        return met.select(*named, F.col("path").alias("_path"), F.struct(F.lit(0).cast("long").alias("b"), F.col("r").alias("i")).alias("_at"))
+    if suffix == "jsonl":
+        rows = spark.read.schema(schema).option("mode", "FAILFAST").json(paths)
+    elif suffix == "parquet":
+        rows = spark.read.option("mergeSchema", "true").parquet(*paths)
+        rows = rows.select(*columns, *meta) if columns else rows.select("*", *meta)
+        return rows
+    else:
+        rows = spark.read.text(paths).withColumnRenamed("value", "text")
+    return rows.select("*", *meta)
+
+
 def load_raw(spark: SparkSession, root: str, patterns: dict[str | None, tuple[str, ...]], schema: Schema | None, columns: list[str] | None = None) -> DataFrame:
-    """All files of all splits in one table with split and ord; splits, patterns and files keep their order."""
-    parts, k = None, 0
+    """All files of all splits in one table with split and ord; splits, patterns and files keep their order.
+
+    Files of one suffix are one scan, which a small table of files tells their splits and ranks; ranks and places order
+    the rows, so the plan doesn't grow with the files. The suffix decides how a file is read.
+    """
+    order, by_suffix = [], {}
     for split, globs in patterns.items():
         for pattern in globs:
             for path in matching(spark, f"{root}/{pattern}"):
-                # Later files get larger orders: the file's number above its rows.
-                some = by_suffix(spark, path, schema, columns).withColumns({"split": F.lit(split).cast("string"), "ord": F.col("ord") + F.lit(k << 40)})
-                parts = some if parts is None else parts.unionByName(some, allowMissingColumns=True)
-                k += 1
-    return parts
+                suffix = next((s for s in ("jsonl", "json", "csv", "parquet") if path.endswith(f".{s}")), "text")
+                for file in _files(spark, path):
+                    order.append((file, len(order), split))
+                    by_suffix.setdefault(suffix, {})[file] = None
+    ranks = spark.createDataFrame(order, "_file string, _k long, split string")
+    rows = None
+    for suffix, files in by_suffix.items():
+        some = _rows_of(spark, suffix, list(files), schema, columns)
+        rows = some if rows is None else rows.unionByName(some, allowMissingColumns=True)
+    ranks = F.broadcast(ranks) if len(order) <= 100_000 else ranks
+    met = rows.withColumn("_file", _place("_path")).join(ranks, "_file").drop("_file", "_path")
+    bucket = F.struct("_k", F.col("_at.b"))
+    return running(met, ["_at"], bucket, None, "ord").withColumn("ord", F.col("ord") - 1).drop("_k", "_at")
 
 
 def corpus_texts(spark: SparkSession, root: str, corpus: str, split: str, max_docs: int | None = None) -> DataFrame:
