@@ -6,8 +6,10 @@ that it keeps and rows that it drops.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -308,3 +310,77 @@ def scan_flat_stream(spark, sf):
     path = f"{_folder(spark)}/stream.bin"
     sinks.write_stream(_pair_stream(spark, sf), path)
     return readers.binary_stream(spark, path, range_items=1 << 16)
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ord, doc_id, md5(text) AS text, lang FROM documents")
+def scan_json_array(spark, sf):
+    """All documents in JSON arrays, one a range of them, with other elements in between, read by ranges of bytes."""
+    path = _folder(spark)
+
+    def arrays(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(["[7"])], names=["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([f", null,\n{x}" for x in batch.column(0).to_pylist()], pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]"])], names=["value"])
+
+    rows = _docs(spark, sf, "text", "lang").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows.select(F.to_json(F.struct("doc_id", "text", "lang"))).mapInArrow(arrays, "value string").write.text(path)
+    rows = readers.json_array(spark, path, "doc_id long, text string, lang string")
+    return rows.select("ord", "doc_id", F.md5(F.col("text").cast("binary")).alias("text"), "lang")
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text NOT LIKE '%' || chr(13) || '%')
+SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS ord, md5(t) AS text FROM l""")
+def scan_text_lines(spark, sf):
+    """The lines of all documents (without carriage returns) written in order, and scanned back with their places."""
+    path = _folder(spark)
+    _docs(spark, sf, "text").where("NOT contains(text, '\\r')").orderBy("doc_id").select("text").write.text(path)
+    return readers.text_lines(spark, path).select("ord", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query(f"SELECT ord, length(text)::INT AS chars FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ord, {_strip('text')} AS text FROM documents) WHERE text <> '' ORDER BY ord LIMIT 40")
+def scan_capped(spark, sf):
+    """The first forty texts of a governed split that are not blank: a cap is what this scan is for."""
+    root = _folder(spark)
+    _docs(spark, sf, "text").orderBy("doc_id").write.parquet(f"{root}/corpus/train.parquet")
+    return readers.corpus_texts(spark, root, "corpus", "train", 40).select("ord", F.length("text").alias("chars"))
+
+
+@query(f"""WITH {_PAIRS}, n AS (SELECT max(stream_end) AS n FROM s), o AS (SELECT range AS block_id, ('0x' || substr(sha256('7|' || range::VARCHAR), 1, 15))::BIGINT % (n - 16) AS "offset" FROM n, range((SELECT (n - 1) // 50 + 1 FROM n))),
+w AS (SELECT block_id, "offset", "offset" + unnest(range(17)) AS position FROM o),
+f AS (SELECT stream_end - len(ids) + k - 1 AS position, ids[k] AS token FROM (SELECT *, unnest(range(1, len(ids) + 1)) AS k FROM s))
+SELECT block_id, array_to_string(list(token ORDER BY position) FILTER (WHERE position < "offset" + 16), ' ') AS input, array_to_string(list(token ORDER BY position) FILTER (WHERE position > "offset"), ' ') AS label FROM w JOIN f USING (position) GROUP BY 1""")
+def random_access(spark, sf):
+    """Blocks read where they lie in a flat stream of several files, an offset for each fifty tokens."""
+    path = f"{_folder(spark)}/stream"
+    n = sinks.write_stream(_pair_stream(spark, sf), path, layout="parts")
+    out = readers.stream_blocks(spark, path, packing.spread_offsets(spark, n, 16, 50, 7), 16)
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+    return out.select("block_id", text("input").alias("input"), text("label").alias("label"))
+
+
+@query("SELECT doc_id, source, (doc_id % 3)::INT AS k FROM documents")
+def records_fallback(spark, sf):
+    """Records of which one column has no type that Parquet stores go out as JSON lines, the others as Parquet; both are read back."""
+    path, rows = _folder(spark), _docs(spark, sf, "source").withColumn("k", (F.col("doc_id") % 3).cast("int"))
+    kinds = [sinks.write_records(rows.where("doc_id % 2 = 0"), f"{path}/a.parquet", None), sinks.write_records(rows.where("doc_id % 2 <> 0").withColumn("none", F.lit(None)), f"{path}/b.parquet", None)]
+    assert kinds == ["parquet", "jsonl"]
+    return spark.read.parquet(f"{path}/a.parquet").unionByName(spark.read.schema("doc_id long, source string, k int").json(f"{path}/b.jsonl"))
+
+
+@query(f"WITH {_PAIRS} SELECT stream_end - len(ids) + k - 1 AS position, ids[k]::INT AS token FROM (SELECT *, unnest(range(1, len(ids) + 1)) AS k FROM s)")
+def flatten_documents(spark, sf):
+    return packing.flat_stream(_pair_stream(spark, sf))
+
+
+@query("""WITH n AS (SELECT DISTINCT source AS dataset FROM documents WHERE source IS NOT NULL), a AS (SELECT unnest(['no-such-corpus']) AS dataset UNION ALL SELECT dataset FROM n)
+SELECT dataset, CASE WHEN dataset <> 'no-such-corpus' THEN 'license of ' || dataset END AS license, CASE WHEN dataset <> 'no-such-corpus' THEN substr(md5(dataset), 1, 7) END AS revision, CASE WHEN dataset <> 'no-such-corpus' THEN length(dataset)::BIGINT END AS seed FROM a""")
+def manifest_lookup(spark, sf):
+    """Manifests of all sources as corpora, looked up by name; one name has none."""
+    from .plans import artifacts
+
+    path = _folder(spark)
+    names = sorted(r.source for r in _docs(spark, sf, "source").where("source IS NOT NULL").select("source").distinct().collect())
+    for n in names:
+        sinks.write_json(spark, {"dataset": n, "license": f"license of {n}", "revision": hashlib.md5(n.encode()).hexdigest()[:7], "seed": len(n)}, f"{path}/{n}.json")
+    return artifacts.manifest_lookup(spark, ["no-such-corpus", *names], path)
