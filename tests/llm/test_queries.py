@@ -65,16 +65,104 @@ def test_bpe_query_rows(spark):
     assert len(rows) == len(want) and {tuple(r) for r in rows} == want
 
 
-def test_license_query_rows(spark):
-    want = set()
-    for i, t in documents(spark).items():
-        n, found, expressions, score = license_scan.scan_text(t.encode())
-        w = re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if c < "\x7f" else c for c in t))
-        base = sorted((k, x) for p, x in license_scan.BASE.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
-        at = [k for k, _ in base]
-        want.add((i, len(w), len(base), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in base})), ",".join(sorted({m[1] for m in found})), score, ",".join(sorted({x for e in expressions for x in e[1]})), all(e[2] for e in expressions) if expressions else None))
-    rows = registry.QUERIES["op3_licenses"](spark, SF).collect()
-    assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+def descended(tokens):
+    """(licences, chosen, permitted) of a licence expression by recursive descent; None if it isn't one."""
+    at = 0
+
+    def level(k):
+        nonlocal at
+        if k == 3:
+            if at < len(tokens) and tokens[at] == "(":
+                at += 1
+                out = level(0)
+                if at >= len(tokens) or tokens[at] != ")":
+                    raise ValueError
+                at += 1
+                return out
+            if at >= len(tokens) or tokens[at] in ("and", "or", "with", "(", ")") or not re.fullmatch(r"[a-z0-9.+:-]+", tokens[at]):
+                raise ValueError
+            name = license_scan.ALIASES.get(tokens[at], tokens[at])
+            at += 1
+            return {name}, [name], name in license_scan.ALLOWED
+        out = level(k + 1)
+        while at < len(tokens) and tokens[at] == ("or", "and", "with")[k]:
+            at += 1
+            more = level(k + 1)
+            if k == 0:
+                first = (out[2], -len(out[1])) >= (more[2], -len(more[1]))
+                out = (out[0] | more[0], *(out if first else more)[1:])
+            elif k == 1:
+                out = out[0] | more[0], out[1] + [x for x in more[1] if x not in out[1]], out[2] and more[2]
+        return out
+
+    try:
+        out = level(0)
+    except ValueError:
+        return None
+    return out if at == len(tokens) else None
+
+
+def plain_expression(line):
+    """What stands behind a tag on its line: all of it, or the longest expression of identifiers that it begins with."""
+    raw = re.findall(r"[()]|[^\s()]+", re.sub(r"^[ \t]*[:=]?[ \t]*", "", line))
+    ends = re.compile(r"(?:\*/|-->|[,;.\"'`*#])+$")
+    clean = [t if t in "()" else ends.sub("", t) for t in raw]
+    body = [t for t in clean if t]
+    stop = next((i for i, t in enumerate(raw) if t not in "()" and clean[i] != t), None)  # what ends a sentence ends the expression
+    if body and (stop is None or not any(clean[stop + 1 :])) and (found := descended(body)):
+        return found
+    if stop is not None:
+        clean = clean[: stop + 1]
+    upto = next((i for i, t in enumerate(clean) if t not in ("(", ")", "and", "or", "with") and not license_scan.looks_like(t)), len(clean))
+    some = clean[:upto]
+    twice = any(a in ("and", "or", "with") and b in ("and", "or", "with") for a, b in zip(some, some[1:]))
+    if twice or upto == len(clean) and some and some[-1] in ("and", "or", "with"):
+        return None
+    return next((found for k in range(len(some), 0, -1) if (found := descended(some[:k]))), None)
+
+
+def plain_licenses(text):
+    """Phrases by comparing words at every place, expressions by recursive descent."""
+    t = "".join(c.lower() if c < "\x7f" else c for c in text)
+    words = [(m[0], m.end()) for m in re.finditer(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t)]
+    w = [x for x, _ in words]
+    places = lambda phrase: [k for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
+    base = sorted((k, x) for p, x in license_scan.BASE.items() for k in places(p))
+    labels, kinds = {x for _, x in base}, {"base"} if base else set()
+    for p, x in license_scan.NOTICES.items():
+        if places(p):
+            labels.add(x)
+            kinds.add("notice")
+    chosen, permitted = set(), []
+    for tag in license_scan.TAGS:
+        for k in places(tag):
+            end = words[k + len(tag.split()) - 1][1]
+            found = plain_expression(re.split(r"[\r\n]", t[end:], maxsplit=1)[0])
+            if found:
+                labels |= found[0]
+                chosen |= set(found[1])
+                permitted.append(found[2])
+                kinds.add("tag")
+    at = [k for k, _ in base]
+    score = 1 - math.prod(1 - license_scan.SURE[k] for k in sorted(kinds))
+    return len(w), len(base), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in base})), ",".join(sorted(labels)), round(score, 12), ",".join(sorted(chosen)), all(permitted) if permitted else None
+
+
+LINES = [
+    "MIT", "MIT OR GPL-3.0-only", "(MIT AND BSD-3-Clause) or apache-2.0", "GPL-2.0-only WITH Classpath-exception-2.0 and mit", "mit or or bsd-2-clause", "mit and", "(mit", "mit)", "Apache-2.0.", "Apache-2.0 is what we use",
+    "mit */", "gpl-3.0-only or (mit and isc) or zlib", "LicenseRef-own and mit", "prose only here", "apache-2.0, then mit", "(mit or isc) and (bsd-2-clause or gpl-3.0-only)", "mit bsd-3-clause", "= mit -->", "",
+]
+
+
+def test_license_query_rows(spark, tmp_path):
+    made = {100_000 + i: f"head\n// SPDX-License-Identifier: {x}\nunder the MIT license tail" for i, x in enumerate(LINES)} | {200_000: "License-Expression: mit\n cc by\nnc cc by nc. Mozilla public license", 200_001: ""}
+    docs = documents(spark) | made
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = registry.QUERIES["op3_licenses"](spark, str(tmp_path)).collect()
+    got = {r.doc_id: (*tuple(r)[1:7], round(r.score, 12), r.chosen, r.permitted) for r in rows}
+    assert len(rows) == len(docs)
+    for i, t in docs.items():
+        assert got[i] == plain_licenses(t), (i, t[-80:])
 
 
 def test_sharding_query_rows(spark):
