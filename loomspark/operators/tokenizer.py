@@ -17,6 +17,8 @@ from .merging import train_in_rounds
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: \s and classes as Unicode has them.
 _JAVA = f"(?U)({PATTERN})"
+#: Pre-tokens in each half of a vocabulary's cache.
+CACHED = 100_000
 SPECIALS = ("<|bos|>", "<|eos|>", "<|pad|>", "<|unk|>")
 #: Bytes in the order of their ids: the printable ones of Latin-1 first (fixed values).
 ALPHABET = (*range(33, 127), *range(161, 173), *range(174, 256), *range(0, 33), *range(127, 161), 173)
@@ -39,7 +41,8 @@ class Vocabulary:
     ids: dict[bytes, int]
     merges: list[tuple[bytes, bytes]]
     specials: tuple[str, ...] = SPECIALS
-    _cache: dict = field(default_factory=dict, repr=False)
+    _cache: dict = field(default_factory=dict, repr=False, compare=False)
+    _older: dict = field(default_factory=dict, repr=False, compare=False)
 
     def __post_init__(self) -> None:
         self.rank = {pair: i for i, pair in enumerate(self.merges)}
@@ -49,13 +52,19 @@ class Vocabulary:
     def size(self) -> int:
         return len(self.specials) + len(self.ids)
 
-    def merge(self, piece: bytes) -> list[int]:
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_cache": {}, "_older": {}}
+
+    def merge(self, piece: str) -> list[int]:
+        """Ids of a pre-token. The last ``CACHED`` to twice as many are remembered: those of the older half that are met
+        again move to the younger one, the rest go when that is full."""
         known = self._cache.get(piece)
         if known is None:
-            parts = self._parts(piece)
-            known = [self.ids[p] for p in parts]
-            if len(self._cache) > 200_000:
-                self._cache.clear()
+            known = self._older.get(piece)
+            if known is None:
+                known = [self.ids[p] for p in self._parts(piece.encode())]
+            if len(self._cache) >= CACHED:
+                self._older, self._cache = self._cache, {}
             self._cache[piece] = known
         return known
 
@@ -89,10 +98,20 @@ class Vocabulary:
     def encode(self, text: str) -> list[int]:
         import regex
 
-        return [i for m in regex.finditer(PATTERN, text) for i in self.merge(m[0].encode())]
+        out: list[int] = []
+        known = self._cache.get
+        for piece in regex.findall(PATTERN, text):
+            ids = known(piece)
+            if ids is None:
+                ids = self.merge(piece)
+                known = self._cache.get
+            out += ids
+        return out
 
     def decode(self, ids) -> str:
-        return b"".join(self.tokens[i] if i in self.tokens else self.specials[i].encode() for i in ids).decode("utf-8", "replace")
+        special = [s.encode() for s in self.specials]
+        tokens = self.tokens
+        return b"".join([tokens[i] if i in tokens else special[i] for i in ids]).decode("utf-8", "replace")
 
 
 def train(counts: list[tuple[str, int]], vocab_size: int, min_frequency: int = 2, specials: tuple[str, ...] = SPECIALS) -> Vocabulary:

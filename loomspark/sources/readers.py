@@ -76,7 +76,7 @@ def matching(spark: SparkSession, pattern: str) -> list[str]:
     return out
 
 
-def _files(spark: SparkSession, path: str) -> list[str]:
+def files_below(spark: SparkSession, path: str) -> list[str]:
     """A file itself, or the files below a folder in order, as scans name them; hidden ones are left out."""
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -84,7 +84,7 @@ def _files(spark: SparkSession, path: str) -> list[str]:
     if store.getFileStatus(p).isFile():
         return [p.toString()]
     found = [s.getPath() for s in store.listStatus(p)]
-    return [f for q in sorted(found, key=lambda x: x.getName()) if q.getName()[0] not in "_." for f in _files(spark, q.toString())]
+    return [f for q in sorted(found, key=lambda x: x.getName()) if q.getName()[0] not in "_." for f in files_below(spark, q.toString())]
 
 
 def _place(column: str = "path"):
@@ -131,7 +131,7 @@ def load_raw(spark: SparkSession, root: str, patterns: dict[str | None, tuple[st
         for pattern in globs:
             for path in matching(spark, f"{root}/{pattern}"):
                 suffix = next((s for s in ("jsonl", "json", "csv", "parquet") if path.endswith(f".{s}")), "text")
-                for file in _files(spark, path):
+                for file in files_below(spark, path):
                     order.append((file, len(order), split))
                     by_suffix.setdefault(suffix, {})[file] = None
     ranks = spark.createDataFrame(order, "_file string, _k long, split string")

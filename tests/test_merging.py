@@ -84,3 +84,15 @@ def test_library_and_limits(spark):
     none = tokenizer.train_on(df.where("false"), 295, most_words=-1)
     assert none.merges == [] and none.size == 260
     assert tokenizer.train_on(df.select(F.lit("q").alias("text")), 400, most_words=0).merges == []
+
+
+def test_cache_keeps_what_is_met_again(monkeypatch):
+    import pickle
+
+    vocab = tokenizer.train([("abab", 5), (" ab", 3)], 264)
+    monkeypatch.setattr(tokenizer, "CACHED", 3)
+    text = " ".join(f"ab{chr(97 + i % 26)}" for i in range(200))
+    for _ in range(2):
+        ids = vocab.encode(text)
+        assert vocab.decode(ids) == text and len(vocab._cache) <= 3 and len(vocab._older) <= 3
+    assert ids == tokenizer.Vocabulary(vocab.ids, vocab.merges).encode(text) and pickle.loads(pickle.dumps(vocab))._cache == {}
