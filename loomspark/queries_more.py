@@ -384,3 +384,14 @@ def manifest_lookup(spark, sf):
     for n in names:
         sinks.write_json(spark, {"dataset": n, "license": f"license of {n}", "revision": hashlib.md5(n.encode()).hexdigest()[:7], "seed": len(n)}, f"{path}/{n}.json")
     return artifacts.manifest_lookup(spark, ["no-such-corpus", *names], path)
+
+
+@query("""WITH l AS (SELECT user_id::VARCHAR AS run, event_id AS ord, event_id % 50 AS global_step, CASE WHEN event_id % 4 <> 0 THEN value END AS train_loss FROM events), b AS (SELECT *, lag(global_step) OVER (PARTITION BY run ORDER BY ord) AS before FROM l)
+SELECT run, count(*)::BIGINT AS rows, arg_min(train_loss, ord) FILTER (WHERE train_loss IS NOT NULL) AS first_loss, min(train_loss) AS best_loss, (list(global_step ORDER BY train_loss, ord) FILTER (WHERE train_loss IS NOT NULL))[1] AS best_step,
+arg_max(train_loss, ord) FILTER (WHERE train_loss IS NOT NULL) AS last_loss, arg_max(global_step, ord) AS last_step, sum(greatest(0, coalesce(global_step - before - 1, 0)))::BIGINT AS gaps, count(*) FILTER (WHERE global_step <= before)::BIGINT AS repeats FROM b GROUP BY run""")
+def run_progress(spark, sf):
+    """What a stream's state comes to for every run: rows, first, best and last loss, skipped and repeated steps."""
+    from .streaming.logs import progress_of
+
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    return progress_of(e.select(F.col("user_id").cast("string").alias("run"), F.col("event_id").alias("ord"), (F.col("event_id") % 50).alias("global_step"), F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("train_loss")))
