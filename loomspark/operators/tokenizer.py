@@ -139,14 +139,27 @@ def train(counts: list[tuple[str, int]], vocab_size: int, min_frequency: int = 2
     def grouped(at: np.ndarray):
         """The pairs that begin at the places: (pair, places, summed weight)."""
         at = at[(at >= 0) & (after[at] >= 0)]
-        pair = sym[at] << 32 | sym[after[at]]
-        order = np.argsort(pair, kind="stable")
-        at, pair = at[order], pair[order]
+        a, b = sym[at], sym[after[at]]
+        if len(tokens) < 1 << 16:  # narrow keys are sorted by their digits
+            order = np.argsort(b.astype(np.uint16), kind="stable")
+            order = order[np.argsort(a[order].astype(np.uint16), kind="stable")]
+        else:
+            order = np.argsort(a << 32 | b, kind="stable")
+        at, pair = at[order], (a << 32 | b)[order]
         cuts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(at) else np.zeros(0, np.int64)
         sums = np.add.reduceat(weight[at], cuts) if len(cuts) else cuts
         for lo, hi, k in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)], sums.tolist()):
             yield (int(pair[lo] >> 32), int(pair[lo] & 0xFFFFFFFF)), at[lo:hi], k
 
+    def distinct(*some: np.ndarray) -> np.ndarray:
+        """The places of several arrays, each once, in order."""
+        every = np.concatenate(some)
+        if len(every) * 32 < n:
+            return np.unique(every)
+        seen = np.zeros(n + 1, bool)  # the last is for what lies before a word
+        seen[every] = True
+        return np.flatnonzero(seen[:-1])
+
     for p, at, k in grouped(np.arange(n)):
         count[p], places[p] = k, [at]
     heap = [(-k, *p) for p, k in count.items()]
@@ -166,7 +179,7 @@ def train(counts: list[tuple[str, int]], vocab_size: int, min_frequency: int = 2
         new = ids.setdefault(merged, first + len(ids)) - first
         if new == len(tokens):
             tokens.append(merged)
-        at = np.unique(np.concatenate(places.pop((a, b))))
+        at = distinct(*places.pop((a, b)))
         at = at[(sym[at] == a) & (after[at] >= 0)]
         at = at[sym[after[at]] == b]
         if a == b and len(at):  # of a run the first, third, ... place
@@ -175,13 +188,13 @@ def train(counts: list[tuple[str, int]], vocab_size: int, min_frequency: int = 2
             at = at[(np.arange(len(at)) - head) % 2 == 0]
         gone = after[at]
         changed = {}
-        for p, _, k in grouped(np.unique(np.concatenate([before[at], at, gone]))):
+        for p, _, k in grouped(distinct(before[at], at, gone)):
             changed[p] = -k
         follows = after[gone]
         sym[at], sym[gone] = new, -1
         after[at], after[gone] = follows, -1
         before[follows[follows >= 0]] = at[follows >= 0]
-        for p, where, k in grouped(np.unique(np.concatenate([before[at], at]))):
+        for p, where, k in grouped(distinct(before[at], at)):
             changed[p] = changed.get(p, 0) + k
             if new in p:
                 places.setdefault(p, []).append(where)
