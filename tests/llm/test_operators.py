@@ -514,11 +514,11 @@ def test_suspect_hosts_lose_weakly_failing_documents(spark):
     lines = [f"x{i} y{i} z{i}" for i in range(6)]
     weak = "\n".join([clean(), *lines, *lines[::-1]])  # a third of its lines repeat, though in no long run of words
     rows = [(i, clean(), "good") for i in range(300)] + [(1000 + i, clean() if i % 2 else "too short", "bad") for i in range(100)] + [(2000 + i, clean(), f"h{i % 20}") for i in range(1000)]
-    rows += [(1, weak, "good"), (2, weak, "bad")]
-    got = {r.doc_id: r for r in quality.assess(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("doc_id IN (1, 2, 1001)").collect()}
-    assert got[1].weak_failed and got[2].weak_failed and not got[2].base_failed and not got[2].strong_failed
-    assert (got[1].kept, got[2].kept, got[1001].kept) == (True, False, True)
-    assert (got[1].host_suspect, got[2].host_suspect) == (False, True)
+    rows += [(5001, weak, "good"), (5002, weak, "bad")]  # ids that no other row has
+    got = {r.doc_id: r for r in quality.assess(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("doc_id IN (5001, 5002, 1001)").collect()}
+    assert got[5001].weak_failed and got[5002].weak_failed and not got[5002].base_failed and not got[5002].strong_failed
+    assert (got[5001].kept, got[5002].kept, got[1001].kept) == (True, False, True)
+    assert (got[5001].host_suspect, got[5002].host_suspect) == (False, True)
 
 
 def test_toxicity_grammar():
