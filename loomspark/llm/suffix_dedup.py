@@ -16,7 +16,7 @@ start). Two equal strings of ``length`` bytes choose alike, so a copy's suffixes
 4. A suffix that shares m bytes confirms the strings that start at it, up to the (m - length)th behind. Strings
    that start before a suffix, at most ``spread`` - 1 bytes, and are not confirmed by an earlier one stay open. All
    suffixes of such a first part then send what lies before them, as texts that overlapping strings share, to ranges
-   of first parts; the strings are sorted and merged there in the same way.
+   of first parts; there neighbours in the order of the strings' hashes are compared.
 5. Each batch removes what is covered.
 
 Hashes choose what is compared; bytes decide, all of them. Batches lie in a table bucketed by batch, so answers return to
@@ -33,6 +33,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,6 +61,56 @@ def string_hashes(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """The keys in order, each once."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
+def among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys are known; ``known`` is in order, and isn't gone through."""
+    at = np.searchsorted(known, keys)
+    at[at == len(known)] = 0
+    return known[at] == keys if len(known) else np.zeros(len(keys), bool)
+
+
+def recurring(data: np.ndarray, at: np.ndarray, size: int, known: np.ndarray) -> np.ndarray:
+    """Which strings of ``size`` bytes, at some places, equal one at another of the places.
+
+    known: strings that need not be told, as they are known to recur; data: with eight bytes to spare at its end. Strings
+    of one hash are neighbours, and neighbours are compared; where two are unlike, all of their hash are told apart by a count.
+    """
+    h = string_hashes(data, at, size)
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    fresh = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
+    group = np.cumsum(fresh, dtype=np.int64) - 1
+    seen = np.bincount(group)
+    looked = (seen > 1) & (np.bincount(group, weights=~known[order]) > 0)  # an unlike hash is an unlike string
+    order, group, fresh = (x[looked[group]] for x in (order, group, fresh))
+    here, before = at[order[1:]][~fresh[1:]], at[order[:-1]][~fresh[1:]]
+    eight = np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data), strides=(1,))
+    unlike = np.zeros(len(here), bool)
+    for j in range(0, size, 8):
+        differs = eight[here + j] ^ eight[before + j]
+        unlike |= (differs if size - j >= 8 else differs & _U((1 << 8 * (size - j)) - 1)) != 0
+    mixed = np.zeros(len(seen), bool)
+    mixed[group[1:][~fresh[1:]][unlike]] = True
+    again = known.copy()
+    again[order[~mixed[group]]] = True
+    if unlike.any():
+        raw = data.tobytes()
+        some = order[mixed[group]].tolist()
+        count = Counter(strings := [raw[a : a + size] for a in at[some].tolist()])
+        again[some] |= np.array([count[x] > 1 for x in strings])
+    return again
+
+
+def ragged_places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of stretches, one behind the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
 def chosen(data: np.ndarray, off: np.ndarray, length: int, spread: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The suffixes (place, first and last start of the strings that choose it) of all texts, in order.
 
@@ -259,18 +310,19 @@ class Batch:
 
     def confirmed(self, which: np.ndarray, most: np.ndarray) -> np.ndarray:
         """For every byte whether a string that starts there repeats, as far as suffixes and what they share tell."""
-        step = np.zeros(self.size + 1, np.int32)
         long = most >= self.length
-        np.add.at(step, self.place[which][long], 1)
-        np.add.at(step, self.place[which][long] + most[long] - self.length + 1, -1)
-        return np.cumsum(step[:-1]) > 0
+        opens = self.place[which][long]
+        closes = opens + most[long] - self.length + 1
+        step = np.bincount(opens, minlength=self.size + 1) - np.bincount(closes, minlength=self.size + 1)
+        return np.cumsum(step[:-1], dtype=np.int32) > 0
 
     def before(self, which: np.ndarray, most: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each suffix the first and last start of strings that choose it, lie before it and may repeat, and
         whether one of these is not confirmed yet (none: first lies behind last)."""
         lo, b = self.first[which], self.place[which]
         hi = np.minimum(np.minimum(self.last[which], b - 1), b - self.length + most)
-        upto = np.concatenate([[0], np.cumsum(known)])
+        upto = np.zeros(len(known) + 1, np.int32)
+        np.cumsum(known, out=upto[1:])
         some = hi >= lo
         still = np.zeros(len(which), bool)
         still[some] = upto[hi[some] + 1] - upto[lo[some]] < hi[some] - lo[some] + 1
@@ -391,8 +443,8 @@ def repeated_strings(df: DataFrame, length: int = 200, spread: int = 112, text_c
     def known_twice(table: pa.Table) -> pa.Table:
         keys, several = zip(*map(_flagged, table.column("body").to_pylist()))
         every = np.sort(np.concatenate(keys))
-        twice = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *[x[s] for x, s in zip(keys, several)]]))
-        hit = [np.isin(x, twice) if len(twice) else np.zeros(len(x), bool) for x in keys]
+        twice = distinct(np.concatenate([every[1:][every[1:] == every[:-1]], *[x[s] for x, s in zip(keys, several)]]))
+        hit = [among(x, twice) for x in keys]
         give_back()
         return pa.table({"bucket": table.column("bucket"), "batch": table.column("batch"), "body": pa.array([np.packbits(x).tobytes() for x in hit], pa.binary()), "n": pa.array([int(x.sum()) for x in hit])})
 
@@ -405,7 +457,7 @@ def repeated_strings(df: DataFrame, length: int = 200, spread: int = 112, text_c
 
     def bits_of_names(marks: list | None, names: np.ndarray) -> np.ndarray:
         """The returned bit of each name."""
-        keys = np.unique(names)
+        keys = distinct(names)
         bounds, hit = _ranges(keys, bits), np.zeros(len(keys), bool)
         for m in marks or []:
             x, y = bounds[m["bucket"]], bounds[m["bucket"] + 1]
@@ -510,8 +562,8 @@ def repeated_strings(df: DataFrame, length: int = 200, spread: int = 112, text_c
 
     def known_asked(table: pa.Table) -> pa.Table:
         keys, asked = zip(*map(_flagged, table.column("body").to_pylist()))
-        every = np.unique(np.concatenate([k[a] for k, a in zip(keys, asked)]))
-        hit = [np.isin(k, every) for k in keys]
+        every = distinct(np.concatenate([k[a] for k, a in zip(keys, asked)]))
+        hit = [among(k, every) for k in keys]
         give_back()
         return pa.table({"bucket": table.column("bucket"), "batch": table.column("batch"), "body": pa.array([np.packbits(x).tobytes() for x in hit], pa.binary())})
 
@@ -546,43 +598,20 @@ def repeated_strings(df: DataFrame, length: int = 200, spread: int = 112, text_c
     def settled(table: pa.Table) -> pa.Table:
         """For every string of every stretch, in order, whether it occurs in another stretch of the range.
 
-        Stretches with the same text are one, whose strings all repeat. A run is a batch's strings, but each text's with the
-        first batch that has it.
+        Stretches with the same text are one, whose strings all repeat.
         """
         texts = [decoded(x)[0] for x in table.column("body").to_pylist()]
         number: dict[bytes, int] = {}
         code = [[number.setdefault(t, len(number)) for t in some] for some in texts]
-        flat = list(number)
-        size = np.array([len(t) for t in flat], np.int64)
+        del texts
+        size = np.fromiter(map(len, number), np.int64, len(number))
         count = size - length + 1
         upto = np.concatenate([[0], np.cumsum(count)])
-        at = np.arange(upto[-1]) + np.repeat((np.cumsum(size) - size) - upto[:-1], count)
-        joined = b"".join(flat)
-        del flat, number
+        at = ragged_places(np.cumsum(size) - size, count)
+        data = np.frombuffer(b"".join([*number, bytes(8)]), np.uint8)
+        del number
         known = np.repeat(np.bincount(np.concatenate([np.array(c, np.int64) for c in code]), minlength=len(count)) > 1, count)
-        h = string_hashes(np.frombuffer(joined + bytes(8), np.uint8), at, length)
-        _, name, seen = np.unique(h, return_inverse=True, return_counts=True)
-        compared = np.zeros(len(seen), bool)
-        compared[name[~known]] = True  # an unlike hash is an unlike string, and a string that is known to repeat need not be told
-        often = np.flatnonzero((seen[name] > 1) & compared[name])
-        del h, name, seen
-        home = np.zeros(len(count), np.int64)
-        for r in range(len(code) - 1, -1, -1):
-            home[code[r]] = r
-        run_of = np.repeat(home, count)[often]
-        by_run = np.argsort(run_of, kind="stable")
-        cuts = np.searchsorted(run_of[by_run], np.arange(len(texts) + 1))
-        runs, back = [], []
-        for x, y in zip(cuts, cuts[1:]):
-            mine = often[by_run[x:y]].tolist()
-            strings = sorted(zip([joined[a : a + length] for a in at[mine].tolist()], mine))
-            runs.append([s for s, _ in strings])
-            back.append([i for _, i in strings])
-        again = known
-        if len(often):
-            most, _, _ = longest_shared(runs, [[0, *map(common, r, r[1:])][: len(r)] for r in runs])
-            for places, m in zip(back, most):
-                again[places] |= m >= length
+        again = recurring(data, at, length, known)
         body = [np.packbits(np.concatenate([again[upto[c] : upto[c + 1]] for c in some])).tobytes() for some in code]
         give_back()
         return pa.table({"bucket": table.column("bucket"), "batch": table.column("batch"), "body": pa.array(body, pa.binary())})
@@ -608,16 +637,15 @@ def repeated_strings(df: DataFrame, length: int = 200, spread: int = 112, text_c
                         x, y = upto[bounds[m["bucket"]]], upto[bounds[m["bucket"] + 1]]
                         again[x:y] = np.unpackbits(np.frombuffer(m["body"], np.uint8), count=y - x)
                     often = np.bincount(code, minlength=len(ordered)) > 1
-                    for p, c in zip(lo.tolist(), code.tolist()):
-                        start[p : p + count[c]] |= True if often[c] else again[upto[c] : upto[c + 1]]
+                    size = count[code]
+                    start[ragged_places(lo, size)] |= again[ragged_places(upto[code], size)] | np.repeat(often[code], size)
                 yield put_out(b, start)
 
     def put_out(b: Batch, start: np.ndarray) -> pa.RecordBatch:
-        p = np.flatnonzero(start)
-        step = np.zeros(b.size + 1, np.int32)
-        np.add.at(step, p, 1)
-        np.add.at(step, p + length, -1)
-        gone = np.cumsum(step[:-1]) > 0
+        upto = np.zeros(b.size + 1, np.int32)
+        np.cumsum(start, out=upto[1:])
+        gone = upto[1:] > 0  # a string begins here, or at one of the length - 1 bytes before
+        gone[length:] = upto[1 + length :] > upto[1:-length]
         docs = len(b.off) - 1
         opens = np.zeros(b.size + 1, bool)
         opens[b.off[:-1]] = True  # a text's first byte opens a span of its own
@@ -625,7 +653,7 @@ def repeated_strings(df: DataFrame, length: int = 200, spread: int = 112, text_c
         stop = np.flatnonzero(gone & (np.concatenate([~gone[1:], [True]])[: b.size] | opens[1:]))
         doc = np.searchsorted(b.off, edge, "right") - 1
         spans = np.bincount(doc, minlength=docs)
-        upto = np.concatenate([[0], np.cumsum(gone)])
+        np.cumsum(gone, out=upto[1:])
         removed = upto[b.off[1:]] - upto[b.off[:-1]]
         keep = b.data[: b.size][~gone].tobytes()
         cut = (b.off - upto[b.off]).tolist()
