@@ -17,7 +17,7 @@ from .functions import numeric
 from .functions import text as tx
 from .operators import chat, metrics, packing, probes, splits, tokenizer, transforms
 from .queries import _CLEAN, _MSGS, _conversations, _docs, _stored, query
-from .sources import readers, sinks
+from .sources import pieces, readers, sinks
 from .storage import shared_dir
 
 
@@ -319,7 +319,7 @@ def scan_json_array(spark, sf):
 
     def arrays(batches):
         yield pa.RecordBatch.from_arrays([pa.array(["[7"])], names=["value"])
-        for batch in batches:
+        for batch in pieces.few(batches, 0):
             yield pa.RecordBatch.from_arrays([pa.array([f", null,\n{x}" for x in batch.column(0).to_pylist()], pa.string())], names=["value"])
         yield pa.RecordBatch.from_arrays([pa.array(["]"])], names=["value"])
 

@@ -14,8 +14,10 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -111,12 +113,23 @@ class CsvRows:
         return 1, 0, [(value + "\n", False)]
 
 
+def few(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``most`` bytes of a column's strings, or of one row: Python holds no more than these as objects."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        upto, i = np.cumsum(size, dtype=np.int64), 0
+        while i < len(upto):
+            j = max(i + 1, min(i + 1000, int(np.searchsorted(upto, upto[i] - size[i] + most, "right"))))
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def _ranges_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, Iterator[str]]]:
     """(path, range, pieces) of rows (path, block, value) in order."""
     from itertools import groupby
 
     def rows():
-        for batch in batches:
+        for batch in few(batches, 2):
             yield from zip(*(c.to_pylist() for c in batch.columns[:3]))
 
     for (path, block), some in groupby(rows(), key=lambda r: r[:2]):
@@ -128,9 +141,10 @@ def _scan(spark: SparkSession, paths: str | list[str], separator: str) -> DataFr
     return text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
 
 
-def records(spark: SparkSession, paths: str | list[str], kind: JsonObjects | CsvRows) -> tuple[DataFrame, DataFrame]:
-    """(path, r, text, open): the records of each file, numbered from 0; open: the file ends within it, or behind the last one
-    (what a JSON file has behind its last object is such a record). And (path, n): how many of them end in each file."""
+def records(spark: SparkSession, paths: str | list[str], kind: JsonObjects | CsvRows, read, schema: str) -> tuple[DataFrame, DataFrame]:
+    """What ``read`` makes, in batches of ``schema``, of (path, r, text, open): the records of each file, numbered from 0; open: the
+    file ends within it, or behind the last one (what a JSON file has behind its last object is such a record). And (path, n): how
+    many of them end in each file. Records that lie within a range are read by the process that cuts them."""
     scan = _scan(spark, paths, kind.separator)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,11 +184,11 @@ def records(spark: SparkSession, paths: str | list[str], kind: JsonObjects | Csv
         from itertools import groupby
 
         def rows():
-            for batch in batches:
+            for batch in few(batches, 2):
                 yield from zip(*(c.to_pylist() for c in batch.columns))
 
         for (path, block, state, depth, r, final), some in groupby(rows(), key=lambda x: (*x[:2], *x[3:])):
-            out, held, whole = [], [], block == 0
+            out, size, held, whole = [], 0, [], block == 0
             for i, x in enumerate(some):
                 before = depth
                 state, depth, parts = kind.step(x[2], block == 0 and i == 0, state, depth)
@@ -182,10 +196,10 @@ def records(spark: SparkSession, paths: str | list[str], kind: JsonObjects | Csv
                     held.append(text)
                     if ends and before == kind.target:
                         out.append((path, r, block, "".join(held), whole, False))
-                        r, held, whole = r + 1, [], True
-                if len(out) >= 1000:
+                        r, size, held, whole = r + 1, size + len(out[-1][3]), [], True
+                if len(out) >= 1000 or size > 1 << 19:
                     yield table(out)
-                    out = []
+                    out, size = [], 0
             if any(held) and (final or "".join(held)):
                 out.append((path, r, block, "".join(held), False, final))
             yield table(out)
@@ -194,11 +208,19 @@ def records(spark: SparkSession, paths: str | list[str], kind: JsonObjects | Csv
         kinds = (("path", pa.string()), ("r", pa.int64()), ("block", pa.int64()), ("text", pa.string()), ("whole", pa.bool_()), ("open", pa.bool_()))
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, (_, k) in enumerate(kinds)], names=[n for n, _ in kinds])
 
-    parts = known.mapInArrow(cut, "path string, r long, block long, text string, whole boolean, open boolean")
+    def only(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mask = batch.column("whole")
+            some = batch.filter(mask if whole else pc.invert(mask))
+            if some.num_rows:
+                yield some
+
+    within = known.mapInArrow(lambda batches: read(x.select(["path", "r", "text", "open"]) for x in only(cut(batches), True)), schema)
+    parts = known.mapInArrow(lambda batches: only(cut(batches), False), "path string, r long, block long, text string, whole boolean, open boolean")
     pieces = F.sort_array(F.collect_list(F.struct("block", "text")))
-    spanning = parts.where("NOT whole").groupBy("path", "r").agg(pieces.alias("p"), F.bool_or("open").alias("open"))
+    spanning = parts.groupBy("path", "r").agg(pieces.alias("p"), F.bool_or("open").alias("open"))
     joined = spanning.select("path", "r", F.array_join(F.transform("p", lambda x: x.text), "").alias("text"), "open")
-    return parts.where("whole").select("path", "r", "text", "open").unionByName(joined), files
+    return within.unionByName(joined.mapInArrow(read, schema)), files
 
 
 def json_objects(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
@@ -234,14 +256,13 @@ def json_objects(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame
                     return text[start:at]
                 at = blank.match(text, at).end()
 
-        for batch in batches:
+        for batch in few(batches, 2):
             path, r, text, last = (c.to_pylist() for c in batch.columns)
             found = [parsed(t, k == 0, e) for t, k, e in zip(text, r, last)]
             keep = [i for i, x in enumerate(found) if x is not None]
             yield pa.RecordBatch.from_arrays([pa.array([path[i] for i in keep], pa.string()), pa.array([r[i] for i in keep], pa.int64()), pa.array([found[i] for i in keep], pa.string())], names=["path", "r", "text"])
 
-    found, files = records(spark, paths, JsonObjects())
-    return found.mapInArrow(run, "path string, r long, text string"), files
+    return records(spark, paths, JsonObjects(), run, "path string, r long, text string")
 
 
 def csv_rows(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
@@ -250,7 +271,7 @@ def csv_rows(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, Da
     import csv
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches, 2):
             text, still = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             if any(e and CsvRows.walk(t, False) for t, e in zip(text, still)):
                 raise ValueError("a quoted field never ends")
@@ -259,8 +280,7 @@ def csv_rows(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, Da
                 raise ValueError("a row ends within its record")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fields, pa.list_(pa.string()))], names=["path", "r", "fields"])
 
-    found, files = records(spark, paths, CsvRows())
-    return found.mapInArrow(run, "path string, r long, fields array<string>"), files
+    return records(spark, paths, CsvRows(), run, "path string, r long, fields array<string>")
 
 
 def numbered(rows: DataFrame, files: DataFrame, header: bool = False) -> DataFrame:

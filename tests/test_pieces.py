@@ -4,7 +4,9 @@ import csv
 import json
 import random
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from loomspark.sources import pieces, readers
@@ -109,3 +111,26 @@ def test_many_files_plan_like_one(spark, tmp_path):
     assert time.monotonic() - began < 20  # 3 s on a machine of its own
     assert planned == joins(readers.load_raw(spark, str(tmp_path), {None: ("one.jsonl",)}, "text string"))
     assert [r.text for r in many.orderBy("ord").collect()] == [f"t{i}" for i in range(1000)]
+
+
+@pytest.mark.parametrize("rows,each", [(10_000, 3000), (3, 400_000)])
+def test_python_holds_few_pieces(rows, each):
+    """Of a batch of pieces, however many and long, few are objects at a time."""
+    batch = pa.RecordBatch.from_arrays([pa.array(["file:/x"] * rows), pa.array([0] * rows), pa.array(["x" * each] * rows)], names=["path", "block", "value"])
+    tracemalloc.start()
+    try:
+        for _, _, some in pieces._ranges_of(iter([batch])):
+            assert sum(len(x) for x in some) == rows * each
+        assert tracemalloc.get_traced_memory()[1] < 3_000_000  # all at once: 30 MB and more
+    finally:
+        tracemalloc.stop()
+
+
+def test_slices_lose_nothing():
+    rnd = random.Random(2)
+    texts = [rnd.choice([None, "", "é" * rnd.randint(0, 30), "x" * 90]) for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(texts)], names=["i", "text"])
+    some = list(pieces.few(iter([batch.slice(0, 0), batch.slice(7), batch.slice(0, 1)]), 1, 64))
+    assert [x for s in some for x in s.column(1).to_pylist()] == [*texts[7:], texts[0]]
+    assert all(s.num_rows == 1 or sum(len((x or "").encode()) for x in s.column(1).to_pylist()) <= 64 for s in some)
+    assert max(s.num_rows for s in pieces.few(iter([batch]), 1)) == 1000
