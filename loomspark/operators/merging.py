@@ -24,11 +24,14 @@ def matches(sym: np.ndarray, word: np.ndarray, pairs: np.ndarray) -> tuple[np.nd
     """Places where one of ``pairs`` (two columns; they keep apart) begins, from left to right without overlap, and which."""
     if len(sym) < 2 or not len(pairs):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    code, known = sym[:-1] << 32 | sym[1:], pairs[:, 0] << 32 | pairs[:, 1]
+    left, right = (np.zeros(max(int(sym.max()), int(pairs.max())) + 1, bool) for _ in range(2))
+    left[pairs[:, 0]], right[pairs[:, 1]] = True, True
+    hit = np.flatnonzero(left[sym[:-1]] & right[sym[1:]] & (word[:-1] == word[1:]))  # few are looked up
+    code, known = sym[hit] << 32 | sym[hit + 1], pairs[:, 0] << 32 | pairs[:, 1]
     order = np.argsort(known)
     at = np.minimum(np.searchsorted(known[order], code), len(known) - 1)
-    hit = np.flatnonzero((known[order][at] == code) & (word[:-1] == word[1:]))
-    which = order[at[hit]]
+    some = known[order][at] == code
+    hit, which = hit[some], order[at[some]]
     # Only a pair of equals overlaps itself: of a run the first, third, ... place.
     chained = np.concatenate([[False], (hit[1:] == hit[:-1] + 1) & (which[1:] == which[:-1])]) if len(hit) else np.zeros(0, bool)
     head = np.maximum.accumulate(np.where(chained, 0, np.arange(len(hit)))) if len(hit) else hit
@@ -67,15 +70,37 @@ def differences(sym: np.ndarray, word: np.ndarray, n: np.ndarray, at: np.ndarray
     earlier = (owner[y] >= 0) & opens[y] & (owner[y] < which[right])
     b = np.where(earlier, first_new + owner[y], sym[y])
     rows += [(which[right], sym[at[right] + 1], b, -weight[right]), (which[right], new[right], b, weight[right])]
+    return added(rows)
+
+
+def added(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(step, left, right, difference) in order, the differences of equal keys in one; symbols fit 27 bits, steps 9."""
     step, a, b, d = (np.concatenate(c) for c in zip(*rows))
-    order = np.lexsort((b, a, step))
-    step, a, b, d = step[order], a[order], b[order], d[order]
     if not len(step):
         return step, a, b, d
-    head = np.flatnonzero(np.concatenate([[True], (step[1:] != step[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    key = step << 54 | a << 27 | b
+    order = np.argsort(key)
+    key, d = key[order], d[order]
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     d = np.add.reduceat(d, head)
-    some = d != 0
-    return step[head][some], a[head][some], b[head][some], d[some]
+    key, d = key[head][d != 0], d[d != 0]
+    return key >> 54, key >> 27 & (1 << 27) - 1, key & (1 << 27) - 1, d
+
+
+def added_up(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The differences of many batches as those of few: what a task has found is added before it is sent."""
+    held, rows = [], 0
+    for part in parts:
+        held.append(part)
+        rows += len(part[0])
+        if rows > 2 * most:
+            held = [added(held)]
+            rows = len(held[0][0])
+            if rows > most:
+                yield held[0]
+                held, rows = [], 0
+    if held:
+        yield added(held)
 
 
 def apart(top: list[tuple[int, int, int]], most: int, merges_to: dict[bytes, int], tokens: list[bytes]) -> list[tuple[int, int, int]]:
@@ -93,32 +118,43 @@ def apart(top: list[tuple[int, int, int]], most: int, merges_to: dict[bytes, int
     return out
 
 
+_BLOCK = "syms binary, size binary, n binary"
+
+
+def _block(sym: np.ndarray, size: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Words as one row: their symbols one behind the other (int32), their sizes (int32) and counts (int64). The JVM passes it on as it is."""
+    kinds = zip((sym, size, n), (np.int32, np.int32, np.int64))
+    return pa.RecordBatch.from_arrays([pa.array([x.astype(k).tobytes()], pa.binary()) for x, k in kinds], names=["syms", "size", "n"])
+
+
 class _Words:
-    """The word table, and merges that its rows still lack."""
+    """The word table, some thousand words a row, and merges that its rows still lack."""
 
     def __init__(self, table: DataFrame):
         self.table, self.lacks = table, []
 
-    def lay_out(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Symbols, their words and the words' counts of a batch, with all merges."""
-        lists = batch.column(0)
-        size = np.diff(np.asarray(lists.offsets))
-        sym = np.asarray(lists.flatten()).astype(np.int64)
-        word = np.repeat(np.arange(len(size)), size)
-        for pairs, new in self.lacks:
-            at, which = matches(sym, word, pairs)
-            if len(at):
-                sym, word = merged(sym, word, at, new[which])
-        return sym, word, np.asarray(batch.column(1))
+    def lay_out(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Symbols, their words and the words' counts of each row, with all merges."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sym, size, n = (np.frombuffer(c[i].as_py(), k) for c, k in zip(batch.columns, (np.int32, np.int32, np.int64)))
+                sym, word = sym.astype(np.int64), np.repeat(np.arange(len(size)), size)
+                for pairs, new in self.lacks:
+                    at, which = matches(sym, word, pairs)
+                    if len(at):
+                        sym, word = merged(sym, word, at, new[which])
+                yield sym, word, n
 
     def differences(self, pairs: np.ndarray, first_new: int) -> DataFrame:
         lay_out = self.lay_out
 
+        def of(words: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            sym, word, n = words
+            at, which = matches(sym, word, pairs)
+            return differences(sym, word, n[word], at, which, first_new)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sym, word, n = lay_out(batch)
-                at, which = matches(sym, word, pairs)
-                columns = differences(sym, word, n[word], at, which, first_new)
+            for columns in added_up(map(of, lay_out(batches))):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["step", "a", "b", "d"])
 
         return self._without_table(run, "step long, a long, b long, d long")
@@ -126,14 +162,14 @@ class _Words:
     def counts(self) -> DataFrame:
         lay_out = self.lay_out
 
+        def of(words: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            sym, word, n = words
+            inside = np.flatnonzero(word[:-1] == word[1:])
+            return added([(np.zeros(len(inside), np.int64), sym[inside], sym[inside + 1], n[word[inside]])])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sym, word, n = lay_out(batch)
-                inside = np.flatnonzero(word[:-1] == word[1:])
-                code, where = np.unique(sym[inside] << 32 | sym[inside + 1], return_inverse=True)
-                sums = np.zeros(len(code), np.int64)
-                np.add.at(sums, where, n[word[inside]])
-                yield pa.RecordBatch.from_arrays([pa.array(code >> 32), pa.array(code & 0xFFFFFFFF), pa.array(sums)], names=["a", "b", "d"])
+            for _, *columns in added_up(map(of, lay_out(batches))):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "d"])
 
         return self._without_table(run, "a long, b long, d long")
 
@@ -142,15 +178,12 @@ class _Words:
         lay_out = self.lay_out
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sym, word, n = lay_out(batch)
+            for sym, word, n in lay_out(batches):
                 size = np.bincount(word, minlength=len(n))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(sym, pa.int32()))
-                some = pa.RecordBatch.from_arrays([lists, pa.array(n)], names=["syms", "n"])
-                yield some.filter(pa.array(size > 1))  # a word of one symbol has no pairs
+                yield _block(sym[size[word] > 1], size[size > 1], n[size > 1])  # a word of one symbol has no pairs
 
         old = self.table
-        self.table = materialize(self._without_table(run, "syms array<int>, n long"))
+        self.table = materialize(self._without_table(run, _BLOCK))
         self.lacks = []
         drop_table(old)
 
@@ -177,14 +210,13 @@ def train_in_rounds(counts: DataFrame, alphabet: tuple[int, ...], first_id: int,
             raw = batch.column(0).cast(pa.large_binary())
             off = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
             data = np.frombuffer(raw.buffers()[2], np.uint8) if raw.buffers()[2] else np.zeros(0, np.uint8)
-            lists = pa.ListArray.from_arrays(pa.array(off - off[0], pa.int32()), pa.array(code[data[off[0] : off[-1]]]))
-            some = pa.RecordBatch.from_arrays([lists, batch.column(1)], names=["syms", "n"])
-            yield some.filter(pa.array(np.diff(off) > 1))
+            size = np.diff(off)
+            yield _block(code[data[off[0] : off[-1]]][np.repeat(size > 1, size)], size[size > 1], np.asarray(batch.column(1))[size > 1])
 
     merges: list[tuple[bytes, bytes]] = []
     spark = counts.sparkSession
     with Tables(spark):
-        words = _Words(materialize(counts.select("pretoken", "n").mapInArrow(symbols, "syms array<int>, n long")))
+        words = _Words(materialize(counts.select("pretoken", "n").mapInArrow(symbols, _BLOCK)))
         summed = lambda parts: parts.groupBy("a", "b").agg(F.sum("d").alias("d")).where("d > 0")
         base = materialize(summed(words.counts()))
         changes: list[DataFrame] = []

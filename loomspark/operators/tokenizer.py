@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.pieces import few
 from ..storage import Tables, materialize
 from .merging import train_in_rounds
 
@@ -34,6 +37,23 @@ def pretoken_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.select(F.explode(pretokens(F.coalesce(text_col, F.lit("")))).alias("pretoken")).groupBy("pretoken").agg(F.count("*").alias("n"))
 
 
+class _Pieces(dict):
+    """Ids of pre-tokens as bytes of int32, made when they are asked for; as many are remembered as by ``Vocabulary.merge``."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab, self.older = vocab, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        known = self.older.get(piece)
+        if known is None:
+            known = np.array([self.vocab.ids[p] for p in self.vocab._parts(piece.encode())], np.int32).tobytes()
+        if len(self) >= CACHED:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = known
+        return known
+
+
 @dataclass
 class Vocabulary:
     """Ids by token bytes (specials first) and merges in order."""
@@ -43,6 +63,9 @@ class Vocabulary:
     specials: tuple[str, ...] = SPECIALS
     _cache: dict = field(default_factory=dict, repr=False, compare=False)
     _older: dict = field(default_factory=dict, repr=False, compare=False)
+    _pieces: _Pieces | None = field(default=None, repr=False, compare=False)
+    _pairs: tuple[np.ndarray, ...] | None = field(default=None, repr=False, compare=False)
+    _table: tuple[np.ndarray, np.ndarray] | None = field(default=None, repr=False, compare=False)
 
     def __post_init__(self) -> None:
         self.rank = {pair: i for i, pair in enumerate(self.merges)}
@@ -53,7 +76,7 @@ class Vocabulary:
         return len(self.specials) + len(self.ids)
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "_cache": {}, "_older": {}}
+        return {**self.__dict__, "_cache": {}, "_older": {}, "_pieces": None, "_pairs": None, "_table": None}
 
     def merge(self, piece: str) -> list[int]:
         """Ids of a pre-token. The last ``CACHED`` to twice as many are remembered: those of the older half that are met
@@ -108,6 +131,61 @@ class Vocabulary:
             out += ids
         return out
 
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """``encode`` of many texts, as arrays; pre-tokens that are new are merged all at once."""
+        import regex
+
+        self._pieces = known = self._pieces if self._pieces is not None else _Pieces(self)
+        pieces = list(map(regex.compile(PATTERN).findall, texts))
+        new = [p for p in set().union(*pieces) if p not in known and p not in known.older]
+        if len(known) + len(new) > CACHED:
+            known.older = dict(known)
+            known.clear()
+        known.update(zip(new, self.merge_all([p.encode() for p in new])))
+        return [np.frombuffer(b"".join(map(known.__getitem__, some)), np.int32) for some in pieces]
+
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of many pre-tokens, as bytes of int32: in every step each piece merges its leftmost pair of least rank, as in
+        ``_parts``, and pieces that have none are done."""
+        if self._pairs is None:
+            code = np.zeros(256, np.int64)
+            code[list(ALPHABET)] = [self.ids[bytes([b])] for b in ALPHABET]
+            pairs = sorted((self.ids[a] << 32 | self.ids[b], k, self.ids[a + b]) for (a, b), k in self.rank.items())
+            self._pairs = code, *np.array(pairs or [(-1, 0, 0)], np.int64).T
+        code, known, rank, makes = self._pairs
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        sym, word = code[np.frombuffer(b"".join(pieces), np.uint8)], np.repeat(np.arange(len(pieces)), size)
+        done = []
+        while len(sym):
+            pair = sym[:-1] << 32 | sym[1:]
+            at = np.minimum(np.searchsorted(known, pair), len(known) - 1)
+            hit = np.flatnonzero((known[at] == pair) & (word[:-1] == word[1:]))
+            goes_on = np.zeros(len(pieces), bool)
+            goes_on[word[hit]] = True
+            goes_on, keep = goes_on[word], np.ones(len(sym), bool)
+            done.append((sym[~goes_on], word[~goes_on]))
+            if len(hit):
+                w = word[hit]
+                first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+                least = np.minimum.reduceat(rank[at[hit]] << 32 | hit, first) & 0xFFFFFFFF
+                sym[least], keep[least + 1] = makes[at[least]], False
+            sym, word = sym[goes_on & keep], word[goes_on & keep]
+        sym, word = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in zip(*done, (sym, word)))
+        raw = sym[np.argsort(word, kind="stable")].astype(np.int32).tobytes()
+        ends = (4 * np.cumsum([0, *np.bincount(word, minlength=len(pieces))])).tolist()
+        return [raw[x:y] for x, y in zip(ends, ends[1:])]
+
+    def spelled(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of an array of ids, and where each id's bytes end."""
+        if self._table is None:
+            known = {**{i: s.encode() for i, s in enumerate(self.specials)}, **self.tokens}
+            every = [known.get(i, b"") for i in range(max(known) + 1)]
+            self._table = np.frombuffer(b"".join(every), np.uint8), np.cumsum([0, *map(len, every)])
+        data, off = self._table
+        size = off[ids + 1] - off[ids]
+        ends = np.cumsum(size)
+        return data[np.repeat(off[ids] - (ends - size), size) + np.arange(int(size.sum()))], ends
+
     def decode(self, ids) -> str:
         special = [s.encode() for s in self.specials]
         tokens = self.tokens
@@ -275,12 +353,23 @@ def _broadcast(vocab: Vocabulary):
 
 def round_trip(df: DataFrame, vocab: Vocabulary, text_col: str = "text", shown: int = 20) -> DataFrame:
     """One row: checked, ok, failures (the first 80 characters of up to ``shown`` texts and decodings), failed (their number)."""
-    encode, decode = encoder(vocab), decoder(vocab)
-    both = df.select(F.coalesce(text_col, F.lit("")).alias("t")).withColumn("d", decode(encode("t")))
-    bad = F.col("t") != F.col("d")
-    pair = F.array(F.substring("t", 1, 80), F.substring("d", 1, 80))
+    shared = _broadcast(vocab)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        for batch in few(batches, 0):
+            texts = batch.column(0).to_pylist()
+            ids = v.encode_all(texts)
+            data, ends = v.spelled(np.concatenate(ids))
+            raw, ends = data.tobytes(), np.append(0, ends)[np.cumsum([0, *map(len, ids)])].tolist()
+            pairs: list[list[str] | None] = []
+            for t, x, y in zip(texts, ends, ends[1:]):
+                same = raw[x:y] == t.encode() or (d := raw[x:y].decode("utf-8", "replace")) == t
+                pairs.append(None if same else [t[:80], d[:80]])
+            yield pa.RecordBatch.from_arrays([pa.array([p is not None for p in pairs]), pa.array(pairs, pa.list_(pa.string()))], names=["bad", "pair"])
+
     # Coded once: a flag for each text, and what failed, of which no task gathers more than is shown.
-    seen = materialize(both.select(bad.alias("bad"), F.when(bad, pair).alias("pair")))
+    seen = materialize(df.select(F.coalesce(text_col, F.lit("")).alias("t")).mapInArrow(run, "bad boolean, pair array<string>"))
     counted = seen.agg(F.count("*").alias("checked"), F.coalesce(F.bool_and(~F.col("bad")), F.lit(True)).alias("ok"), F.count(F.when(F.col("bad"), True)).alias("failed"))
     listed = seen.where("bad").select("pair").distinct().orderBy("pair").limit(shown).agg(F.sort_array(F.collect_list("pair")).alias("failures"))
     return counted.join(F.broadcast(listed)).select("checked", "ok", "failures", "failed")  # one row each

@@ -96,3 +96,32 @@ def test_cache_keeps_what_is_met_again(monkeypatch):
         ids = vocab.encode(text)
         assert vocab.decode(ids) == text and len(vocab._cache) <= 3 and len(vocab._older) <= 3
     assert ids == tokenizer.Vocabulary(vocab.ids, vocab.merges).encode(text) and pickle.loads(pickle.dumps(vocab))._cache == {}
+
+
+def test_new_pieces_are_merged_at_once():
+    """What the cache lacks is merged in arrays, equal to one by one; long ones and repeated letters too."""
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("abcé漢 x") for _ in range(rnd.randint(1, 12))) for _ in range(2000)] + ["a" * 301, "ab" * 200]
+    vocab = tokenizer.train([(w, rnd.randint(1, 9)) for w in sorted(set(words))], 500)
+    alone = []
+    vocab._parts, one_by_one = lambda piece: alone.append(piece), vocab._parts
+    texts = [" ".join(rnd.choices(words, k=40)) for _ in range(50)] + ["", words[-1]]
+    got = vocab.encode_all(texts)
+    assert not alone and [len(x) for x in got]
+    vocab._parts = one_by_one
+    assert [x.tolist() for x in got] == [vocab.encode(t) for t in texts]
+    data, ends = vocab.spelled(np.concatenate(got))
+    assert data.tobytes() == "".join(texts).encode() and ends[-1] == len(data)
+    assert vocab.merge_all([b"", b"a"]) == [b"", np.int32(vocab.ids[b"a"]).tobytes()] and vocab.merge_all([]) == []
+
+
+def test_tasks_add_before_they_send():
+    rnd = np.random.default_rng(5)
+    parts = [tuple(rnd.integers(0, k, 900) for k in (3, 40, 40)) + (rnd.integers(-2, 3, 900),) for _ in range(300)]
+    want = Counter()
+    for part in parts:
+        for *key, d in zip(*(x.tolist() for x in part)):
+            want[tuple(key)] += d
+    sent = list(merging.added_up(iter(parts), 10_000))
+    assert len(sent) == 1 and len(sent[0][0]) <= 3 * 40 * 40
+    assert {(s, a, b): d for s, a, b, d in zip(*(x.tolist() for x in sent[0]))} == {k: d for k, d in want.items() if d}
