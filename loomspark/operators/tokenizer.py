@@ -359,13 +359,14 @@ def round_trip(df: DataFrame, vocab: Vocabulary, text_col: str = "text", shown:
         v = shared.value
         for batch in few(batches, 0):
             texts = batch.column(0).to_pylist()
-            ids = v.encode_all(texts)
-            data, ends = v.spelled(np.concatenate(ids))
-            raw, ends = data.tobytes(), np.append(0, ends)[np.cumsum([0, *map(len, ids)])].tolist()
-            pairs: list[list[str] | None] = []
-            for t, x, y in zip(texts, ends, ends[1:]):
-                same = raw[x:y] == t.encode() or (d := raw[x:y].decode("utf-8", "replace")) == t
-                pairs.append(None if same else [t[:80], d[:80]])
+            if type(v).encode is Vocabulary.encode and type(v).decode is Vocabulary.decode:
+                ids = v.encode_all(texts)
+                data, ends = v.spelled(np.concatenate(ids))
+                raw, ends = data.tobytes(), np.append(0, ends)[np.cumsum([0, *map(len, ids)])].tolist()
+                decoded = [raw[x:y].decode("utf-8", "replace") for x, y in zip(ends, ends[1:])]
+            else:  # anything that encodes and decodes
+                decoded = [v.decode(v.encode(t)) for t in texts]
+            pairs = [None if t == d else [t[:80], d[:80]] for t, d in zip(texts, decoded)]
             yield pa.RecordBatch.from_arrays([pa.array([p is not None for p in pairs]), pa.array(pairs, pa.list_(pa.string()))], names=["bad", "pair"])
 
     # Coded once: a flag for each text, and what failed, of which no task gathers more than is shown.

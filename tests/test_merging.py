@@ -125,3 +125,16 @@ def test_tasks_add_before_they_send():
     sent = list(merging.added_up(iter(parts), 10_000))
     assert len(sent) == 1 and len(sent[0][0]) <= 3 * 40 * 40
     assert {(s, a, b): d for s, a, b, d in zip(*(x.tolist() for x in sent[0]))} == {k: d for k, d in want.items() if d}
+
+
+class _Lossy(tokenizer.Vocabulary):
+    def decode(self, ids):
+        return super().decode(ids).replace("b", "")
+
+
+def test_round_trip_asks_the_tokenizer_itself(spark):
+    """What overrides coding isn't passed by."""
+    plain = tokenizer.train([("ab", 3), ("a", 1)], 262)
+    df = spark.createDataFrame([("ab",), ("a",), (None,)], "text string")
+    lossy = _Lossy(plain.ids, plain.merges)
+    assert [tokenizer.round_trip(df, v).first()["failed"] for v in (plain, lossy)] == [0, 1]
